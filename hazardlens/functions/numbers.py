@@ -65,7 +65,8 @@ def bin_ordinal(value: Column, bins: list[tuple[str, int | None]]) -> Column:
 
 
 def label_at(ordinal: Column, labels: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), ordinal)
+    """The label of a 1-based ordinal; NULL needs its own branch because element_at takes it for -1."""
+    return F.when(ordinal.isNotNull(), F.element_at(F.array(*[F.lit(label) for label in labels]), ordinal))
 
 
 def labels_of(buckets: list[tuple[str, object]]) -> list[str]:

@@ -32,9 +32,14 @@ def parse_column(rows: DataFrame, text: str, schema: StructType) -> DataFrame:
     return rows.withColumn("_document", parsed(F.col(text), schema)).select(*others, "_document.*")
 
 
+def _is_json() -> Column:
+    """Documents with a field of another type are marked too, but they are JSON and stay in use."""
+    return F.col(_BAD).isNull() | F.try_parse_json(F.col(_BAD)).isNotNull()
+
+
 def readable(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col(_BAD).isNull()).drop(_BAD)
+    return documents.where(_is_json()).drop(_BAD)
 
 
 def unreadable(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col(_BAD).isNotNull())
+    return documents.where(~_is_json())
