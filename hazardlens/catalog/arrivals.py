@@ -1 +1,23 @@
-"""To come."""
+"""Incremental take-in."""
+
+from pyspark.sql import functions as F
+
+from hazardlens.catalog.registry import query
+from hazardlens.functions.dates import write_iso
+from hazardlens.session import new_folder
+from hazardlens.streaming.arrivals import stored_rows, take_in
+
+
+def _taken_in(t):
+    """Two arrivals, the second with documents that were there before, and a third call with nothing new."""
+    inbox, table, checkpoint = (new_folder(t.spark, label) for label in ("inbox", "arrived", "progress"))
+    texts = t.vulnerability_documents()
+    for part in (texts.where("seq % 2 = 0"), texts, None):
+        if part is not None:
+            part.select("document").write.mode("append").text(inbox)
+        take_in(t.spark, inbox, table, checkpoint)
+    return stored_rows(t.spark, table).drop("batch").withColumns(
+        {name: write_iso(F.col(name)) for name in ("published", "modified")})
+
+
+query("st_1_arrivals", "SELECT * FROM f")(_taken_in)

@@ -1 +1,187 @@
-"""To come."""
+"""Features, training, metrics and scoring.
+
+Metrics are checked on a score that any engine can compute; jobs that fit a model have no SQL.
+"""
+
+from pyspark.sql import functions as F
+
+from hazardlens import fixed_values as fixed
+from hazardlens.catalog.combining import judged
+from hazardlens.catalog.registry import query
+from hazardlens.learning import features, metrics, scoring, training
+from hazardlens.session import new_folder
+
+_FEATURES = ", ".join(["package_name", *fixed.NUMERIC_FEATURES, "repository_status", *fixed.BOOLEAN_FEATURES, "label"])
+
+
+def _features(t):
+    return features.feature_table(t.risk)
+
+
+query("m_1_feature_table", f"SELECT {_FEATURES} FROM features")(_features)
+
+query("m_2_category_codes", """
+SELECT package_name, dense_rank() OVER (ORDER BY repository_status) - 1 AS category_index FROM features""")(
+    lambda t: features.category_codes(_features(t)).select("package_name", "category_index"))
+
+query("m_3_median_filled", "SELECT package_name, " + ", ".join(
+    f"COALESCE({name}, (SELECT quantile_cont({name}, 0.5) FROM features)) AS {name}" for name in fixed.NUMERIC_FEATURES)
+    + " FROM features")(
+    lambda t: features.fill_with_medians(_features(t)).select("package_name", *fixed.NUMERIC_FEATURES))
+
+query("m_4_zero_filled", "SELECT package_name, " + ", ".join(
+    f"COALESCE({name}, 0) AS {name}" for name in fixed.NUMERIC_FEATURES) + " FROM features")(
+    lambda t: features.fill_with_zero(_features(t)).select("package_name", *fixed.NUMERIC_FEATURES))
+
+_SPLIT = """
+WITH placed AS (SELECT package_name, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat(package_name, '|split|42')), package_name) AS rn,
+ COUNT(*) OVER (PARTITION BY label) AS n FROM features),
+parted AS (SELECT package_name, label, CASE WHEN rn <= round(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM placed) """
+
+query("m_5_stratified_split", _SPLIT + "SELECT * FROM parted")(
+    lambda t: features.split(_features(t)).select("package_name", "label", "part"))
+
+query("m_6_split_report", _SPLIT + """
+SELECT part, label, COUNT(*) AS rows, round(100.0::DOUBLE * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY part), 1) AS share
+FROM parted GROUP BY part, label""")(lambda t: features.split_report(features.split(_features(t))))
+
+
+def _scaled(t):
+    parted = features.split(features.fill_with_zero(_features(t)))
+    return features.standardize(parted, parted.where("part = 'train'"))
+
+
+query("m_7_standardized", _SPLIT + ", filled AS (SELECT f.package_name, part, " + ", ".join(
+    f"COALESCE(f.{name}, 0) AS {name}" for name in fixed.NUMERIC_FEATURES)
+    + " FROM features f JOIN parted USING (package_name)), fitted AS (SELECT " + ", ".join(
+    f"AVG({name}) AS {name}_m, stddev_pop({name}) AS {name}_d" for name in fixed.NUMERIC_FEATURES)
+    + " FROM filled WHERE part = 'train') SELECT package_name, " + ", ".join(
+    f"round(({name} - {name}_m) / {name}_d, 6) AS {name}" for name in fixed.NUMERIC_FEATURES)
+    + " FROM filled, fitted")(
+    lambda t: _scaled(t).select("package_name", *[F.round(name, 6).alias(name) for name in fixed.NUMERIC_FEATURES]))
+
+query("m_8_class_weights", """
+SELECT COUNT(*) / (2.0::DOUBLE * COUNT(*) FILTER (WHERE label = 0)) AS negative_weight,
+ COUNT(*) / (2.0::DOUBLE * COUNT(*) FILTER (WHERE label = 1)) AS positive_weight,
+ COUNT(*) FILTER (WHERE label = 0) / (COUNT(*) FILTER (WHERE label = 1))::DOUBLE AS negatives_per_positive, COUNT(*) AS rows
+FROM features""")(lambda t: features.class_weights(_features(t)))
+
+
+def _fitted(t, name):
+    """A model of the given kind fitted on the training part, and the table it came from."""
+    table = training.training_table(t.risk)
+    preparation = features.learn_preparation(table)
+    return training.fit(name, table.where("part = 'train'"), preparation), table
+
+
+def _test_scores(t, name):
+    model, table = _fitted(t, name)
+    return training.score(model, table.where("part = 'test'")).select("package_name", "label", "score")
+
+
+query("m_9_logistic_regression")(lambda t: _test_scores(t, "Logistic Regression"))
+query("m_10_random_forest")(lambda t: _test_scores(t, "Random Forest"))
+query("m_11_boosted_trees")(lambda t: _test_scores(t, "Boosted Trees"))
+
+query("m_12_best_threshold", """
+WITH j AS (SELECT score, label, CAST(concat('0x', substr(md5(concat(package_name, '|fold|42')), 1, 8)) AS BIGINT) % 5 AS fold FROM judged),
+e AS (SELECT MIN(score) AS lo, MAX(score) AS hi FROM j),
+k AS (SELECT fold, label, least(floor((score - lo) / (hi - lo) * 99), 99) AS step FROM j, e),
+g AS (SELECT i AS step, fold, SUM(label) FILTER (WHERE k.step >= i) AS tp, COUNT(*) FILTER (WHERE k.step >= i AND label = 0) AS fp,
+ SUM(label) AS pos FROM range(100) AS r(i), k GROUP BY i, fold),
+m AS (SELECT step, AVG(COALESCE(2.0::DOUBLE * COALESCE(tp, 0) / NULLIF(COALESCE(tp, 0) + fp + pos, 0), 0)) AS mean_f1 FROM g GROUP BY step)
+SELECT step, lo + (hi - lo) * step / 99 AS threshold, mean_f1 FROM m, e ORDER BY round(mean_f1, 12) DESC, step LIMIT 1""")(
+    lambda t: metrics.best_threshold(features.with_fold(judged(t))))
+
+
+def _chosen(t):
+    """Fold F1 and threshold of each kind of model, best first."""
+    table = training.training_table(t.risk)
+    best, trained = training.tune_best(table)
+    rows = [(one.name, one.threshold, one.fold_f1, one.name == best.name) for one in trained]
+    return t.spark.createDataFrame(rows, "model string, threshold double, fold_f1 double, chosen boolean").orderBy(
+        F.col("fold_f1").desc())
+
+
+query("m_13_best_model")(_chosen)
+
+_PREDICTED = "SELECT label, CASE WHEN score >= 0.3 THEN 1 ELSE 0 END AS prediction FROM judged"
+_CELLS = f"""
+WITH k AS ({_PREDICTED}), cells AS (SELECT COUNT(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+ COUNT(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, COUNT(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+ COUNT(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM k) """
+
+
+def _predicted(t, threshold=0.3):
+    return metrics.with_prediction(judged(t), threshold)
+
+
+query("m_14_confusion_and_quality", _CELLS + """
+SELECT tn, fp, fn, tp, (tn + tp)::DOUBLE / (tn + fp + fn + tp) AS accuracy, tp::DOUBLE / (tp + fp) AS precision,
+ tp::DOUBLE / (tp + fn) AS recall, 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1, tn::DOUBLE / (tn + fp) AS specificity FROM cells""")(
+    lambda t: metrics.quality(_predicted(t)))
+
+query("m_15_class_report", _CELLS + """
+, lines AS (SELECT 'No Vulnerability' AS section, tn::DOUBLE / (tn + fn) AS precision, tn::DOUBLE / (tn + fp) AS recall,
+ 2.0::DOUBLE * tn / (2 * tn + fn + fp) AS f1, tn + fp AS support FROM cells UNION ALL
+ SELECT 'High-Severity Vulnerability', tp::DOUBLE / (tp + fp), tp::DOUBLE / (tp + fn), 2.0::DOUBLE * tp / (2 * tp + fp + fn), tp + fn FROM cells)
+SELECT * FROM lines UNION ALL SELECT 'accuracy', a, a, a, n FROM (SELECT (tn + tp)::DOUBLE / (tn + fp + fn + tp) AS a, tn + fp + fn + tp AS n FROM cells)
+UNION ALL SELECT 'macro avg', AVG(precision), AVG(recall), AVG(f1), SUM(support)::BIGINT FROM lines
+UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
+ SUM(f1 * support) / SUM(support), SUM(support)::BIGINT FROM lines""")(lambda t: metrics.class_report(_predicted(t)))
+
+query("m_16_roc_auc", """
+WITH k AS (SELECT label, rank() OVER (ORDER BY score) + (COUNT(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS place FROM judged)
+SELECT round((SUM(place) FILTER (WHERE label = 1) - SUM(label) * (SUM(label) + 1) / 2.0::DOUBLE) / (SUM(label) * SUM(1 - label)), 9) AS auc FROM k""")(
+    lambda t: metrics.roc_auc(judged(t)).select(F.round("auc", 9).alias("auc")))
+
+_CURVE = """
+WITH k AS (SELECT score, SUM(label)::DOUBLE AS pos, SUM(1 - label)::DOUBLE AS neg FROM judged GROUP BY score),
+m AS (SELECT score AS threshold, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER () AS p, SUM(neg) OVER () AS n
+FROM k WINDOW w AS (ORDER BY score DESC)) """
+
+query("m_17_roc_curve", _CURVE + """
+SELECT threshold, tp / p AS tpr, fp / n AS fpr FROM m UNION ALL SELECT NULL, 0, 0""")(
+    lambda t: metrics.roc_curve(judged(t)))
+
+query("m_17_precision_recall_curve", _CURVE + """
+SELECT threshold, tp / (tp + fp) AS precision, tp / p AS recall FROM m UNION ALL SELECT NULL, 1, 0""")(
+    lambda t: metrics.precision_recall_curve(judged(t)))
+
+query("m_18_fixed_threshold", """
+SELECT package_name, CASE WHEN score >= 0.05 THEN 1 ELSE 0 END AS prediction FROM judged""")(
+    lambda t: metrics.with_prediction(judged(t), fixed.SAFETY_THRESHOLD).select("package_name", "prediction"))
+
+
+def _importance(t):
+    model, table = _fitted(t, "Random Forest")
+    return training.importance_table(table, model)
+
+
+query("m_19_feature_importance")(_importance)
+
+
+def _saved_and_loaded(t):
+    model, table = _fitted(t, "Logistic Regression")
+    folder = new_folder(t.spark, "model")
+    scoring.save_model(model, folder)
+    again = scoring.load_model(folder)
+    test = table.where("part = 'test'")
+    kept = training.score(model, test).select("package_name", F.col("score").alias("before"))
+    return training.score(again, test).select("package_name", F.col("score").alias("after")).join(kept, "package_name")
+
+
+query("m_20_saved_model")(_saved_and_loaded)
+query("m_21_batch_scoring")(lambda t: scoring.predict(_fitted(t, "Logistic Regression")[0], t.risk))
+query("m_22_scoring_summary")(lambda t: scoring.prediction_summary(
+    scoring.predict(_fitted(t, "Logistic Regression")[0], t.risk)))
+query("m_23_what_if_sweep")(lambda t: scoring.what_if(_fitted(t, "Logistic Regression")[0], t.risk))
+
+
+def _report(t):
+    table = training.training_table(t.risk)
+    preparation = features.learn_preparation(table)
+    return scoring.model_report(training.tune("Random Forest", table, preparation), table)
+
+
+query("m_24_model_report")(_report)

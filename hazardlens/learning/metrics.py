@@ -132,7 +132,7 @@ def threshold_table(scored: DataFrame, steps: int = fixed.THRESHOLD_STEPS) -> Da
     counted = scored.groupBy("fold", reached.alias("step")).agg(
         F.sum(_LABEL).cast("long").alias("pos"), F.sum(1 - _LABEL).cast("long").alias("neg"))
     folds = counted.select("fold").distinct()
-    grid = folds.select("fold", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).cast("long").alias("step"))
+    grid = folds.select("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("step"))
     filled = grid.join(counted, ["fold", "step"], "left").fillna(0, ["pos", "neg"])
     totals = running_totals(filled, "step", {"tp": "pos", "fp": "neg"}, F.lit(0), within=("fold",), descending=True)
     positives = counted.groupBy("fold").agg(F.sum("pos").alias("all_pos"))
@@ -155,3 +155,19 @@ def report_table(named: dict[str, DataFrame]) -> DataFrame:
                           for name in row.columns])
         return row.select(F.lit(section).alias("section"), F.inline(pairs))
     return reduce(DataFrame.unionByName, [lines(section, row) for section, row in named.items()])
+
+
+def _with_end(points: DataFrame, **values: float) -> DataFrame:
+    """Add the point of a threshold that selects nothing; its threshold is NULL."""
+    ends = [F.lit(None).cast("double").alias("threshold"), *[F.lit(value).alias(name) for name, value in values.items()]]
+    return points.unionByName(points.sparkSession.range(1).select(*ends))
+
+
+def roc_curve(scored: DataFrame) -> DataFrame:
+    """ROC points with the start of the curve."""
+    return _with_end(roc_points(scored), tpr=0.0, fpr=0.0)
+
+
+def precision_recall_curve(scored: DataFrame) -> DataFrame:
+    """Precision-recall points with the end of the curve."""
+    return _with_end(precision_recall_points(scored), precision=1.0, recall=0.0)

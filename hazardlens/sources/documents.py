@@ -9,21 +9,24 @@ from pyspark.sql.types import StructType
 _BAD = "_corrupt_record"
 
 
+def _with_bad(schema: StructType) -> StructType:
+    return StructType(list(schema.fields)).add(_BAD, "string")
+
+
 def read_folder(spark: SparkSession, path: str, schema: StructType, one_per_file: bool = True,
                 pattern: str = "*.json") -> DataFrame:
     """Documents of a folder with an extra ``_corrupt_record`` column for the unreadable ones.
 
     ``one_per_file=False`` reads one document per line, which splits large files.
     """
-    return (spark.read.schema(schema.add(_BAD, "string")).option("mode", "PERMISSIVE")
+    return (spark.read.schema(_with_bad(schema)).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", _BAD).option("multiLine", one_per_file)
             .option("pathGlobFilter", pattern).json(path))
 
 
 def parsed(text: Column, schema: StructType) -> Column:
     """The document as a struct, with the text kept in ``_corrupt_record`` when it is not JSON."""
-    fields = StructType(list(schema.fields)).add(_BAD, "string")
-    return F.from_json(text, fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    return F.from_json(text, _with_bad(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
 
 
 def parse_column(rows: DataFrame, text: str, schema: StructType) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hazardlens.operators.keys import exclude_known, null_counts
-from hazardlens.session import path_exists
+from hazardlens.session import new_folder, path_exists
 
 
 def replace_table(rows: DataFrame, path: str, columns: list[str]) -> None:
@@ -17,6 +17,14 @@ def replace_table(rows: DataFrame, path: str, columns: list[str]) -> None:
     rows.select(*columns).write.mode("overwrite").parquet(path)
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """The rows as a table of their own in the shared folder, for results that several jobs read."""
+    spark = rows.sparkSession
+    folder = new_folder(spark, label)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table, or no rows of its schema when the folder is not there."""
     if path_exists(spark, path):
