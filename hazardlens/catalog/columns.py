@@ -1,5 +1,6 @@
 """Column functions and row filters, each over a whole table."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
@@ -157,23 +158,30 @@ query("p_22_one_decimal_score", "SELECT id AS osv_id, round(score, 1) AS severit
 query("p_23_risk_score", "SELECT package_name, risk_score FROM sc")(
     lambda t: t.scored.select("package_name", "risk_score"))
 
-_HIGH, _COUNT = F.col("has_high_severity_vulnerability"), F.col("vulnerability_count")
+
+def _high() -> Column:
+    return F.col("has_high_severity_vulnerability")
+
+
+def _count() -> Column:
+    return F.col("vulnerability_count")
+
 
 query("p_24_status_label", """
 SELECT package_name, CASE WHEN has_high_severity_vulnerability THEN 'High-Severity Vulnerable'
  ELSE 'No High-Severity Vulnerabilities' END AS status FROM r""")(
-    lambda t: t.risk.select("package_name", labels.vulnerability_status(_HIGH).alias("status")))
+    lambda t: t.risk.select("package_name", labels.vulnerability_status(_high()).alias("status")))
 
 query("p_25_risk_category", """
 SELECT package_name, CASE WHEN has_high_severity_vulnerability THEN 'HIGH RISK' WHEN vulnerability_count > 0
  THEN 'MEDIUM RISK' ELSE 'LOW RISK' END AS category FROM r""")(
-    lambda t: t.risk.select("package_name", labels.risk_category(_HIGH, _COUNT).alias("category")))
+    lambda t: t.risk.select("package_name", labels.risk_category(_high(), _count()).alias("category")))
 
 query("p_26_vulnerability_category", """
 SELECT package_name, CASE WHEN has_high_severity_vulnerability THEN 'High-Severity Vulnerable' WHEN vulnerability_count > 0
  THEN 'Other Vulnerabilities' ELSE 'No Known Vulnerabilities' END AS category FROM r""")(
     lambda t: t.risk.select("package_name", numbers.label_at(
-        labels.vulnerability_category_ordinal(_HIGH, _COUNT), fixed.VULNERABILITY_CATEGORIES).alias("category")))
+        labels.vulnerability_category_ordinal(_high(), _count()), fixed.VULNERABILITY_CATEGORIES).alias("category")))
 
 query("p_27_severity_category", """
 SELECT package_name, CASE WHEN max_severity_score >= 9 THEN 'CRITICAL' WHEN max_severity_score >= 7 THEN 'HIGH'
@@ -185,7 +193,7 @@ SELECT package_name, CASE WHEN has_high_severity_vulnerability AND dependents_co
  WHEN has_high_severity_vulnerability THEN 'HIGH' WHEN vulnerability_count > 0 AND dependents_count > 100 THEN 'MEDIUM'
  WHEN vulnerability_count > 0 THEN 'LOW' ELSE 'MINIMAL' END AS assessment FROM r""")(
     lambda t: t.risk.select("package_name", numbers.label_at(
-        labels.risk_assessment_ordinal(_HIGH, _COUNT, F.col("dependents_count")), fixed.RISK_ASSESSMENTS)
+        labels.risk_assessment_ordinal(_high(), _count(), F.col("dependents_count")), fixed.RISK_ASSESSMENTS)
         .alias("assessment")))
 
 query("p_29_stars_bucket", """

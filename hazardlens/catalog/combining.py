@@ -1,5 +1,6 @@
 """Joins, aggregates, windows, top lists and set operations."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
@@ -17,8 +18,18 @@ from hazardlens.plans.risk import top_risks
 from hazardlens.plans.vulnerabilities import id_lists, one_row_per_id, package_summary
 from hazardlens.sources.tables import table_counts
 
-_ROWS = F.count(F.lit(1))
-_HIGH, _COUNT = F.col("has_high_severity_vulnerability"), F.col("vulnerability_count")
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def _high() -> Column:
+    return F.col("has_high_severity_vulnerability")
+
+
+def _count() -> Column:
+    return F.col("vulnerability_count")
+
 
 query("j_1_full_outer_join", """
 SELECT COALESCE(p.package_name, s.package_name) AS package_name, COALESCE(s.vulnerability_count, 0) AS vulnerability_count,
@@ -50,7 +61,7 @@ WHERE seq % 3 <> 0 AND latest_release_number IS NOT NULL""")(
 
 query("j_5_total_beside_groups", """
 SELECT rank, COUNT(*) AS packages, (SELECT COUNT(*) FROM p) AS total FROM p GROUP BY rank""")(
-    lambda t: t.projects.groupBy("rank").agg(_ROWS.alias("packages")).withColumn("total", row_total(t.projects)))
+    lambda t: t.projects.groupBy("rank").agg(_rows().alias("packages")).withColumn("total", row_total(t.projects)))
 
 query("j_6_dependency_counts", "SELECT package_name, runtime_dependencies_count FROM rd")(
     lambda t: t.risk_with_dependencies.select("package_name", "runtime_dependencies_count"))
@@ -87,9 +98,9 @@ SELECT package_name, COUNT(DISTINCT osv_id) FILTER (WHERE seq % 2 = 0) AS vulner
 query("a_3_conditional_counts", """
 SELECT COUNT(*) AS packages, COUNT(*) FILTER (WHERE vulnerability_count > 0) AS vulnerable,
  COUNT(*) FILTER (WHERE is_unmaintained) AS unmaintained, COUNT(*) FILTER (WHERE has_high_severity_vulnerability) AS high FROM r""")(
-    lambda t: t.risk.agg(_ROWS.alias("packages"), numbers.count_if(_COUNT > 0).alias("vulnerable"),
+    lambda t: t.risk.agg(_rows().alias("packages"), numbers.count_if(_count() > 0).alias("vulnerable"),
                          numbers.count_if(F.col("is_unmaintained")).alias("unmaintained"),
-                         numbers.count_if(_HIGH).alias("high")))
+                         numbers.count_if(_high()).alias("high")))
 
 
 def _spread(value):
@@ -104,26 +115,26 @@ FROM (SELECT rank, CASE WHEN stars > 0 THEN stars END AS stars FROM r) GROUP BY
 
 
 def _flag_with_nulls():
-    return F.when(F.col("stars").isNotNull(), _HIGH)
+    return F.when(F.col("stars").isNotNull(), _high())
 
 
 query("a_5_raw_flag_groups", """
 SELECT CASE WHEN flag THEN 'High-Severity Vulnerable' ELSE 'No High-Severity Vulnerabilities' END AS status, packages
 FROM (SELECT CASE WHEN stars IS NOT NULL THEN has_high_severity_vulnerability END AS flag, COUNT(*) AS packages FROM r GROUP BY 1)""")(
-    lambda t: t.risk.groupBy(_flag_with_nulls().alias("_flag")).agg(_ROWS.alias("packages"))
+    lambda t: t.risk.groupBy(_flag_with_nulls().alias("_flag")).agg(_rows().alias("packages"))
     .select(labels.vulnerability_status(F.col("_flag")).alias("status"), "packages"))
 
 query("a_6_label_groups", """
 SELECT CASE WHEN has_high_severity_vulnerability THEN 'HIGH RISK' WHEN vulnerability_count > 0 THEN 'MEDIUM RISK'
  ELSE 'LOW RISK' END AS category, COUNT(*) AS packages, SUM(vulnerability_count)::BIGINT AS vulnerabilities FROM r GROUP BY 1""")(
-    lambda t: t.risk.groupBy(labels.risk_category(_HIGH, _COUNT).alias("category")).agg(
-        _ROWS.alias("packages"), F.sum(_COUNT).alias("vulnerabilities")))
+    lambda t: t.risk.groupBy(labels.risk_category(_high(), _count()).alias("category")).agg(
+        _rows().alias("packages"), F.sum(_count()).alias("vulnerabilities")))
 
 query("a_7_rate", """
 SELECT repository_status, round(100.0::DOUBLE * COUNT(*) FILTER (WHERE vulnerability_count > 0) / COUNT(*), 2) AS rate
 FROM r GROUP BY repository_status""")(
     lambda t: t.risk.groupBy("repository_status").agg(
-        F.round(F.avg(numbers.flag(_COUNT > 0)) * 100, 2).alias("rate")))
+        F.round(F.avg(numbers.flag(_count() > 0)) * 100, 2).alias("rate")))
 
 query("a_8_value_counts", """
 SELECT repository_status AS value, COUNT(*) AS value_count, round(100.0::DOUBLE * COUNT(*) / (SELECT COUNT(*) FROM r), 1) AS percentage
@@ -138,7 +149,7 @@ SELECT has_repository, quantile_cont(stars::DOUBLE, 0.25) AS q1, quantile_cont(s
 query("a_10_group_means", """
 SELECT has_high_severity_vulnerability AS high, round(AVG(COALESCE(stars, 0)), 4) AS avg_stars,
  round(AVG(days_since_last_release), 4) AS avg_days FROM r GROUP BY 1""")(
-    lambda t: t.risk.groupBy(_HIGH.alias("high")).agg(
+    lambda t: t.risk.groupBy(_high().alias("high")).agg(
         F.round(F.avg(numbers.number_or_zero(F.col("stars"))), 4).alias("avg_stars"),
         F.round(F.avg("days_since_last_release"), 4).alias("avg_days")))
 
@@ -204,25 +215,25 @@ SELECT threshold, precision, recall FROM (SELECT score AS threshold, SUM(pos) OV
 def judged(t):
     """A score per package that any engine can compute, standing in for a model's probability."""
     stars = numbers.number_or_zero(F.col("stars"))
-    return t.risk.select("package_name", _HIGH.cast("int").alias("label"), (stars / (stars + 5000)).alias("score"))
+    return t.risk.select("package_name", _high().cast("int").alias("label"), (stars / (stars + 5000)).alias("score"))
 
 
 query("t_1_top_by_three_keys", """
 SELECT package_name, vulnerability_count, high_severity_count, max_severity_score FROM r
 ORDER BY vulnerability_count DESC NULLS FIRST, high_severity_count DESC NULLS FIRST, max_severity_score DESC NULLS FIRST, package_name LIMIT 30""")(
-    lambda t: t.risk.orderBy(_COUNT.desc_nulls_first(), F.col("high_severity_count").desc_nulls_first(),
+    lambda t: t.risk.orderBy(_count().desc_nulls_first(), F.col("high_severity_count").desc_nulls_first(),
                              F.col("max_severity_score").desc_nulls_first(), "package_name").limit(30)
     .select("package_name", "vulnerability_count", "high_severity_count", "max_severity_score"))
 
 query("t_2_custom_order", """
 SELECT CASE WHEN has_high_severity_vulnerability THEN 'High-Severity Vulnerable' WHEN vulnerability_count > 0
  THEN 'Other Vulnerabilities' ELSE 'No Known Vulnerabilities' END AS category, COUNT(*) AS packages FROM r GROUP BY 1""")(
-    lambda t: t.risk.groupBy(labels.vulnerability_category_ordinal(_HIGH, _COUNT).alias("_place"))
-    .agg(_ROWS.alias("packages")).orderBy("_place")
+    lambda t: t.risk.groupBy(labels.vulnerability_category_ordinal(_high(), _count()).alias("_place"))
+    .agg(_rows().alias("packages")).orderBy("_place")
     .select(numbers.label_at(F.col("_place"), fixed.VULNERABILITY_CATEGORIES).alias("category"), "packages"))
 
 query("t_3_sorted_groups", "SELECT rank, COUNT(*) AS packages FROM r GROUP BY rank")(
-    lambda t: t.risk.groupBy("rank").agg(_ROWS.alias("packages")).orderBy(F.col("packages").desc(), "rank"))
+    lambda t: t.risk.groupBy("rank").agg(_rows().alias("packages")).orderBy(F.col("packages").desc(), "rank"))
 
 query("t_4_top_by_score", """
 SELECT package_name, vulnerability_count, max_severity_score, stars, risk_score FROM sc

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
+from hazardlens import schemas
 from hazardlens.functions.dates import utc, write_iso
 from hazardlens.functions.severity import is_high
 from hazardlens.plans.risk import risk_scores, risk_summary, with_dependencies
@@ -25,7 +26,7 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(schemas.GIVEN[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @property
     def as_of(self) -> Column:
@@ -43,26 +44,17 @@ class Tables:
     @cached_property
     def flat(self) -> DataFrame:
         """Flat vulnerability rows."""
-        priority = F.col("o_orderpriority")
-        tenth = F.col("o_orderkey") % 10 == 0
-        kind = (F.when(priority == "1-URGENT", "CRITICAL").when(priority == "2-HIGH", "HIGH")
-                .when(priority == "3-MEDIUM", "MEDIUM").when(priority == "5-LOW", "LOW")
-                .when(tenth, "MALWARE").otherwise("UNKNOWN"))
-        score = (F.when(priority == "1-URGENT", 9.5).when(priority == "2-HIGH", 8.0)
-                 .when(priority == "3-MEDIUM", 5.5).when(priority == "5-LOW", 2.5)
-                 .when(tenth, 10.0)).cast("double")
-        return self.reports.select(
-            F.concat(F.lit("OSV-"), F.col("o_orderkey")).alias("osv_id"),
-            F.lower("c_name").alias("package_name"),
-            F.lit(fixed.ECOSYSTEM).alias("ecosystem"),
-            F.col("o_orderdate").alias("published"),
-            (F.col("o_orderdate") + F.make_dt_interval(F.col("o_orderkey") % 30)).alias("modified"),
-            kind.alias("severity_type"),
-            score.alias("severity_score"),
-            is_high(score).alias("is_high_severity"),
-            (kind == "MALWARE").alias("is_malware"),
-            F.col("o_orderkey").alias("seq"),
-        )
+        rated = self.reports.selectExpr(
+            "o_orderkey AS seq", "o_orderdate AS published", "lower(c_name) AS package_name",
+            """CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM'
+               WHEN '5-LOW' THEN 'LOW' ELSE if(o_orderkey % 10 = 0, 'MALWARE', 'UNKNOWN') END AS severity_type""",
+            """CASE o_orderpriority WHEN '1-URGENT' THEN 9.5D WHEN '2-HIGH' THEN 8.0D WHEN '3-MEDIUM' THEN 5.5D
+               WHEN '5-LOW' THEN 2.5D ELSE if(o_orderkey % 10 = 0, 10.0D, NULL) END AS severity_score""")
+        return rated.select(
+            F.expr("concat('OSV-', seq) AS osv_id"), "package_name", F.lit(fixed.ECOSYSTEM).alias("ecosystem"),
+            "published", F.expr("published + make_dt_interval(seq % 30) AS modified"), "severity_type", "severity_score",
+            is_high(F.col("severity_score")).alias("is_high_severity"),
+            F.expr("severity_type = 'MALWARE' AS is_malware"), "seq")
 
     @cached_property
     def activity(self) -> DataFrame:
@@ -80,36 +72,22 @@ class Tables:
     @cached_property
     def projects(self) -> DataFrame:
         """Project metadata, one row per customer that has a project."""
-        balance = F.col("c_acctbal")
-        stars = F.when(balance < 0, F.lit(None)).when(balance < 300, F.lit(0)).otherwise(
-            F.floor(balance * balance / 2000)).cast("long")
-        key = F.col("c_custkey")
-        segment = F.col("c_mktsegment")
-        status = (F.when(segment == "FURNITURE", "Unmaintained").when(segment == "BUILDING", "Active")
-                  .when(segment == "AUTOMOBILE", "Help Wanted").when(segment == "HOUSEHOLD", "Deprecated"))
-        customers = self.given("customer").where(key % 7 != 3)
-        joined = customers.join(self.activity, customers["c_custkey"] == F.col("o_custkey"), "left")
-        return joined.select(
-            F.col("c_name").alias("package_name"),
-            F.lit(fixed.ECOSYSTEM).alias("platform"),
-            F.concat(F.lit('package "'), F.col("c_name"), F.lit('", '), F.lower(segment)).alias("description"),
-            F.when(key % 3 == 0, "JavaScript").when(key % 3 == 1, "TypeScript").alias("language"),
-            stars.alias("stars"),
-            F.floor(stars / 4).alias("forks"),
-            (F.col("n_orders") * 3).alias("contributions_count"),
-            F.col("n_lines").alias("dependent_repos_count"),
-            F.col("quantity").alias("dependents_count"),
-            F.col("c_nationkey").cast("long").alias("rank"),
-            status.alias("repository_status"),
-            F.when(key % 5 != 0, F.concat(F.lit("https://example.org/"), F.lower("c_name"))).alias("repository_url"),
-            F.when(key % 2 == 0, "MIT").otherwise("Apache-2.0").alias("licenses"),
-            F.when(key % 2 == 0, "MIT;ISC").otherwise("Apache-2.0").alias("normalized_licenses"),
-            F.when(key % 11 != 0, F.concat_ws(".", (key % 9).cast("string"), (key % 13).cast("string"), F.lit("0")))
-            .alias("latest_release_number"),
-            F.col("last_order").alias("latest_release_published_at"),
-            F.col("n_orders").alias("versions_count"),
-            key.alias("seq"),
-        )
+        customers = self.given("customer").where("c_custkey % 7 <> 3").selectExpr(
+            "*", "CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 300 THEN 0L "
+                 "ELSE floor(c_acctbal * c_acctbal / 2000) END AS stars")
+        return customers.join(self.activity, F.expr("c_custkey = o_custkey"), "left").selectExpr(
+            "c_name AS package_name", f"'{fixed.ECOSYSTEM}' AS platform",
+            """concat('package "', c_name, '", ', lower(c_mktsegment)) AS description""",
+            "CASE c_custkey % 3 WHEN 0 THEN 'JavaScript' WHEN 1 THEN 'TypeScript' END AS language",
+            "stars", "floor(stars / 4) AS forks", "n_orders * 3 AS contributions_count",
+            "n_lines AS dependent_repos_count", "quantity AS dependents_count", "CAST(c_nationkey AS BIGINT) AS rank",
+            """CASE c_mktsegment WHEN 'FURNITURE' THEN 'Unmaintained' WHEN 'BUILDING' THEN 'Active'
+               WHEN 'AUTOMOBILE' THEN 'Help Wanted' WHEN 'HOUSEHOLD' THEN 'Deprecated' END AS repository_status""",
+            "if(c_custkey % 5 <> 0, concat('https://example.org/', lower(c_name)), NULL) AS repository_url",
+            "if(c_custkey % 2 = 0, 'MIT', 'Apache-2.0') AS licenses",
+            "if(c_custkey % 2 = 0, 'MIT;ISC', 'Apache-2.0') AS normalized_licenses",
+            "if(c_custkey % 11 <> 0, concat(c_custkey % 9, '.', c_custkey % 13, '.0'), NULL) AS latest_release_number",
+            "last_order AS latest_release_published_at", "n_orders AS versions_count", "c_custkey AS seq")
 
     @cached_property
     def dependencies(self) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from hazardlens import fixed_values as fixed
 from hazardlens.operators.running import running_totals, unit_bucket
 
-_LABEL = F.col("label")
+
+def _label() -> Column:
+    return F.col("label")
 
 
 def with_prediction(scored: DataFrame, threshold: float) -> DataFrame:
@@ -23,7 +25,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def _cell(label: int, prediction: int) -> Column:
-    return F.count_if((_LABEL == label) & (F.col("prediction") == prediction))
+    return F.count_if((_label() == label) & (F.col("prediction") == prediction))
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
@@ -72,13 +74,13 @@ def class_report(predicted: DataFrame) -> DataFrame:
 def _score_totals(scored: DataFrame) -> DataFrame:
     """Positives and negatives at each distinct score and at or above it."""
     counted = scored.groupBy("score").agg(
-        F.sum(_LABEL).cast("long").alias("pos"), F.sum(1 - _LABEL).cast("long").alias("neg"))
+        F.sum(_label()).cast("long").alias("pos"), F.sum(1 - _label()).cast("long").alias("neg"))
     return running_totals(counted, "score", {"pos_above": "pos", "neg_above": "neg"},
                           unit_bucket(F.col("score")), descending=True)
 
 
 def _class_sizes(scored: DataFrame) -> tuple[Column, Column]:
-    sizes = scored.agg(F.sum(_LABEL).cast("double").alias("pos"), F.sum(1 - _LABEL).cast("double").alias("neg"))
+    sizes = scored.agg(F.sum(_label()).cast("double").alias("pos"), F.sum(1 - _label()).cast("double").alias("neg"))
     return sizes.select("pos").scalar(), sizes.select("neg").scalar()
 
 
@@ -110,7 +112,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     Computed from counts per distinct score, so no pair is ever formed.
     """
     negatives_below = F.col("all_neg") - F.col("neg_above") + F.col("neg") / 2
-    totals = _score_totals(scored).withColumn("all_neg", scored.agg(F.sum(1 - _LABEL)).scalar())
+    totals = _score_totals(scored).withColumn("all_neg", scored.agg(F.sum(1 - _label())).scalar())
     return totals.agg((F.sum(F.col("pos") * negatives_below) / F.nullif(
         F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
@@ -130,7 +132,7 @@ def threshold_table(scored: DataFrame, steps: int = fixed.THRESHOLD_STEPS) -> Da
     low, high = scored.agg(F.min("score")).scalar(), scored.agg(F.max("score")).scalar()
     reached = F.coalesce(_step(F.col("score"), low, high, steps), F.lit(0))
     counted = scored.groupBy("fold", reached.alias("step")).agg(
-        F.sum(_LABEL).cast("long").alias("pos"), F.sum(1 - _LABEL).cast("long").alias("neg"))
+        F.sum(_label()).cast("long").alias("pos"), F.sum(1 - _label()).cast("long").alias("neg"))
     folds = counted.select("fold").distinct()
     grid = folds.select("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("step"))
     filled = grid.join(counted, ["fold", "step"], "left").fillna(0, ["pos", "neg"])

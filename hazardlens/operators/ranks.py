@@ -21,16 +21,18 @@ def _with_bucket_ends(sizes: DataFrame, within: list[str], bucket: str) -> DataF
             .withColumn("_total", F.sum("_size").over(W.partitionBy(*within))))
 
 
-def exact_quantiles(rows: DataFrame, within: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def exact_quantiles(rows: DataFrame, within: list[str], value: str, shares: dict[str, float],
+                    copies: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles of a numeric column, NULLs left out.
 
     One row per group, one column per entry of ``shares``. Groups are few-valued, non-NULL labels;
-    without any the result is one row.
+    without any the result is one row. ``copies`` names a column that says how often a row counts.
     """
     keys = list(within) or ["_all"]
     source = rows if within else rows.withColumn("_all", F.lit(0))
+    rows_or_copies = F.sum(copies) if copies else F.count(F.lit(1))
     counted = (source.where(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+               .groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(rows_or_copies.alias("_n"))
                .withColumn("_bucket", magnitude_bucket(F.col("_value"))))
     sizes = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
     ends = _with_bucket_ends(sizes, keys, "_bucket")

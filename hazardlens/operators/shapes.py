@@ -54,15 +54,19 @@ def histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def box_statistics(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles, whiskers at 1.5 quartile ranges, mean, size and outlier count per group; NULLs left out."""
-    present = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("x"))
-    quartiles = exact_quantiles(present, [group], "x", QUARTILES)
+    """Quartiles, whiskers at 1.5 quartile ranges, mean, size and outlier count per group; NULLs left out.
+
+    Everything after the first step works on (group, value, count) rows.
+    """
+    counted = (rows.where(F.col(value).isNotNull())
+               .groupBy(group, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("copies")))
+    quartiles = exact_quantiles(counted, [group], "x", QUARTILES, "copies")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach)
     # One row of quartiles per label.
-    return present.join(F.broadcast(quartiles), group).groupBy(group).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"),
+    return counted.join(F.broadcast(quartiles), group).groupBy(group).agg(
+        F.sum("copies").alias("n"), (F.sum(F.col("x") * F.col("copies")) / F.sum("copies")).alias("mean"),
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"))
+        F.coalesce(F.sum(F.when(~inside, F.col("copies"))), F.lit(0)).alias("outliers"))

@@ -11,15 +11,21 @@ from hazardlens.functions.numbers import bin_ordinal, flag, label_at, labels_of,
 from hazardlens.operators import shapes
 from hazardlens.operators.ranks import exact_quantiles
 
-_HIGH = F.col("has_high_severity_vulnerability")
-_ROWS = F.count(F.lit(1))
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def _high() -> Column:
+    return F.col("has_high_severity_vulnerability")
+
 _TEXT_COLUMNS = ["package_name", "ecosystem", "repository_status", "latest_release_published_at"]
 describe = shapes.describe
 
 
 def missing(risk: DataFrame) -> DataFrame:
     """Columns with missing values, most first, with count and percent."""
-    tallies = risk.agg(_ROWS.alias("_rows"), *[F.count_if(F.col(name).isNull()).alias(name) for name in risk.columns])
+    tallies = risk.agg(_rows().alias("_rows"), *[F.count_if(F.col(name).isNull()).alias(name) for name in risk.columns])
     lines = tallies.unpivot(["_rows"], risk.columns, "column_name", "missing_count").where("missing_count > 0")
     return lines.orderBy(F.col("missing_count").desc(), "column_name").select(
         "column_name", "missing_count", percent(F.col("missing_count"), F.col("_rows")).alias("missing_percent"))
@@ -29,7 +35,7 @@ def missing_totals(risk: DataFrame) -> DataFrame:
     nulls = F.lit(0).cast("long")
     for name in risk.columns:
         nulls = nulls + F.count_if(F.col(name).isNull())
-    return risk.agg(nulls.alias("missing_cells"), (_ROWS * len(risk.columns)).alias("total_cells"))
+    return risk.agg(nulls.alias("missing_cells"), (_rows() * len(risk.columns)).alias("total_cells"))
 
 
 def text_value_counts(risk: DataFrame) -> DataFrame:
@@ -38,7 +44,7 @@ def text_value_counts(risk: DataFrame) -> DataFrame:
 
 
 def _counts_of(risk: DataFrame, column: str, name: str) -> DataFrame:
-    return (risk.groupBy(F.col(column).alias(name)).agg(_ROWS.alias("packages"))
+    return (risk.groupBy(F.col(column).alias(name)).agg(_rows().alias("packages"))
             .withColumn("percentage", percent(F.col("packages"), shapes.row_total(risk), 1)))
 
 
@@ -60,7 +66,7 @@ def days_histogram(risk: DataFrame) -> DataFrame:
 
 
 def _high_label() -> Column:
-    return F.when(_HIGH, F.lit(fixed.HIGH_STATUS)).otherwise(F.lit("Non-Vulnerable"))
+    return F.when(_high(), F.lit(fixed.HIGH_STATUS)).otherwise(F.lit("Non-Vulnerable"))
 
 
 def stars_box(risk: DataFrame) -> DataFrame:
@@ -87,13 +93,13 @@ def stars_and_dependencies(risk: DataFrame) -> DataFrame:
 
 def stars_dependencies_correlation(risk: DataFrame) -> DataFrame:
     return stars_and_dependencies(risk).agg(
-        F.round(F.corr("stars", "runtime_dependencies_count"), 3).alias("correlation"), _ROWS.alias("points"))
+        F.round(F.corr("stars", "runtime_dependencies_count"), 3).alias("correlation"), _rows().alias("points"))
 
 
 def high_rate_by_stars(risk: DataFrame) -> DataFrame:
     """Percent of packages with a high severity per stars bin; bins nobody is in are left out."""
     place = bin_ordinal(F.coalesce("stars", F.lit(0)), fixed.STAR_BINS)
-    return (risk.groupBy(place.alias("_place")).agg((F.avg(flag(_HIGH)) * 100).alias("high_rate")).orderBy("_place")
+    return (risk.groupBy(place.alias("_place")).agg((F.avg(flag(_high())) * 100).alias("high_rate")).orderBy("_place")
             .select(label_at(F.col("_place"), labels_of(fixed.STAR_BINS)).alias("stars_bucket"), "high_rate"))
 
 

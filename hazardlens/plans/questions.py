@@ -10,13 +10,21 @@ from hazardlens import fixed_values as fixed
 from hazardlens.functions import labels
 from hazardlens.functions.numbers import (count_if, label_at, labels_of, percent, positive, range_ordinal)
 
-_HIGH = F.col("has_high_severity_vulnerability")
-_COUNT = F.col("vulnerability_count")
-_ROWS = F.count(F.lit(1))
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def _high() -> Column:
+    return F.col("has_high_severity_vulnerability")
+
+
+def _count() -> Column:
+    return F.col("vulnerability_count")
 
 
 def _vulnerable() -> Column:
-    return count_if(_COUNT > 0)
+    return count_if(_count() > 0)
 
 
 def _mean(value: Column, digits: int) -> Column:
@@ -30,12 +38,12 @@ def _share_of_groups(size: str) -> Column:
 
 def dataset_totals(risk: DataFrame) -> DataFrame:
     return risk.agg(
-        _ROWS.alias("total_packages"),
+        _rows().alias("total_packages"),
         _vulnerable().alias("vulnerable_packages"),
-        count_if((_COUNT == 0) | _COUNT.isNull()).alias("non_vulnerable_packages"),
-        percent(_vulnerable(), _ROWS).alias("vulnerability_percentage"),
-        count_if(_HIGH).alias("packages_with_high_severity"),
-        percent(count_if(_HIGH), _ROWS).alias("high_severity_percentage"),
+        count_if((_count() == 0) | _count().isNull()).alias("non_vulnerable_packages"),
+        percent(_vulnerable(), _rows()).alias("vulnerability_percentage"),
+        count_if(_high()).alias("packages_with_high_severity"),
+        percent(count_if(_high()), _rows()).alias("high_severity_percentage"),
     )
 
 
@@ -43,8 +51,8 @@ def _spread_by_status(risk: DataFrame, column: str, names: tuple[str, str, str,
     """Mean, extremes and deviation per high-severity flag; the NULL flag is a group of its own."""
     mean, low, high, deviation = names
     value = F.col(column)
-    grouped = risk.where(value > 0).groupBy(_HIGH.alias("_high")).agg(
-        _ROWS.alias("package_count"), _mean(value, 2).alias(mean), F.min(value).alias(low),
+    grouped = risk.where(value > 0).groupBy(_high().alias("_high")).agg(
+        _rows().alias("package_count"), _mean(value, 2).alias(mean), F.min(value).alias(low),
         F.max(value).alias(high), F.round(F.stddev_samp(value), 2).alias(deviation))
     return (grouped.withColumn("vulnerability_status", labels.vulnerability_status(F.col("_high")))
             .orderBy(F.col("vulnerability_status").desc())
@@ -61,19 +69,19 @@ def dependencies_by_status(risk: DataFrame) -> DataFrame:
 
 
 def top_by_vulnerability_count(risk: DataFrame) -> DataFrame:
-    best = risk.where(_COUNT > 0).orderBy(
-        _COUNT.desc_nulls_first(), F.col("high_severity_count").desc_nulls_first(),
+    best = risk.where(_count() > 0).orderBy(
+        _count().desc_nulls_first(), F.col("high_severity_count").desc_nulls_first(),
         F.col("max_severity_score").desc_nulls_first(), "package_name").limit(fixed.TOP_BY_COUNT)
     return best.select(
         "package_name", "ecosystem", "vulnerability_count", "high_severity_count", "max_severity_score", "stars",
         "forks", "dependents_count", "is_unmaintained", "days_since_last_release",
-        labels.risk_category(_HIGH, _COUNT).alias("risk_category"))
+        labels.risk_category(_high(), _count()).alias("risk_category"))
 
 
 def repository_status_distribution(risk: DataFrame) -> DataFrame:
     grouped = risk.groupBy("repository_status").agg(
-        _ROWS.alias("package_count"), _vulnerable().alias("vulnerable_packages"),
-        percent(_vulnerable(), _ROWS).alias("vulnerability_rate"),
+        _rows().alias("package_count"), _vulnerable().alias("vulnerable_packages"),
+        percent(_vulnerable(), _rows()).alias("vulnerability_rate"),
         _mean(positive(F.col("stars")), 2).alias("avg_stars"),
         _mean(F.col("days_since_last_release"), 1).alias("avg_days_since_release"))
     return (grouped.withColumn("percentage_of_total", _share_of_groups("package_count"))
@@ -86,8 +94,8 @@ def release_recency(risk: DataFrame) -> DataFrame:
     days = F.col("days_since_last_release")
     known = F.when(days >= 0, days)
     grouped = (risk.where(days.isNotNull())
-               .groupBy(labels.vulnerability_category_ordinal(_HIGH, _COUNT).alias("_place")).agg(
-        _ROWS.alias("package_count"), _mean(known, 1).alias("avg_days_since_release"),
+               .groupBy(labels.vulnerability_category_ordinal(_high(), _count()).alias("_place")).agg(
+        _rows().alias("package_count"), _mean(known, 1).alias("avg_days_since_release"),
         F.min(known).alias("min_days"), F.max(known).alias("max_days"),
         F.round(F.stddev_samp(known), 1).alias("stddev_days")))
     return grouped.orderBy("_place").select(
@@ -98,7 +106,7 @@ def release_recency(risk: DataFrame) -> DataFrame:
 def top_by_severity(risk: DataFrame) -> DataFrame:
     score = F.col("max_severity_score")
     best = risk.where(score > 0).orderBy(
-        score.desc_nulls_first(), _COUNT.desc_nulls_first(), "package_name").limit(fixed.TOP_BY_SEVERITY)
+        score.desc_nulls_first(), _count().desc_nulls_first(), "package_name").limit(fixed.TOP_BY_SEVERITY)
     return best.select(
         "package_name", "ecosystem", "max_severity_score", "vulnerability_count", "high_severity_count", "stars",
         "dependents_count", "is_unmaintained", "repository_status", "days_since_last_release",
@@ -109,10 +117,10 @@ def _bucket_report(risk: DataFrame, column: str, buckets: list[tuple[str, int |
                    last: Column) -> DataFrame:
     """Vulnerability statistics per bucket of a count column, in bucket order."""
     grouped = risk.groupBy(range_ordinal(F.col(column), buckets).alias("_place")).agg(
-        _ROWS.alias("package_count"),
-        _mean(positive(_COUNT), 2).alias("avg_vulnerabilities"),
+        _rows().alias("package_count"),
+        _mean(positive(_count()), 2).alias("avg_vulnerabilities"),
         _vulnerable().alias("vulnerable_packages"),
-        percent(_vulnerable(), _ROWS).alias("vulnerability_rate"),
+        percent(_vulnerable(), _rows()).alias("vulnerability_rate"),
         _mean(positive(F.col("high_severity_count")), 2).alias("avg_high_severity"),
         last)
     return (grouped.withColumn("percentage", _share_of_groups("package_count")).orderBy("_place")
@@ -137,9 +145,9 @@ def statistics_by_dependencies(risk: DataFrame) -> DataFrame:
 def top_unmaintained(risk: DataFrame) -> DataFrame:
     """The share is of all selected packages, not of the listed ones, so the sum is a query of its own."""
     dependents = F.col("dependents_count")
-    selected = risk.where(F.col("is_unmaintained") & (_COUNT > 0))
+    selected = risk.where(F.col("is_unmaintained") & (_count() > 0))
     all_dependents = selected.agg(F.sum(dependents)).scalar()
-    place = labels.risk_assessment_ordinal(_HIGH, _COUNT, dependents)
+    place = labels.risk_assessment_ordinal(_high(), _count(), dependents)
     best = selected.withColumn("_place", place).orderBy(
         "_place", dependents.desc_nulls_first(), F.col("high_severity_count").desc_nulls_first(),
         F.col("max_severity_score").desc_nulls_first(), "package_name").limit(fixed.TOP_UNMAINTAINED)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
@@ -47,7 +47,7 @@ def _clean(flat: DataFrame) -> DataFrame:
 
 def one_row_per_id(flat: DataFrame) -> DataFrame:
     """First row per package and id, by ``seq``. Grouping by the id as well spreads a hot package."""
-    def first(column: str) -> F.Column:
+    def first(column: str) -> Column:
         return F.min_by(column, "seq").alias(column)
     return _clean(flat).groupBy("package_name", "ecosystem", "osv_id").agg(
         first("is_high_severity"), first("severity_score"), first("published"))
@@ -85,7 +85,7 @@ def id_lists(flat: DataFrame, ids_per_part: int = INLINE_IDS) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("osv_id")), "|").alias("osv_ids"))
 
 
-def _summarize(rows: DataFrame, *more: F.Column) -> DataFrame:
+def _summarize(rows: DataFrame, *more: Column) -> DataFrame:
     known = F.col("osv_id") != ""
     high = known & F.coalesce("is_high_severity", F.lit(False))
     return rows.groupBy("package_name", "ecosystem").agg(

@@ -33,18 +33,18 @@ def read_by_header(spark: SparkSession, path: str, line_breaks: bool = True) ->
     return cells.toDF(*[column.strip().lower() for column in cells.columns])
 
 
-def typed(cells: DataFrame, schema: StructType) -> DataFrame:
+def typed(cells: DataFrame, schema: str) -> DataFrame:
     """Text cells to the declared types; what cannot be read becomes NULL."""
     def convert(name: str, kind) -> Column:
         text = null_if_blank(F.col(name))
         if isinstance(kind, TimestampNTZType):
             return read_iso(text)
         return text if isinstance(kind, StringType) else text.try_cast(kind)
-    return cells.select(*[convert(field.name, field.dataType).alias(field.name) for field in schema.fields])
+    return cells.select(*[convert(field.name, field.dataType).alias(field.name) for field in StructType.fromDDL(schema).fields])
 
 
-def read_typed(spark: SparkSession, path: str, schema: StructType, line_breaks: bool = True) -> DataFrame:
-    return typed(read_cells(spark, path, schema.names, line_breaks), schema)
+def read_typed(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
+    return typed(read_cells(spark, path, StructType.fromDDL(schema).names, line_breaks), schema)
 
 
 def as_cells(rows: DataFrame, columns: list[str]) -> DataFrame:

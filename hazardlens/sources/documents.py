@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 _BAD = "_corrupt_record"
 
 
-def _with_bad(schema: StructType) -> StructType:
-    return StructType(list(schema.fields)).add(_BAD, "string")
+def _with_bad(schema: str) -> str:
+    return f"{schema}, {_BAD} string"
 
 
-def read_folder(spark: SparkSession, path: str, schema: StructType, one_per_file: bool = True,
+def read_folder(spark: SparkSession, path: str, schema: str, one_per_file: bool = True,
                 pattern: str = "*.json") -> DataFrame:
     """Documents of a folder with an extra ``_corrupt_record`` column for the unreadable ones.
 
@@ -24,12 +23,12 @@ def read_folder(spark: SparkSession, path: str, schema: StructType, one_per_file
             .option("pathGlobFilter", pattern).json(path))
 
 
-def parsed(text: Column, schema: StructType) -> Column:
+def parsed(text: Column, schema: str) -> Column:
     """The document as a struct, with the text kept in ``_corrupt_record`` when it is not JSON."""
     return F.from_json(text, _with_bad(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
 
 
-def parse_column(rows: DataFrame, text: str, schema: StructType) -> DataFrame:
+def parse_column(rows: DataFrame, text: str, schema: str) -> DataFrame:
     """Replace a text column by the fields of its document and ``_corrupt_record``."""
     others = [name for name in rows.columns if name != text]
     return rows.withColumn("_document", parsed(F.col(text), schema)).select(*others, "_document.*")

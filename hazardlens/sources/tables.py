@@ -25,7 +25,7 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The table, or no rows of its schema when the folder is not there."""
     if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from hazardlens import fixed_values as fixed
 from hazardlens import schemas
 from hazardlens.operators.keys import exclude_known
 from hazardlens.plans.vulnerabilities import flatten
@@ -29,7 +29,7 @@ def take_in(spark: SparkSession, documents: str, table: str, checkpoint: str, fi
         earlier = stored_rows(batch.sparkSession, table)
         if earlier is not None:
             rows = exclude_known(rows, earlier.where(F.col("batch") < number), ["osv_id"])
-        rows.select(*schemas.VULNERABILITIES.names).write.mode("overwrite").parquet(
+        rows.select(*fixed.FLAT_COLUMNS).write.mode("overwrite").parquet(
             f"{table}/batch={number}")
 
     (arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -40,4 +40,4 @@ def stored_rows(spark: SparkSession, table: str) -> DataFrame | None:
     """All rows taken in so far with the number of their batch, None before the first batch."""
     if not path_exists(spark, table):
         return None
-    return spark.read.schema(StructType(list(schemas.VULNERABILITIES.fields)).add("batch", "long")).parquet(table)
+    return spark.read.schema(f"{schemas.VULNERABILITIES}, batch bigint").parquet(table)
