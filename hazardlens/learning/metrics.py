@@ -72,32 +72,26 @@ def class_report(predicted: DataFrame) -> DataFrame:
 
 
 def _score_totals(scored: DataFrame) -> DataFrame:
-    """Positives and negatives at each distinct score and at or above it."""
+    """Positives and negatives at each distinct score, at or above it, and in all."""
     counted = scored.groupBy("score").agg(
         F.sum(_label()).cast("long").alias("pos"), F.sum(1 - _label()).cast("long").alias("neg"))
-    return running_totals(counted, "score", {"pos_above": "pos", "neg_above": "neg"},
-                          unit_bucket(F.col("score")), descending=True)
-
-
-def _class_sizes(scored: DataFrame) -> tuple[Column, Column]:
-    sizes = scored.agg(F.sum(_label()).cast("double").alias("pos"), F.sum(1 - _label()).cast("double").alias("neg"))
-    return sizes.select("pos").scalar(), sizes.select("neg").scalar()
+    return running_totals(
+        counted, "score", {"pos_above": "pos", "neg_above": "neg"}, unit_bucket(F.col("score")), descending=True,
+        wholes={"all_pos": "pos", "all_neg": "neg"})
 
 
 def roc_points(scored: DataFrame) -> DataFrame:
     """True and false positive rate at each distinct score used as threshold."""
-    positives, negatives = _class_sizes(scored)
     return _score_totals(scored).select(
-        F.col("score").alias("threshold"), (F.col("pos_above") / positives).alias("tpr"),
-        (F.col("neg_above") / negatives).alias("fpr"))
+        F.col("score").alias("threshold"), (F.col("pos_above") / F.col("all_pos")).alias("tpr"),
+        (F.col("neg_above") / F.col("all_neg")).alias("fpr"))
 
 
 def precision_recall_points(scored: DataFrame) -> DataFrame:
-    positives, _ = _class_sizes(scored)
     return _score_totals(scored).select(
         F.col("score").alias("threshold"),
         (F.col("pos_above") / (F.col("pos_above") + F.col("neg_above"))).alias("precision"),
-        (F.col("pos_above") / positives).alias("recall"))
+        (F.col("pos_above") / F.col("all_pos")).alias("recall"))
 
 
 def threshold_point(scored: DataFrame, threshold: float) -> DataFrame:
@@ -112,8 +106,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     Computed from counts per distinct score, so no pair is ever formed.
     """
     negatives_below = F.col("all_neg") - F.col("neg_above") + F.col("neg") / 2
-    totals = _score_totals(scored).withColumn("all_neg", scored.agg(F.sum(1 - _label())).scalar())
-    return totals.agg((F.sum(F.col("pos") * negatives_below) / F.nullif(
+    return _score_totals(scored).agg((F.sum(F.col("pos") * negatives_below) / F.nullif(
         F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 
@@ -129,7 +122,8 @@ def threshold_table(scored: DataFrame, steps: int = fixed.THRESHOLD_STEPS) -> Da
     Rows are counted per fold and grid step; sums over later steps then give what each threshold
     selects. The work does not grow with the number of thresholds.
     """
-    low, high = scored.agg(F.min("score")).scalar(), scored.agg(F.max("score")).scalar()
+    edges = scored.agg(F.struct(F.min("score").alias("low"), F.max("score").alias("high"))).scalar()
+    low, high = edges["low"], edges["high"]
     reached = F.coalesce(_step(F.col("score"), low, high, steps), F.lit(0))
     counted = scored.groupBy("fold", reached.alias("step")).agg(
         F.sum(_label()).cast("long").alias("pos"), F.sum(1 - _label()).cast("long").alias("neg"))

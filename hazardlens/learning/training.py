@@ -51,8 +51,12 @@ class Trained:
 
 
 def training_table(risk: DataFrame) -> DataFrame:
-    """Features with part and fold, written once: every fit reads this table and not the jobs behind it."""
-    return written(with_fold(split(feature_table(risk))), "training")
+    """Features with part and fold, written once: every fit reads this table and not the jobs behind it.
+
+    The features are written ahead of the split as well, because the split reads them three times.
+    """
+    features = written(feature_table(risk), "features")
+    return written(with_fold(split(features)), "training")
 
 
 def fit(name: str, train: DataFrame, preparation: Preparation) -> PipelineModel:

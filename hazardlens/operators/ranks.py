@@ -1,8 +1,8 @@
 """Exact order statistics of large groups: quantiles, and the cut-off of a smallest-k selection.
 
-Both find the bucket that holds the wanted rank from bucket counts, then order only that bucket.
-Repeated values are folded into (value, count) first, so a value held by a third of all rows costs
-one row.
+Both find the bucket that holds the wanted rank from bucket counts, then order only that bucket (for
+quantiles: only one part of it). Repeated values are folded into (value, count) first, so a value held
+by a third of all rows costs one row.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hazardlens.operators.running import magnitude_bucket
+from hazardlens.operators.running import magnitude_bucket, part_count, part_of
 
 
 def _with_bucket_ends(sizes: DataFrame, within: list[str], bucket: str) -> DataFrame:
@@ -34,7 +34,9 @@ def exact_quantiles(rows: DataFrame, within: list[str], value: str, shares: dict
     counted = (source.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(rows_or_copies.alias("_n"))
                .withColumn("_bucket", magnitude_bucket(F.col("_value"))))
-    sizes = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    sizes = counted.groupBy(*keys, "_bucket").agg(
+        F.sum("_n").alias("_size"), F.min("_value").alias("_low"), F.max("_value").alias("_high"),
+        part_count().alias("_parts"))
     ends = _with_bucket_ends(sizes, keys, "_bucket")
 
     def rank(share: float, upper: bool) -> Column:
@@ -44,13 +46,21 @@ def exact_quantiles(rows: DataFrame, within: list[str], value: str, shares: dict
     asked = F.array(*[
         F.struct(F.lit(f"{name}{'+' if upper else '-'}").alias("slot"), rank(share, upper).alias("rank"))
         for name, share in shares.items() for upper in (False, True)])
-    # At most two rows per group and quantile, so this side is always small.
-    wanted = (ends.select(*keys, "_bucket", "_end", "_size", "_total", F.inline(asked))
-              .where((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_size"))))
-    inside = (W.partitionBy(*keys, "slot").orderBy("_value")
-              .rowsBetween(W.unboundedPreceding, W.currentRow))
-    found = (counted.join(F.broadcast(wanted), [*keys, "_bucket"])
-             .withColumn("_after", F.col("_end") - F.col("_size") + F.sum("_n").over(inside))
+    holds_rank = (F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_size"))
+    # At most two rows per group and quantile, so this side and the next one are always small.
+    buckets = ends.select("*", F.inline(asked)).where(holds_rank).select(
+        *keys, "_bucket", "slot", "rank", "_total", "_low", "_high", "_parts",
+        (F.col("_end") - F.col("_size")).alias("_before"))
+    part = part_of(F.col("_value"), F.col("_low"), F.col("_high"), F.col("_parts"))
+    inside = counted.join(F.broadcast(buckets), [*keys, "_bucket"]).withColumn("_part", part)
+    part_sizes = inside.groupBy(*keys, "slot", "_part").agg(
+        F.sum("_n").alias("_size"), F.first("rank").alias("rank"), F.first("_before").alias("_before"))
+    upto = W.partitionBy(*keys, "slot").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = (part_sizes.withColumn("_end", F.col("_before") + F.sum("_size").over(upto)).where(holds_rank)
+             .select(*keys, "slot", "_part", (F.col("_end") - F.col("_size")).alias("_start")))
+    in_part = W.partitionBy(*keys, "slot").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = (inside.join(F.broadcast(parts), [*keys, "slot", "_part"])
+             .withColumn("_after", F.col("_start") + F.sum("_n").over(in_part))
              .where((F.col("rank") < F.col("_after")) & (F.col("rank") >= F.col("_after") - F.col("_n"))))
 
     def slot(name: str) -> Column:

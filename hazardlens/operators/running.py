@@ -1,9 +1,10 @@
 """Running totals over a global order without a one-partition window.
 
-Rows are put in order-preserving buckets. Bucket totals are summed first (one row per bucket), a
-window over those few rows gives each bucket its starting value, and a second window adds up inside
-each bucket. Callers bound the number of buckets, so the table of starting values is small enough to
-broadcast whatever the number of rows.
+Rows are put in order-preserving buckets. A bucket that holds many rows is cut into parts between its
+own smallest and largest value. Totals are summed per part first, a window over those few lines gives
+each part its starting value, and a second window adds up inside each part. The number of buckets is
+bounded by the caller and the number of parts by one per PART_ROWS rows, so the tables of sizes and
+starting values stay small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 65_536
+PART_ROWS = 1_000_000
 _STEPS_PER_DOUBLING = 512
 
 
@@ -30,35 +32,61 @@ def magnitude_bucket(value: Column) -> Column:
 
 def even_bucket(rows: DataFrame, column: str) -> Column:
     """Equal-width buckets between the smallest and largest value of a whole-number column."""
-    edges = rows.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    low = edges.select("low").scalar()
-    width = edges.select(F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / MAX_BUCKETS))).scalar()
-    return F.floor((F.col(column) - low) / width).cast("long")
+    width = F.greatest(F.lit(1), F.ceil((F.max(column) - F.min(column) + 1) / MAX_BUCKETS))
+    edges = rows.agg(F.struct(F.min(column).alias("low"), width.alias("width"))).scalar()
+    return F.floor((F.col(column) - edges["low"]) / edges["width"]).cast("long")
+
+
+def part_count() -> Column:
+    """Number of parts of a group of rows, as an aggregate."""
+    return F.ceil(F.count(F.lit(1)) / PART_ROWS)
+
+
+def part_of(value: Column, low: Column, high: Column, parts: Column) -> Column:
+    """Order-preserving part number of a value between the smallest and largest of its bucket."""
+    reach = F.coalesce((value - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    return F.least(F.floor(reach * parts), parts - 1).cast("long")
+
+
+def _with_parts(tagged: DataFrame, within: tuple[str, ...], order_by: str) -> DataFrame:
+    value = F.col(order_by).cast("double")
+    sizes = tagged.groupBy(*within, "_bucket").agg(
+        F.min(value).alias("_low"), F.max(value).alias("_high"), part_count().alias("_parts"))
+    part = part_of(value, F.col("_low"), F.col("_high"), F.col("_parts")).alias("_part")
+    return tagged.join(F.broadcast(sizes), [*within, "_bucket"]).select(*tagged.columns, part)
 
 
 def running_totals(rows: DataFrame, order_by: str, totals: dict[str, str], bucket: Column,
-                   within: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+                   within: tuple[str, ...] = (), descending: bool = False,
+                   wholes: dict[str, str] | None = None) -> DataFrame:
     """Add, for each ``new name: column``, the sum of the column up to and including the row.
 
     ``order_by`` must be unique inside ``within`` and ``bucket`` must not decrease with it; the
-    ``within`` columns must be few-valued labels and must not be NULL.
+    ``within`` columns must be few-valued labels and must not be NULL. ``wholes`` adds, under a new
+    name, the sum over all rows of a column of ``totals``.
     """
+    wholes = wholes or {}
+
     def ordered(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    tagged = rows.withColumn("_bucket", bucket)
-    sums = [F.sum(source).alias(f"_sum_{name}") for name, source in totals.items()]
-    before = (W.partitionBy(*within, F.lit(0)).orderBy(ordered("_bucket"))
-              .rowsBetween(W.unboundedPreceding, -1))
-    starts = tagged.groupBy(*within, "_bucket").agg(*sums).select(
-        *within, "_bucket",
-        *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_start_{name}") for name in totals])
-    inside = (W.partitionBy(*within, "_bucket").orderBy(ordered(order_by))
+    tagged = _with_parts(rows.withColumn("_bucket", bucket), within, order_by)
+    place = ["_bucket", "_part"]
+    sums = [F.sum(source).alias(f"_sum_{source}") for source in totals.values()]
+    everything = W.partitionBy(*within, F.lit(0))
+    before = everything.orderBy(*map(ordered, place)).rowsBetween(W.unboundedPreceding, -1)
+    starts = tagged.groupBy(*within, *place).agg(*sums).select(
+        *within, *place,
+        *[F.coalesce(F.sum(f"_sum_{source}").over(before), F.lit(0)).alias(f"_start_{name}")
+          for name, source in totals.items()],
+        *[F.sum(f"_sum_{source}").over(everything).alias(name) for name, source in wholes.items()])
+    inside = (W.partitionBy(*within, *place).orderBy(ordered(order_by))
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    joined = tagged.join(F.broadcast(starts), [*within, "_bucket"])
+    joined = tagged.join(F.broadcast(starts), [*within, *place])
     return joined.select(
         *[F.col(column) for column in rows.columns],
-        *[(F.col(f"_start_{name}") + F.sum(source).over(inside)).alias(name) for name, source in totals.items()])
+        *[(F.col(f"_start_{name}") + F.sum(source).over(inside)).alias(name) for name, source in totals.items()],
+        *wholes)
 
 
 def numbered(rows: DataFrame, order_by: str, name: str = "position") -> DataFrame:

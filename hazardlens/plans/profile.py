@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
 from hazardlens.functions.dates import write_iso
 from hazardlens.functions.numbers import bin_ordinal, flag, label_at, labels_of, percent
 from hazardlens.operators import shapes
-from hazardlens.operators.ranks import exact_quantiles
 
 
 def _rows() -> Column:
@@ -44,8 +44,10 @@ def text_value_counts(risk: DataFrame) -> DataFrame:
 
 
 def _counts_of(risk: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows per label with percent; the window sees one row per label."""
+    whole = F.sum("packages").over(W.partitionBy(F.lit(0)))
     return (risk.groupBy(F.col(column).alias(name)).agg(_rows().alias("packages"))
-            .withColumn("percentage", percent(F.col("packages"), shapes.row_total(risk), 1)))
+            .withColumn("percentage", percent(F.col("packages"), whole, 1)))
 
 
 def class_distribution(risk: DataFrame) -> DataFrame:
@@ -59,10 +61,7 @@ def status_counts(risk: DataFrame) -> DataFrame:
 
 def days_histogram(risk: DataFrame) -> DataFrame:
     """50 bins of days since the last release, with mean and median beside each bin."""
-    days = "days_since_last_release"
-    median = exact_quantiles(risk, [], days, {"median": 0.5}).scalar()
-    mean = risk.agg(F.avg(days)).scalar()
-    return shapes.histogram(risk, days, fixed.HISTOGRAM_BINS).withColumns({"mean": mean, "median": median})
+    return shapes.histogram(risk, "days_since_last_release", fixed.HISTOGRAM_BINS)
 
 
 def _high_label() -> Column:

@@ -43,6 +43,7 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark, small):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     plan = queries()["w_2_last_row_per_key"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan and "GreaterThanOrEqual(o_orderdate" in plan
     assert "o_totalprice" not in plan and "c_acctbal" not in plan

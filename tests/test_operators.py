@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hazardlens.operators import running
 from hazardlens.operators.keys import exclude_known, first_per_key, last_per_key, null_counts, repeated_keys
 from hazardlens.operators.ranks import exact_quantiles, smallest_share_cut
 from hazardlens.operators.running import even_bucket, magnitude_bucket, numbered, running_totals, unit_bucket
@@ -29,6 +30,15 @@ def test_quantiles_agree_with_numpy(spark, kind):
     assert [found[name] for name in shares] == pytest.approx([np.quantile(values, share) for share in shares.values()])
 
 
+def test_quantiles_of_one_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(running, "PART_ROWS", 50)
+    draw = random.Random(8)
+    values = [1 + draw.random() * 1e-6 for _ in range(2000)] + [1e9]
+    frame = spark.createDataFrame([(value,) for value in values], "x double")
+    found = exact_quantiles(frame, [], "x", QUARTILES).first()
+    assert [found[name] for name in QUARTILES] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])), rel=1e-15)
+
+
 def test_quantiles_per_group(spark):
     data = {"g1": numbers(2, "skewed"), "g2": numbers(3, "signed"), "g3": [4.0]}
     frame = spark.createDataFrame([(group, value) for group, values in data.items() for value in values], "g string, x double")
@@ -66,6 +76,16 @@ def test_numbered(spark):
     assert frame.select(even_bucket(frame, "seq").alias("b")).agg(F.max("b")).first()[0] <= 65_536
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_of_one_crowded_bucket(spark, monkeypatch, descending):
+    monkeypatch.setattr(running, "PART_ROWS", 50)
+    keys = list(range(1000)) + [10**15]
+    frame = spark.createDataFrame([(key,) for key in keys], "seq long").withColumn("n", F.lit(1).cast("long"))
+    found = running_totals(frame, "seq", {"total": "n"}, even_bucket(frame, "seq"), descending=descending, wholes={"all": "n"})
+    ordered = [tuple(row) for row in found.select("seq", "total", "all").orderBy("total").collect()]
+    assert ordered == [(key, place, 1001) for place, key in enumerate(sorted(keys, reverse=descending), start=1)]
+
+
 def test_smallest_share_cut(spark):
     draw = random.Random(7)
     names = [(f"{draw.getrandbits(64):016x}", "a" if n % 10 else "b") for n in range(1000)]
