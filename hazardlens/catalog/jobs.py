@@ -116,7 +116,7 @@ SELECT COUNT(*) AS total_candidates, COUNT(*) FILTER (WHERE known) AS removed_vu
     lambda t: names.negative_sample_counts(t.candidates(), t.summary))
 
 query("job_12_risk_scores", """
-SELECT package_name, vulnerability_count::DOUBLE AS vulnerability_count, max_severity_score, stars::DOUBLE AS stars, risk_score FROM sc""")(
+SELECT package_name, vulnerability_count, max_severity_score, stars, risk_score FROM sc""")(
     lambda t: t.scored.select("package_name", "vulnerability_count", "max_severity_score", "stars", "risk_score")
     .orderBy(F.col("risk_score").desc()))
 

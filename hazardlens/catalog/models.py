@@ -125,10 +125,12 @@ query("m_15_class_report", _CELLS + """
 , lines AS (SELECT 'No Vulnerability' AS section, tn::DOUBLE / (tn + fn) AS precision, tn::DOUBLE / (tn + fp) AS recall,
  2.0::DOUBLE * tn / (2 * tn + fn + fp) AS f1, tn + fp AS support FROM cells UNION ALL
  SELECT 'High-Severity Vulnerability', tp::DOUBLE / (tp + fp), tp::DOUBLE / (tp + fn), 2.0::DOUBLE * tp / (2 * tp + fp + fn), tp + fn FROM cells)
+SELECT section, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM (
 SELECT * FROM lines UNION ALL SELECT 'accuracy', a, a, a, n FROM (SELECT (tn + tp)::DOUBLE / (tn + fp + fn + tp) AS a, tn + fp + fn + tp AS n FROM cells)
 UNION ALL SELECT 'macro avg', AVG(precision), AVG(recall), AVG(f1), SUM(support)::BIGINT FROM lines
 UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
- SUM(f1 * support) / SUM(support), SUM(support)::BIGINT FROM lines""")(lambda t: metrics.class_report(_predicted(t)))
+ SUM(f1 * support) / SUM(support), SUM(support)::BIGINT FROM lines)""")(lambda t: metrics.class_report(_predicted(t)).withColumns(
+        {name: F.round(name, 9) for name in ("precision", "recall", "f1")}))
 
 query("m_16_roc_auc", """
 WITH k AS (SELECT label, rank() OVER (ORDER BY score) + (COUNT(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS place FROM judged)

@@ -50,8 +50,13 @@ def with_dependencies(risk: DataFrame, dependencies: DataFrame) -> DataFrame:
 
 def risk_scores(risk: DataFrame) -> DataFrame:
     """Score = vulnerabilities x highest severity x ln(stars + 1); missing numbers count as zero."""
-    numbers = {name: number_or_zero(F.col(name)) for name in ("vulnerability_count", "max_severity_score", "stars")}
-    filled = risk.withColumns(numbers)
+    kinds = dict(risk.dtypes)
+
+    def filled_number(name: str) -> Column:
+        """Numbers keep their type; text cells are read first."""
+        return number_or_zero(F.col(name)) if kinds[name] == "string" else F.coalesce(name, F.lit(0))
+    filled = risk.withColumns({name: filled_number(name) for name in (
+        "vulnerability_count", "max_severity_score", "stars")})
     score = F.col("vulnerability_count") * F.col("max_severity_score") * F.log1p("stars")
     return filled.withColumn("risk_score", F.round(score, 2))
 
