@@ -15,6 +15,9 @@ from hazardlens.functions.text import or_default
 from hazardlens.operators.keys import long_form
 from hazardlens.operators.ranks import exact_quantiles, smallest_share_cut
 
+# The category order becomes part of the model, so a column of free text is refused.
+MAX_CATEGORIES = 10_000
+
 
 def feature_table(risk: DataFrame, target: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Model inputs per package, and the ``keep`` columns as they are.
@@ -34,7 +37,7 @@ def category_codes(features: DataFrame) -> DataFrame:
     name = fixed.CATEGORY_FEATURE
     codes = features.select(name).distinct().withColumn(
         "category_index", (F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(name)) - 1).cast("long"))
-    return features.join(F.broadcast(codes), name)
+    return features.join(codes, name)
 
 
 def medians(features: DataFrame, columns: list[str]) -> DataFrame:
@@ -149,6 +152,8 @@ def learn_preparation(parted: DataFrame, median_of_train_only: bool = False) ->
     row = filled.agg(*[F.avg(name).alias(f"{name}_mean") for name in numeric],
                      *[F.stddev_pop(name).alias(f"{name}_deviation") for name in numeric]).first().asDict()
     categories = [line[0] for line in parted.select(fixed.CATEGORY_FEATURE).distinct()
-                  .orderBy(fixed.CATEGORY_FEATURE).collect()]
+                  .orderBy(fixed.CATEGORY_FEATURE).take(MAX_CATEGORIES + 1)]
+    if len(categories) > MAX_CATEGORIES:
+        raise ValueError(f"{fixed.CATEGORY_FEATURE} has more than {MAX_CATEGORIES} values and is no category")
     return Preparation(fill, {name: row[f"{name}_mean"] or 0.0 for name in numeric},
                        {name: row[f"{name}_deviation"] or 0.0 for name in numeric}, categories)

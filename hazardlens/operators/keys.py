@@ -12,6 +12,16 @@ def exclude_known(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFra
     return rows.join(known.select(*keys).distinct(), keys, "left_anti")
 
 
+def exclude_stored(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key a big table does not hold, for a small number of rows.
+
+    The table is cut down to the keys at hand first; with few of those its scan is filtered in place and
+    the table itself is never shuffled.
+    """
+    seen = stored.select(*keys).join(rows.select(*keys).distinct(), keys, "left_semi")
+    return exclude_known(rows, seen, keys)
+
+
 def last_per_key(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """The row with the highest sequence per key. Spark limits each map task to one row per key first."""
     newest = W.partitionBy(*keys).orderBy(F.col(sequence).desc())

@@ -23,6 +23,15 @@ def read_folder(spark: SparkSession, path: str, schema: str, one_per_file: bool
             .option("pathGlobFilter", pattern).json(path))
 
 
+def read_named(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One document per file, with the package name that the file is named after (``/`` written as %2F)."""
+    found = read_folder(spark, path, schema)
+    # The file name comes as part of a URL; a plus sign stands for itself there.
+    file_name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    name = F.replace(F.regexp_replace(file_name, r"\.json$", ""), F.lit("%2F"), F.lit("/"))
+    return found.select(name.alias("package_name"), "*")
+
+
 def parsed(text: Column, schema: str) -> Column:
     """The document as a struct, with the text kept in ``_corrupt_record`` when it is not JSON."""
     return F.from_json(text, _with_bad(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})

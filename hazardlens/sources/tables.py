@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hazardlens.operators.keys import exclude_known, null_counts
+from hazardlens.operators.keys import exclude_stored, null_counts
 from hazardlens.session import new_folder, path_exists
 
 
@@ -42,7 +42,7 @@ def read_first_existing(spark: SparkSession, paths: list[str]) -> DataFrame:
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Append rows whose key the table does not hold yet."""
     stored = read_or_empty(rows.sparkSession, path, rows.schema)
-    exclude_known(rows, stored, keys).write.mode("append").parquet(path)
+    exclude_stored(rows, stored, keys).write.mode("append").parquet(path)
 
 
 def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
 from hazardlens import schemas
-from hazardlens.operators.keys import exclude_known
+from hazardlens.operators.keys import exclude_stored
 from hazardlens.plans.vulnerabilities import flatten
 from hazardlens.session import path_exists
 from hazardlens.sources.documents import parse_column, readable
@@ -28,7 +28,7 @@ def take_in(spark: SparkSession, documents: str, table: str, checkpoint: str, fi
         rows = flatten(parsed.dropDuplicates(["id"]))
         earlier = stored_rows(batch.sparkSession, table)
         if earlier is not None:
-            rows = exclude_known(rows, earlier.where(F.col("batch") < number), ["osv_id"])
+            rows = exclude_stored(rows, earlier.where(F.col("batch") < number), ["osv_id"])
         rows.select(*fixed.FLAT_COLUMNS).write.mode("overwrite").parquet(
             f"{table}/batch={number}")
 
