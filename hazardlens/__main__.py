@@ -60,17 +60,15 @@ class Run:
         self.write(projects.project_rows(documents.readable(found)), fixed.PROJECT_COLUMNS)
 
     def dependency_table(self) -> None:
-        """Inputs: projects CSV, folder of documents named ``package@version`` with other characters as ``_``."""
-        found = self.table(0, schemas.PROJECTS)
-        keyed = projects.with_version(found).select(
-            "package_name", F.col("latest_release_number").alias("version"))
-        file_key = F.concat_ws("@", *[F.regexp_replace(F.lower(name), r"[^a-z0-9\-_.]", "_")
-                                      for name in ("package_name", "version")])
-        counted = documents.readable(
-            documents.read_named(self.spark, self.inputs[1], schemas.DEPENDENCY_DOCUMENT)).select(
-            F.col("package_name").alias("_file"), "dependencies")
-        named = keyed.distinct().withColumn("_file", file_key).join(counted, "_file").drop("_file")
-        self.write(projects.dependency_rows(found, named), fixed.DEPENDENCY_COLUMNS)
+        """Inputs: projects CSV, folder of documents named ``package@version.json`` with ``/`` as %2F.
+
+        Spark passes over files whose name starts with an underscore, so scoped names keep their @.
+        """
+        found = documents.read_named(self.spark, self.inputs[1], schemas.DEPENDENCY_DOCUMENT)
+        package, version = (F.regexp_extract("package_name", "^(.+)@([^@]+)$", place) for place in (1, 2))
+        named = documents.readable(found).select(
+            package.alias("package_name"), version.alias("version"), "dependencies")
+        self.write(projects.dependency_rows(self.table(0, schemas.PROJECTS), named), fixed.DEPENDENCY_COLUMNS)
 
     def flatten(self) -> None:
         found = documents.read_folder(self.spark, self.inputs[0], schemas.VULNERABILITY_DOCUMENT)

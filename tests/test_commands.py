@@ -13,7 +13,7 @@ from tests.conftest import rows
 def test_documents_to_scores_through_files(spark, tmp_path, capsys):
     details, project_files, dependency_files = tmp_path / "details", tmp_path / "projects", tmp_path / "dependencies"
     dependency_files.mkdir()
-    for file, count in [("lib@1.0", 3), ("_org_tool@1.0", 12), ("calm@0.9", 1)]:
+    for file, count in [("lib@1.0", 3), ("@org%2Ftool@1.0", 12), ("calm@0.9", 1)]:
         (dependency_files / f"{file}.json").write_text(json.dumps({"dependencies": [{"kind": "runtime"}] * count}))
     details.mkdir()
     project_files.mkdir()
