@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 _TABLES = {
-    "v": """
+    "va": """
 SELECT concat('OSV-', CAST(o.o_orderkey AS VARCHAR)) AS osv_id, lower(c.c_name) AS package_name, 'npm' AS ecosystem,
  o.o_orderdate AS published, o.o_orderdate + to_days(CAST(o.o_orderkey % 30 AS INT)) AS modified,
  CASE WHEN o.o_orderpriority='1-URGENT' THEN 'CRITICAL' WHEN o.o_orderpriority='2-HIGH' THEN 'HIGH'
@@ -14,11 +14,12 @@ SELECT concat('OSV-', CAST(o.o_orderkey AS VARCHAR)) AS osv_id, lower(c.c_name)
  CASE WHEN o.o_orderpriority='1-URGENT' THEN CAST(9.5 AS DOUBLE) WHEN o.o_orderpriority='2-HIGH' THEN CAST(8.0 AS DOUBLE)
       WHEN o.o_orderpriority='3-MEDIUM' THEN CAST(5.5 AS DOUBLE) WHEN o.o_orderpriority='5-LOW' THEN CAST(2.5 AS DOUBLE)
       WHEN o.o_orderkey % 10 = 0 THEN CAST(10.0 AS DOUBLE) END AS severity_score,
- o.o_orderkey AS seq, o.o_orderpriority AS priority, c.c_name AS c_name
-FROM orders o JOIN customer c ON o.o_custkey=c.c_custkey
-WHERE o.o_orderstatus='F' AND o.o_orderdate >= TIMESTAMP '2000-07-01 00:00:00'""",
+ o.o_orderkey AS seq, o.o_orderpriority AS priority, c.c_name AS c_name,
+ o.o_orderstatus='F' AND o.o_orderdate >= TIMESTAMP '2000-07-01 00:00:00' AS npm
+FROM orders o JOIN customer c ON o.o_custkey=c.c_custkey""",
+    "v": "SELECT * FROM va WHERE npm",
     "p": """
-SELECT c.c_name AS package_name, 'npm' AS platform,
+SELECT CASE WHEN c.c_custkey % 7 = 3 THEN concat(c.c_name, '-Fork') ELSE c.c_name END AS package_name, 'npm' AS platform,
  concat('package "', c.c_name, '", ', lower(c.c_mktsegment)) AS description,
  CASE c.c_custkey % 3 WHEN 0 THEN 'JavaScript' WHEN 1 THEN 'TypeScript' END AS language,
  CASE WHEN c.c_acctbal < 0 THEN NULL WHEN c.c_acctbal < 300 THEN 0
@@ -37,11 +38,10 @@ SELECT c.c_name AS package_name, 'npm' AS platform,
 FROM customer c LEFT JOIN (
   SELECT o.o_custkey, COUNT(DISTINCT o.o_orderkey) AS n_orders, COUNT(l.l_orderkey) AS n_lines,
          CAST(SUM(l.l_quantity) AS BIGINT) AS qty, MAX(o.o_orderdate) AS last_rel
-  FROM orders o LEFT JOIN lineitem l ON l.l_orderkey=o.o_orderkey GROUP BY o.o_custkey) a ON a.o_custkey=c.c_custkey
-WHERE c.c_custkey % 7 <> 3""",
+  FROM orders o LEFT JOIN lineitem l ON l.l_orderkey=o.o_orderkey GROUP BY o.o_custkey) a ON a.o_custkey=c.c_custkey""",
     "d": """
-SELECT package_name, CASE WHEN dependent_repos_count > 0 THEN dependent_repos_count * 7 % 61 ELSE 0 END AS runtime_dependencies_count
-FROM p WHERE seq % 4 <> 0""",
+SELECT CASE WHEN seq % 4 = 0 THEN concat(package_name, '-Old') ELSE package_name END AS package_name,
+ CASE WHEN dependent_repos_count > 0 THEN dependent_repos_count * 7 % 61 ELSE 0 END AS runtime_dependencies_count FROM p""",
     "s": """
 SELECT package_name, ecosystem, COUNT(DISTINCT osv_id) AS vulnerability_count,
  COUNT(*) FILTER (WHERE severity_score >= 7.0) AS high_severity_count, MAX(severity_score) AS max_severity_score,
@@ -67,7 +67,7 @@ SELECT r.*, d.runtime_dependencies_count FROM r LEFT JOIN d ON lower(d.package_n
 SELECT r.* REPLACE (COALESCE(r.stars, 0) AS stars, COALESCE(r.max_severity_score, 0) AS max_severity_score),
  round(r.vulnerability_count * COALESCE(r.max_severity_score, 0) * ln(COALESCE(r.stars, 0) + 1), 2) AS risk_score FROM r""",
     "docs": """
-SELECT seq, published, c_name, priority, seq % 97 = 0 AS broken,
+SELECT seq, published, c_name, priority, npm, seq % 97 = 0 AS broken,
  concat(CASE WHEN seq % 10 = 0 AND priority = '4-NOT SPECIFIED' THEN 'MAL-' ELSE 'OSV-' END, CAST(seq AS VARCHAR)) AS id,
  CASE WHEN seq % 7 = 0 THEN 'CVSS_V3' WHEN seq % 7 = 1 THEN 'CVSS_V3'
       WHEN seq % 6 = 1 THEN 'CVSS_V2' WHEN seq % 6 = 2 THEN 'CVSS'
@@ -79,13 +79,13 @@ SELECT seq, published, c_name, priority, seq % 97 = 0 AS broken,
       WHEN priority = '1-URGENT' THEN 9.5 WHEN priority = '2-HIGH' THEN 8.0
       WHEN priority = '3-MEDIUM' THEN 5.5 WHEN priority = '5-LOW' THEN 2.5
       WHEN seq % 10 = 0 OR seq % 11 = 0 THEN 10.0 END AS DOUBLE) AS score
-FROM v""",
+FROM va""",
     "f": """
 SELECT id AS osv_id, lower(c_name) AS package_name, 'npm' AS ecosystem, strftime(published, '%Y-%m-%dT%H:%M:%S.%gZ') AS published,
  CASE WHEN seq % 2 = 0 THEN strftime(published, '%Y-%m-%dT%H:%M:%S.%gZ') END AS modified,
  severity_type, round(score, 1) AS severity_score, COALESCE(score >= 7.0, FALSE) AS is_high_severity,
  severity_type = 'MALWARE' AS is_malware
-FROM docs, range(2) AS copies(n) WHERE NOT broken AND (n = 0 OR seq % 3 = 0)""",
+FROM docs, range(2) AS copies(n) WHERE npm AND NOT broken AND (n = 0 OR seq % 3 = 0)""",
     "c": """
 SELECT CASE WHEN c_custkey % 40 = 0 THEN ' ' ELSE upper(c_name) END AS package_name,
  CASE c_custkey % 9 WHEN 0 THEN 'PyPI' WHEN 1 THEN ' NPM ' WHEN 2 THEN '' END AS ecosystem

@@ -84,8 +84,7 @@ def _dependency_documents(t):
 _RUNTIME_COUNT = """CASE WHEN seq % 10 = 0 THEN 0 ELSE (seq % 12 + 1) - (seq % 12 + 1) // 4 END"""
 
 query("p_12_runtime_dependency_count", f"""
-SELECT lower(package_name) AS package_name, {_RUNTIME_COUNT} AS runtime_dependencies_count
-FROM p WHERE seq % 3 <> 0 AND latest_release_number IS NOT NULL""")(
+SELECT lower(package_name) AS package_name, {_RUNTIME_COUNT} AS runtime_dependencies_count FROM p""")(
     lambda t: _dependency_documents(t).select(
         "package_name", project_plans.runtime_dependency_count(F.col("dependencies"))
         .alias("runtime_dependencies_count")))
@@ -259,7 +258,7 @@ WHERE regexp_replace(COALESCE(cell, ''), '\\s', '', 'g') <> ''""")(
 
 query("f_2_ecosystem_entries", """
 SELECT id AS osv_id, COUNT(*) AS entries FROM docs, range(2) AS copies(n)
-WHERE NOT broken AND (n = 0 OR seq % 3 = 0) GROUP BY id""")(
+WHERE npm AND NOT broken AND (n = 0 OR seq % 3 = 0) GROUP BY id""")(
     lambda t: readable(parse_column(t.vulnerability_documents(), "document", schemas.VULNERABILITY_DOCUMENT))
     .select("id", F.explode("affected").alias("entry")).where(F.col("entry.package").isNotNull())
     .where(F.lower("entry.package.ecosystem") == fixed.ECOSYSTEM)

@@ -248,7 +248,7 @@ query("u_1_distinct_names", "SELECT DISTINCT lower(package_name) AS package_name
     lambda t: names.name_list(t.candidates()))
 
 query("u_2_distinct_union", """
-SELECT lower(c_name) AS package_name FROM customer WHERE c_custkey % 3 = 0 UNION SELECT package_name FROM s""")(
+SELECT concat(lower(c_name), CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '-top' END) AS package_name FROM customer UNION SELECT package_name FROM s""")(
     lambda t: distinct_union(names.name_list(t.top_names()), names.name_list(t.summary)))
 
 query("u_3_union_all", """

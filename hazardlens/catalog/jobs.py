@@ -27,7 +27,7 @@ SELECT DISTINCT lower(trim(split_part(line, ' - ', 1))) AS package_name FROM raw
 WHERE trim(split_part(line, ' - ', 1)) <> ''""")(lambda t: names.clean_raw_list(t.raw_lines()))
 
 query("job_2_merge_lists", """
-SELECT lower(c_name) AS package_name FROM customer WHERE c_custkey % 3 = 0 UNION SELECT package_name FROM s""")(
+SELECT concat(lower(c_name), CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '-top' END) AS package_name FROM customer UNION SELECT package_name FROM s""")(
     lambda t: names.merge_lists(t.top_names(), t.summary))
 
 query("job_3_list_from_summary", "SELECT DISTINCT package_name FROM s")(lambda t: names.name_list(t.summary))

@@ -90,8 +90,8 @@ k AS (SELECT fold, label, least(floor((score - lo) / (hi - lo) * 99), 99) AS ste
 g AS (SELECT i AS step, fold, SUM(label) FILTER (WHERE k.step >= i) AS tp, COUNT(*) FILTER (WHERE k.step >= i AND label = 0) AS fp,
  SUM(label) AS pos FROM range(100) AS r(i), k GROUP BY i, fold),
 m AS (SELECT step, AVG(COALESCE(2.0::DOUBLE * COALESCE(tp, 0) / NULLIF(COALESCE(tp, 0) + fp + pos, 0), 0)) AS mean_f1 FROM g GROUP BY step)
-SELECT step, lo + (hi - lo) * step / 99 AS threshold, mean_f1 FROM m, e ORDER BY round(mean_f1, 12) DESC, step LIMIT 1""")(
-    lambda t: metrics.best_threshold(features.with_fold(judged(t))))
+SELECT step, lo + (hi - lo) * step / 99 AS threshold, round(mean_f1, 12) AS mean_f1 FROM m, e ORDER BY round(mean_f1, 12) DESC, step LIMIT 1""")(
+    lambda t: metrics.best_threshold(features.with_fold(judged(t))).withColumn("mean_f1", F.round("mean_f1", 12)))
 
 
 def _chosen(t):

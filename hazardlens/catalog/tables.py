@@ -34,17 +34,16 @@ class Tables:
 
     @cached_property
     def reports(self) -> DataFrame:
-        """Orders that stand for vulnerability reports, with the customer's name."""
-        orders = self.given("orders").where(
-            (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= utc(FIRST_PUBLISHED)))
+        """Every order as a vulnerability report with the customer's name; recent closed ones are about npm."""
+        npm = (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= utc(FIRST_PUBLISHED))
         customers = self.given("customer").select("c_custkey", "c_name")
-        return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(
-            "o_orderkey", "o_orderdate", "o_orderpriority", "c_name")
+        return self.given("orders").join(customers, F.expr("o_custkey = c_custkey")).select(
+            "o_orderkey", "o_orderdate", "o_orderpriority", "c_name", npm.alias("npm"))
 
     @cached_property
     def flat(self) -> DataFrame:
-        """Flat vulnerability rows."""
-        rated = self.reports.selectExpr(
+        """Flat vulnerability rows: the reports about npm."""
+        rated = self.reports.where("npm").selectExpr(
             "o_orderkey AS seq", "o_orderdate AS published", "lower(c_name) AS package_name",
             """CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM'
                WHEN '5-LOW' THEN 'LOW' ELSE if(o_orderkey % 10 = 0, 'MALWARE', 'UNKNOWN') END AS severity_type""",
@@ -71,12 +70,12 @@ class Tables:
 
     @cached_property
     def projects(self) -> DataFrame:
-        """Project metadata, one row per customer that has a project."""
-        customers = self.given("customer").where("c_custkey % 7 <> 3").selectExpr(
+        """Project metadata, one row per customer. Every seventh name is one that no report knows."""
+        customers = self.given("customer").selectExpr(
             "*", "CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 300 THEN 0L "
                  "ELSE floor(c_acctbal * c_acctbal / 2000) END AS stars")
         return customers.join(self.activity, F.expr("c_custkey = o_custkey"), "left").selectExpr(
-            "c_name AS package_name", f"'{fixed.ECOSYSTEM}' AS platform",
+            "if(c_custkey % 7 = 3, concat(c_name, '-Fork'), c_name) AS package_name", f"'{fixed.ECOSYSTEM}' AS platform",
             """concat('package "', c_name, '", ', lower(c_mktsegment)) AS description""",
             "CASE c_custkey % 3 WHEN 0 THEN 'JavaScript' WHEN 1 THEN 'TypeScript' END AS language",
             "stars", "floor(stars / 4) AS forks", "n_orders * 3 AS contributions_count",
@@ -91,10 +90,11 @@ class Tables:
 
     @cached_property
     def dependencies(self) -> DataFrame:
-        """Runtime dependency counts of three quarters of the projects."""
+        """Runtime dependency counts; every fourth name belongs to no project."""
         count = F.when(F.col("dependent_repos_count") > 0, F.col("dependent_repos_count") * 7 % 61).otherwise(0)
-        return self.projects.where(F.col("seq") % 4 != 0).select(
-            "package_name", count.cast("long").alias("runtime_dependencies_count"))
+        return self.projects.select(
+            F.expr("if(seq % 4 = 0, concat(package_name, '-Old'), package_name) AS package_name"),
+            count.cast("long").alias("runtime_dependencies_count"))
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -163,8 +163,8 @@ class Tables:
 
     def top_names(self) -> DataFrame:
         """A second list of names that overlaps the summary."""
-        return self.given("customer").where("c_custkey % 3 = 0").select(
-            F.concat(F.lit(" "), F.upper("c_name")).alias("package_name"))
+        return self.given("customer").select(
+            F.expr("concat(' ', upper(c_name), if(c_custkey % 3 = 0, '', '-TOP')) AS package_name"))
 
     def vulnerability_documents(self) -> DataFrame:
         """JSON texts of nested vulnerability documents that use every way of stating a severity."""
@@ -188,14 +188,15 @@ class Tables:
             F.when(own_score.isNotNull(), F.struct(own_score.alias("score"))).alias("cvss"),
             F.when(key % 11 == 0, F.parse_json(F.lit('[{"source":"scan"}]'))).alias("malicious_packages_origins"))
 
-        def affected(name: Column, ecosystem: str) -> Column:
-            return F.struct(F.struct(name.alias("name"), F.lit(ecosystem).alias("ecosystem")).alias("package"))
+        def affected(name: Column, ecosystem: Column | str) -> Column:
+            ecosystem = F.lit(ecosystem) if isinstance(ecosystem, str) else ecosystem
+            return F.struct(F.struct(name.alias("name"), ecosystem.alias("ecosystem")).alias("package"))
 
         name = F.col("c_name")
         no_package = F.lit(None).cast("struct<package:struct<name:string,ecosystem:string>>")
         entries = F.concat(
-            F.array(affected(F.concat(F.upper(name), F.lit(" ")), "npm")),
-            F.when(key % 3 == 0, F.array(affected(name, "NPM"))).otherwise(F.array()),
+            F.array(affected(F.concat(F.upper(name), F.lit(" ")), F.when(F.col("npm"), "npm").otherwise("Maven"))),
+            F.when((key % 3 == 0) & F.col("npm"), F.array(affected(name, "NPM"))).otherwise(F.array()),
             F.when(key % 4 == 0, F.array(affected(name, "PyPI"))).otherwise(F.array()),
             F.when(key % 5 == 0, F.array(F.struct(no_package["package"].alias("package")))).otherwise(F.array()))
         document = F.to_json(F.struct(
@@ -227,13 +228,14 @@ class Tables:
                         text.alias("document"))
 
     def dependency_documents(self) -> DataFrame:
-        """JSON texts of dependency documents keyed by name and version; every third project has none."""
+        """JSON texts of dependency documents keyed by name and version; every third is about an old version."""
         kinds = F.transform(
             F.sequence(F.lit(1), (F.col("seq") % 12 + 1).cast("int")),
             lambda n: F.struct(F.when(n % 4 == 0, "development").when(n % 4 == 1, "runtime")
                                .when(n % 4 == 2, "").alias("kind")))
         with_list = F.to_json(F.struct(kinds.alias("dependencies")))
         text = F.when(F.col("seq") % 10 == 0, F.lit('{"dependencies":"none"}')).otherwise(with_list)
-        return self.projects.where("seq % 3 <> 0").where("latest_release_number IS NOT NULL").select(
-            F.lower("package_name").alias("package_name"), F.col("latest_release_number").alias("version"),
+        return self.projects.select(
+            F.lower("package_name").alias("package_name"),
+            F.expr("concat(coalesce(latest_release_number, '0'), if(seq % 3 = 0, '-old', '')) AS version"),
             text.alias("document"))
