@@ -9,7 +9,7 @@ from hazardlens.functions import labels, numbers, severity, text
 from hazardlens.functions.dates import days_since, read_iso
 from hazardlens.plans import projects as project_plans
 from hazardlens.plans.names import request_batches
-from hazardlens.sources.documents import parse_column, readable
+from hazardlens.sources.documents import parse_readable
 from hazardlens import schemas
 
 
@@ -54,7 +54,7 @@ SELECT package_name, COALESCE(NULLIF(repository_status, ''), 'Unknown') AS repos
 
 
 def _project_documents(t):
-    return readable(parse_column(t.project_documents(), "document", schemas.PROJECT_DOCUMENT))
+    return parse_readable(t.project_documents(), "document", schemas.PROJECT_DOCUMENT)
 
 
 query("p_9_project_row", """
@@ -78,7 +78,7 @@ query("p_11_joined_list", "SELECT lower(package_name) AS package_name, normalize
 
 
 def _dependency_documents(t):
-    return readable(parse_column(t.dependency_documents(), "document", schemas.DEPENDENCY_DOCUMENT))
+    return parse_readable(t.dependency_documents(), "document", schemas.DEPENDENCY_DOCUMENT)
 
 
 _RUNTIME_COUNT = """CASE WHEN seq % 10 = 0 THEN 0 ELSE (seq % 12 + 1) - (seq % 12 + 1) // 4 END"""
@@ -128,7 +128,7 @@ FROM s LEFT JOIN p ON lower(p.package_name) = s.package_name""")(
 
 
 def _judged_documents(t):
-    documents = readable(parse_column(t.vulnerability_documents(), "document", schemas.VULNERABILITY_DOCUMENT))
+    documents = parse_readable(t.vulnerability_documents(), "document", schemas.VULNERABILITY_DOCUMENT)
     verdict = severity.severity_of(F.col("id"), F.col("severity"), F.col("database_specific"))
     return documents.select(F.col("id").alias("osv_id"), verdict.alias("verdict"))
 
@@ -259,7 +259,7 @@ WHERE regexp_replace(COALESCE(cell, ''), '\\s', '', 'g') <> ''""")(
 query("f_2_ecosystem_entries", """
 SELECT id AS osv_id, COUNT(*) AS entries FROM docs, range(2) AS copies(n)
 WHERE npm AND NOT broken AND (n = 0 OR seq % 3 = 0) GROUP BY id""")(
-    lambda t: readable(parse_column(t.vulnerability_documents(), "document", schemas.VULNERABILITY_DOCUMENT))
+    lambda t: parse_readable(t.vulnerability_documents(), "document", schemas.VULNERABILITY_DOCUMENT)
     .select("id", F.explode("affected").alias("entry")).where(F.col("entry.package").isNotNull())
     .where(F.lower("entry.package.ecosystem") == fixed.ECOSYSTEM)
     .groupBy(F.col("id").alias("osv_id")).agg(F.count(F.lit(1)).alias("entries")))

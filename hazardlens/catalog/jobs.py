@@ -8,7 +8,7 @@ from hazardlens.catalog.registry import query
 from hazardlens.functions.dates import write_iso
 from hazardlens.plans import names, projects, quality, vulnerabilities
 from hazardlens.plans.risk import findings, risk_summary
-from hazardlens.sources.documents import parse_column, readable
+from hazardlens.sources.documents import parse_column, parse_readable
 from hazardlens.sources.tables import append_new
 from hazardlens.session import new_folder
 
@@ -18,8 +18,8 @@ def _dated_columns(rows, *columns):
 
 
 def flat_documents(t):
-    """Vulnerability documents parsed from their text."""
-    return readable(parse_column(t.vulnerability_documents(), "document", schemas.VULNERABILITY_DOCUMENT))
+    """Vulnerability documents parsed from their text; the unreadable ones have no fields."""
+    return parse_column(t.vulnerability_documents(), "document", schemas.VULNERABILITY_DOCUMENT)
 
 
 query("job_1_clean_raw_list", """
@@ -56,7 +56,7 @@ SELECT CASE c_custkey % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'success' WHEN 2 THE
 
 def _stored_projects(t):
     """Two loads of overlapping documents into one table; the second adds only what is new."""
-    documents = readable(parse_column(t.project_documents(), "document", schemas.PROJECT_DOCUMENT))
+    documents = parse_readable(t.project_documents(), "document", schemas.PROJECT_DOCUMENT)
     folder = new_folder(t.spark, "projects")
     for part in (documents.where("seq % 2 = 0"), documents):
         append_new(projects.project_rows(part), folder, ["package_name"])
@@ -75,8 +75,8 @@ SELECT lower(package_name) AS package_name, platform,
  dependents_count, dependent_repos_count, CAST(NULL AS DOUBLE) AS score, latest_release_number,
  strftime(latest_release_published_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS latest_release_published_at, versions_count
 FROM p WHERE seq % 3 <> 0 AND latest_release_number IS NOT NULL""")(
-    lambda t: _dated_columns(projects.dependency_rows(t.projects, readable(parse_column(
-        t.dependency_documents(), "document", schemas.DEPENDENCY_DOCUMENT))), "latest_release_published_at"))
+    lambda t: _dated_columns(projects.dependency_rows(t.projects, parse_readable(
+        t.dependency_documents(), "document", schemas.DEPENDENCY_DOCUMENT)), "latest_release_published_at"))
 
 query("job_8_flatten_documents", "SELECT * FROM f")(
     lambda t: _dated_columns(vulnerabilities.flatten(flat_documents(t)), "published", "modified"))

@@ -16,11 +16,15 @@ SALTS = 64
 
 
 def flatten(documents: DataFrame) -> DataFrame:
-    """One row per affected package entry of the ecosystem; wants columns of DOCUMENT_SCHEMA."""
+    """One row per affected package entry of the ecosystem; wants the fields of VULNERABILITY_DOCUMENT.
+
+    Unreadable documents have no entries and drop out. The outer explode keeps the optimizer from
+    testing the list in a filter of its own, which would parse each document again.
+    """
     verdict = severity_of(F.col("id"), F.col("severity"), F.col("database_specific"))
     entries = (documents
                .withColumn("verdict", verdict)
-               .select("id", "published", "modified", "verdict", F.explode("affected").alias("entry"))
+               .select("id", "published", "modified", "verdict", F.explode_outer("affected").alias("entry"))
                .where(F.col("entry.package").isNotNull())
                .where(F.lower("entry.package.ecosystem") == fixed.ECOSYSTEM))
     score = F.col("verdict.score")

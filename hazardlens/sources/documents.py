@@ -48,6 +48,17 @@ def _is_json() -> Column:
     return F.col(_BAD).isNull() | F.try_parse_json(F.col(_BAD)).isNotNull()
 
 
+def parse_readable(rows: DataFrame, text: str, schema: str) -> DataFrame:
+    """Replace a text column by the fields of its document, leaving out rows whose text is not JSON.
+
+    The test is made on the text: a filter on a parsed field would be pushed below the parsing and parse
+    the document once more per condition.
+    """
+    valid = rows.where(F.try_parse_json(text).isNotNull())
+    others = [name for name in rows.columns if name != text]
+    return valid.withColumn("_document", F.from_json(F.col(text), schema)).select(*others, "_document.*")
+
+
 def readable(documents: DataFrame) -> DataFrame:
     return documents.where(_is_json()).drop(_BAD)
 

@@ -10,7 +10,7 @@ from hazardlens import schemas
 from hazardlens.operators.keys import exclude_stored
 from hazardlens.plans.vulnerabilities import flatten
 from hazardlens.session import path_exists
-from hazardlens.sources.documents import parse_column, readable
+from hazardlens.sources.documents import parse_column
 
 
 def take_in(spark: SparkSession, documents: str, table: str, checkpoint: str, files_per_batch: int = 1000) -> None:
@@ -24,7 +24,7 @@ def take_in(spark: SparkSession, documents: str, table: str, checkpoint: str, fi
                 .text(documents))
 
     def store(batch: DataFrame, number: int) -> None:
-        parsed = readable(parse_column(batch, "document", schemas.VULNERABILITY_DOCUMENT))
+        parsed = parse_column(batch, "document", schemas.VULNERABILITY_DOCUMENT)
         rows = flatten(parsed.dropDuplicates(["id"]))
         earlier = stored_rows(batch.sparkSession, table)
         if earlier is not None:

@@ -60,6 +60,9 @@ def test_entries(spark):
     affected = [{"package": {"name": " Lib\t", "ecosystem": "NPM"}}, {"package": {"name": "lib", "ecosystem": "npm"}},
                 {"package": {"name": "other", "ecosystem": "PyPI"}}, {"ranges": []}, {"package": {"ecosystem": "npm"}}]
     flat = flat_of(spark, document(affected=affected), document("OSV-2", affected=[]), {"id": "OSV-3"}, "{broken")
+    cut = json.dumps(document("OSV-4"))[:-3]
+    parsed = parse_column(spark.createDataFrame([(cut,)], "document string"), "document", schemas.VULNERABILITY_DOCUMENT)
+    assert flatten(parsed).count() == 0
     assert rows(flat, "osv_id", "package_name") == [("OSV-1", ""), ("OSV-1", "lib"), ("OSV-1", "lib")]
     assert flat.first()["published"] == dt.datetime(2020, 1, 1)
     assert flat.first()["modified"] is None
