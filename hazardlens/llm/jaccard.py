@@ -12,6 +12,8 @@ next one, so two sets that may link always meet in a class with the same m.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -101,13 +103,10 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
     kind = rows.schema["id"].dataType.simpleString()
     sets = stored(rows.mapInArrow(on_slices(describe), f"id {kind}, n_shingles bigint, node bigint, keys array<bigint>"),
                   "sets")
-    filled = sets.where("n_shingles > 0")
-    nodes = stored(filled.groupBy("node").agg(F.count("*").alias("weight"), F.min("id").alias("id"),
-                                              F.max("n_shingles").alias("n")), "nodes")
-    # One row of each node brings the keys: the one with its smallest id (any of them if that is null or repeated).
-    postings = (filled.join(nodes.where("n > 0").select("node", "id", "weight"), ["node"])
-                .where(filled["id"].eqNullSafe(nodes["id"]))
-                .select(F.explode("keys").alias("key"), "node", "weight", F.col("n_shingles").alias("n")).distinct())
+    nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(
+        F.count("*").alias("weight"), F.min("id").alias("id"), F.max("n_shingles").alias("n"),
+        F.first("keys").alias("keys")), "nodes")  # equal sets have equal keys
+    postings = nodes.select(F.explode("keys").alias("key"), "node")
 
     def near(p: str, q: str) -> Column:
         small, large = F.least(F.col(f"{p}n"), F.col(f"{q}n")), F.greatest(F.col(f"{p}n"), F.col(f"{q}n"))
@@ -120,19 +119,22 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
             [pa.array(signed(np.array([set_digest(s) for s in sets], np.uint64))),
              lists(signed(np.concatenate([*sets, np.empty(0, np.uint64)])), bounds)], names=["node", "grams"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        picked = nodes.join(wanted, "node").select("node", "id")
-        grams = (rows.join(picked.select("id").distinct(), rows["id"].eqNullSafe(picked["id"]), "left_semi")
+    def prepare(active: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        picked = nodes.join(active, "node").select("id").distinct()
+        grams = (rows.join(picked, rows["id"].eqNullSafe(picked["id"]), "left_semi").select("text")
                  .mapInArrow(on_slices(full_rows), "node bigint, grams array<bigint>"))
-        grams = stored(grams.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "incidence")
-        left, right = (grams.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
-        both = pairs.join(left, "a").join(right, "b").withColumn(
-            "overlap", F.size(F.array_intersect("a_grams", "b_grams"))).withColumn(
-            "union", F.size("a_grams") + F.size("b_grams") - F.col("overlap"))
-        return both.where(F.col("overlap") * 100 >= F.col("union") * threshold)
-
-    groups = linked_groups(postings, ["n"], near, verified)
+        incidence = stored(grams.join(active, "node", "left_semi").dropDuplicates(["node"]), "incidence")
+        left, right = (incidence.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(left, "a").join(right, "b").withColumn(
+                "overlap", F.size(F.array_intersect("a_grams", "b_grams"))).withColumn(
+                "union", F.size("a_grams") + F.size("b_grams") - F.col("overlap"))
+            return both.where(F.col("overlap") * 100 >= F.col("union") * threshold)
+
+        return verified
+
+    groups = linked_groups(postings, nodes, ["n"], near, prepare)
     least = (nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
              .select("node", "component", "id"))
     lowest = least.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -50,17 +50,20 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def linked_groups(postings: DataFrame, payload: list[str], near: Callable[[str, str], Column],
-                  verified: Callable[[DataFrame], DataFrame], pivot_rounds: int = 2) -> DataFrame:
+def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], near: Callable[[str, str], Column],
+                  prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], pivot_rounds: int = 2) -> DataFrame:
     """(node, component) of the nodes that have a link.
 
-    ``postings``: key, node, weight and the payload columns, each (key, node) once. ``near(p, q)`` is a cheap
-    test on payload columns prefixed by p and q, in both orders the same. ``verified`` takes distinct pairs
-    (a, b), a < b, and returns those that link.
+    ``postings`` (key, node) are distinct; ``nodes`` has node, weight and the payload columns, one row a node.
+    ``near(p, q)`` is a cheap test on payload columns prefixed by p and q, the same in both orders.
+    ``prepare`` gets the nodes (node) that share a key with another and returns the full test: a function of
+    distinct pairs (a, b), a < b, that returns those which link.
     """
     columns = ["node", "weight", *payload]
     several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(postings.join(several, "key").select("key", *columns), "members")
+    members = stored(postings.join(several, "key").select("key", "node"), "shared-keys")
+    verified = prepare(members.select("node").distinct())
+    members = members.join(nodes.select(*columns), "node")
     groups = None
     for turn in range(pivot_rounds + 1):
         labelled = members.withColumn("component", F.col("node"))
@@ -95,5 +98,5 @@ def linked_groups(postings: DataFrame, payload: list[str], near: Callable[[str,
         elif members.isEmpty():
             break
     if groups is None:
-        return members.select("node", F.col("node").alias("component")).limit(0)
+        return nodes.select("node", F.col("node").alias("component")).limit(0)
     return groups
