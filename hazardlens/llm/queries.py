@@ -15,6 +15,7 @@ from hazardlens.llm import check_sql
 from hazardlens.llm.decision_list import fit_rules, judged
 from hazardlens.llm.fuzzy_lines import without_repeated_lines
 from hazardlens.llm.jaccard import jaccard_groups
+from hazardlens.llm.katz import katz_scores
 from hazardlens.llm.licenses import builtin_licenses, license_scan
 from hazardlens.llm.mixing import with_copies
 from hazardlens.llm.preferences import preference_pairs, stale_replies
@@ -46,6 +47,12 @@ def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the model of six sevenths of them."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return katz_scores(table(spark, sf_dir, "documents"), held_out).withColumnRenamed("id", "doc_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     mix = with_copies(table(spark, sf_dir, "documents"))
@@ -78,7 +85,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_chat_formatting, op2_quality_rules, op3_fuzzy_lines, op5_mixing, op6_decontamination, op7_warc,
+        op1_chat_formatting, op2_quality_rules, op3_fuzzy_lines, op4_katz_backoff,
+        op5_mixing, op6_decontamination, op7_warc,
         op9_ngram_jaccard_join, op10_license_scan)}
 
 
