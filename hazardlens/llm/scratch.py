@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hazardlens.session import new_folder
 
+#: Shuffle files go as soon as the table that they were for is written.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
+
+def stored(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write the frame below ``spark.checkpoint.dir`` and read it back."""
     spark = frame.sparkSession
     path = new_folder(spark, label)
-    frame.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        frame.write.partitionBy(*(partition_by or [])).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
