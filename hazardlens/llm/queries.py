@@ -20,6 +20,7 @@ from hazardlens.llm.licenses import builtin_licenses, license_scan
 from hazardlens.llm.mixing import with_copies
 from hazardlens.llm.preferences import preference_pairs, stale_replies
 from hazardlens.llm.scratch import table
+from hazardlens.llm.secret_scan import secret_scan
 from hazardlens.llm.warc import read_records, write_archives
 from hazardlens.llm.winnowing import contamination
 
@@ -72,6 +73,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; the owner is its source, a repository its source and language."""
+    return secret_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of every document under word 3-grams and a Jaccard similarity of 0.9."""
     groups = jaccard_groups(table(spark, sf_dir, "documents"), size=3, threshold=90)
@@ -86,7 +92,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_quality_rules, op3_fuzzy_lines, op4_katz_backoff,
-        op5_mixing, op6_decontamination, op7_warc,
+        op5_mixing, op6_decontamination, op7_warc, op8_secret_scan,
         op9_ngram_jaccard_join, op10_license_scan)}
 
 
