@@ -28,6 +28,8 @@ BLOCKS = 5
 LEAST_WORDS = 4
 #: Percent of the longer line that must stay as it is.
 SIMILARITY = 90
+#: Ratio of the ends of a length class.
+LENGTH_RATIO = 1.6
 #: Words whose 64 bits are summed at a time.
 SUM_WORDS = 1 << 17
 
@@ -116,9 +118,14 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "line", "text_key")
     nodes = stored(lines.groupBy("node").agg(F.count("*").alias("weight"), F.min(place).alias("place"),
                                              F.max("simhash").alias("simhash"), F.max("chars").alias("chars")), "nodes")
-    masks = F.array(*(F.xxhash64(F.lit(k), F.col("simhash").bitwiseAND(F.lit(m)))
+    # Lines that are near have like lengths, so a key also holds a length class; a line near the end of its class
+    # takes part in the next one too.
+    level = lambda chars: F.floor(F.log(chars) / F.log(F.lit(LENGTH_RATIO)))
+    levels = F.array_distinct(F.array(level(F.col("chars")), level(F.floor(F.col("chars") * 100 / similarity))))
+    masks = F.array(*(F.xxhash64(F.lit(k), "level", F.col("simhash").bitwiseAND(F.lit(m)))
                       for k, m in enumerate(block_masks(distance, blocks))))
-    postings = nodes.select(F.explode(masks).alias("key"), "node")
+    postings = (nodes.select("node", "simhash", F.explode(levels).alias("level"))
+                .select(F.explode(masks).alias("key"), "node"))
 
     def near(p: str, q: str) -> Column:
         a, b = F.col(f"{p}chars"), F.col(f"{q}chars")
