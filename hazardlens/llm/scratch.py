@@ -17,7 +17,8 @@ def stored(frame: DataFrame, label: str, partition_by: list[str] | None = None)
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        frame.write.partitionBy(*(partition_by or [])).parquet(path)
+        # The setting counts for data frames made under it.
+        frame.select("*").write.partitionBy(*(partition_by or [])).parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(frame.schema).parquet(path)
