@@ -14,10 +14,9 @@ SELECT concat('OSV-', CAST(o.o_orderkey AS VARCHAR)) AS osv_id, lower(c.c_name)
  CASE WHEN o.o_orderpriority='1-URGENT' THEN CAST(9.5 AS DOUBLE) WHEN o.o_orderpriority='2-HIGH' THEN CAST(8.0 AS DOUBLE)
       WHEN o.o_orderpriority='3-MEDIUM' THEN CAST(5.5 AS DOUBLE) WHEN o.o_orderpriority='5-LOW' THEN CAST(2.5 AS DOUBLE)
       WHEN o.o_orderkey % 10 = 0 THEN CAST(10.0 AS DOUBLE) END AS severity_score,
- o.o_orderkey AS seq, o.o_orderpriority AS priority, c.c_name AS c_name,
- o.o_orderstatus='F' AND o.o_orderdate >= TIMESTAMP '2000-07-01 00:00:00' AS npm
+ o.o_orderkey AS seq, o.o_orderpriority AS priority, c.c_name AS c_name
 FROM orders o JOIN customer c ON o.o_custkey=c.c_custkey""",
-    "v": "SELECT * FROM va WHERE npm",
+    "v": "SELECT * FROM va",
     "p": """
 SELECT CASE WHEN c.c_custkey % 7 = 3 THEN concat(c.c_name, '-Fork') ELSE c.c_name END AS package_name, 'npm' AS platform,
  concat('package "', c.c_name, '", ', lower(c.c_mktsegment)) AS description,
@@ -67,7 +66,7 @@ SELECT r.*, d.runtime_dependencies_count FROM r LEFT JOIN d ON lower(d.package_n
 SELECT r.* REPLACE (COALESCE(r.stars, 0) AS stars, COALESCE(r.max_severity_score, 0) AS max_severity_score),
  round(r.vulnerability_count * COALESCE(r.max_severity_score, 0) * ln(COALESCE(r.stars, 0) + 1), 2) AS risk_score FROM r""",
     "docs": """
-SELECT seq, published, c_name, priority, npm, seq % 97 = 0 AS broken,
+SELECT seq, published, c_name, priority,
  concat(CASE WHEN seq % 10 = 0 AND priority = '4-NOT SPECIFIED' THEN 'MAL-' ELSE 'OSV-' END, CAST(seq AS VARCHAR)) AS id,
  CASE WHEN seq % 7 = 0 THEN 'CVSS_V3' WHEN seq % 7 = 1 THEN 'CVSS_V3'
       WHEN seq % 6 = 1 THEN 'CVSS_V2' WHEN seq % 6 = 2 THEN 'CVSS'
@@ -85,10 +84,10 @@ SELECT id AS osv_id, lower(c_name) AS package_name, 'npm' AS ecosystem, strftime
  CASE WHEN seq % 2 = 0 THEN strftime(published, '%Y-%m-%dT%H:%M:%S.%gZ') END AS modified,
  severity_type, round(score, 1) AS severity_score, COALESCE(score >= 7.0, FALSE) AS is_high_severity,
  severity_type = 'MALWARE' AS is_malware
-FROM docs, range(2) AS copies(n) WHERE npm AND NOT broken AND (n = 0 OR seq % 3 = 0)""",
+FROM docs, range(2) AS copies(n) WHERE n = 0 OR seq % 3 = 0""",
     "c": """
 SELECT CASE WHEN c_custkey % 40 = 0 THEN ' ' ELSE upper(c_name) END AS package_name,
- CASE c_custkey % 9 WHEN 0 THEN 'PyPI' WHEN 1 THEN ' NPM ' WHEN 2 THEN '' END AS ecosystem
+ CASE c_custkey % 9 WHEN 0 THEN 'PyPI' WHEN 1 THEN ' NPM ' WHEN 2 THEN '' WHEN 3 THEN '  ' END AS ecosystem
 FROM customer, range(1, 4) AS copies(n) WHERE n <= c_custkey % 3 + 1""",
     "names": """
 SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN concat(chr(9), ' ', upper(c_name), ' ', chr(10))

@@ -22,10 +22,10 @@ SELECT id, regexp_replace(lower(COALESCE(cell, '')), '^\\s+|\\s+$', '', 'g') AS
     lambda t: t.messy_names().select("id", _normalized().alias("name")))
 
 query("p_2_package_key", """
-SELECT DISTINCT lower(package_name) AS package_name, lower(trim(COALESCE(NULLIF(ecosystem, ''), 'npm'))) AS ecosystem FROM c""")(
+SELECT DISTINCT lower(package_name) AS package_name, COALESCE(NULLIF(lower(trim(ecosystem)), ''), 'npm') AS ecosystem FROM c""")(
     lambda t: t.candidates().select(
         F.lower("package_name").alias("package_name"),
-        text.normalize_name(text.or_default(F.col("ecosystem"), fixed.ECOSYSTEM)).alias("ecosystem")).distinct())
+        text.or_default(text.normalize_name(F.col("ecosystem")), fixed.ECOSYSTEM).alias("ecosystem")).distinct())
 
 query("p_3_part_before_dash", """
 SELECT lower(trim(split_part(line, ' - ', 1))) AS name, COUNT(*) AS lines FROM raw_lines GROUP BY 1""")(
@@ -59,19 +59,19 @@ def _project_documents(t):
 
 query("p_9_project_row", """
 SELECT lower(package_name) AS package_name, 'npm' AS platform, description, language, stars, forks, rank, repository_status,
- repository_url, licenses, latest_release_number FROM p WHERE seq % 89 <> 0""")(
+ repository_url, licenses, latest_release_number FROM p""")(
     lambda t: project_plans.project_rows(_project_documents(t)).select(
         "package_name", "platform", "description", "language", "stars", "forks", "rank", "repository_status",
         "repository_url", "licenses", "latest_release_number"))
 
 query("p_10_array_length", """
-SELECT lower(package_name) AS package_name, CASE WHEN seq % 6 <> 0 THEN least(versions_count, 5) END AS versions_count
-FROM p WHERE seq % 89 <> 0""")(
+SELECT lower(package_name) AS package_name, CASE WHEN seq % 6 <> 0 THEN versions_count END AS versions_count
+FROM p""")(
     lambda t: _project_documents(t).select(
         text.normalize_name(F.col("package_name")).alias("package_name"),
         project_plans.length_or_null(F.col("versions")).alias("versions_count")))
 
-query("p_11_joined_list", "SELECT lower(package_name) AS package_name, normalized_licenses FROM p WHERE seq % 89 <> 0")(
+query("p_11_joined_list", "SELECT lower(package_name) AS package_name, normalized_licenses FROM p")(
     lambda t: _project_documents(t).select(
         text.normalize_name(F.col("package_name")).alias("package_name"),
         project_plans.list_or_text(F.col("normalized_licenses")).alias("normalized_licenses")))
@@ -134,7 +134,7 @@ def _judged_documents(t):
 
 
 query("p_18_severity_ladder", """
-SELECT id AS osv_id, score AS severity_score, severity_type FROM docs WHERE NOT broken""")(
+SELECT id AS osv_id, score AS severity_score, severity_type FROM docs""")(
     lambda t: _judged_documents(t).select("osv_id", F.col("verdict.score").alias("severity_score"),
                                           F.col("verdict.type").alias("severity_type")))
 
@@ -145,13 +145,13 @@ SELECT o_orderkey, CAST(CASE upper(split_part(o_orderpriority, '-', 2)) WHEN 'CR
         F.initcap(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)))).alias("score")))
 
 query("p_20_is_high_severity", """
-SELECT id AS osv_id, COALESCE(score >= 7.0, FALSE) AS is_high_severity FROM docs WHERE NOT broken""")(
+SELECT id AS osv_id, COALESCE(score >= 7.0, FALSE) AS is_high_severity FROM docs""")(
     lambda t: _judged_documents(t).select("osv_id", severity.is_high(F.col("verdict.score")).alias("is_high_severity")))
 
-query("p_21_is_malware", "SELECT id AS osv_id, severity_type = 'MALWARE' AS is_malware FROM docs WHERE NOT broken")(
+query("p_21_is_malware", "SELECT id AS osv_id, severity_type = 'MALWARE' AS is_malware FROM docs")(
     lambda t: _judged_documents(t).select("osv_id", (F.col("verdict.type") == "MALWARE").alias("is_malware")))
 
-query("p_22_one_decimal_score", "SELECT id AS osv_id, round(score, 1) AS severity_score FROM docs WHERE NOT broken")(
+query("p_22_one_decimal_score", "SELECT id AS osv_id, round(score, 1) AS severity_score FROM docs")(
     lambda t: _judged_documents(t).select("osv_id", F.round("verdict.score", 1).alias("severity_score")))
 
 query("p_23_risk_score", "SELECT package_name, risk_score FROM sc")(
@@ -258,7 +258,7 @@ WHERE regexp_replace(COALESCE(cell, ''), '\\s', '', 'g') <> ''""")(
 
 query("f_2_ecosystem_entries", """
 SELECT id AS osv_id, COUNT(*) AS entries FROM docs, range(2) AS copies(n)
-WHERE npm AND NOT broken AND (n = 0 OR seq % 3 = 0) GROUP BY id""")(
+WHERE (n = 0 OR seq % 3 = 0) GROUP BY id""")(
     lambda t: parse_readable(t.vulnerability_documents(), "document", schemas.VULNERABILITY_DOCUMENT)
     .select("id", F.explode("affected").alias("entry")).where(F.col("entry.package").isNotNull())
     .where(F.lower("entry.package.ecosystem") == fixed.ECOSYSTEM)

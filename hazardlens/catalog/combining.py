@@ -15,7 +15,7 @@ from hazardlens.operators.running import numbered
 from hazardlens.operators.shapes import QUARTILES, row_total, value_counts
 from hazardlens.plans import names
 from hazardlens.plans.risk import top_risks
-from hazardlens.plans.vulnerabilities import id_lists, one_row_per_id, package_summary
+from hazardlens.plans.vulnerabilities import one_row_per_id, package_ids, package_summary
 from hazardlens.sources.tables import table_counts
 
 
@@ -37,9 +37,9 @@ SELECT COALESCE(p.package_name, s.package_name) AS package_name, COALESCE(s.vuln
     lambda t: t.risk.select("package_name", "vulnerability_count", "stars"))
 
 query("j_2_not_vulnerable", """
-SELECT DISTINCT lower(package_name) AS package_name, lower(trim(COALESCE(NULLIF(ecosystem, ''), 'npm'))) AS ecosystem FROM c
+SELECT DISTINCT lower(package_name) AS package_name, COALESCE(NULLIF(lower(trim(ecosystem)), ''), 'npm') AS ecosystem FROM c
 WHERE trim(package_name) <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.package_name = lower(c.package_name)
- AND s.ecosystem = lower(trim(COALESCE(NULLIF(c.ecosystem, ''), 'npm'))))""")(
+ AND s.ecosystem = COALESCE(NULLIF(lower(trim(c.ecosystem)), ''), 'npm'))""")(
     lambda t: names.negative_sample(t.candidates(), t.summary))
 
 query("j_3_pending_names", """
@@ -87,8 +87,7 @@ def _repeated_flat(t):
 
 query("a_1_package_summary", _SUMMARY)(lambda t: _dated(package_summary(_repeated_flat(t))))
 
-query("a_1_id_lists", "SELECT package_name, ecosystem, vulnerability_count AS id_count, osv_ids FROM s")(
-    lambda t: id_lists(t.flat).drop("part"))
+query("a_1_package_ids", "SELECT DISTINCT package_name, ecosystem, osv_id FROM v")(lambda t: package_ids(t.flat))
 
 query("a_2_blank_ids_kept", """
 SELECT package_name, COUNT(DISTINCT osv_id) FILTER (WHERE seq % 2 = 0) AS vulnerability_count FROM v GROUP BY package_name""")(
@@ -188,7 +187,7 @@ query("w_3_first_row_per_key", "SELECT package_name, osv_id, severity_score FROM
 
 query("w_3_first_values_per_id", """
 SELECT package_name, ecosystem, osv_id, severity_score, COALESCE(severity_score >= 7, FALSE) AS is_high_severity FROM v""")(
-    lambda t: one_row_per_id(_repeated_flat(t)).drop("published"))
+    lambda t: one_row_per_id(_repeated_flat(t)).drop("published", "seq"))
 
 query("w_4_numbered_batches", """
 SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 + 1 AS batch_index, o_orderkey FROM orders""")(

@@ -67,7 +67,7 @@ query("job_6_project_table", """
 SELECT lower(package_name) AS package_name, platform, description, language, stars, forks, contributions_count,
  dependent_repos_count, dependents_count, rank, repository_status, repository_url, licenses, normalized_licenses, latest_release_number,
  strftime(latest_release_published_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS latest_release_published_at,
- CASE WHEN seq % 6 <> 0 THEN least(versions_count, 5) END AS versions_count FROM p WHERE seq % 89 <> 0""")(_stored_projects)
+ CASE WHEN seq % 6 <> 0 THEN versions_count END AS versions_count FROM p""")(_stored_projects)
 
 query("job_7_dependency_table", """
 SELECT lower(package_name) AS package_name, platform,
@@ -88,27 +88,29 @@ SELECT package_name, COUNT(DISTINCT osv_id) AS vulnerability_count,
  COUNT(DISTINCT osv_id) FILTER (WHERE is_high_severity) AS high_severity_count, MAX(severity_score) AS max_severity_score,
  BOOL_OR(is_high_severity) AS has_high_severity_vulnerability FROM f GROUP BY package_name""")(
     lambda t: vulnerabilities.package_counts(vulnerabilities.flatten(flat_documents(t)).withColumn("seq", F.lit(0)))
-    .drop("ecosystem", "latest_vulnerability_published_at"))
+    .drop("seq", "ecosystem", "latest_vulnerability_published_at"))
 
 
 def _with_repeats(t):
     """Projects with an older row for every name, which must lose."""
-    older = t.projects.withColumns({"seq": F.col("seq") - 10_000_000_000, "stars": F.lit(-1).cast("long"),
-                                    "package_name": F.upper("package_name")})
-    return older.unionByName(t.projects)
+    older = F.col("older")
+    return t.projects.withColumn("older", F.explode(F.array(F.lit(True), F.lit(False)))).withColumns({
+        "seq": F.when(older, F.col("seq") - 10_000_000_000).otherwise(F.col("seq")),
+        "stars": F.when(older, F.lit(-1).cast("long")).otherwise(F.col("stars")),
+        "package_name": F.when(older, F.upper("package_name")).otherwise(F.col("package_name"))}).drop("older")
 
 
 query("job_10_risk_summary", """
 SELECT r.* REPLACE (strftime(latest_release_published_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS latest_release_published_at) FROM r""")(
-    lambda t: _dated_columns(risk_summary(t.summary, _with_repeats(t), t.as_of), "latest_release_published_at"))
+    lambda t: _dated_columns(risk_summary(vulnerabilities.package_counts(t.flat), _with_repeats(t), t.as_of), "latest_release_published_at"))
 
 query("job_11_negative_sample", """
-SELECT DISTINCT lower(package_name) AS package_name, lower(trim(COALESCE(NULLIF(ecosystem, ''), 'npm'))) AS ecosystem FROM c
-WHERE trim(package_name) <> '' AND (lower(package_name), lower(trim(COALESCE(NULLIF(ecosystem, ''), 'npm')))) NOT IN
+SELECT DISTINCT lower(package_name) AS package_name, COALESCE(NULLIF(lower(trim(ecosystem)), ''), 'npm') AS ecosystem FROM c
+WHERE trim(package_name) <> '' AND (lower(package_name), COALESCE(NULLIF(lower(trim(ecosystem)), ''), 'npm')) NOT IN
  (SELECT (package_name, ecosystem) FROM s)""")(lambda t: names.negative_sample(t.candidates(), t.summary))
 
 query("job_11_negative_sample_counts", """
-WITH k AS (SELECT lower(package_name) AS name, lower(trim(COALESCE(NULLIF(ecosystem, ''), 'npm'))) AS eco FROM c WHERE trim(package_name) <> ''),
+WITH k AS (SELECT lower(package_name) AS name, COALESCE(NULLIF(lower(trim(ecosystem)), ''), 'npm') AS eco FROM c WHERE trim(package_name) <> ''),
 m AS (SELECT k.*, s.package_name IS NOT NULL AS known FROM k LEFT JOIN s ON s.package_name = k.name AND s.ecosystem = k.eco)
 SELECT COUNT(*) AS total_candidates, COUNT(*) FILTER (WHERE known) AS removed_vulnerable,
  COUNT(*) FILTER (WHERE NOT known) - COUNT(DISTINCT (name, eco)) FILTER (WHERE NOT known) AS removed_duplicates,

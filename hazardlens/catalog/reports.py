@@ -2,6 +2,7 @@
 
 from hazardlens.catalog.registry import query
 from hazardlens.plans import questions
+from hazardlens.sources.tables import written
 
 _LABEL = """CASE WHEN has_high_severity_vulnerability THEN 'High-Severity Vulnerable'
  ELSE 'No High-Severity Vulnerabilities' END"""
@@ -92,4 +93,4 @@ SELECT package_name, ecosystem, vulnerability_count, high_severity_count, max_se
 FROM r WHERE is_unmaintained AND vulnerability_count > 0
 ORDER BY CASE WHEN has_high_severity_vulnerability AND dependents_count > 100 THEN 1 WHEN has_high_severity_vulnerability THEN 2
  WHEN dependents_count > 100 THEN 3 ELSE 4 END, dependents_count DESC NULLS FIRST, high_severity_count DESC NULLS FIRST,
- max_severity_score DESC NULLS FIRST, package_name LIMIT 30""")(lambda t: questions.top_unmaintained(t.risk))
+ max_severity_score DESC NULLS FIRST, package_name LIMIT 30""")(lambda t: questions.top_unmaintained(written(t.risk, "risk")))

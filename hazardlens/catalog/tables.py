@@ -15,7 +15,12 @@ from hazardlens.plans.risk import risk_scores, risk_summary, with_dependencies
 from hazardlens.plans.vulnerabilities import package_counts, package_summary
 
 AS_OF = "2001-12-31 12:00:00"
-FIRST_PUBLISHED = "2000-07-01 00:00:00"
+
+
+def _with_damaged(documents: DataFrame, every: int, damaged: Column) -> DataFrame:
+    """All documents, and beside one in ``every`` a damaged copy."""
+    texts = F.when(F.col("seq") % every == 0, F.array(F.col("document"), damaged)).otherwise(F.array("document"))
+    return documents.withColumn("document", F.explode(texts))
 
 
 class Tables:
@@ -34,16 +39,15 @@ class Tables:
 
     @cached_property
     def reports(self) -> DataFrame:
-        """Every order as a vulnerability report with the customer's name; recent closed ones are about npm."""
-        npm = (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= utc(FIRST_PUBLISHED))
+        """Every order as a vulnerability report with the customer's name."""
         customers = self.given("customer").select("c_custkey", "c_name")
         return self.given("orders").join(customers, F.expr("o_custkey = c_custkey")).select(
-            "o_orderkey", "o_orderdate", "o_orderpriority", "c_name", npm.alias("npm"))
+            "o_orderkey", "o_orderdate", "o_orderpriority", "c_name")
 
     @cached_property
     def flat(self) -> DataFrame:
-        """Flat vulnerability rows: the reports about npm."""
-        rated = self.reports.where("npm").selectExpr(
+        """Flat vulnerability rows, one per order."""
+        rated = self.reports.selectExpr(
             "o_orderkey AS seq", "o_orderdate AS published", "lower(c_name) AS package_name",
             """CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM'
                WHEN '5-LOW' THEN 'LOW' ELSE if(o_orderkey % 10 = 0, 'MALWARE', 'UNKNOWN') END AS severity_type""",
@@ -158,7 +162,8 @@ class Tables:
         copies = F.sequence(F.lit(1), (key % 3 + 1).cast("int"))
         return customers.select(
             name.alias("package_name"),
-            F.when(key % 9 == 0, "PyPI").when(key % 9 == 1, " NPM ").when(key % 9 == 2, "").alias("ecosystem"),
+            F.when(key % 9 == 0, "PyPI").when(key % 9 == 1, " NPM ").when(key % 9 == 2, "")
+            .when(key % 9 == 3, "  ").alias("ecosystem"),
             F.explode(copies).alias("copy"))
 
     def top_names(self) -> DataFrame:
@@ -195,9 +200,10 @@ class Tables:
         name = F.col("c_name")
         no_package = F.lit(None).cast("struct<package:struct<name:string,ecosystem:string>>")
         entries = F.concat(
-            F.array(affected(F.concat(F.upper(name), F.lit(" ")), F.when(F.col("npm"), "npm").otherwise("Maven"))),
-            F.when((key % 3 == 0) & F.col("npm"), F.array(affected(name, "NPM"))).otherwise(F.array()),
-            F.when(key % 4 == 0, F.array(affected(name, "PyPI"))).otherwise(F.array()),
+            F.array(affected(F.concat(F.upper(name), F.lit(" ")), "npm")),
+            F.when(key % 3 == 0, F.array(affected(name, "NPM"))).otherwise(F.array()),
+            F.when(key % 4 == 0, F.array(affected(name, "PyPI"))).when(key % 4 == 1, F.array(affected(name, "Maven")))
+            .otherwise(F.array()),
             F.when(key % 5 == 0, F.array(F.struct(no_package["package"].alias("package")))).otherwise(F.array()))
         document = F.to_json(F.struct(
             F.concat(F.when((key % 10 == 0) & (F.col("o_orderpriority") == "4-NOT SPECIFIED"), "MAL-")
@@ -205,14 +211,14 @@ class Tables:
             write_iso(F.col("o_orderdate")).alias("published"),
             F.when(key % 2 == 0, write_iso(F.col("o_orderdate"))).alias("modified"),
             entries.alias("affected"), severity.alias("severity"), own.alias("database_specific")))
-        text = F.when(key % 97 == 0, F.substring(document, 1, 25)).otherwise(document)
-        return self.reports.select(key.alias("seq"), text.alias("document"))
+        return _with_damaged(self.reports.select(key.alias("seq"), document.alias("document")), 97,
+                             F.substring("document", 1, 25))
 
     def project_documents(self) -> DataFrame:
         """JSON texts of project documents: name plus the document of that name."""
         p = self.projects
         versions = F.when(F.col("seq") % 6 != 0, F.transform(
-            F.sequence(F.lit(1), F.least(F.col("versions_count"), F.lit(5)).cast("int")),
+            F.sequence(F.lit(1), F.col("versions_count").cast("int")),
             lambda n: F.struct(n.cast("string").alias("number"))))
         licenses = F.when(F.col("seq") % 2 == 0, F.parse_json(F.lit('["MIT","ISC"]'))).otherwise(
             F.parse_json(F.lit('"Apache-2.0"')))
@@ -223,9 +229,9 @@ class Tables:
             F.when(F.col("seq") % 10 != 0, F.col("platform")).alias("platform"), *scalars,
             write_iso(F.col("latest_release_published_at")).alias("latest_release_published_at"),
             versions.alias("versions"), licenses.alias("normalized_licenses")))
-        text = F.when(F.col("seq") % 89 == 0, F.lit("{broken")).otherwise(document)
-        return p.select("seq", F.concat(F.lit(" "), F.upper("package_name")).alias("package_name"),
-                        text.alias("document"))
+        named = p.select("seq", F.concat(F.lit(" "), F.upper("package_name")).alias("package_name"),
+                         document.alias("document"))
+        return _with_damaged(named, 89, F.lit("{broken"))
 
     def dependency_documents(self) -> DataFrame:
         """JSON texts of dependency documents keyed by name and version; every third is about an old version."""

@@ -2,9 +2,9 @@
 
 Rows are put in order-preserving buckets. A bucket that holds many rows is cut into parts between its
 own smallest and largest value. Totals are summed per part first, a window over those few lines gives
-each part its starting value, and a second window adds up inside each part. The number of buckets is
-bounded by the caller and the number of parts by one per PART_ROWS rows, so the tables of sizes and
-starting values stay small enough to broadcast.
+each bucket its starting value, a second one over the parts of a bucket adds theirs, and a third adds up
+inside each part. So no window sees all rows or all parts: the number of buckets is bounded by the caller,
+and a bucket has one part per PART_ROWS of its rows. Joins are left to the optimizer, which measures them.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def _with_parts(tagged: DataFrame, within: tuple[str, ...], order_by: str) -> Da
     sizes = tagged.groupBy(*within, "_bucket").agg(
         F.min(value).alias("_low"), F.max(value).alias("_high"), part_count().alias("_parts"))
     part = part_of(value, F.col("_low"), F.col("_high"), F.col("_parts")).alias("_part")
-    return tagged.join(F.broadcast(sizes), [*within, "_bucket"]).select(*tagged.columns, part)
+    return tagged.join(sizes, [*within, "_bucket"]).select(*tagged.columns, part)
 
 
 def running_totals(rows: DataFrame, order_by: str, totals: dict[str, str], bucket: Column,
@@ -73,16 +73,28 @@ def running_totals(rows: DataFrame, order_by: str, totals: dict[str, str], bucke
     tagged = _with_parts(rows.withColumn("_bucket", bucket), within, order_by)
     place = ["_bucket", "_part"]
     sums = [F.sum(source).alias(f"_sum_{source}") for source in totals.values()]
+    by_part = tagged.groupBy(*within, *place).agg(*sums)
+    buckets = by_part.groupBy(*within, "_bucket").agg(
+        *[F.sum(f"_sum_{source}").alias(f"_all_{source}") for source in totals.values()])
     everything = W.partitionBy(*within, F.lit(0))
-    before = everything.orderBy(*map(ordered, place)).rowsBetween(W.unboundedPreceding, -1)
-    starts = tagged.groupBy(*within, *place).agg(*sums).select(
+
+    def earlier(window: W, column: str, sort: str) -> Column:
+        return F.coalesce(F.sum(column).over(window.orderBy(ordered(sort)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    buckets = buckets.select(
+        *within, "_bucket",
+        *[earlier(everything, f"_all_{source}", "_bucket").alias(f"_before_{name}") for name, source in totals.items()],
+        *[F.sum(f"_all_{source}").over(everything).alias(name) for name, source in wholes.items()])
+    in_bucket = W.partitionBy(*within, "_bucket")
+    starts = by_part.select(
         *within, *place,
-        *[F.coalesce(F.sum(f"_sum_{source}").over(before), F.lit(0)).alias(f"_start_{name}")
-          for name, source in totals.items()],
-        *[F.sum(f"_sum_{source}").over(everything).alias(name) for name, source in wholes.items()])
+        *[earlier(in_bucket, f"_sum_{source}", "_part").alias(f"_within_{name}") for name, source in totals.items()],
+    ).join(buckets, [*within, "_bucket"]).select(
+        *within, *place, *[(F.col(f"_before_{name}") + F.col(f"_within_{name}")).alias(f"_start_{name}") for name in totals],
+        *wholes)
     inside = (W.partitionBy(*within, *place).orderBy(ordered(order_by))
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    joined = tagged.join(F.broadcast(starts), [*within, *place])
+    joined = tagged.join(starts, [*within, *place])
     return joined.select(
         *[F.col(column) for column in rows.columns],
         *[(F.col(f"_start_{name}") + F.sum(source).over(inside)).alias(name) for name, source in totals.items()],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
-from hazardlens.functions.text import before_dash, normalize_name, or_default
+from hazardlens.functions.text import before_dash, normalize_name, null_if_blank
 from hazardlens.operators.keys import distinct_union, exclude_known
 from hazardlens.operators.running import numbered
 
@@ -73,7 +73,7 @@ def outcomes(wanted: DataFrame, stored: DataFrame, fetched: DataFrame, key: str)
 
 def _candidate_copies(candidates: DataFrame, summary: DataFrame) -> DataFrame:
     """One row per candidate key with its number of copies and whether the key is known as vulnerable."""
-    ecosystem = normalize_name(or_default(F.col("ecosystem"), fixed.ECOSYSTEM))
+    ecosystem = F.coalesce(null_if_blank(normalize_name(F.col("ecosystem"))), F.lit(fixed.ECOSYSTEM))
     keys = ["package_name", "ecosystem"]
     folded = (candidates.select(normalize_name(F.col("package_name")).alias("package_name"),
                                 ecosystem.alias("ecosystem"))

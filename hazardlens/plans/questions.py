@@ -143,7 +143,10 @@ def statistics_by_dependencies(risk: DataFrame) -> DataFrame:
 
 
 def top_unmaintained(risk: DataFrame) -> DataFrame:
-    """The share is of all selected packages, not of the listed ones, so the sum is a query of its own."""
+    """The share is of all selected packages, not of the listed ones, so the sum is a query of its own.
+
+    The input is read twice: give it as a stored table.
+    """
     dependents = F.col("dependents_count")
     selected = risk.where(F.col("is_unmaintained") & (_count() > 0))
     all_dependents = selected.agg(F.sum(dependents)).scalar()

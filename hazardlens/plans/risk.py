@@ -15,13 +15,13 @@ from hazardlens.operators.keys import last_per_key
 def risk_summary(summary: DataFrame, projects: DataFrame, as_of: Column) -> DataFrame:
     """Every package known to either side, joined on the normalized name.
 
-    Both sides hold one row per name before the join, so no key can be hot in it. ``projects`` has a
-    ``seq`` column that says which of several rows for a name is the last.
+    Both sides hold one row per name before the join, so no key can be hot in it. Both have a ``seq``
+    column that says which of several rows for a name is the last.
     """
     vulnerable = summary.select(
-        normalize_name(F.col("package_name")).alias("_key"), "ecosystem",
-        "vulnerability_count", "high_severity_count", "max_severity_score").where("_key <> ''")
-    vulnerable = last_per_key(vulnerable, ["_key"], "ecosystem").drop("ecosystem")
+        normalize_name(F.col("package_name")).alias("_key"),
+        "vulnerability_count", "high_severity_count", "max_severity_score", "seq").where("_key <> ''")
+    vulnerable = last_per_key(vulnerable, ["_key"], "seq").drop("seq")
     keyed = projects.withColumn("_key", normalize_name(F.col("package_name"))).where("_key <> ''")
     described = last_per_key(keyed, ["_key"], "seq")
     joined = vulnerable.join(described, "_key", "full_outer")

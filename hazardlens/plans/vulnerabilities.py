@@ -10,10 +10,6 @@ from hazardlens.functions.dates import read_iso
 from hazardlens.functions.severity import is_high, severity_of
 from hazardlens.functions.text import normalize_name, null_if_blank, strip
 
-# A package with more ids than this keeps them in id_lists() only, so no cell grows without bound.
-INLINE_IDS = 1_000_000
-SALTS = 64
-
 
 def flatten(documents: DataFrame) -> DataFrame:
     """One row per affected package entry of the ecosystem; wants the fields of VULNERABILITY_DOCUMENT.
@@ -55,47 +51,30 @@ def one_row_per_id(flat: DataFrame) -> DataFrame:
     def first(column: str) -> Column:
         return F.min_by(column, "seq").alias(column)
     return _clean(flat).groupBy("package_name", "ecosystem", "osv_id").agg(
-        first("is_high_severity"), first("severity_score"), first("published"))
+        first("is_high_severity"), first("severity_score"), first("published"), F.min("seq").alias("seq"))
 
 
 def package_counts(flat: DataFrame) -> DataFrame:
-    """The summary without the id list; every aggregate is combined before the shuffle."""
-    return _summarize(one_row_per_id(flat))
-
-
-def _beside_id_count(rows: DataFrame, more_than: int) -> DataFrame:
-    """Add ``ids``, the number of a package's rows, where it is above the limit.
+    """The summary without the id list, and ``seq``, the place of the package's first row.
 
-    The join key carries a salt taken from the id, so the rows of a hot package meet in SALTS tasks and
-    the grouping that follows combines them before its own shuffle.
+    Every aggregate is combined before the shuffle.
     """
-    keys = ["package_name", "ecosystem"]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("ids")).where(F.col("ids") > more_than)
-    spread = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("osv_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+    return _summarize(one_row_per_id(flat), F.min("seq").alias("seq"))
 
 
-def package_summary(flat: DataFrame, inline_ids: int = INLINE_IDS) -> DataFrame:
+def package_summary(flat: DataFrame) -> DataFrame:
     """One row per package and ecosystem, with the sorted id list as text.
 
-    The list is NULL for a package with more than ``inline_ids`` ids; id_lists() has those in full.
+    The list is one cell, as the 8-column table wants it; jobs that only count read package_counts(), and
+    package_ids() has one row per id.
     """
-    rows = one_row_per_id(flat)
-    marked = _beside_id_count(rows, inline_ids).withColumn("oversize", F.col("ids").isNotNull())
-    listed = F.when(~F.col("oversize") & (F.col("osv_id") != ""), F.col("osv_id"))
-    ids = F.when(~F.bool_or("oversize"), F.array_join(F.array_sort(F.collect_list(listed)), "|"))
-    return _summarize(marked, ids.alias("osv_ids"))
-
-
-def id_lists(flat: DataFrame, ids_per_part: int = INLINE_IDS) -> DataFrame:
-    """All ids of every package, cut by hash into parts of about ``ids_per_part``; most packages have one part."""
-    ids = _clean(flat).where("osv_id <> ''").select("package_name", "ecosystem", "osv_id").distinct()
-    parts = F.ceil(F.coalesce("ids", F.lit(1)) / ids_per_part)
-    placed = _beside_id_count(ids, ids_per_part).withColumn("part", F.pmod(F.xxhash64("osv_id"), parts))
-    return placed.groupBy("package_name", "ecosystem", "part").agg(
-        F.count(F.lit(1)).alias("id_count"),
-        F.array_join(F.array_sort(F.collect_list("osv_id")), "|").alias("osv_ids"))
+    known = F.when(F.col("osv_id") != "", F.col("osv_id"))
+    return _summarize(one_row_per_id(flat), F.array_join(F.array_sort(F.collect_list(known)), "|").alias("osv_ids"))
+
+
+def package_ids(flat: DataFrame) -> DataFrame:
+    """The ids of every package, one row each."""
+    return _clean(flat).where("osv_id <> ''").select("package_name", "ecosystem", "osv_id").distinct()
 
 
 def _summarize(rows: DataFrame, *more: Column) -> DataFrame:

@@ -9,14 +9,14 @@ from hazardlens.plans import quality, questions
 from hazardlens.plans.risk import findings, risk_scores, risk_summary, with_dependencies
 from tests.conftest import rows
 
-SUMMARY = "package_name string, ecosystem string, vulnerability_count long, high_severity_count long, max_severity_score double"
+SUMMARY = "package_name string, ecosystem string, vulnerability_count long, high_severity_count long, max_severity_score double, seq long"
 PROJECT = ("package_name string, stars long, forks long, contributions_count long, dependent_repos_count long, "
            "dependents_count long, rank long, repository_status string, repository_url string, "
            "latest_release_published_at timestamp_ntz, versions_count long, seq long")
 
 
 def risk(spark):
-    summary = spark.createDataFrame([("both", "npm", 3, 1, 9.0), ("only-vulnerable", "npm", 2, 0, 5.5), (" ", "npm", 1, 1, 9.9)], SUMMARY)
+    summary = spark.createDataFrame([("both", "npm", 3, 1, 9.0, 1), ("only-vulnerable", "npm", 2, 0, 5.5, 2), (" ", "npm", 1, 1, 9.9, 3)], SUMMARY)
     projects = spark.createDataFrame([
         ("Both", 1, 1, 1, 1, 1, 1, "Active", "", dt.datetime(2001, 1, 1), 1, 1),
         ("BOTH ", 100, 5, 6, 7, 101, 8, " UNMAINTAINED ", " ", dt.datetime(2001, 12, 30), 9, 2),
