@@ -102,8 +102,8 @@ FROM h"""
 
 
 def _canonical(column: str) -> str:
-    out = f"translate({column}, '{licenses.UPPER}', '{licenses.LOWER}')"
-    out = f"regexp_replace({out}, {_text(licenses.COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"replace(lower({column}), 'https://', 'http://')"
+    out = f"regexp_replace({out}, {_text('(?m)' + licenses.COPYRIGHT_LINE)}, '', 'g')"
     out = f"trim(regexp_replace({out}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
     out = f"' ' || replace({out}, ' ', '  ') || ' '"
     for old, new in licenses.SPELLINGS:

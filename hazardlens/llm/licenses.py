@@ -1,6 +1,6 @@
 """License scans by canonical digest: whole texts, and whole lines, equal to a known licence after normalising.
 
-Normalising drops copyright lines, takes A-Z in lower case, turns equivalent spellings into one and every run
+Normalising drops copyright lines, takes letters in lower case, turns equivalent spellings into one and every run
 of other characters than letters, digits and code points above ASCII into one space. The digest of what is
 left is looked up by a hash join.
 """
@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.llm.scratch import stored
+from hazardlens.llm.secret_scan import let
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that only states who holds the rights.
-COPYRIGHT_LINE = r"(^|\n)[ \t\r#*/;-]*(portions )?(copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"^[ \t\r#*/;-]*(portions )?(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Equivalent spellings, as whole words: fixed values of public licence matching guidelines.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"),
@@ -27,9 +27,11 @@ SPELLINGS = [
     ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"),
     ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"),
     ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("sublicence", "sublicense"),
-    ("https", "http"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("per cent", "percent"), ("copyright owner", "copyright holder"),
 ]
 
+ANY_SPELLING = "(^| )(" + "|".join(old for old, _ in SPELLINGS) + ")( |$)"
+
 #: Known notices and short licences, public texts.
 KNOWN = [
     ("MIT", "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software "
@@ -71,13 +73,18 @@ KNOWN = [
 
 def canonical(text: Column) -> Column:
     """What is left of a text once case, punctuation, copyright lines and spellings are normalised; null stays null."""
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    out = F.replace(F.lower(text), F.lit("https://"), F.lit("http://"))
+    out = F.regexp_replace(out, "(?md)" + COPYRIGHT_LINE, "")
     out = F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(out, " ", "  "), F.lit(" "))
-    for old, new in SPELLINGS:
-        spaced = F.replace(spaced, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return F.trim(F.regexp_replace(spaced, " +", " "))
+
+    def respelled(words: Column) -> Column:
+        spaced = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+        for old, new in SPELLINGS:
+            spaced = F.replace(spaced, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+        return F.trim(F.regexp_replace(spaced, " +", " "))
+
+    # Most texts hold none of the spellings; one look finds that out.
+    return let(out, lambda words: F.when(words.rlike(ANY_SPELLING), respelled(words)).otherwise(words))
 
 
 def digest(text: Column) -> Column:
