@@ -1,6 +1,7 @@
 """Features, training, metrics and scoring.
 
-Metrics are checked on a score that any engine can compute; jobs that fit a model have no SQL.
+Metrics are checked on a score that any engine can compute. Jobs that fit a model return what must hold of
+their full outputs, which the library's functions give.
 """
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from hazardlens.catalog.combining import judged
 from hazardlens.catalog.registry import query
 from hazardlens.learning import features, metrics, scoring, training
 from hazardlens.session import new_folder
+from hazardlens.sources.tables import written
 
 _FEATURES = ", ".join(["package_name", *fixed.NUMERIC_FEATURES, "repository_status", *fixed.BOOLEAN_FEATURES, "label"])
 
@@ -74,14 +76,21 @@ def _fitted(t, name):
     return training.fit(name, table.where("part = 'train'"), preparation), table
 
 
-def _test_scores(t, name):
+def _checked_scores(t, name):
+    """Per label of the test part: rows, and whether all scores lie inside (0, 1) and a second fit repeats them."""
     model, table = _fitted(t, name)
-    return training.score(model, table.where("part = 'test'")).select("package_name", "label", "score")
+    test = table.where("part = 'test'")
+    again = training.fit(name, table.where("part = 'train'"), features.learn_preparation(table))
+    second = training.score(again, test).select("package_name", F.col("score").alias("second"))
+    return training.score(model, test).join(second, "package_name").groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and((F.col("score") >= 0) & (F.col("score") <= 1)).alias("in_range"),
+        F.bool_and(F.abs(F.col("score") - F.col("second")) < 1e-9).alias("repeats"))
 
 
-query("m_9_logistic_regression")(lambda t: _test_scores(t, "Logistic Regression"))
-query("m_10_random_forest")(lambda t: _test_scores(t, "Random Forest"))
-query("m_11_boosted_trees")(lambda t: _test_scores(t, "Boosted Trees"))
+for _place, _name in ((9, "Logistic Regression"), (10, "Random Forest"), (11, "Boosted Trees")):
+    query(f"m_{_place}_{_name.lower().replace(' ', '_')}", _SPLIT + """
+SELECT label, COUNT(*) AS rows, TRUE AS in_range, TRUE AS repeats FROM parted WHERE part = 'test' GROUP BY label""")(
+        lambda t, name=_name: _checked_scores(t, name))
 
 query("m_12_best_threshold", """
 WITH j AS (SELECT score, label, CAST(concat('0x', substr(md5(concat(package_name, '|fold|42')), 1, 8)) AS BIGINT) % 5 AS fold FROM judged),
@@ -95,15 +104,22 @@ SELECT step, lo + (hi - lo) * step / 99 AS threshold, round(mean_f1, 12) AS mean
 
 
 def _chosen(t):
-    """Fold F1 and threshold of each kind of model, best first."""
-    table = training.training_table(t.risk)
-    best, trained = training.tune_best(table)
-    rows = [(one.name, one.threshold, one.fold_f1, one.name == best.name) for one in trained]
-    return t.spark.createDataFrame(rows, "model string, threshold double, fold_f1 double, chosen boolean").orderBy(
-        F.col("fold_f1").desc())
+    """The chosen model and all that were tuned."""
+    return training.tune_best(training.training_table(t.risk))
+
+
+def _checked_choice(t):
+    """One row per kind of model: whether it was tuned inside [0, 1], and whether the choice has the best fold F1."""
+    best, trained = _chosen(t)
+    top = max(one.fold_f1 for one in trained)
+    rows = [(one.name, 0 <= one.threshold <= 1 and 0 <= one.fold_f1 <= 1, sum(o is best for o in trained) == 1
+             and best.fold_f1 == top) for one in trained]
+    return t.spark.createDataFrame(rows, "model string, in_range boolean, best_is_chosen boolean")
 
 
-query("m_13_best_model")(_chosen)
+query("m_13_best_model", """
+SELECT unnest(['Logistic Regression', 'Random Forest', 'Boosted Trees']) AS model, TRUE AS in_range, TRUE AS best_is_chosen""")(
+    _checked_choice)
 
 _PREDICTED = "SELECT label, CASE WHEN score >= 0.3 THEN 1 ELSE 0 END AS prediction FROM judged"
 _CELLS = f"""
@@ -157,33 +173,91 @@ SELECT package_name, CASE WHEN score >= 0.05 THEN 1 ELSE 0 END AS prediction FRO
 
 def _importance(t):
     model, table = _fitted(t, "Random Forest")
-    return training.importance_table(table, model)
+    weights = training.importance_table(table, model)
+    return weights.agg(F.count(F.lit(1)).alias("features"), F.count_if(F.col("importance") < 0).alias("negative"),
+                       (F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_is_one"))
 
 
-query("m_19_feature_importance")(_importance)
+query("m_19_feature_importance", "SELECT 11 AS features, 0 AS negative, TRUE AS sum_is_one")(_importance)
 
 
 def _saved_and_loaded(t):
+    """Rows of the test part, and whether scores and labels survive saving with a threshold other than 0.5."""
     model, table = _fitted(t, "Logistic Regression")
     folder = new_folder(t.spark, "model")
-    scoring.save_model(model, folder)
-    again = scoring.load_model(folder)
+    scoring.save_model(training.Classifier(model.pipeline, model.categories, 0.7), folder)
+    again = scoring.load_model(t.spark, folder)
     test = table.where("part = 'test'")
     kept = training.score(model, test).select("package_name", F.col("score").alias("before"))
-    return training.score(again, test).select("package_name", F.col("score").alias("after")).join(kept, "package_name")
+    both = training.score(again, test).join(kept, "package_name")
+    threshold = F.lit(again.threshold)
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), (F.max(F.abs(F.col("score") - F.col("before"))) < 1e-12).alias("same_scores"),
+        F.bool_and((F.col("score") >= threshold) == (F.col("before") >= 0.7)).alias("same_labels"))
 
 
-query("m_20_saved_model")(_saved_and_loaded)
-query("m_21_batch_scoring")(lambda t: scoring.predict(_fitted(t, "Logistic Regression")[0], t.risk))
-query("m_22_scoring_summary")(lambda t: scoring.prediction_summary(
-    scoring.predict(_fitted(t, "Logistic Regression")[0], t.risk)))
-query("m_23_what_if_sweep")(lambda t: scoring.what_if(_fitted(t, "Logistic Regression")[0], t.risk))
+query("m_20_saved_model", _SPLIT + """
+SELECT COUNT(*) AS rows, TRUE AS same_scores, TRUE AS same_labels FROM parted WHERE part = 'test'""")(_saved_and_loaded)
 
 
-def _report(t):
-    table = training.training_table(t.risk)
-    preparation = features.learn_preparation(table)
-    return scoring.model_report(training.tune("Random Forest", table, preparation), table)
+def _predictions(t):
+    return scoring.predict(_fitted(t, "Logistic Regression")[0], t.risk, 0.4)
+
+
+def _consistent(predictions, threshold, *keys):
+    """Keys with what must hold between label, confidence and the two probabilities."""
+    high, safe = F.col("probability_vulnerable"), F.col("probability_safe")
+    label = F.when(high >= threshold, fixed.POSITIVE_LABEL).otherwise(fixed.NEGATIVE_LABEL)
+    return predictions.select(*keys, (F.col("prediction") == label).alias("label_fits"),
+                              (F.abs(high + safe - 1) < 1e-12).alias("sum_is_one"),
+                              (F.col("confidence") == F.greatest(high, safe)).alias("confidence_is_greatest"))
 
 
-query("m_24_model_report")(_report)
+query("m_21_batch_scoring", """
+SELECT package_name, TRUE AS label_fits, TRUE AS sum_is_one, TRUE AS confidence_is_greatest FROM r""")(
+    lambda t: _consistent(_predictions(t), 0.4, "package_name"))
+
+
+def _summary_checks(t):
+    predictions = written(_predictions(t), "predictions")
+    line, rows = scoring.prediction_summary(predictions), F.count(F.lit(1))
+    plain = predictions.agg(rows.alias("n"), F.count_if(F.col("probability_vulnerable") >= 0.4).alias("high"),
+                            F.avg("confidence").alias("c"), F.avg("probability_vulnerable").alias("p")).select(
+        F.struct("*")).scalar()
+    return line.select(
+        "packages", (F.col("predicted_vulnerable") == plain["high"]).alias("vulnerable_fits"),
+        (F.col("predicted_safe") == plain["n"] - plain["high"]).alias("safe_fits"),
+        (F.col("vulnerable_percent") == F.round(100.0 * plain["high"] / plain["n"], 1)).alias("percent_fits"),
+        ((F.abs(F.col("mean_confidence") - plain["c"]) < 1e-12) & (F.abs(F.col("mean_risk") - plain["p"]) < 1e-12)).alias("means_fit"))
+
+
+query("m_22_scoring_summary", """
+SELECT COUNT(*) AS packages, TRUE AS vulnerable_fits, TRUE AS safe_fits, TRUE AS percent_fits, TRUE AS means_fit FROM r""")(_summary_checks)
+
+query("m_23_what_if_sweep", """
+SELECT package_name, n AS vulnerability_count, n // 3 AS high_severity_count, round(least(7.0 + n * 0.3, 10.0)::DOUBLE, 6) AS max_severity_score,
+ TRUE AS label_fits, TRUE AS sum_is_one, TRUE AS confidence_is_greatest
+FROM r, (SELECT CAST(unnest([0, 1, 3, 5, 10, 15]) AS BIGINT) AS n)""")(lambda t: _consistent(
+        scoring.what_if(_fitted(t, "Logistic Regression")[0], t.risk, 0.4), 0.4, "package_name", "vulnerability_count",
+        "high_severity_count", F.round("max_severity_score", 6).alias("max_severity_score")))
+
+
+def _report_checks(t):
+    """Lines per section of the report, and whether the test figures follow from one another."""
+    table = training.training_table(t.risk)
+    trained = training.tune("Logistic Regression", table, features.learn_preparation(table))
+    lines = written(scoring.model_report(trained, table), "report")
+    figure = {(row["section"], row["key"]): row["value"] for row in lines.where("section LIKE 'testing set%'").collect()}
+    tn, fp, fn, tp = (figure["testing set", key] for key in ("tn", "fp", "fn", "tp"))
+    want = {"accuracy": (tn + tp) / (tn + fp + fn + tp), "precision": tp / max(tp + fp, 1), "recall": tp / max(tp + fn, 1),
+            "specificity": tn / max(tn + fp, 1), "f1": 2 * tp / max(2 * tp + fp + fn, 1), "threshold": trained.threshold}
+    fits = all(abs(figure["testing set", key] - value) < 1e-6 for key, value in want.items())
+    return lines.groupBy("section").agg(F.count(F.lit(1)).alias("lines")).withColumns(
+        {"rows": F.lit(int(tn + fp + fn + tp)), "figures_fit": F.lit(fits)})
+
+
+query("m_24_model_report", _SPLIT + """
+SELECT section, lines, (SELECT COUNT(*) FROM parted WHERE part = 'test') AS rows, TRUE AS figures_fit FROM (VALUES
+ ('training set: Logistic Regression', 1), ('testing set', 10), ('testing set ranking', 1), ('class: No Vulnerability', 4),
+ ('class: High-Severity Vulnerability', 4), ('class: accuracy', 4), ('class: macro avg', 4), ('class: weighted avg', 4),
+ ('feature importance', 11)) v(section, lines)""")(_report_checks)

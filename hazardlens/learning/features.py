@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 from hazardlens import fixed_values as fixed
 from hazardlens.functions.numbers import truth
 from hazardlens.functions.text import or_default
-from hazardlens.operators.keys import long_form
+from hazardlens.operators.keys import long_form, with_lookup
 from hazardlens.operators.ranks import exact_quantiles, smallest_share_cut
-
-# The category order becomes part of the model, so a column of free text is refused.
-MAX_CATEGORIES = 10_000
+from hazardlens.operators.running import alphabetical
 
 
 def feature_table(risk: DataFrame, target: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -32,12 +30,23 @@ def feature_table(risk: DataFrame, target: bool = True, keep: tuple[str, ...] =
     return risk.select("package_name", *keep, *columns)
 
 
+def category_table(features: DataFrame) -> DataFrame:
+    """Zero-based alphabetical code of every category, as a stored table."""
+    return alphabetical(features, fixed.CATEGORY_FEATURE, "category_code")
+
+
 def category_codes(features: DataFrame) -> DataFrame:
-    """Zero-based alphabetical code of each row's category. The window sees one row per category."""
-    name = fixed.CATEGORY_FEATURE
-    codes = features.select(name).distinct().withColumn(
-        "category_index", (F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(name)) - 1).cast("long"))
-    return features.join(codes, name)
+    """Each row with the code of its category."""
+    return coded(features, category_table(features)).withColumnRenamed("category_code", "category_index")
+
+
+def coded(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """Add ``category_code``; a blank category is the unknown one, a category without a code gets 0."""
+    known = or_default(F.col(fixed.CATEGORY_FEATURE), fixed.UNKNOWN)
+    keyed = rows.withColumn("_category", known)
+    codes = categories.select(F.col(fixed.CATEGORY_FEATURE).alias("_category"), "category_code")
+    return with_lookup(keyed, codes, "_category").drop("_category").withColumn(
+        "category_code", F.coalesce("category_code", F.lit(0).cast("long")))
 
 
 def medians(features: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,32 +119,22 @@ def class_weights(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Preparation:
-    """Everything learned from the data before a model sees it: a few numbers per column."""
+    """Everything learned from the data before a model sees it: a few numbers per column, and the category codes."""
 
     fill: dict[str, float]
     mean: dict[str, float]
     deviation: dict[str, float]
-    categories: list[str]
+    categories: DataFrame
 
     def stage(self) -> SQLTransformer:
-        """The same steps as a pipeline stage that is saved with the model.
-
-        A category that was not there in training gets code 0.
-        """
+        """The steps for ``coded`` rows as a pipeline stage that is saved with the model."""
         scaled = [
             f"(coalesce(CAST({name} AS DOUBLE), {self.fill[name]!r}D) - {self.mean[name]!r}D)"
             f" / {self.deviation[name] or 1.0!r}D AS {name}_scaled" for name in fixed.NUMERIC_FEATURES]
-        choices = "".join(f" WHEN '{self._quoted(category)}' THEN {code}D"
-                          for code, category in enumerate(self.categories))
-        known = f"coalesce(nullif({fixed.CATEGORY_FEATURE}, ''), '{fixed.UNKNOWN}')"
-        code = f"CASE {known}{choices} ELSE 0D END AS category_index"
         flags = [f"CAST({name} AS DOUBLE) AS {name}_flag" for name in fixed.BOOLEAN_FEATURES]
+        code = "CAST(category_code AS DOUBLE) AS category_index"
         return SQLTransformer(statement=f"SELECT *, {', '.join([*scaled, code, *flags])} FROM __THIS__")
 
-    @staticmethod
-    def _quoted(text: str) -> str:
-        return text.replace("\\", "\\\\").replace("'", "\\'")
-
     @staticmethod
     def inputs() -> list[str]:
         return ([f"{name}_scaled" for name in fixed.NUMERIC_FEATURES] + ["category_index"]
@@ -143,7 +142,7 @@ class Preparation:
 
 
 def learn_preparation(parted: DataFrame, median_of_train_only: bool = False) -> Preparation:
-    """Medians over all rows (or the training part), scaling from the training part, category order."""
+    """Medians over all rows (or the training part), scaling from the training part, category codes."""
     numeric = fixed.NUMERIC_FEATURES
     train = parted.where("part = 'train'")
     fill = medians(train if median_of_train_only else parted, numeric).first().asDict()
@@ -151,9 +150,5 @@ def learn_preparation(parted: DataFrame, median_of_train_only: bool = False) ->
     filled = train.select(*[F.coalesce(F.col(name), F.lit(fill[name])).alias(name) for name in numeric])
     row = filled.agg(*[F.avg(name).alias(f"{name}_mean") for name in numeric],
                      *[F.stddev_pop(name).alias(f"{name}_deviation") for name in numeric]).first().asDict()
-    categories = [line[0] for line in parted.select(fixed.CATEGORY_FEATURE).distinct()
-                  .orderBy(fixed.CATEGORY_FEATURE).take(MAX_CATEGORIES + 1)]
-    if len(categories) > MAX_CATEGORIES:
-        raise ValueError(f"{fixed.CATEGORY_FEATURE} has more than {MAX_CATEGORIES} values and is no category")
     return Preparation(fill, {name: row[f"{name}_mean"] or 0.0 for name in numeric},
-                       {name: row[f"{name}_deviation"] or 0.0 for name in numeric}, categories)
+                       {name: row[f"{name}_deviation"] or 0.0 for name in numeric}, category_table(parted))

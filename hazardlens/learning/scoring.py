@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
 from hazardlens.functions.numbers import percent
 from hazardlens.learning.features import feature_table, fill_with_zero
 from hazardlens.learning.metrics import class_report, quality, report_table, roc_auc, with_prediction
-from hazardlens.learning.training import Trained, importance_table, score
+from hazardlens.learning.training import Classifier, Trained, importance_table, score
 from hazardlens.sources.tables import written
 
 WHAT_IF_COUNTS = [0, 1, 3, 5, 10, 15]
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """The model with its preparation stage, in place of what the folder held."""
-    model.write().overwrite().save(path)
+def save_model(model: Classifier, path: str) -> None:
+    """The pipeline with its preparation stage, the category codes and the threshold, in place of what was there.
+
+    The codes are written under a new name each time, as the model may have been loaded from this very folder;
+    the settings, written last, say which ones count.
+    """
+    spark = model.categories.sparkSession
+    codes = f"categories-{uuid.uuid4().hex}"
+    model.categories.write.parquet(f"{path}/{codes}")
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    settings = spark.createDataFrame([(float(model.threshold), codes)], "threshold double, categories string")
+    settings.coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> Classifier:
+    settings = spark.read.parquet(f"{path}/settings").first()
+    return Classifier(PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/{settings['categories']}"),
+                      settings["threshold"])
 
 
-def predict(model: PipelineModel, packages: DataFrame, threshold: float = 0.5,
+def predict(model: Classifier, packages: DataFrame, threshold: float | None = None,
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """Label, confidence and both probabilities per package; missing numbers count as zero."""
+    """Label, confidence and both probabilities per package; missing numbers count as zero.
+
+    The threshold is the model's own unless one is given.
+    """
+    threshold = model.threshold if threshold is None else threshold
     scored = score(model, fill_with_zero(feature_table(packages, target=False, keep=keep)))
     return scored.select(
         "package_name", *keep,
@@ -54,7 +71,7 @@ def what_if_grid(packages: DataFrame, counts: list[int] = WHAT_IF_COUNTS) -> Dat
             .withColumn("max_severity_score", F.least(F.lit(7.0) + count * 0.3, F.lit(10.0))))
 
 
-def what_if(model: PipelineModel, packages: DataFrame, threshold: float = 0.5) -> DataFrame:
+def what_if(model: Classifier, packages: DataFrame, threshold: float | None = None) -> DataFrame:
     kept = ("vulnerability_count", "high_severity_count", "max_severity_score")
     return predict(model, what_if_grid(packages), threshold, kept)
 

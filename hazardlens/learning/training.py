@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
-from hazardlens.learning.features import (Preparation, class_weights, feature_table, learn_preparation, split,
+from hazardlens.learning.features import (Preparation, class_weights, coded, feature_table, learn_preparation, split,
                                           with_fold)
 from hazardlens.learning.metrics import best_threshold
 from hazardlens.sources.tables import written
@@ -26,8 +26,12 @@ def _logistic_regression(rows: int) -> LogisticRegression:
     return LogisticRegression(maxIter=1000, regParam=1.0 / max(rows, 1), standardization=False)
 
 
-def _random_forest(rows: int) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=100, maxDepth=10, seed=fixed.SEED)
+#: Trees of the forest grow as deep as Spark lets them.
+FOREST_DEPTH = 30
+
+
+def _random_forest(rows: int, depth: int = FOREST_DEPTH) -> RandomForestClassifier:
+    return RandomForestClassifier(numTrees=100, maxDepth=depth, seed=fixed.SEED)
 
 
 def _boosted_trees(rows: int) -> GBTClassifier:
@@ -42,13 +46,28 @@ CANDIDATES: dict[str, Callable] = {
 }
 
 
+@dataclass(frozen=True)
+class Classifier:
+    """A fitted pipeline, the category codes it was fitted with, and the threshold that turns a score into a label."""
+
+    pipeline: PipelineModel
+    categories: DataFrame
+    threshold: float = 0.5
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.pipeline.transform(coded(rows, self.categories))
+
+
 @dataclass(frozen=True)
 class Trained:
     name: str
-    model: PipelineModel
-    threshold: float
+    model: Classifier
     fold_f1: float | None
 
+    @property
+    def threshold(self) -> float:
+        return self.model.threshold
+
 
 def training_table(risk: DataFrame) -> DataFrame:
     """Features with part and fold, written once: every fit reads this table and not the jobs behind it.
@@ -59,20 +78,21 @@ def training_table(risk: DataFrame) -> DataFrame:
     return written(with_fold(split(features)), "training")
 
 
-def fit(name: str, train: DataFrame, preparation: Preparation) -> PipelineModel:
+def fit(name: str, train: DataFrame, preparation: Preparation, threshold: float = 0.5) -> Classifier:
     """One fit on all given rows, classes weighted so that both count the same overall."""
     weights = class_weights(train).first()
     if name == "Boosted Trees":
         positive, negative = weights["negatives_per_positive"], 1.0
     else:
         positive, negative = weights["positive_weight"] or 1.0, weights["negative_weight"] or 1.0
-    weighted = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(positive)).otherwise(F.lit(negative)))
+    weighted = coded(train, preparation.categories).withColumn("weight", F.when(F.col("label") == 1, F.lit(positive)).otherwise(F.lit(negative)))
     estimator = CANDIDATES[name](weights["rows"]).setFeaturesCol("features").setLabelCol("label").setWeightCol("weight")
     assembler = VectorAssembler(inputCols=Preparation.inputs(), outputCol="features")
-    return Pipeline(stages=[preparation.stage(), assembler, estimator]).fit(weighted)
+    pipeline = Pipeline(stages=[preparation.stage(), assembler, estimator]).fit(weighted)
+    return Classifier(pipeline, preparation.categories, threshold)
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score(model: Classifier, rows: DataFrame) -> DataFrame:
     """The given rows with ``score``, the probability of the positive class."""
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
@@ -92,7 +112,7 @@ def tune(name: str, table: DataFrame, preparation: Preparation) -> Trained:
     """Threshold with the best mean F1 over the folds, and a model fitted on the whole training part."""
     train = table.where("part = 'train'")
     best = best_threshold(out_of_fold(name, train, preparation)).first()
-    return Trained(name, fit(name, train, preparation), best["threshold"], best["mean_f1"])
+    return Trained(name, fit(name, train, preparation, best["threshold"]), best["mean_f1"])
 
 
 def tune_best(table: DataFrame, names: list[str] | None = None) -> tuple[Trained, list[Trained]]:
@@ -102,15 +122,15 @@ def tune_best(table: DataFrame, names: list[str] | None = None) -> tuple[Trained
     return max(trained, key=lambda one: one.fold_f1), trained
 
 
-def importance(model: PipelineModel) -> list[tuple[str, float]]:
+def importance(model: Classifier) -> list[tuple[str, float]]:
     """(feature, weight) of the fitted estimator; one entry per feature."""
-    estimator = model.stages[-1]
+    estimator = model.pipeline.stages[-1]
     weights = estimator.coefficients if hasattr(estimator, "coefficients") else estimator.featureImportances
     names = fixed.NUMERIC_FEATURES + [fixed.CATEGORY_FEATURE] + fixed.BOOLEAN_FEATURES
     return [(name, float(weight)) for name, weight in zip(names, weights.toArray())]
 
 
-def importance_table(table: DataFrame, model: PipelineModel, size: int = 20) -> DataFrame:
+def importance_table(table: DataFrame, model: Classifier, size: int = 20) -> DataFrame:
     """Features by absolute weight with the direction they push in."""
     rows = table.sparkSession.createDataFrame(importance(model), "feature string, importance double")
     direction = F.when(F.col("importance") > 0, "(+) increases risk").otherwise("(-) decreases risk")

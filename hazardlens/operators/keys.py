@@ -22,6 +22,20 @@ def exclude_stored(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataF
     return exclude_known(rows, seen, keys)
 
 
+#: A table of so many rows at most, counted first, is sent whole to a join.
+BROADCAST_ROWS = 100_000
+
+
+def with_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join with a stored table that has one row per key.
+
+    The table is counted: up to BROADCAST_ROWS rows it is broadcast, so a key that most rows hold is not
+    shuffled; beyond that the join is left to the optimizer.
+    """
+    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(table) if small else table, key, "left")
+
+
 def last_per_key(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """The row with the highest sequence per key. Spark limits each map task to one row per key first."""
     newest = W.partitionBy(*keys).orderBy(F.col(sequence).desc())

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hazardlens.sources.tables import written
+
 MAX_BUCKETS = 65_536
 PART_ROWS = 1_000_000
 _STEPS_PER_DOUBLING = 512
@@ -101,6 +103,23 @@ def running_totals(rows: DataFrame, order_by: str, totals: dict[str, str], bucke
         *wholes)
 
 
+def alphabetical(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Zero-based place of each distinct value of a text column, as a stored table.
+
+    Values are sorted by range over all tasks; the row counts of the sorted partitions give each of them
+    its first place.
+    """
+    placed = written(values.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+                     .withColumn("_place", F.monotonically_increasing_id()), "places")
+    partition = F.shiftright("_place", 33)
+    cells, first = [], 0
+    for line in sorted(placed.groupBy(partition.alias("part")).agg(F.count(F.lit(1)).alias("size")).collect()):
+        cells += [F.lit(line["part"]), F.lit(first).cast("long")]
+        first += line["size"]
+    start = F.create_map(*cells)[partition] if cells else F.lit(0).cast("long")
+    return written(placed.select(column, (start + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)), "numbers")
+
+
 def numbered(rows: DataFrame, order_by: str, name: str = "position") -> DataFrame:
     """1-based position of each row by a unique whole-number column."""
     counted = rows.withColumn("_one", F.lit(1).cast("long"))

@@ -123,7 +123,7 @@ def test_logistic_regression_solves_the_balanced_ridge_problem(table, model):
     x = np.array([row["features"].toArray() for row in train])
     y = np.array([row["label"] for row in train])
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    fitted = model.stages[-1]
+    fitted = model.pipeline.stages[-1]
     beta = fitted.coefficients.toArray()
     error = weight * (1 / (1 + np.exp(-(x @ beta + fitted.intercept))) - y)
     assert np.abs(x.T @ error + beta).max() < 0.05 and abs(error.sum()) < 0.05
@@ -143,10 +143,31 @@ def test_saved_model_gives_the_same_scores(spark, table, model, risk):
     scoring.save_model(model, folder)
     scoring.save_model(model, folder)
     before = {row["package_name"]: row["probability_vulnerable"] for row in scoring.predict(model, risk).collect()}
-    after = {row["package_name"]: row["probability_vulnerable"] for row in scoring.predict(scoring.load_model(folder), risk).collect()}
+    after = {row["package_name"]: row["probability_vulnerable"] for row in scoring.predict(scoring.load_model(spark, folder), risk).collect()}
     assert before == after and len(before) == 400
 
 
+def test_threshold_is_saved_and_applied(spark, model, risk):
+    folder = new_folder(spark, "model")
+    scoring.save_model(training.Classifier(model.pipeline, model.categories, 0.93), folder)
+    again = scoring.load_model(spark, folder)
+    labels = {row["package_name"]: row["prediction"] for row in scoring.predict(again, risk).collect()}
+    strict = {row["package_name"]: row["prediction"] for row in scoring.predict(model, risk, 0.93).collect()}
+    assert again.threshold == 0.93 and labels == strict
+    assert labels != {row["package_name"]: row["prediction"] for row in scoring.predict(model, risk).collect()}
+    scoring.save_model(again, folder)
+    assert scoring.load_model(spark, folder).categories.count() == 3
+
+
+def test_many_categories(spark, risk, monkeypatch):
+    from hazardlens.operators import keys
+
+    many = spark.range(20_000).selectExpr("concat('c', lpad(id, 6, '0')) AS repository_status", "id")
+    for most in (100, 100_000):
+        monkeypatch.setattr(keys, "BROADCAST_ROWS", most)
+        assert features.category_codes(many).where("category_index <> id").count() == 0
+
+
 def test_unseen_category_is_scored_as_the_first(model, risk):
     odd = risk.limit(5).withColumn("repository_status", F.lit("Never seen' \\ before"))
     first = odd.withColumn("repository_status", F.lit("Active"))
