@@ -76,15 +76,18 @@ query("src_4_text_lines", "SELECT line FROM raw_lines")(_text_lines)
 
 
 def _typed_csv(t):
+    """A file with its columns turned round, in capitals, one of them extra and one missing."""
     folder = new_folder(t.spark, "typed")
-    csv_files.write_cells(t.risk, folder, fixed.RISK_COLUMNS)
+    shuffled = [name for name in reversed(fixed.RISK_COLUMNS) if name != "forks"]
+    odd = csv_files.as_cells(t.risk, shuffled).withColumn("remark", F.lit("extra"))
+    odd.toDF(*[f" {name.upper()}" for name in odd.columns]).write.option("header", "true").option("escape", '"').csv(folder)
     return csv_files.read_typed(t.spark, folder, schemas.RISK_SUMMARY, line_breaks=False).withColumn(
         "latest_release_published_at", write_iso(F.col("latest_release_published_at")))
 
 
 _RISK_SQL = """
 SELECT r.* REPLACE (strftime(latest_release_published_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS latest_release_published_at) FROM r"""
-query("src_5_typed_csv", _RISK_SQL)(_typed_csv)
+query("src_5_typed_csv", _RISK_SQL.replace("REPLACE (", "REPLACE (CAST(NULL AS BIGINT) AS forks, "))(_typed_csv)
 
 
 def _optional_list(t):

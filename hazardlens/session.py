@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -60,6 +61,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when the path exists on whatever file system its scheme names."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+    try:
+        spark.read.format("binaryFile").load(path)  # has a schema of its own, so nothing is read
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True

@@ -26,25 +26,46 @@ def read_cells(spark: SparkSession, path: str, columns: list[str], line_breaks:
             .option("enforceSchema", "false").schema(schema).csv(path))
 
 
-def read_by_header(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
-    """All cells as text, columns named by the trimmed, lower-cased header of the file."""
+def place() -> Column:
+    """Where a row of a file stands: by file name, split and row. Wants a scan that nothing was selected from yet."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def read_by_header(spark: SparkSession, path: str, line_breaks: bool = True, with_seq: bool = False) -> DataFrame:
+    """All cells as text, columns named by the trimmed, lower-cased header of the file.
+
+    The files of a folder must have one header; ``with_seq`` adds ``seq``, the order of their lines.
+    """
     cells = (spark.read.options(**_QUOTING).option("multiLine", line_breaks).option("nullValue", "")
-             .option("inferSchema", "false").csv(path))
-    return cells.toDF(*[column.strip().lower() for column in cells.columns])
+             .option("inferSchema", "false").option("enforceSchema", "false").csv(path))
+    names = [column.strip().lower() for column in cells.columns]
+    if with_seq:
+        return cells.select("*", place().alias("seq")).toDF(*names, "seq")
+    return cells.toDF(*names)
 
 
-def typed(cells: DataFrame, schema: str) -> DataFrame:
+def typed(cells: DataFrame, schema: str, kept: list[str] | None = None) -> DataFrame:
     """Text cells to the declared types; what cannot be read becomes NULL."""
     def convert(name: str, kind) -> Column:
         text = null_if_blank(F.col(name))
         if isinstance(kind, TimestampNTZType):
             return read_iso(text)
         return text if isinstance(kind, StringType) else text.try_cast(kind)
-    return cells.select(*[convert(field.name, field.dataType).alias(field.name) for field in StructType.fromDDL(schema).fields])
+    return cells.select(*[convert(field.name, field.dataType).alias(field.name) for field in StructType.fromDDL(schema).fields], *(kept or []))
+
 
+def read_typed(spark: SparkSession, path: str, schema: str, line_breaks: bool = True, with_seq: bool = False) -> DataFrame:
+    """Columns of the schema by the names of the header, in any order and letter case.
 
-def read_typed(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
-    return typed(read_cells(spark, path, StructType.fromDDL(schema).names, line_breaks), schema)
+    Columns that the file lacks are NULL, and others are left out. ``with_seq`` adds the order of the lines.
+    """
+    cells = read_by_header(spark, path, line_breaks, with_seq)
+    there = set(cells.columns)
+    wanted = [F.col(name) if name in there else F.lit(None).cast("string").alias(name)
+              for name in StructType.fromDDL(schema).names]
+    more = ["seq"] if with_seq else []
+    return typed(cells.select(*wanted, *more), schema, more)
 
 
 def as_cells(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,37 +7,58 @@ from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
 from hazardlens import schemas
-from hazardlens.operators.keys import exclude_stored
+from hazardlens.operators.keys import exclude_stored, last_per_key
 from hazardlens.plans.vulnerabilities import flatten
 from hazardlens.session import path_exists
-from hazardlens.sources.documents import parse_column
+from hazardlens.sources.documents import parse_readable
 
+#: Folders that the ids of a batch are spread over; a later batch reads those of its own ids only.
+ID_BUCKETS = 256
 
-def take_in(spark: SparkSession, documents: str, table: str, checkpoint: str, files_per_batch: int = 1000) -> None:
+
+def take_in(spark: SparkSession, documents: str, table: str, checkpoint: str, files_per_batch: int = 1000,
+            one_per_file: bool = False) -> None:
     """Run through everything that arrived in the ``documents`` folder since the last call, then stop.
 
-    The checkpoint remembers the files; ids that an earlier batch stored are left out, as a document
-    may arrive again under another file name. A batch writes one folder of its own and overwrites it
-    when it is tried again, so a batch that was cut off leaves no rows behind twice.
+    A file holds one document per line, or with ``one_per_file`` one document of any layout. The checkpoint
+    remembers the files; ids that an earlier batch stored are left out, as a document may arrive again under
+    another file name. Of several versions of an id in one batch the one modified last counts. Texts that are
+    no JSON go to ``<table>-unreadable``. A batch writes folders of its own and overwrites them when it is tried
+    again, so a batch that was cut off leaves no rows behind twice.
     """
     arrivals = (spark.readStream.schema("document string").option("maxFilesPerTrigger", files_per_batch)
-                .text(documents))
+                .text(documents, wholetext=one_per_file))
 
     def store(batch: DataFrame, number: int) -> None:
-        parsed = parse_column(batch, "document", schemas.VULNERABILITY_DOCUMENT)
-        rows = flatten(parsed.dropDuplicates(["id"]))
+        filled = batch.where(F.trim("document") != "")
+        (filled.where(F.try_parse_json("document").isNull()).write.mode("overwrite")
+         .parquet(f"{table}-unreadable/batch={number}"))
+        parsed = parse_readable(filled, "document", schemas.VULNERABILITY_DOCUMENT).withColumn(
+            "_version", F.struct(F.coalesce("modified", "published"), F.monotonically_increasing_id()))
+        rows = flatten(last_per_key(parsed, ["id"], "_version").drop("_version")).withColumn("bucket", _bucket())
         earlier = stored_rows(batch.sparkSession, table)
         if earlier is not None:
-            rows = exclude_stored(rows, earlier.where(F.col("batch") < number), ["osv_id"])
-        rows.select(*fixed.FLAT_COLUMNS).write.mode("overwrite").parquet(
+            buckets = [row[0] for row in rows.select("bucket").distinct().collect()]  # ID_BUCKETS at most
+            known = earlier.where((F.col("batch") < number) & F.col("bucket").isin(buckets))
+            rows = exclude_stored(rows, known, ["osv_id"])
+        rows.select(*fixed.FLAT_COLUMNS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
             f"{table}/batch={number}")
 
     (arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("osv_id"), F.lit(ID_BUCKETS)).cast("int")
+
+
 def stored_rows(spark: SparkSession, table: str) -> DataFrame | None:
-    """All rows taken in so far with the number of their batch, None before the first batch."""
+    """All rows taken in so far with the number of their batch and id bucket, None before the first batch."""
     if not path_exists(spark, table):
         return None
-    return spark.read.schema(f"{schemas.VULNERABILITIES}, batch bigint").parquet(table)
+    return spark.read.schema(f"{schemas.VULNERABILITIES}, batch bigint, bucket int").parquet(table)
+
+
+def unreadable_texts(spark: SparkSession, table: str) -> DataFrame:
+    """The texts that no batch could read, with the number of their batch."""
+    return spark.read.schema("document string, batch bigint").parquet(f"{table}-unreadable")

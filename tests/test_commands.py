@@ -1,10 +1,12 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
 from hazardlens import schemas
 from hazardlens.__main__ import main
+from hazardlens.learning import scoring
 from hazardlens.session import new_folder
 from hazardlens.sources import csv_files
 from tests.conftest import rows
@@ -27,7 +29,8 @@ def test_documents_to_scores_through_files(spark, tmp_path, capsys):
         (project_files / f"{name}.json").write_text(json.dumps({
             "stars": stars, "description": 'a "b", c\nd', "repository_status": "Unmaintained",
             "latest_release_number": "1.0", "latest_release_published_at": "2020-12-31T00:00:00Z", "versions": [{}, {}], "normalized_licenses": ["MIT", "ISC"]}, indent=1))
-    out = {name: new_folder(spark, name) for name in ("flat", "projects", "summary", "risk", "scored", "tables", "names", "batches", "needs")}
+    out = {name: new_folder(spark, name) for name in ("flat", "projects", "summary", "risk", "scored", "tables", "names", "batches", "needs", "answers", "profiles", "todo",
+                                                 "appended")}
 
     def run(*arguments):
         main([str(argument) for argument in arguments], spark)
@@ -39,7 +42,11 @@ def test_documents_to_scores_through_files(spark, tmp_path, capsys):
     run("risk-scores", out["risk"], "--out", out["scored"])
     run("load", out["flat"], out["projects"], out["summary"], out["risk"], "--out", out["tables"])
     run("dependency-table", out["projects"], dependency_files, "--out", out["needs"])
-    run("questions", f"{out['tables']}/extracted_package_risk_summary", out["needs"])
+    run("questions", f"{out['tables']}/extracted_package_risk_summary", out["needs"], "--out", out["answers"])
+    run("profiles", out["risk"], out["needs"], "--out", out["profiles"])
+    run("pending-work", out["projects"], out["needs"], "--out", out["todo"])
+    run("project-table", project_files, "--append", "--out", out["appended"])
+    run("project-table", project_files, "--append", "--out", out["appended"])
     run("findings", out["scored"])
     run("check-summary", out["summary"])
     run("list-from-summary", out["summary"], "--out", out["names"])
@@ -61,6 +68,46 @@ def test_documents_to_scores_through_files(spark, tmp_path, capsys):
         ("@org/tool", 12, "1.0"), ("lib", 3, "1.0")]
     batch = spark.read.json(out["batches"]).first()
     assert batch["package_count"] == 3 and json.loads(batch["request"])["queries"][0]["package"]["ecosystem"] == "npm"
+    assert spark.read.parquet(out["appended"]).count() == 3
+    assert rows(csv_files.read_by_header(spark, out["todo"])) == [("calm",)]
+    answer = csv_files.read_by_header(spark, f"{out['answers']}/top_by_vulnerability_count")
+    assert answer.count() == 3 and "package_name" in answer.columns
+    assert csv_files.read_by_header(spark, f"{out['profiles']}/class_distribution").count() == 2
     shown = capsys.readouterr().out
     assert "CRITICAL" in shown and "10K+ stars" not in shown and "top_risk_package" in shown and "PASS" in shown
     assert "11-20 dependencies" in shown and "0 dependencies" in shown
+
+
+def test_scored_table_trains_a_model_that_predicts(spark, capsys):
+    draw = random.Random(3)
+    out = {name: new_folder(spark, name) for name in ("risk", "scored", "model", "predicted", "sweep", "figures", "high")}
+    lines = [(f"p{n}", "npm", draw.randint(0, 999), 1, 2, 3, 4, 5, draw.choice(["Active", "Deprecated", None]), None, n % 40,
+              n, True, n % 5 == 0, n % 4, n % 2, float(n % 10), n % 2 == 1) for n in range(150)]
+    csv_files.write_cells(spark.createDataFrame(lines, schemas.RISK_SUMMARY), out["risk"], fixed.RISK_COLUMNS)
+
+    def run(*arguments):
+        main([str(argument) for argument in arguments], spark)
+
+    run("risk-scores", out["risk"], "--out", out["scored"])
+    run("train", out["scored"], "--models", "Logistic Regression", "--out", out["model"])
+    run("predict", out["model"], out["scored"], "--out", out["predicted"], "--tables", "csv")
+    run("predict", out["model"], out["scored"], "--threshold", "2", "--out", out["high"])
+    run("what-if", out["model"], out["scored"], "--out", out["sweep"])
+    run("diagnostics", out["model"], out["risk"], "--no-line-breaks", "--out", out["figures"])
+    threshold = scoring.load_model(spark, out["model"]).threshold
+    found = csv_files.read_by_header(spark, out["predicted"])
+    assert found.count() == 150
+    high = F.col("probability_vulnerable").cast("double") >= threshold
+    assert found.where((F.col("prediction") == fixed.POSITIVE_LABEL) != high).count() == 0
+    assert csv_files.read_by_header(spark, out["high"]).where(F.col("prediction") == fixed.POSITIVE_LABEL).count() == 0
+    assert csv_files.read_by_header(spark, out["sweep"]).count() == 900
+    assert csv_files.read_by_header(spark, f"{out['figures']}/quality_at_safety_threshold").count() == 1
+    assert "feature importance" in csv_files.read_by_header(spark, f"{out['model']}/report").toPandas()["section"].values
+
+
+def test_line_order_follows_file_names(spark, tmp_path):
+    (tmp_path / "part-0.csv").write_text("name,n\nfirst,0\n")
+    (tmp_path / "part-1.csv").write_text("name,n\n" + "".join(f"row {n},{n}\n" for n in range(1, 51)))
+    found = csv_files.read_typed(spark, str(tmp_path), "n int, name string, missing long", with_seq=True)
+    assert [row["n"] for row in found.orderBy("seq").collect()] == list(range(51))
+    assert found.where("missing IS NOT NULL").count() == 0

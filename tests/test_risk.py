@@ -26,6 +26,14 @@ def risk(spark):
     return risk_summary(summary, projects, utc("2001-12-31 12:00:00"))
 
 
+def test_last_summary_row_of_a_name_counts(spark):
+    projects = spark.createDataFrame([], PROJECT)
+    for order in ((1, 2), (2, 1)):
+        summary = spark.createDataFrame([("x", "npm", 1, 0, 1.0, order[0]), ("X ", "other", 9, 0, 2.0, order[1])], SUMMARY)
+        found = risk_summary(summary, projects, utc("2001-12-31 12:00:00")).first()
+        assert found["vulnerability_count"] == (9 if order[1] == 2 else 1)
+
+
 def test_risk_summary(spark):
     found = {row["package_name"].strip().lower(): row for row in risk(spark).collect()}
     assert set(found) == {"both", "only-vulnerable", "only-project"}

@@ -1,7 +1,7 @@
 import json
 
 from hazardlens.session import new_folder
-from hazardlens.streaming.arrivals import stored_rows, take_in
+from hazardlens.streaming.arrivals import stored_rows, take_in, unreadable_texts
 
 
 def document(osv_id, *names):
@@ -24,3 +24,17 @@ def test_each_document_is_taken_once(spark, tmp_path):
     (inbox / "2.txt").write_text("\n".join([document("A", "z"), document("C", "w"), document("C", "w")]))
     assert ids() == first + [("C", "w")]
     assert ids() == first + [("C", "w")]
+    assert [row["document"] for row in unreadable_texts(spark, table).collect()] == ["{broken"]
+
+
+def test_whole_files_and_the_latest_version(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    table, progress = new_folder(spark, "table"), new_folder(spark, "progress")
+    for file, name, modified in [("1", "old", "2020-01-01T00:00:00Z"), ("2", "new", "2021-01-01T00:00:00Z")]:
+        (inbox / f"{file}.json").write_text(json.dumps({**json.loads(document("A", name)), "modified": modified}, indent=2))
+    (inbox / "3.json").write_text(document("B", "x"))
+    (inbox / "4.json").write_text("{\n broken")
+    take_in(spark, str(inbox), table, progress, one_per_file=True)
+    assert sorted((row["osv_id"], row["package_name"]) for row in stored_rows(spark, table).collect()) == [("A", "new"), ("B", "x")]
+    assert unreadable_texts(spark, table).count() == 1
