@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazardlens.llm import licenses, mixing, preferences
+from hazardlens.llm import licenses, mixing, preferences, secret_scan
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -125,6 +125,72 @@ SELECT doc_id, sha256(d.canonical) AS digest, license_id, coalesce(n, 0) AS n_li
 FROM d LEFT JOIN k ON d.canonical = k.canonical LEFT JOIN f ON d.row = f.row"""
 
 
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def contamination() -> str:
+    words = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words}, []) AS w FROM documents),
+i AS (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS words
+  FROM i, LATERAL (SELECT unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k) WHERE len(w) > 0),
+z AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT r, size, k, array_to_string(w[k:k + size - 1], ' ') AS words
+  FROM d, z, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS k) WHERE len(w) >= size),
+h AS (SELECT r, k, dw.size, item_id FROM dw JOIN iw ON dw.size = iw.size AND dw.words = iw.words),
+p AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS pos FROM h) GROUP BY r),
+m AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT cast(item_id AS varchar), ',' ORDER BY cast(item_id AS varchar)) AS items
+  FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN m USING (r)"""
+
+
+def jaccard() -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[k:k + 2], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k)
+  WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT x, y FROM p JOIN n nx ON x = nx.r JOIN n ny ON y = ny.r WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT r, r AS m FROM d UNION SELECT reach.r, l.y FROM reach JOIN l ON reach.m = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d o ON o.r = reach.m GROUP BY d.r, d.doc_id"""
+
+
+def secrets() -> str:
+    """Letters of the names are classes of both cases: a case flag would fold beyond ASCII here."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = f"""({names})["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+    kinds = [("assign", assign, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+             (secret_scan.OPAQUE[0], secret_scan.OPAQUE[1], 0, 24)]
+    found = " UNION ALL ".join(f"""
+  SELECT r, source, repository, {k} AS o, '{kind}' AS kind, end_at - length(m) AS start, end_at, v FROM (
+    SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) AS end_at FROM (
+      SELECT r, source, repository, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(regexp_extract_all(text, '{pattern}', {group})) AS v,
+        unnest(regexp_split_to_array(text, '{pattern}')) AS gap, unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS i FROM d) WHERE m IS NOT NULL)
+  WHERE length(v) >= {least}""" for k, (kind, pattern, group, least) in enumerate(kinds))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source,
+  coalesce(source, '') || '/' || coalesce(lang, '') AS repository, coalesce(text, '') AS text FROM documents),
+f AS MATERIALIZED ({found}),
+b AS (SELECT * FROM f WHERE o < 3),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM f WHERE o = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]')
+  AND regexp_matches(v, '[A-Z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = f.r AND b.start < f.end_at AND f.start < b.end_at)),
+w AS (SELECT v, count(DISTINCT source) AS owners FROM a GROUP BY v),
+j AS (SELECT a.*, owners, kind || ':' || start || ':' || end_at AS span FROM a JOIN w USING (v)),
+g AS (SELECT r, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY start, o) FILTER (o < 3) AS base, string_agg(span, ',' ORDER BY start, o) FILTER (o < 3 OR owners = 1) AS spans,
+  count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= {secret_scan.EXAMPLE_OWNERS}) AS n_examples FROM j GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+FROM d LEFT JOIN g USING (r)"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_chat_formatting": chat_formatting(), "op5_mixing": mix(), "op7_warc": warc(),
-            "op10_license_scan": license_scan()}
+    return {"op1_chat_formatting": chat_formatting(), "op5_mixing": mix(), "op6_decontamination": contamination(),
+            "op7_warc": warc(), "op8_secret_scan": secrets(), "op9_ngram_jaccard_join": jaccard(), "op10_license_scan": license_scan()}
