@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.llm.linking import linked_groups
-from hazardlens.llm.scratch import stored
+from hazardlens.llm.scratch import bucketed, stored
 from hazardlens.llm.words import NOT_SPACE, Words, gram_hash, lists, mix, on_slices, salt, signed, split_words
 
 CLASS_RATIO = 1.6
@@ -123,7 +123,7 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
         picked = nodes.join(active, "node").select("id").distinct()
         grams = (rows.join(picked, rows["id"].eqNullSafe(picked["id"]), "left_semi").select("text")
                  .mapInArrow(on_slices(full_rows), "node bigint, grams array<bigint>"))
-        incidence = stored(grams.join(active, "node", "left_semi").dropDuplicates(["node"]), "incidence")
+        incidence = bucketed(grams.join(active, "node", "left_semi").dropDuplicates(["node"]), "incidence", "node")
         left, right = (incidence.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
 
         def verified(pairs: DataFrame) -> DataFrame:

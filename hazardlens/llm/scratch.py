@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from hazardlens.session import new_folder
@@ -10,19 +12,34 @@ from hazardlens.session import new_folder
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write the frame below ``spark.checkpoint.dir`` and read it back."""
-    spark = frame.sparkSession
-    path = new_folder(spark, label)
+def _freeing(spark: SparkSession, write: Callable[[], None]) -> None:
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        # The setting counts for data frames made under it.
-        frame.select("*").write.partitionBy(*(partition_by or [])).parquet(path)
+        write()
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
+
+
+def stored(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write the frame below ``spark.checkpoint.dir`` and read it back."""
+    spark = frame.sparkSession
+    path = new_folder(spark, label)
+    # The setting counts for data frames made under it.
+    _freeing(spark, lambda: frame.select("*").write.partitionBy(*(partition_by or [])).parquet(path))
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, label: str, key: str) -> DataFrame:
+    """As ``stored``, in buckets of the key: joins on it, however many, shuffle their other side only."""
+    spark = frame.sparkSession
+    path = new_folder(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _freeing(spark, lambda: frame.repartition(parts, key).write.bucketBy(parts, key).sortBy(key)
+             .option("path", path).format("parquet").saveAsTable(name))
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
