@@ -54,6 +54,18 @@ SELECT CASE c_custkey % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'success' WHEN 2 THE
  COUNT(*) AS items FROM customer GROUP BY 1""")(_outcomes)
 
 
+def _pending(t):
+    """Candidate names that no earlier run has stored."""
+    wanted = t.candidates().select(F.lower("package_name").alias("package_name")).where("trim(package_name) <> ''")
+    stored = t.projects.where("seq % 4 = 0").select(F.lower("package_name").alias("package_name"))
+    return names.pending(wanted, stored, ["package_name"])
+
+
+query("job_5_pending", """
+SELECT DISTINCT lower(package_name) AS package_name FROM c WHERE trim(package_name) <> ''
+ AND lower(package_name) NOT IN (SELECT lower(package_name) FROM p WHERE seq % 4 = 0)""")(_pending)
+
+
 def _stored_projects(t):
     """Two loads of overlapping documents into one table; the second adds only what is new."""
     documents = parse_readable(t.project_documents(), "document", schemas.PROJECT_DOCUMENT)

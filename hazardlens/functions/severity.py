@@ -10,7 +10,7 @@ from hazardlens.functions.numbers import lenient_decimal
 from hazardlens.functions.text import or_default
 
 _SCORE_AND_TYPE = "struct<score:double,type:string>"
-_NUMBER_KINDS = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+_NUMBER_KINDS = ("BIGINT", "DOUBLE", "FLOAT")
 
 
 def label_score(label: Column) -> Column:
@@ -35,7 +35,11 @@ def from_cvss_field(score: Column) -> Column:
 
 def from_severity_list(entries: Column) -> Column:
     """First entry whose score is a JSON number; vector texts are passed over."""
-    numeric = F.filter(entries, lambda entry: F.schema_of_variant(entry["score"]).rlike(_NUMBER_KINDS))
+    def is_number(entry: Column) -> Column:
+        kind = F.schema_of_variant(entry["score"])
+        return kind.isin(*_NUMBER_KINDS) | kind.startswith("DECIMAL")
+
+    numeric = F.filter(entries, is_number)
     first = F.get(numeric, F.lit(0))
     return _answer(F.try_variant_get(first["score"], "$", "double"), or_default(first["type"], "CVSS"))
 

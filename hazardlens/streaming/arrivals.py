@@ -13,7 +13,7 @@ from hazardlens.session import path_exists
 from hazardlens.sources.documents import parse_readable
 
 #: Folders that the ids of a batch are spread over; a later batch reads those of its own ids only.
-ID_BUCKETS = 256
+ID_BUCKETS = 64
 
 
 def take_in(spark: SparkSession, documents: str, table: str, checkpoint: str, files_per_batch: int = 1000,
@@ -41,7 +41,7 @@ def take_in(spark: SparkSession, documents: str, table: str, checkpoint: str, fi
             buckets = [row[0] for row in rows.select("bucket").distinct().collect()]  # ID_BUCKETS at most
             known = earlier.where((F.col("batch") < number) & F.col("bucket").isin(buckets))
             rows = exclude_stored(rows, known, ["osv_id"])
-        rows.select(*fixed.FLAT_COLUMNS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+        rows.select(*fixed.FLAT_COLUMNS, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
             f"{table}/batch={number}")
 
     (arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
