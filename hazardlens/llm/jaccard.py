@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.llm.linking import linked_groups
-from hazardlens.llm.scratch import bucketed, stored
+from hazardlens.llm.scratch import bucketed, stored, stored_at
 from hazardlens.llm.words import NOT_SPACE, Words, gram_hash, lists, mix, on_slices, salt, signed, split_words
 
 CLASS_RATIO = 1.6
@@ -101,12 +101,15 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
             names=["id", "n_shingles", "node", "keys"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    sets = stored(rows.mapInArrow(on_slices(describe), f"id {kind}, n_shingles bigint, node bigint, keys array<bigint>"),
-                  "sets")
+    described, drop_described = stored_at(rows.mapInArrow(
+        on_slices(describe), f"id {kind}, n_shingles bigint, node bigint, keys array<bigint>"), "described")
+    sets = stored(described.select("id", "n_shingles", "node"), "sets")
     nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(
-        F.count("*").alias("weight"), F.min("id").alias("id"), F.max("n_shingles").alias("n"),
-        F.first("keys").alias("keys")), "nodes")  # equal sets have equal keys
-    postings = nodes.select(F.explode("keys").alias("key"), "node")
+        F.count("*").alias("weight"), F.min("id").alias("id"), F.max("n_shingles").alias("n")), "nodes")
+    keyed, drop_keyed = stored_at(described.where(F.size("keys") > 0).groupBy("node").agg(
+        F.first("keys").alias("keys")), "keyed")  # equal sets have equal keys
+    drop_described()
+    postings = keyed.select(F.explode("keys").alias("key"), "node")
 
     def near(p: str, q: str) -> Column:
         small, large = F.least(F.col(f"{p}n"), F.col(f"{q}n")), F.greatest(F.col(f"{p}n"), F.col(f"{q}n"))
@@ -134,7 +137,7 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
 
         return verified
 
-    groups = linked_groups(postings, nodes, ["n"], near, prepare)
+    groups = linked_groups(postings, nodes, ["n"], near, prepare, release=drop_keyed)
     least = (nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
              .select("node", "component", "id"))
     lowest = least.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -51,17 +51,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], near: Callable[[str, str], Column],
-                  prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], pivot_rounds: int = 2) -> DataFrame:
+                  prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], pivot_rounds: int = 2,
+                  release: Callable[[], None] = lambda: None) -> DataFrame:
     """(node, component) of the nodes that have a link.
 
     ``postings`` (key, node) are distinct; ``nodes`` has node, weight and the payload columns, one row a node.
     ``near(p, q)`` is a cheap test on payload columns prefixed by p and q, the same in both orders.
     ``prepare`` gets the nodes (node) that share a key with another and returns the full test: a function of
-    distinct pairs (a, b), a < b, that returns those which link.
+    distinct pairs (a, b), a < b, that returns those which link. ``release`` is called once the postings have
+    been read for good.
     """
     columns = ["node", "weight", *payload]
     several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(postings.join(several, "key").select("key", "node"), "shared-keys")
+    release()
     verified = prepare(members.select("node").distinct())
     members = members.join(nodes.select(*columns), "node")
     groups = None

@@ -23,11 +23,20 @@ def _freeing(spark: SparkSession, write: Callable[[], None]) -> None:
 
 def stored(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write the frame below ``spark.checkpoint.dir`` and read it back."""
+    return stored_at(frame, label, partition_by)[0]
+
+
+def stored_at(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``stored``, with a function that empties the table once nothing reads it any more."""
     spark = frame.sparkSession
     path = new_folder(spark, label)
     # The setting counts for data frames made under it.
     _freeing(spark, lambda: frame.select("*").write.partitionBy(*(partition_by or [])).parquet(path))
-    return spark.read.schema(frame.schema).parquet(path)
+
+    def release() -> None:
+        spark.createDataFrame([], frame.schema).write.mode("overwrite").parquet(path)
+
+    return spark.read.schema(frame.schema).parquet(path), release
 
 
 def bucketed(frame: DataFrame, label: str, key: str) -> DataFrame:

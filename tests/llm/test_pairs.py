@@ -78,7 +78,7 @@ def test_jaccard_odd_rows(odd_rows, nothing):
 
 def test_jaccard_without_pivots_gives_the_same(documents, texts, monkeypatch):
     plain = linking.linked_groups
-    monkeypatch.setattr(jaccard, "linked_groups", lambda *a: plain(*a, pivot_rounds=0))
+    monkeypatch.setattr(jaccard, "linked_groups", lambda *a, **b: plain(*a, **b, pivot_rounds=0))
     got = {r["id"]: r["component_id"] for r in jaccard.jaccard_groups(documents).collect()}
     assert got == {i: c for i, (_, c) in reference.jaccard(texts).items()}
 
