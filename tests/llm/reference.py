@@ -83,7 +83,7 @@ def contamination(text, items, window=10):
 
 def katz(rows, discounts, held):
     """doc_id -> (score, base score)."""
-    tokens = {i: [*words(t), None] for i, t in rows}
+    tokens = {i: [*words(lower(t)), None] for i, t in rows}
     train = [i for i in tokens if not held(i)]
     one = Counter(w for i in train for w in tokens[i])
     two = Counter(p for i in train for p in zip([("start",), *tokens[i]], tokens[i], strict=False))
