@@ -7,7 +7,9 @@ Equal blocks are the candidate cells of the product; sizes discard the cells tha
 and for the rest the overlap is summed over the whole rows. Equal sets are one row of the matrix.
 
 Sizes fall into classes of ratio ``CLASS_RATIO``; a set near the upper end of its class also appears in the
-next one, so two sets that may link always meet in a class with the same m.
+next one, so two sets that may link always meet in a class with the same m. There they share at least m blocks
+less one for each n-gram in which sets of their two sizes may differ; the overlap counts of the last pass are
+held against that bound.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from hazardlens.llm.scratch import bucketed, stored, stored_at
 from hazardlens.llm.words import NOT_SPACE, Words, gram_hash, lists, mix, on_slices, salt, signed, split_words
 
 CLASS_RATIO = 1.6
+#: Keys end in the number of their size class; so many classes reach beyond 10^12 n-grams.
+LEVELS = 64
 
 
 def size_classes(threshold: int, largest: int) -> list[tuple[int, int]]:
@@ -73,7 +77,8 @@ def block_keys(grams: np.ndarray, threshold: int, classes: list[tuple[int, int]]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams ^ salt(7))[order], dtype=np.uint64)))
         cut = np.searchsorted(block[order], np.arange(blocks + 1))
         names = np.arange(blocks, dtype=np.uint64) + salt(1000 + level)
-        out.append(mix(mix(names) + sums[cut[1:]] - sums[cut[:-1]]))
+        keys = mix(mix(names) + sums[cut[1:]] - sums[cut[:-1]])
+        out.append(keys - keys % np.uint64(LEVELS) + np.uint64(level))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -115,6 +120,13 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
         small, large = F.least(F.col(f"{p}n"), F.col(f"{q}n")), F.greatest(F.col(f"{p}n"), F.col(f"{q}n"))
         return small * 100 >= large * threshold
 
+    blocks = F.array(*(F.lit(b).cast("long") for _, b in size_classes(threshold, 10 ** 12)))
+
+    def least_shared(level: Column, p: str, q: str) -> Column:
+        """All blocks of the class but one for each n-gram in which sets of these sizes may differ."""
+        apart = F.floor((F.col(f"{p}n") + F.col(f"{q}n")) * (100 - threshold) / (100 + threshold))
+        return F.get(blocks, level) - apart
+
     def full_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = gram_sets(split_words(batch.column("text"), NOT_SPACE, lower=True), size)
         bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
@@ -137,7 +149,8 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
 
         return verified
 
-    groups = linked_groups(postings, nodes, ["n"], near, prepare, release=drop_keyed)
+    groups = linked_groups(postings, nodes, ["n"], near, prepare, release=drop_keyed,
+                           least_shared=least_shared, level=lambda key: F.pmod(key, F.lit(LEVELS)).cast("int"))
     least = (nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
              .select("node", "component", "id"))
     lowest = least.groupBy("component").agg(F.min("id").alias("component_id"))
