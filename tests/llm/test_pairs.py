@@ -53,7 +53,11 @@ def test_sets_that_link_share_a_block():
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= threshold * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                assert np.isin(jaccard.block_keys(a, threshold, classes), jaccard.block_keys(b, threshold, classes)).any()
+                shared = np.intersect1d(jaccard.block_keys(a, threshold, classes), jaccard.block_keys(b, threshold, classes))
+                levels, counts = np.unique(shared % np.uint64(jaccard.LEVELS), return_counts=True)
+                apart = (len(a) + len(b)) * (100 - threshold) // (100 + threshold)
+                assert len(shared)
+                assert all(n >= classes[int(k)][1] - apart for k, n in zip(levels, counts, strict=True))
 
 
 def test_jaccard_groups(documents, texts):
