@@ -7,6 +7,8 @@ left is looked up by a hash join.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ SPELLINGS = [
 
 ANY_SPELLING = "(^| )(" + "|".join(old for old, _ in SPELLINGS) + ")( |$)"
 
-#: Known notices and short licences, public texts.
-KNOWN = [
+#: Notices and short licences, public texts.
+TEXTS = [
     ("MIT", "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software "
      "and associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
      "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
@@ -70,6 +72,76 @@ KNOWN = [
      "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 
+#: Conditions and disclaimer of the BSD licences; the third clause is left out in the 2-clause one.
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+       "following conditions are met:\n{0}Redistributions of source code must retain the above copyright notice, this list "
+       "of conditions and the following disclaimer.\n{1}Redistributions in binary form must reproduce the above copyright "
+       "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+       "with the distribution.\n{2}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+       "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+       "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+       "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+       "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+       "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+       "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+BSD_THIRD = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+             "products derived from this software without specific prior written permission.\n")
+#: Whole texts in ``license_texts``; their first paragraph is the title.
+LONG_TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+#: What follows is instructions for authors, which copies often leave out.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+#: Names that licence lines call a licence by.
+NAMES = [
+    ("MIT", "the MIT License"), ("ISC", "the ISC License"), ("Apache-2.0", "the Apache License, Version 2.0"),
+    ("Apache-2.0", "the Apache License 2.0"), ("BSD-2-Clause", "the BSD 2-Clause License"),
+    ("BSD-3-Clause", "the BSD 3-Clause License"), ("MPL-2.0", "the Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "the Mozilla Public License 2.0"), ("MPL-2.0", "the Mozilla Public License, v. 2.0"),
+    ("CC0-1.0", "CC0 1.0"), ("CC0-1.0", "CC0 1.0 Universal"),
+]
+NAMES += [(f"{short}-{version}", f"the GNU {name}General Public License{then}{version.removesuffix('.0')}{end}")
+          for short, name, versions in (("GPL", "", ("2.0", "3.0")), ("LGPL", "Lesser ", ("2.1", "3.0")), ("AGPL", "Affero ", ("3.0",)))
+          for version in versions for then in (", version ", " v") for end in ("", ".0") if not (end and version == "2.1")]
+CREATIVE_COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+                    ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+NAMES += [(f"CC-{short}-{version}", form.format(short, long, version, area))
+          for short, long in CREATIVE_COMMONS
+          for version, area in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
+          for form in ("CC {0} {2}", "the CC {0} {2} License", "a Creative Commons {1} {2} {3} License",
+                       "the Creative Commons {1} {2} {3} License", "Creative Commons {1} {2} {3}")]
+LINES = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.",
+         "This project is licensed under {}.", "This file is licensed under {}.")
+
+
+def _variants(text: str) -> list[str]:
+    """The text with and without its title, each with and without what follows the terms."""
+    body = text.strip("\n").partition("\n\n")[2]
+    short = [t.partition(END_OF_TERMS)[0] + end for t in (text, body) if END_OF_TERMS in t for end in ("", END_OF_TERMS)]
+    return [text, body, *short]
+
+
+def _known() -> list[tuple[str, str]]:
+    out = list(TEXTS)
+    mit, isc = TEXTS[0][1], TEXTS[1][1]
+    out += [("MIT", mit.partition("\n")[2]), ("MIT", "The " + mit), ("ISC", "ISC License\n" + isc), ("ISC", "The ISC License\n" + isc)]
+    out.append(("WTFPL", TEXTS[2][1].partition("\n")[2]))
+    for name, title, third in (("BSD-2-Clause", "BSD 2-Clause License", ""), ("BSD-3-Clause", "BSD 3-Clause License", BSD_THIRD)):
+        for numbers in (("1. ", "2. ", "3. "), ("", "", "")):  # bullets are no words
+            text = BSD.format(*numbers[:2], third and numbers[2] + third)
+            out += [(name, text), (name, f"{title}\n{text}"), (name, f"The {title}\n{text}")]
+    for name in LONG_TEXTS:
+        out += [(name, t) for t in _variants((files(__package__) / "license_texts" / f"{name}.txt").read_text("utf-8"))]
+    out += [(short, line.format(name)) for short, name in NAMES for line in LINES]
+    ids = sorted({short for short, _ in out})
+    out += [(short, f"SPDX-License-Identifier: {short}{end}") for short in ids
+            for end in (("", "-only", "-or-later") if "GPL" in short else ("",))]
+    return list(dict.fromkeys(out))
+
+
+#: (license_id, text): notices, lines and whole texts.
+KNOWN = _known()
+
 
 def canonical(text: Column) -> Column:
     """What is left of a text once case, punctuation, copyright lines and spellings are normalised; null stays null."""

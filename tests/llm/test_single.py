@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -231,6 +232,33 @@ def test_licenses(spark):
     assert licenses.license_scan(docs.limit(0), licenses.builtin_licenses(spark)).count() == 0
 
 
+def test_every_kind_of_license_line_is_known(spark):
+    kinds = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+             "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+             "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "All rights reserved.": ""}
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = documents.selectExpr("explode(split(text, '\\n')) AS line").where(
+        "length(line) < 120 AND lower(line) RLIKE 'licen[sc]e|all rights reserved'").distinct().collect()
+    assert lines and {r["line"] for r in lines} <= set(kinds)
+    docs = spark.createDataFrame(list(enumerate(kinds)), "doc_id bigint, text string")
+    rows = licenses.license_scan(docs, licenses.builtin_licenses(spark)).collect()
+    assert {r["id"]: r["line_license_ids"] for r in rows} == dict(enumerate(kinds.values()))
+
+
+def test_whole_licenses_with_and_without_title(spark):
+    head = "Copyright (c) 2021 Some One\n\n"
+    mit = licenses.KNOWN[0][1].partition("\n")[2]
+    bsd = licenses.BSD.format("* ", "* ", "* " + licenses.BSD_THIRD)
+    cases = [("MIT", head + mit), ("BSD-3-Clause", head + bsd), ("BSD-3-Clause", "BSD 3-Clause License\n" + head + bsd),
+             ("BSD-2-Clause", head + licenses.BSD.format("1. ", "2. ", ""))]
+    for name in licenses.LONG_TEXTS:
+        text = (Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text("utf-8")
+        cases += [(name, text), (name, text.strip("\n").partition("\n\n")[2]), (None, text + "\nbut")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id bigint, text string")
+    rows = licenses.license_scan(docs, licenses.builtin_licenses(spark)).collect()
+    assert {r["id"]: r["license_id"] for r in rows} == {i: n for i, (n, _) in enumerate(cases)}
+
+
 def test_preferences(spark):
     kind = "conv_id bigint, turn bigint, role string, text string, pair int"
     chosen = spark.createDataFrame([(1, 0, "user", "hi", 0), (1, 1, "assistant", "yes <|im_end|>", 0), (1, 1, "assistant", "yes <|im_end|>", 0),
