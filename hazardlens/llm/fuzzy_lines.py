@@ -4,6 +4,10 @@ A line is normalised to its alphanumeric words, A-Z in lower case, between singl
 lines are one node. Nodes get a 64-bit SimHash over their words; with ``DISTANCE`` bits of difference allowed
 and ``BLOCKS`` blocks, two near lines agree in ``BLOCKS - DISTANCE`` blocks at least, and each choice of so
 many blocks is a join key. Pairs within the distance are verified by their edit similarity on whole lines.
+
+A changed word moves more bits than that in most lines. With ``word_keys`` lines also meet on bags of their words:
+short ones on all words but one, longer ones on blocks that words are dealt into by hash, as many that one stays
+equal when a tenth of the words is replaced (``word_bags``). The bits then only sort out unrelated pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql.types import StringType
 
 from hazardlens.llm.linking import linked_groups
 from hazardlens.llm.scratch import stored
-from hazardlens.llm.words import ALPHANUMERIC, Words, mix, on_slices, salt, signed, split_words
+from hazardlens.llm.words import ALPHANUMERIC, Words, lists, mix, on_slices, salt, signed, split_words
 
 DISTANCE = 3
 BLOCKS = 5
@@ -30,6 +34,12 @@ LEAST_WORDS = 4
 SIMILARITY = 90
 #: Ratio of the ends of a length class.
 LENGTH_RATIO = 1.6
+#: Lines of fewer words meet on all words but one.
+SHORT_WORDS = 10
+#: Words that a block needs to be a key; fewer are shared by unrelated lines.
+BLOCK_WORDS = 3
+#: Bits that may differ in pairs that share words: of lines under ``SHORT_CHARS`` characters, and of others.
+WIDE_SHORT, WIDE_LONG, SHORT_CHARS = 28, 20, 60
 #: Words whose 64 bits are summed at a time.
 SUM_WORDS = 1 << 17
 
@@ -75,6 +85,62 @@ def simhashes(words: Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").reshape(-1, 8).view(np.uint64).ravel()
 
 
+def bag_classes(largest: int) -> list[tuple[int, int, int]]:
+    """(least words, blocks, blocks in a key) of the lines that are not short, up to the class of ``largest`` words."""
+    classes, first = [(SHORT_WORDS, 5, 3)], 2 * SHORT_WORDS
+    while classes[-1][0] <= largest:
+        classes.append((first, 2 * (first // 10) + 1, 1))
+        first = int(np.ceil(first * LENGTH_RATIO))
+    return classes
+
+
+def word_bags(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, where those of each line begin): hashes of bags of words that near lines share.
+
+    Two lines of under ``SHORT_WORDS`` words share one if one word is replaced or added. Longer ones agree in enough
+    blocks if that holds, from 20 words on if up to a tenth of the class's least words is replaced; blocks of
+    too few words are left out.
+    """
+    sizes = end - first
+    owners, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+
+    def flat(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The line, counted within the chosen ones, and the hash of each of their words."""
+        n = sizes[chosen]
+        at = np.repeat(first[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(chosen)), n), words.hashes[at]
+
+    short = np.flatnonzero(sizes <= SHORT_WORDS)
+    if len(short):
+        line, hashes = flat(short)
+        hashes = mix(hashes ^ salt(11))
+        total = np.zeros(len(short), np.uint64)
+        np.add.at(total, line, hashes)
+        owners += [short, short[line]]
+        found += [mix(total + salt(12)), mix(total[line] - hashes + salt(12))]
+    classes = bag_classes(int(sizes.max(initial=0)))
+    for level, (least, blocks, together) in enumerate(classes):
+        upto = classes[level + 1][0] if level + 1 < len(classes) else least
+        # Lines that may gain words enough for this class take part in it too.
+        into = least - (classes[level - 1][1] - classes[level - 1][2] if level else 0)
+        chosen = np.flatnonzero((sizes >= into) & (sizes < upto))
+        if not len(chosen):
+            continue
+        line, hashes = flat(chosen)
+        place = line * blocks + (mix(hashes + salt(20 + level)) % np.uint64(blocks)).astype(np.int64)
+        sums = np.zeros(len(chosen) * blocks, np.uint64)
+        np.add.at(sums, place, mix(hashes ^ salt(13)))
+        counts = np.bincount(place, minlength=len(sums)).reshape(-1, blocks)
+        sums = sums.reshape(-1, blocks)
+        for name, parts in enumerate(combinations(range(blocks), together)):
+            filled = np.flatnonzero(counts[:, parts].sum(axis=1) >= BLOCK_WORDS)
+            owners.append(chosen[filled])
+            found.append(mix(sums[filled][:, parts].sum(axis=1, dtype=np.uint64) + salt(1000 * (level + 1) + name)))
+    owner, keys = np.concatenate(owners), np.concatenate(found)
+    order = np.argsort(owner, kind="stable")
+    return keys[order], np.searchsorted(owner[order], np.arange(len(first) + 1))
+
+
 def normalised(words: Words, first: int, end: int) -> str:
     return " ".join(words.data[words.starts[i]:words.ends[i]].tobytes().decode("utf-8", "replace")
                     for i in range(first, end))
@@ -90,7 +156,7 @@ def block_masks(distance: int, blocks: int) -> list[int]:
 
 def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                           distance: int = DISTANCE, blocks: int = BLOCKS, similarity: int = SIMILARITY,
-                          least_words: int = LEAST_WORDS) -> DataFrame:
+                          least_words: int = LEAST_WORDS, word_keys: bool = False) -> DataFrame:
     """(id, text_key, line, node): the lines, counted from 0, that go because an equal or near one stays elsewhere.
 
     Of each group the occurrence of the smallest (id, line) stays, a null id last. Rows that repeat id and text
@@ -107,17 +173,20 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
         points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
         inside = np.concatenate(([0], np.cumsum(points[words.ends] - points[words.starts])))
         chars = inside[end] - inside[first] + (end - first - 1)
+        bags, bounds = word_bags(words, first, end) if word_keys else (np.empty(0, np.uint64), np.zeros(len(first) + 1))
         return pa.RecordBatch.from_arrays(
             [batch.column("id").take(at), batch.column("text_key").take(at), pa.array(line.astype(np.int32)),
              pa.array(signed(line_keys(words, first, end))), pa.array(signed(simhashes(words, first, end))),
-             pa.array(chars.astype(np.int32))],
-            names=["id", "text_key", "line", "node", "simhash", "chars"])
+             pa.array(chars.astype(np.int32)), lists(signed(bags), bounds.astype(np.int64))],
+            names=["id", "text_key", "line", "node", "simhash", "chars", "bags"])
 
     lines = stored(rows.mapInArrow(on_slices(describe),
-                                   f"id {kind}, text_key bigint, line int, node bigint, simhash bigint, chars int"), "lines")
+                                   f"id {kind}, text_key bigint, line int, node bigint, simhash bigint, chars int, "
+                                   "bags array<bigint>"), "lines")
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "line", "text_key")
     nodes = stored(lines.groupBy("node").agg(F.count("*").alias("weight"), F.min(place).alias("place"),
-                                             F.max("simhash").alias("simhash"), F.max("chars").alias("chars")), "nodes")
+                                             F.max("simhash").alias("simhash"), F.max("chars").alias("chars"),
+                                             F.first("bags").alias("bags")), "nodes")  # equal lines have equal bags
     # Lines that are near have like lengths, so a key also holds a length class; a line near the end of its class
     # takes part in the next one too.
     level = lambda chars: F.floor(F.log(chars) / F.log(F.lit(LENGTH_RATIO)))
@@ -126,11 +195,14 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
                       for k, m in enumerate(block_masks(distance, blocks))))
     postings = (nodes.select("node", "simhash", F.explode(levels).alias("level"))
                 .select(F.explode(masks).alias("key"), "node"))
+    if word_keys:
+        postings = postings.unionByName(nodes.select(F.explode(F.array_distinct("bags")).alias("key"), "node"))
 
     def near(p: str, q: str) -> Column:
         a, b = F.col(f"{p}chars"), F.col(f"{q}chars")
         apart = F.bit_count(F.col(f"{p}simhash").bitwiseXOR(F.col(f"{q}simhash")))
-        return (apart <= distance) & (F.least(a, b) * 100 >= F.greatest(a, b) * similarity)
+        wide = F.when(F.least(a, b) < SHORT_CHARS, WIDE_SHORT).otherwise(WIDE_LONG) if word_keys else F.lit(distance)
+        return (apart <= F.greatest(wide, F.lit(distance))) & (F.least(a, b) * 100 >= F.greatest(a, b) * similarity)
 
     def write_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(batch.column("text"), ALPHANUMERIC, lower=True)
@@ -159,7 +231,7 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
         return verified
 
     groups = linked_groups(postings, nodes, ["simhash", "chars"], near, prepare)
-    named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.drop("bags").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = stored(named.groupBy("component").agg(F.min("place").alias("kept"), F.sum("weight").alias("n"))
                      .where("n > 1").join(named, "component").select("node", "kept"), "repeated-nodes")
     found = lines.join(several, "node").where(~(

@@ -43,7 +43,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: lines removed, and length and digest of the text that stays."""
-    done = without_repeated_lines(table(spark, sf_dir, "documents"))
+    done = without_repeated_lines(table(spark, sf_dir, "documents"), word_keys=True)
     return done.select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"),
                        F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 

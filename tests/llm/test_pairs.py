@@ -129,3 +129,18 @@ def test_lines_odd_rows(odd_rows, nothing):
     assert len(rows) == 6
     assert [r["text"] for r in rows if r["doc_id"] is None and r["text"] is not None] == [""]  # id 1 has them first
     assert all(r["lines_removed"] == 0 for r in rows if r["doc_id"] == 1)
+
+
+def test_lines_one_word_apart_meet(spark):
+    rng = random.Random(8)
+    rows, pairs = [], [n for n in (5, 7, 9, 10, 14, 19, 20, 25, 40, 90) for _ in range(4)]
+    for k, n in enumerate(pairs):
+        line = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+        near = list(line)
+        at = rng.randrange(n)
+        near[at] = near[at][:3] + "zz" + near[at][5:]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = {r["id"] for r in fuzzy_lines.repeated_line_numbers(docs, word_keys=True).collect()}
+    assert gone == {2 * k + 1 for k in range(len(pairs))}
+    assert len({r["id"] for r in fuzzy_lines.repeated_line_numbers(docs).collect()}) < len(pairs)
