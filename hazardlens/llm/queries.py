@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.llm import check_sql
+from hazardlens.llm.cross_polytope import nearest
 from hazardlens.llm.decision_list import fit_rules, judged
 from hazardlens.llm.fuzzy_lines import without_repeated_lines
 from hazardlens.llm.jaccard import jaccard_groups
@@ -22,6 +23,7 @@ from hazardlens.llm.preferences import preference_pairs, stale_replies
 from hazardlens.llm.scratch import table
 from hazardlens.llm.secret_scan import secret_scan
 from hazardlens.llm.warc import read_records, write_archives
+from hazardlens.llm.whitening import whitened
 from hazardlens.llm.winnowing import contamination
 
 
@@ -89,11 +91,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), builtin_licenses(spark)).withColumnRenamed("id", "doc_id")
 
 
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for each row whose id is divisible by 50."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened coordinates of every usable embedding."""
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_quality_rules, op3_fuzzy_lines, op4_katz_backoff,
         op5_mixing, op6_decontamination, op7_warc, op8_secret_scan,
-        op9_ngram_jaccard_join, op10_license_scan)}
+        op9_ngram_jaccard_join, op10_license_scan,
+        op11_cross_polytope, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
