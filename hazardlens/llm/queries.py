@@ -22,6 +22,7 @@ from hazardlens.llm.mixing import with_copies
 from hazardlens.llm.preferences import preference_pairs, stale_replies
 from hazardlens.llm.scratch import table
 from hazardlens.llm.secret_scan import secret_scan
+from hazardlens.llm.turn_repair import damaged, repair_turns
 from hazardlens.llm.warc import read_records, write_archives
 from hazardlens.llm.whitening import whitened
 from hazardlens.llm.winnowing import contamination
@@ -96,6 +97,13 @@ def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage and repair."""
+    done = repair_turns(damaged(table(spark, sf_dir, "conversations")), copies_column="copies")
+    return done.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                       F.sha2("repaired", 256).alias("repaired_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen whitened coordinates of every usable embedding."""
     return whitened(table(spark, sf_dir, "embeddings"))
@@ -106,7 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_chat_formatting, op2_quality_rules, op3_fuzzy_lines, op4_katz_backoff,
         op5_mixing, op6_decontamination, op7_warc, op8_secret_scan,
         op9_ngram_jaccard_join, op10_license_scan,
-        op11_cross_polytope, op13_whitening)}
+        op11_cross_polytope, op12_turn_repair, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
