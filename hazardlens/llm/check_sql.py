@@ -191,6 +191,86 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (r)"""
 
 
+def turn_repair() -> str:
+    """The repair as a forward search: the least (cost, audit) per state of the role pattern, turn by turn."""
+    space = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    crc = """list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(place) + 1), lambda i: ord(place[i])::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+    def way(state, cost, letter, line):
+        return (f"CASE WHEN {state} IS NOT NULL THEN struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', "
+                f"t := {state}.t || {line}) END")
+
+    def least(*ways):
+        return f"list_min([w FOR w IN [{', '.join(ways)}] IF w IS NOT NULL])"
+
+    def ins(s, role):
+        return way(s, 2, "I", f"chr(10) || '{role}:'")
+
+    def dele(s):
+        return way(s, 3, "D", "''")
+
+    def keep(s, ok):
+        return f"CASE WHEN NOT gone AND {ok} THEN {way(s, 'short', 'K', 'line')} END"
+
+    def rer(s, role):
+        moved = way(s, "2 + short", "R", f"chr(10) || '{role}:' || text")
+        return f"CASE WHEN NOT gone THEN {moved} END"
+
+    both = way("s", 4, "II", "chr(10) || 'user:' || chr(10) || 'assistant:'")
+    return f"""
+WITH RECURSIVE placed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+kinds AS (SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM placed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+    rtrim(text, {space}) AS kept FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again FROM numbered),
+faults AS (
+  SELECT *, CASE WHEN kept = '' THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM marked),
+turns AS (
+  SELECT conv_id, k, initial, text, coalesce(fault IN ('blank', 'duplicate'), false) AS gone,
+    CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS short, chr(10) || role || ':' || text AS line FROM faults),
+empty AS (SELECT NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS none),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS k, struct_pack(c := 0::BIGINT, a := '', t := '') AS n, none AS s, none AS u, none AS a
+  FROM (SELECT DISTINCT conv_id FROM turns), empty
+  UNION ALL
+  SELECT z.conv_id, z.k + 1, {dele('z.n')},
+    {least(dele('z.s'), keep('z.n', "initial = 's'"))},
+    {least(dele('z.u'), *[keep(x, "initial = 'u'") for x in ("z.n", "z.s", "z.a")], *[rer(x, 'user') for x in ("z.n", "z.s", "z.a")])},
+    {least(dele('z.a'), keep('z.u', "initial = 'a'"), rer('z.u', 'assistant'))}
+  FROM (
+    SELECT conv_id, k, n, s, u, {least('a', ins('u', 'assistant'))} AS a
+    FROM (SELECT conv_id, k, n, s, {least('u', *[ins(x, 'user') for x in ('n', 's', 'a')])} AS u, a FROM steps)) z
+  JOIN turns t ON t.conv_id IS NOT DISTINCT FROM z.conv_id AND t.k = z.k + 1),
+ends AS (
+  SELECT conv_id, {least('n', 'a', ins('u', 'assistant'), both)} AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS last FROM steps) WHERE last = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
 def statements() -> dict[str, str]:
     return {"op1_chat_formatting": chat_formatting(), "op5_mixing": mix(), "op6_decontamination": contamination(),
-            "op7_warc": warc(), "op8_secret_scan": secrets(), "op9_ngram_jaccard_join": jaccard(), "op10_license_scan": license_scan()}
+            "op7_warc": warc(), "op8_secret_scan": secrets(), "op9_ngram_jaccard_join": jaccard(), "op10_license_scan": license_scan(),
+            "op12_turn_repair": turn_repair()}
