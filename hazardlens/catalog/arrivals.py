@@ -19,7 +19,7 @@ def _taken_in(t):
     return table
 
 
-query("st_1_arrivals", "SELECT * FROM f")(lambda t: stored_rows(t.spark, _taken_in(t)).drop("batch", "bucket").withColumns(
+query("st_1_arrivals", "SELECT * FROM f")(lambda t: stored_rows(t.spark, _taken_in(t)).drop("batch").withColumns(
     {name: write_iso(F.col(name)) for name in ("published", "modified")}))
 
 query("st_1_unreadable_arrivals", """

@@ -11,18 +11,28 @@ from hazardlens.functions.severity import is_high, severity_of
 from hazardlens.functions.text import normalize_name, null_if_blank, strip
 
 
-def flatten(documents: DataFrame) -> DataFrame:
+def of_ecosystem(entry: Column) -> Column:
+    return entry["package"].isNotNull() & (F.lower(entry["package"]["ecosystem"]) == fixed.ECOSYSTEM)
+
+
+def flatten(documents: DataFrame, others: list[str] | None = None, keep_empty: bool = False) -> DataFrame:
     """One row per affected package entry of the ecosystem; wants the fields of VULNERABILITY_DOCUMENT.
 
     Unreadable documents have no entries and drop out. The outer explode keeps the optimizer from
-    testing the list in a filter of its own, which would parse each document again.
+    testing the list in a filter of its own, which would parse each document again. ``others`` are kept beside the
+    flat columns; with ``keep_empty`` there is a column ``place``, the entry's place in its document, and a
+    document without entries has one row, with place -1.
     """
     verdict = severity_of(F.col("id"), F.col("severity"), F.col("database_specific"))
-    entries = (documents
-               .withColumn("verdict", verdict)
-               .select("id", "published", "modified", "verdict", F.explode_outer("affected").alias("entry"))
-               .where(F.col("entry.package").isNotNull())
-               .where(F.lower("entry.package.ecosystem") == fixed.ECOSYSTEM))
+    fields = ["id", "published", "modified", "verdict", *(others or [])]
+    judged = documents.withColumn("verdict", verdict)
+
+    if keep_empty:
+        entries = judged.select(*fields, F.posexplode_outer(F.filter("affected", of_ecosystem)).alias("place", "entry"))
+        kept = [*(others or []), F.coalesce("place", F.lit(-1)).alias("place")]
+    else:
+        entries = judged.select(*fields, F.explode_outer("affected").alias("entry")).where(of_ecosystem(F.col("entry")))
+        kept = others or []
     score = F.col("verdict.score")
     return entries.select(
         F.col("id").alias("osv_id"),
@@ -34,6 +44,7 @@ def flatten(documents: DataFrame) -> DataFrame:
         F.round(score, 1).alias("severity_score"),
         is_high(score).alias("is_high_severity"),
         (F.col("verdict.type") == "MALWARE").alias("is_malware"),
+        *kept,
     )
 
 

@@ -43,7 +43,7 @@ def parse_column(rows: DataFrame, text: str, schema: str) -> DataFrame:
     return rows.withColumn("_document", parsed(F.col(text), schema)).select(*others, "_document.*")
 
 
-def _is_json() -> Column:
+def is_json() -> Column:
     """Documents with a field of another type are marked too, but they are JSON and stay in use."""
     return F.col(_BAD).isNull() | F.try_parse_json(F.col(_BAD)).isNotNull()
 
@@ -60,8 +60,8 @@ def parse_readable(rows: DataFrame, text: str, schema: str) -> DataFrame:
 
 
 def readable(documents: DataFrame) -> DataFrame:
-    return documents.where(_is_json()).drop(_BAD)
+    return documents.where(is_json()).drop(_BAD)
 
 
 def unreadable(documents: DataFrame) -> DataFrame:
-    return documents.where(~_is_json())
+    return documents.where(~is_json())
