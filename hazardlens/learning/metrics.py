@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
-from hazardlens.operators.running import running_totals, unit_bucket
+from hazardlens.operators.running import running_totals
 
 
 def _label() -> Column:
@@ -76,7 +76,7 @@ def _score_totals(scored: DataFrame) -> DataFrame:
     counted = scored.groupBy("score").agg(
         F.sum(_label()).cast("long").alias("pos"), F.sum(1 - _label()).cast("long").alias("neg"))
     return running_totals(
-        counted, "score", {"pos_above": "pos", "neg_above": "neg"}, unit_bucket(F.col("score")), descending=True,
+        counted, "score", {"pos_above": "pos", "neg_above": "neg"}, descending=True,
         wholes={"all_pos": "pos", "all_neg": "neg"})
 
 
@@ -127,12 +127,20 @@ def threshold_table(scored: DataFrame, steps: int = fixed.THRESHOLD_STEPS) -> Da
     reached = F.coalesce(_step(F.col("score"), low, high, steps), F.lit(0))
     counted = scored.groupBy("fold", reached.alias("step")).agg(
         F.sum(_label()).cast("long").alias("pos"), F.sum(1 - _label()).cast("long").alias("neg"))
-    folds = counted.select("fold").distinct()
-    grid = folds.select("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("step"))
-    filled = grid.join(counted, ["fold", "step"], "left").fillna(0, ["pos", "neg"])
-    totals = running_totals(filled, "step", {"tp": "pos", "fp": "neg"}, F.lit(0), within=("fold",), descending=True)
-    positives = counted.groupBy("fold").agg(F.sum("pos").alias("all_pos"))
-    joined = totals.join(F.broadcast(positives), "fold")
+    # One entry per grid step, so a fold is one short map.
+    by_step = counted.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct(
+        "step", F.struct("pos", "neg")))).alias("cells"))
+
+    def selected(name: str) -> Column:
+        """Sum over this step and the later ones."""
+        zero = F.lit(0).cast("long")
+        return F.aggregate(F.sequence(F.col("step"), F.lit(steps - 1).cast("long")), zero,
+                           lambda total, step: total + F.coalesce(F.try_element_at("cells", step)[name], zero))
+
+    positives = F.aggregate(F.map_values("cells"), F.lit(0).cast("long"), lambda total, cell: total + cell["pos"])
+    joined = by_step.withColumn("all_pos", positives).select(
+        "cells", "all_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("step")
+    ).select("step", "all_pos", selected("pos").alias("tp"), selected("neg").alias("fp"))
     f1 = _ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_pos"))
     return joined.groupBy("step").agg(F.avg(f1).alias("mean_f1")).select(
         "step", (low + (high - low) * F.col("step") / (steps - 1)).alias("threshold"), "mean_f1")

@@ -1,8 +1,7 @@
 """Exact order statistics of large groups: quantiles, and the cut-off of a smallest-k selection.
 
-Both find the bucket that holds the wanted rank from bucket counts, then order only that bucket (for
-quantiles: only one part of it). Repeated values are folded into (value, count) first, so a value held
-by a third of all rows costs one row.
+Quantiles read the wanted ranks off running totals over the sorted distinct values. The cut-off finds the bucket that
+holds it from bucket counts, then orders only that bucket.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hazardlens.operators.running import magnitude_bucket, part_count, part_of
+from hazardlens.operators.running import running_totals
 
 
 def _with_bucket_ends(sizes: DataFrame, within: list[str], bucket: str) -> DataFrame:
@@ -26,54 +25,28 @@ def exact_quantiles(rows: DataFrame, within: list[str], value: str, shares: dict
     """Linearly interpolated quantiles of a numeric column, NULLs left out.
 
     One row per group, one column per entry of ``shares``. Groups are few-valued, non-NULL labels;
-    without any the result is one row. ``copies`` names a column that says how often a row counts.
+    without any the result is one row. ``copies`` names a column that says how often a row counts. Repeated
+    values are folded first, so a value held by a third of all rows costs one row.
     """
-    keys = list(within) or ["_all"]
-    source = rows if within else rows.withColumn("_all", F.lit(0))
     rows_or_copies = F.sum(copies) if copies else F.count(F.lit(1))
-    counted = (source.where(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(rows_or_copies.alias("_n"))
-               .withColumn("_bucket", magnitude_bucket(F.col("_value"))))
-    sizes = counted.groupBy(*keys, "_bucket").agg(
-        F.sum("_n").alias("_size"), F.min("_value").alias("_low"), F.max("_value").alias("_high"),
-        part_count().alias("_parts"))
-    ends = _with_bucket_ends(sizes, keys, "_bucket")
-
-    def rank(share: float, upper: bool) -> Column:
-        position = (F.col("_total") - 1) * F.lit(share)
-        return (F.ceil(position) if upper else F.floor(position)).cast("long")
-
-    asked = F.array(*[
-        F.struct(F.lit(f"{name}{'+' if upper else '-'}").alias("slot"), rank(share, upper).alias("rank"))
-        for name, share in shares.items() for upper in (False, True)])
-    holds_rank = (F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("_size"))
-    # At most two rows per group and quantile, so this side and the next one are always small.
-    buckets = ends.select("*", F.inline(asked)).where(holds_rank).select(
-        *keys, "_bucket", "slot", "rank", "_total", "_low", "_high", "_parts",
-        (F.col("_end") - F.col("_size")).alias("_before"))
-    part = part_of(F.col("_value"), F.col("_low"), F.col("_high"), F.col("_parts"))
-    inside = counted.join(F.broadcast(buckets), [*keys, "_bucket"]).withColumn("_part", part)
-    part_sizes = inside.groupBy(*keys, "slot", "_part").agg(
-        F.sum("_n").alias("_size"), F.first("rank").alias("rank"), F.first("_before").alias("_before"))
-    upto = W.partitionBy(*keys, "slot").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
-    parts = (part_sizes.withColumn("_end", F.col("_before") + F.sum("_size").over(upto)).where(holds_rank)
-             .select(*keys, "slot", "_part", (F.col("_end") - F.col("_size")).alias("_start")))
-    in_part = W.partitionBy(*keys, "slot").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = (inside.join(F.broadcast(parts), [*keys, "slot", "_part"])
-             .withColumn("_after", F.col("_start") + F.sum("_n").over(in_part))
-             .where((F.col("rank") < F.col("_after")) & (F.col("rank") >= F.col("_after") - F.col("_n"))))
-
-    def slot(name: str) -> Column:
-        return F.max(F.when(F.col("slot") == name, F.col("_value")))
-
-    picked = found.groupBy(*keys).agg(
-        F.max("_total").alias("_total"),
-        *[slot(f"{name}{side}").alias(f"{name}{side}") for name in shares for side in "-+"])
+    counted = (rows.where(F.col(value).isNotNull())
+               .groupBy(*within, F.col(value).cast("double").alias("_value")).agg(rows_or_copies.alias("_n")))
+    ranked = running_totals(counted, "_value", {"_upto": "_n"}, within=tuple(within), wholes={"_total": "_n"})
+
+    def position(share: float) -> Column:
+        return (F.col("_total") - 1) * F.lit(share)
+
+    def at(rank: Column) -> Column:
+        """The value that holds the zero-based rank."""
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_value")))
+
+    picked = ranked.groupBy(*within).agg(F.max("_total").alias("_total"), *[
+        pick.alias(f"{name}{side}") for name, share in shares.items()
+        for side, pick in (("-", at(F.floor(position(share)))), ("+", at(F.ceil(position(share)))))])
 
     def interpolated(name: str, share: float) -> Column:
-        position = (F.col("_total") - 1) * F.lit(share)
         low, high = F.col(f"`{name}-`"), F.col(f"`{name}+`")
-        return low + (high - low) * (position - F.floor(position))
+        return low + (high - low) * (position(share) - F.floor(position(share)))
 
     return picked.select(*within, *[interpolated(name, share).alias(name) for name, share in shares.items()])
 

@@ -1,126 +1,98 @@
 """Running totals over a global order without a one-partition window.
 
-Rows are put in order-preserving buckets. A bucket that holds many rows is cut into parts between its
-own smallest and largest value. Totals are summed per part first, a window over those few lines gives
-each bucket its starting value, a second one over the parts of a bucket adds theirs, and a third adds up
-inside each part. So no window sees all rows or all parts: the number of buckets is bounded by the caller,
-and a bucket has one part per PART_ROWS of its rows. Joins are left to the optimizer, which measures them.
+Rows are sorted by range over all tasks, once. Each task adds up inside its own range while the sorted rows pass through
+it, and what it stores says which range a row is in. The totals of the ranges, a few numbers per task, give
+each range its starting value. So one shuffle serves any number of totals, and no task sees more than its range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hazardlens.sources.tables import written
 
-MAX_BUCKETS = 65_536
-PART_ROWS = 1_000_000
-_STEPS_PER_DOUBLING = 512
-
-
-def unit_bucket(score: Column) -> Column:
-    """Bucket of a value in [0, 1]; at most MAX_BUCKETS + 1 of them."""
-    return F.floor(score * MAX_BUCKETS).cast("long")
-
-
-def magnitude_bucket(value: Column) -> Column:
-    """Order-preserving bucket of any number: constant relative width, bounded count for doubles."""
-    number = value.cast("double")
-    size = F.floor(F.log2(F.abs(number) + 1) * _STEPS_PER_DOUBLING).cast("long")
-    return F.when(number < 0, -size).otherwise(size)
-
-
-def even_bucket(rows: DataFrame, column: str) -> Column:
-    """Equal-width buckets between the smallest and largest value of a whole-number column."""
-    width = F.greatest(F.lit(1), F.ceil((F.max(column) - F.min(column) + 1) / MAX_BUCKETS))
-    edges = rows.agg(F.struct(F.min(column).alias("low"), width.alias("width"))).scalar()
-    return F.floor((F.col(column) - edges["low"]) / edges["width"]).cast("long")
-
-
-def part_count() -> Column:
-    """Number of parts of a group of rows, as an aggregate."""
-    return F.ceil(F.count(F.lit(1)) / PART_ROWS)
 
-
-def part_of(value: Column, low: Column, high: Column, parts: Column) -> Column:
-    """Order-preserving part number of a value between the smallest and largest of its bucket."""
-    reach = F.coalesce((value - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
-    return F.least(F.floor(reach * parts), parts - 1).cast("long")
-
-
-def _with_parts(tagged: DataFrame, within: tuple[str, ...], order_by: str) -> DataFrame:
-    value = F.col(order_by).cast("double")
-    sizes = tagged.groupBy(*within, "_bucket").agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high"), part_count().alias("_parts"))
-    part = part_of(value, F.col("_low"), F.col("_high"), F.col("_parts")).alias("_part")
-    return tagged.join(sizes, [*within, "_bucket"]).select(*tagged.columns, part)
-
-
-def running_totals(rows: DataFrame, order_by: str, totals: dict[str, str], bucket: Column,
-                   within: tuple[str, ...] = (), descending: bool = False,
-                   wholes: dict[str, str] | None = None) -> DataFrame:
-    """Add, for each ``new name: column``, the sum of the column up to and including the row.
-
-    ``order_by`` must be unique inside ``within`` and ``bucket`` must not decrease with it; the
-    ``within`` columns must be few-valued labels and must not be NULL. ``wholes`` adds, under a new
-    name, the sum over all rows of a column of ``totals``.
+def _summing(within: tuple[str, ...], sources: list[str], names: list[str]):
+    """Adds the number of the task's range and running totals inside it, per run of equal ``within``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, carried = None, np.zeros(len(sources), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = [batch.column(c) for c in within]
+            new = np.zeros(batch.num_rows, bool)
+            for label in labels:
+                new[1:] |= np.asarray(pc.not_equal(label[1:], label[:-1]))
+            first = tuple(label[0].as_py() for label in labels)
+            new[0] = first != last
+            start = np.maximum.accumulate(np.where(new, np.arange(batch.num_rows), 0))
+            columns = []
+            for place, source in enumerate(sources):
+                sums = np.cumsum(np.asarray(pc.fill_null(batch.column(source).cast(pa.int64()), 0)))
+                total = sums - np.concatenate(([0], sums))[start]
+                if not new[0]:
+                    total[start == 0] += carried[place]
+                columns.append(total)
+            last, carried = tuple(label[-1].as_py() for label in labels), np.array([c[-1] for c in columns], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int64)), *map(pa.array, columns)],
+                names=[*batch.schema.names, "_range", *names])
+
+    return run
+
+
+def running_totals(rows: DataFrame, order_by: str | list[str], totals: dict[str, str], within: tuple[str, ...] = (),
+                   descending: bool = False, wholes: dict[str, str] | None = None) -> DataFrame:
+    """Add, for each ``new name: column``, the sum of the whole-number column up to and including the row.
+
+    ``order_by`` must be unique inside ``within``; the ``within`` columns must be few-valued labels and must not be
+    NULL. ``wholes`` adds, under a new name, the sum over all rows of a column of ``totals``. The sorted
+    rows are stored when this is called.
     """
     wholes = wholes or {}
-
-    def ordered(name: str) -> Column:
-        return F.col(name).desc() if descending else F.col(name).asc()
-
-    tagged = _with_parts(rows.withColumn("_bucket", bucket), within, order_by)
-    place = ["_bucket", "_part"]
-    sums = [F.sum(source).alias(f"_sum_{source}") for source in totals.values()]
-    by_part = tagged.groupBy(*within, *place).agg(*sums)
-    buckets = by_part.groupBy(*within, "_bucket").agg(
-        *[F.sum(f"_sum_{source}").alias(f"_all_{source}") for source in totals.values()])
-    everything = W.partitionBy(*within, F.lit(0))
-
-    def earlier(window: W, column: str, sort: str) -> Column:
-        return F.coalesce(F.sum(column).over(window.orderBy(ordered(sort)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-
-    buckets = buckets.select(
-        *within, "_bucket",
-        *[earlier(everything, f"_all_{source}", "_bucket").alias(f"_before_{name}") for name, source in totals.items()],
-        *[F.sum(f"_all_{source}").over(everything).alias(name) for name, source in wholes.items()])
-    in_bucket = W.partitionBy(*within, "_bucket")
-    starts = by_part.select(
-        *within, *place,
-        *[earlier(in_bucket, f"_sum_{source}", "_part").alias(f"_within_{name}") for name, source in totals.items()],
-    ).join(buckets, [*within, "_bucket"]).select(
-        *within, *place, *[(F.col(f"_before_{name}") + F.col(f"_within_{name}")).alias(f"_start_{name}") for name in totals],
-        *wholes)
-    inside = (W.partitionBy(*within, *place).orderBy(ordered(order_by))
-              .rowsBetween(W.unboundedPreceding, W.currentRow))
-    joined = tagged.join(starts, [*within, *place])
-    return joined.select(
-        *[F.col(column) for column in rows.columns],
-        *[(F.col(f"_start_{name}") + F.sum(source).over(inside)).alias(name) for name, source in totals.items()],
-        *wholes)
+    order = [order_by] if isinstance(order_by, str) else order_by
+    keys = [*[F.col(c).asc() for c in within], *[F.col(c).desc() if descending else F.col(c).asc() for c in order]]
+    inside = [f"_{name}" for name in totals]
+    schema = StructType([*rows.schema, *[StructField(c, LongType()) for c in ("_range", *inside)]])
+    placed = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _summing(tuple(within), list(totals.values()), inside), schema), "running-totals")
+    # One line per label and range, so no more than labels and tasks together.
+    lines = placed.groupBy(*within, "_range").agg(
+        *[F.sum(source).alias(c) for c, source in zip(inside, totals.values(), strict=True)])
+    starts, before = [], {}
+    for line in sorted(lines.collect(), key=lambda line: line["_range"]):
+        label = tuple(line[c] for c in within)
+        so_far = before.setdefault(label, [0] * len(inside))
+        starts.append((label, line["_range"], list(so_far)))
+        before[label] = [a + (line[c] or 0) for a, c in zip(so_far, inside, strict=True)]
+    place_of = {source: place for place, source in enumerate(totals.values())}
+    table = [(*label, part, *so_far, *[before[label][place_of[source]] for source in wholes.values()])
+             for label, part, so_far in starts]
+    start_schema = StructType([*[rows.schema[c] for c in within], StructField("_range", LongType()),
+                               *[StructField(f"_start{c}", LongType()) for c in inside],
+                               *[StructField(c, LongType()) for c in wholes]])
+    joined = placed.join(F.broadcast(rows.sparkSession.createDataFrame(table, start_schema)), [*within, "_range"])
+    return joined.select(*rows.columns, *[(F.col(f"_start{c}") + F.col(c)).alias(name) for name, c in zip(totals, inside, strict=True)],
+                         *wholes)
 
 
 def alphabetical(values: DataFrame, column: str, name: str) -> DataFrame:
-    """Zero-based place of each distinct value of a text column, as a stored table.
+    """Zero-based place of each distinct value of a text column, as a stored table."""
+    distinct = values.select(column).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return written(running_totals(distinct, column, {name: "_one"}).select(
+        column, (F.col(name) - 1).alias(name)), "numbers")
 
-    Values are sorted by range over all tasks; the row counts of the sorted partitions give each of them
-    its first place.
-    """
-    placed = written(values.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-                     .withColumn("_place", F.monotonically_increasing_id()), "places")
-    partition = F.shiftright("_place", 33)
-    cells, first = [], 0
-    for line in sorted(placed.groupBy(partition.alias("part")).agg(F.count(F.lit(1)).alias("size")).collect()):
-        cells += [F.lit(line["part"]), F.lit(first).cast("long")]
-        first += line["size"]
-    start = F.create_map(*cells)[partition] if cells else F.lit(0).cast("long")
-    return written(placed.select(column, (start + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)), "numbers")
-
-
-def numbered(rows: DataFrame, order_by: str, name: str = "position") -> DataFrame:
-    """1-based position of each row by a unique whole-number column."""
-    counted = rows.withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(counted, order_by, {name: "_one"}, even_bucket(rows, order_by)).drop("_one")
+
+def numbered(rows: DataFrame, order_by: str | list[str], name: str = "position") -> DataFrame:
+    """1-based position of each row by a unique column or unique columns."""
+    return running_totals(rows.withColumn("_one", F.lit(1).cast("long")), order_by, {name: "_one"}).drop("_one")

@@ -4,10 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardlens.operators import running
 from hazardlens.operators.keys import exclude_known, first_per_key, last_per_key, null_counts, repeated_keys
 from hazardlens.operators.ranks import exact_quantiles, smallest_share_cut
-from hazardlens.operators.running import even_bucket, magnitude_bucket, numbered, running_totals, unit_bucket
+from hazardlens.operators.running import alphabetical, numbered, running_totals
 from hazardlens.operators.shapes import QUARTILES, box_statistics, describe, histogram, value_counts
 from tests.conftest import rows
 
@@ -30,8 +29,7 @@ def test_quantiles_agree_with_numpy(spark, kind):
     assert [found[name] for name in shares] == pytest.approx([np.quantile(values, share) for share in shares.values()])
 
 
-def test_quantiles_of_one_crowded_bucket(spark, monkeypatch):
-    monkeypatch.setattr(running, "PART_ROWS", 50)
+def test_quantiles_of_crowded_values(spark):
     draw = random.Random(8)
     values = [1 + draw.random() * 1e-6 for _ in range(2000)] + [1e9]
     frame = spark.createDataFrame([(value,) for value in values], "x double")
@@ -47,13 +45,6 @@ def test_quantiles_per_group(spark):
         assert [found[group][name] for name in QUARTILES] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
 
 
-def test_buckets_keep_order(spark):
-    values = sorted(numbers(4, "signed") + [0.0, -0.5, 0.5, 1e12, -1e12])
-    frame = spark.createDataFrame([(value,) for value in values], "x double")
-    buckets = [row[1] for row in sorted(tuple(row) for row in frame.select("x", magnitude_bucket(F.col("x"))).collect())]
-    assert buckets == sorted(buckets)
-
-
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, descending):
     draw = random.Random(5)
@@ -61,7 +52,7 @@ def test_running_totals(spark, descending):
     data = [(score, draw.randint(0, 9)) for score in scores]
     frame = spark.createDataFrame(draw.sample(data, len(data)), "score double, n long")
     found = {row["score"]: row["total"] for row in running_totals(
-        frame, "score", {"total": "n"}, unit_bucket(F.col("score")), descending=descending).collect()}
+        frame, "score", {"total": "n"}, descending=descending).collect()}
     total = 0
     for score, n in data:
         total += n
@@ -73,15 +64,59 @@ def test_numbered(spark):
     frame = spark.createDataFrame([(key,) for key in keys], "seq long")
     found = {row["seq"]: row["position"] for row in numbered(frame, "seq").collect()}
     assert [found[key] for key in sorted(keys)] == list(range(1, 501))
-    assert frame.select(even_bucket(frame, "seq").alias("b")).agg(F.max("b")).first()[0] <= 65_536
+
+
+def test_numbered_by_several_columns(spark):
+    keys = [(file, split, row) for file in "ba" for split in (0, 128) for row in (3, 1, 2)]
+    frame = spark.createDataFrame([((file, split), row) for file, split, row in keys], "f struct<file string, split long>, row long")
+    found = numbered(frame, ["f", "row"]).orderBy("position").collect()
+    assert [(r["f"]["file"], r["f"]["split"], r["row"], r["position"]) for r in found] == [
+        (*key, place) for place, key in enumerate(sorted(keys), start=1)]
+
+
+def exchanges(frame):
+    """Shuffles of the plan that will run."""
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + \
+        frame._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning")
+
+
+def test_order_statistics_in_few_shuffles(spark):
+    frame = spark.range(5000).select((F.col("id") % 7).alias("g").cast("string"), F.rand(3).alias("x"), (F.col("id") % 3).alias("n"))
+    assert exchanges(exact_quantiles(frame, ["g"], "x", QUARTILES)) <= 1
+    assert exchanges(running_totals(frame, "x", {"a": "n"}, within=("g",), wholes={"all": "n"})) == 0
+
+
+def test_running_totals_per_label_over_many_ranges(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        draw = random.Random(4)
+        data = [(draw.choice("abc"), key, draw.choice([None, 1, 2]), key % 3) for key in draw.sample(range(10**6), 2000)]
+        frame = spark.createDataFrame(data, "g string, key long, n long, m int")
+        found = running_totals(frame, "key", {"n_upto": "n", "m_upto": "m"}, within=("g",), wholes={"all_m": "m"})
+        got = {(r["g"], r["key"]): (r["n_upto"], r["m_upto"], r["all_m"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sums = {}
+    want = {}
+    for g, key, n, m in sorted(data, key=lambda d: d[1]):
+        a, b = sums.get(g, (0, 0))
+        sums[g] = (a + (n or 0), b + m)
+        want[g, key] = sums[g]
+    assert got == {(g, key): (*upto, sums[g][1]) for (g, key), upto in want.items()}
+    empty = running_totals(frame.limit(0), "key", {"t": "m"}, wholes={"all": "m"})
+    assert empty.collect() == [] and empty.columns == ["g", "key", "n", "m", "t", "all"]
+
+
+def test_alphabetical(spark):
+    frame = spark.createDataFrame([(w,) for w in ["b", "a", "c", "a"]], "w string")
+    assert rows(alphabetical(frame, "w", "code")) == [("a", 0), ("b", 1), ("c", 2)]
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals_of_one_crowded_bucket(spark, monkeypatch, descending):
-    monkeypatch.setattr(running, "PART_ROWS", 50)
+def test_running_totals_of_crowded_keys(spark, descending):
     keys = list(range(1000)) + [10**15]
     frame = spark.createDataFrame([(key,) for key in keys], "seq long").withColumn("n", F.lit(1).cast("long"))
-    found = running_totals(frame, "seq", {"total": "n"}, even_bucket(frame, "seq"), descending=descending, wholes={"all": "n"})
+    found = running_totals(frame, "seq", {"total": "n"}, descending=descending, wholes={"all": "n"})
     ordered = [tuple(row) for row in found.select("seq", "total", "all").orderBy("total").collect()]
     assert ordered == [(key, place, 1001) for place, key in enumerate(sorted(keys, reverse=descending), start=1)]
 
