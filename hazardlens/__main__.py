@@ -17,7 +17,7 @@ from hazardlens.functions.text import normalize_name
 from hazardlens.learning import features, metrics, scoring, training
 from hazardlens.plans import names, profile, projects, quality, questions, vulnerabilities, warehouse
 from hazardlens.plans.risk import findings, risk_scores, risk_summary, top_risks, with_dependencies
-from hazardlens.session import build_session
+from hazardlens.session import build_session, scratch_scope
 from hazardlens.sources import csv_files, documents
 from hazardlens.sources.tables import append_new, written
 
@@ -55,11 +55,14 @@ class Run:
             return found.select(*wanted, csv_files.place().alias("seq"))
         return csv_files.read_typed(self.spark, self.inputs[place], schema, self.options.line_breaks, with_seq=True)
 
-    def by_header(self, place: int) -> DataFrame:
+    def by_header(self, place: int, with_seq: bool = False) -> DataFrame:
         if self.options.tables == "parquet":
             found = self.spark.read.parquet(self.inputs[place])
-            return csv_files.as_cells(found, found.columns)
-        return csv_files.read_by_header(self.spark, self.inputs[place], self.options.line_breaks)
+            columns = found.columns
+            if with_seq:
+                found, columns = found.select("*", csv_files.place().alias("seq")), [*columns, "seq"]
+            return csv_files.as_cells(found, columns)
+        return csv_files.read_by_header(self.spark, self.inputs[place], self.options.line_breaks, with_seq)
 
     def write(self, rows: DataFrame, columns: list[str], folder: str | None = None) -> None:
         out = folder or self.options.out
@@ -85,8 +88,8 @@ class Run:
         self.write(names.name_list(self.by_header(0)), ["package_name"])
 
     def request_batches(self) -> None:
-        listed = self.by_header(0).withColumn("seq", F.monotonically_increasing_id())
-        names.request_batches(listed).write.mode("overwrite").json(self.options.out)
+        """Batches follow the order of the files' names and of the lines in them, however Spark packs the files."""
+        names.request_batches(self.by_header(0, with_seq=True)).write.mode("overwrite").json(self.options.out)
 
     def project_table(self) -> None:
         """With --append the table is Parquet and only packages that it lacks are added."""
@@ -155,7 +158,7 @@ class Run:
         self.results({question.__name__: question(risk) for question in QUESTIONS})
 
     def csv_to_json(self) -> None:
-        csv_files.csv_to_json(self.spark, self.inputs[0], self.options.out)
+        csv_files.csv_to_json(self.spark, self.inputs[0], self.options.out, self.options.line_breaks)
 
     def train(self) -> None:
         """Input: risk or scored table. The model goes to the output folder, its report below it."""
@@ -231,7 +234,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("--append", action="store_true", help="add new packages to the project table")
     parser.add_argument("--models", nargs="*", choices=list(training.CANDIDATES), help="kinds of model to try")
     options = parser.parse_args(arguments)
-    getattr(Run(spark or build_session(), options), options.command.replace("-", "_"))()
+    session = spark or build_session()
+    with scratch_scope(session):
+        getattr(Run(session, options), options.command.replace("-", "_"))()
 
 
 if __name__ == "__main__":

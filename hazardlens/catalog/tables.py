@@ -13,6 +13,7 @@ from hazardlens.functions.dates import utc, write_iso
 from hazardlens.functions.severity import is_high
 from hazardlens.plans.risk import risk_scores, risk_summary, with_dependencies
 from hazardlens.plans.vulnerabilities import package_counts, package_summary
+from hazardlens.sources.tables import written
 
 AS_OF = "2001-12-31 12:00:00"
 
@@ -110,6 +111,8 @@ class Tables:
 
     @cached_property
     def risk_with_dependencies(self) -> DataFrame:
+        """Projects and dependencies both come from the activity, so it is stored for them."""
+        self.__dict__["activity"] = written(self.activity, "activity")
         return with_dependencies(self.risk, self.dependencies)
 
     @cached_property

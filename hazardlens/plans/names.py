@@ -30,12 +30,12 @@ def merge_lists(top: DataFrame, summary: DataFrame) -> DataFrame:
 def request_batches(names: DataFrame, size: int = fixed.BATCH_SIZE) -> DataFrame:
     """Full batches of distinct names in order of first appearance, each with its request text.
 
-    ``names`` has package_name and a whole-number ``seq``. Numbers are unique because every name keeps
-    its first ``seq`` and ties are cut by the distinct step of the caller's numbering.
+    ``names`` has package_name and ``seq``, anything that can be ordered, as a number or the place of a row in a
+    folder of files. Every name keeps its first ``seq``; names that share one stand in the order of the alphabet.
     """
     distinct = (names.select(normalize_name(F.col("package_name")).alias("package_name"), "seq")
                 .where("package_name <> ''").groupBy("package_name").agg(F.min("seq").alias("seq")))
-    placed = numbered(distinct, "seq")
+    placed = numbered(distinct, ["seq", "package_name"])
     batch = F.floor((F.col("position") - 1) / size) + 1
     members = F.array_sort(F.collect_list(F.struct("position", "package_name")))
     grouped = placed.groupBy(batch.cast("long").alias("batch_index")).agg(

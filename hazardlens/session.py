@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: What has been made below the shared root and not been removed, by application: ("folder", path) or ("table", name).
+_MADE: dict[str, list[tuple[str, str]]] = {}
 
 
 def build_session(app_name: str = "hazardlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,8 +59,41 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path below the shared root that no other job uses."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared root that no other job uses; the innermost ``scratch_scope`` owns it."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(("folder", path))
+    return path
+
+
+def note_table(spark: SparkSession, name: str) -> None:
+    """Have a table of the session's catalog dropped with the folders that were made at its time."""
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(("table", name))
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what was stored inside: folders of the shared root and catalog tables over them.
+
+    For work that ends with its results written elsewhere. A data frame that reads such a table must not outlive it.
+    """
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        while len(made) > before:
+            kind, name = made.pop()
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            else:
+                delete_folder(spark, name)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system its scheme names; nothing happens if it is not there."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -86,6 +86,9 @@ def write_cells(rows: DataFrame, path: str, columns: list[str], mode: str = "err
      .csv(path))
 
 
-def csv_to_json(spark: SparkSession, csv_path: str, json_path: str) -> None:
-    """One JSON object per line instead of one array, so that the result can be read in parallel."""
-    read_by_header(spark, csv_path).write.option("ignoreNullFields", "false").json(json_path)
+def csv_to_json(spark: SparkSession, csv_path: str, json_path: str, line_breaks: bool = True) -> None:
+    """One JSON object per line instead of one array, so that the result can be read in parallel.
+
+    Without ``line_breaks`` inside cells a large file is read in splits, each of which writes a file.
+    """
+    read_by_header(spark, csv_path, line_breaks).write.option("ignoreNullFields", "false").json(json_path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +40,48 @@ def read_first_existing(spark: SparkSession, paths: list[str]) -> DataFrame:
     raise FileNotFoundError(f"none of {paths}")
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose key the table does not hold yet."""
-    stored = read_or_empty(rows.sparkSession, path, rows.schema)
-    exclude_stored(rows, stored, keys).write.mode("append").parquet(path)
+#: Buckets of a table that ``append_new`` begins.
+BUCKETS = 64
+
+
+def append_new(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Append rows whose key the table does not hold yet.
+
+    A table begun here is dealt into buckets of its key, noted in ``<path>-buckets``. Later rows are dealt the same
+    way and meet it bucket by bucket, so it is read but never shuffled. A folder that others have begun is
+    not bucketed and stays as it is; there the keys at hand are looked up first.
+    """
+    spark = rows.sparkSession
+    layout = f"{path.rstrip('/')}-buckets"
+    if path_exists(spark, path) and not path_exists(spark, layout):
+        stored = read_or_empty(spark, path, rows.schema)
+        exclude_stored(rows, stored, keys).write.mode("append").parquet(path)
+        return
+    if not path_exists(spark, layout):
+        spark.createDataFrame([(buckets, keys)], "buckets int, keys array<string>").write.parquet(layout)
+    noted = spark.read.schema("buckets int, keys array<string>").parquet(layout).first()
+    if noted["keys"] != keys:
+        raise ValueError(f"the table is bucketed by {noted['keys']}, not by {keys}")
+    name = bucketed_table(spark, path, rows.schema, keys, noted["buckets"])
+    try:
+        missing_rows(rows, spark.table(name), keys, noted["buckets"]).write.insertInto(name)
+    finally:
+        spark.sql(f"DROP TABLE `{name}`")  # external: the folder stays
+
+
+def bucketed_table(spark: SparkSession, path: str, schema: StructType, keys: list[str], buckets: int) -> str:
+    """Name under which the session's catalog now knows the folder, as dealt into buckets of its keys."""
+    name = f"bucketed_{hashlib.sha1(path.encode()).hexdigest()[:16]}"
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+    columns = ", ".join(f"`{key}`" for key in keys)
+    spark.sql(f"CREATE TABLE `{name}` ({fields}) USING parquet CLUSTERED BY ({columns}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def missing_rows(rows: DataFrame, stored: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Rows whose key the bucketed table lacks, dealt into its buckets."""
+    return rows.repartition(buckets, *keys).join(stored.select(*keys), keys, "left_anti").select(*stored.columns)
 
 
 def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:

@@ -111,3 +111,32 @@ def test_line_order_follows_file_names(spark, tmp_path):
     found = csv_files.read_typed(spark, str(tmp_path), "n int, name string, missing long", with_seq=True)
     assert [row["n"] for row in found.orderBy("seq").collect()] == list(range(51))
     assert found.where("missing IS NOT NULL").count() == 0
+
+
+def test_batches_follow_files_and_lines(spark, tmp_path):
+    """The second file is the larger one, which Spark packs first."""
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    small, large = [f"small{i}" for i in range(10, 0, -1)], [f"large{i}" for i in range(3000, 0, -1)]
+    for name, found in (("a.csv", small), ("b.csv", large)):
+        (folder / name).write_text("package_name\n" + "\n".join(found) + "\n")
+    main(["request-batches", str(folder), "--out", str(tmp_path / "batches")])
+    batches = spark.read.json(str(tmp_path / "batches")).orderBy("batch_index").collect()
+    assert [name for batch in batches for name in batch["packages"]] == small + large
+
+
+def test_csv_to_json_in_splits(spark, tmp_path):
+    source = tmp_path / "table.csv"
+    source.write_text("a,b\n" + "".join(f"{i},word{i}\n" for i in range(20_000)))
+    before = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        main(["csv-to-json", str(source), "--no-line-breaks", "--out", str(tmp_path / "split")])
+        main(["csv-to-json", str(source), "--out", str(tmp_path / "whole")])
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(list((tmp_path / "split").glob("part-*"))) > 3 and len(list((tmp_path / "whole").glob("part-*"))) == 1
+    assert spark.read.json(str(tmp_path / "split")).exceptAll(spark.read.json(str(tmp_path / "whole"))).isEmpty()
+    assert spark.read.json(str(tmp_path / "split")).count() == 20_000

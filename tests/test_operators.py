@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hazardlens.operators import keys
 from hazardlens.operators.keys import exclude_known, first_per_key, last_per_key, null_counts, repeated_keys
 from hazardlens.operators.ranks import exact_quantiles, smallest_share_cut
 from hazardlens.operators.running import alphabetical, numbered, running_totals
@@ -161,3 +162,25 @@ def test_describe_and_value_counts(spark):
     line = describe(frame, ["x"]).first()
     assert (line["value_count"], line["mean"], line["std"], line["median"]) == (3, 2.0, 1.0, 2.0)
     assert rows(value_counts(frame, ["t"]), "value", "value_count", "percentage") == [("a", 2, 50.0), ("b", 1, 25.0)]
+
+
+def test_lookup_splits_heavy_keys(spark, monkeypatch):
+    """Half of the rows hold one key, some none; the table is over the limit, and still all tasks get alike."""
+    monkeypatch.setattr(keys, "BROADCAST_ROWS", 100)
+    table = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") * 2).alias("code"), F.lit("x").alias("more"))
+    key = F.when(F.col("id") % 2 == 0, "k7").when(F.col("id") % 20 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50_000))
+    data = spark.range(200_000).select("id", key.alias("key"))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = keys.with_lookup(data, table, "key")
+        sizes = sorted(row["count"] for row in found.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8] and sum(sizes) == 200_000
+    plain = data.join(table, "key", "left")
+    assert found.columns == plain.columns[1:2] + plain.columns[:1] + plain.columns[2:]
+    assert found.exceptAll(plain.select(*found.columns)).isEmpty() and found.count() == plain.count()

@@ -1,12 +1,14 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
 from hazardlens import schemas
-from hazardlens.session import new_folder, path_exists, shared_root
+from hazardlens.session import new_folder, note_table, path_exists, scratch_scope, shared_root
 from hazardlens.sources import csv_files, documents, tables
+from hazardlens.sources.tables import append_new, bucketed_table, missing_rows, written
 from tests.conftest import rows
 
 
@@ -89,3 +91,53 @@ def test_scratch_folder_is_the_configured_one(spark):
     if root:
         assert shared_root(spark).startswith(root)
     assert new_folder(spark, "a") != new_folder(spark, "a")
+
+
+def test_append_never_shuffles_the_table(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    first = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("value"))
+    append_new(first, path, ["key"], buckets=8)
+    more = spark.range(2990, 3010).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(-1).cast("long").alias("value"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        name = bucketed_table(spark, path, first.schema, ["key"], 8)
+        missing = missing_rows(more, spark.table(name), ["key"], 8)
+        assert missing.count() == 10
+        plan = missing._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the new rows alone are dealt
+        spark.sql(f"DROP TABLE {name}")
+        append_new(more, path, ["key"])
+        append_new(more, path, ["key"])
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    found = spark.read.parquet(path)
+    assert found.count() == 3010 and found.where("value = -1").count() == 10
+    assert not spark.catalog.listTables()
+    with pytest.raises(ValueError, match="bucketed by"):
+        append_new(more, path, ["value"])
+
+
+def test_append_to_a_plain_folder(spark, tmp_path):
+    path = f"{tmp_path}/plain"
+    spark.createDataFrame([("a", 1)], "key string, value long").write.parquet(path)
+    append_new(spark.createDataFrame([("a", 2), ("b", 2)], "key string, value long"), path, ["key"])
+    assert rows(spark.read.parquet(path)) == [("a", 1), ("b", 2)]
+
+
+def test_scratch_ends_with_its_scope(spark, tmp_path):
+    kept = written(spark.range(3), "kept")
+    with scratch_scope(spark):
+        inner = written(spark.range(5), "inner")
+        files = inner.inputFiles()
+        name = bucketed_table(spark, new_folder(spark, "t"), inner.schema, ["id"], 2)
+        note_table(spark, name)
+        with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+            nested = written(spark.range(2), "nested").inputFiles()
+            raise ZeroDivisionError
+        assert not os.path.exists(nested[0].removeprefix("file://")) and os.path.exists(files[0].removeprefix("file://"))
+    assert not os.path.exists(files[0].removeprefix("file://")) and not spark.catalog.listTables()
+    assert kept.count() == 3
