@@ -1,20 +1,18 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap by a threshold or more.
 
-The document by n-gram incidence is multiplied in blocks. The n-grams of a set are dealt by their hash into
-m blocks, m being one more than the greatest symmetric difference that two sets of that size may have and
-still reach the threshold; so two sets that link agree in one block at least (an equal block may be empty).
-Equal blocks are the candidate cells of the product; sizes discard the cells that can't reach the threshold,
-and for the rest the overlap is summed over the whole rows. Equal sets are one row of the matrix.
-
-Sizes fall into classes of ratio ``CLASS_RATIO``; a set near the upper end of its class also appears in the
-next one, so two sets that may link always meet in a class with the same m. There they share at least m blocks
-less one for each n-gram in which sets of their two sizes may differ; the overlap counts of the last pass are
-held against that bound.
+The document by n-gram incidence is multiplied in two blocks of columns. Every row is put into one order of the n-grams,
+rare ones first. A row's first block has so many of its n-grams that two rows which link must share one there; its
+product is a join on the n-gram, and the place of the shared n-gram in both rows with their sizes bounds what
+the rest of the overlap can be, which discards most pairs. For the pairs left the overlap is summed over the whole
+rows. Equal sets are one row of the matrix.
+
+Rare means rare in counters of a fixed number that n-grams fall into by hash. They decide only the order, so links are
+exact whatever they hold; what many documents share comes last and is hardly ever multiplied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +21,18 @@ from pyspark.sql import functions as F
 
 from hazardlens.llm.linking import linked_groups
 from hazardlens.llm.scratch import bucketed, stored, stored_at
-from hazardlens.llm.words import NOT_SPACE, Words, gram_hash, lists, mix, on_slices, salt, signed, split_words
+from hazardlens.llm.words import NOT_SPACE, Words, gram_hash, lists, mix, on_slices, salt, signed, slices, split_words
 
-CLASS_RATIO = 1.6
-#: Keys end in the number of their size class; so many classes reach beyond 10^12 n-grams.
-LEVELS = 64
+#: Counters of n-grams, a power of two; a task reports those that stand out from its mean by so many deviations.
+SLOTS, STAND_OUT = 1 << 20, 4.0
 
 
-def size_classes(threshold: int, largest: int) -> list[tuple[int, int]]:
-    """(first size, blocks) of each class up to the one of ``largest``; ``threshold`` is in percent."""
-    classes, first = [], 1
-    while True:
-        following = max(first + 1, int(np.ceil(first * CLASS_RATIO)))
-        classes.append((first, 2 * (following - 1) * (100 - threshold) // (100 + threshold) + 1))
-        if first > largest:
-            return classes
-        first = following
+def first_block(size: int, threshold: int) -> int:
+    """How many of its n-grams, rare ones first, a set must show to meet every set that it may link with.
+
+    Sets that link share at least ``threshold`` percent of each of them, so not all that they share can be left.
+    """
+    return size - -(-size * threshold // 100) + 1
 
 
 def gram_sets(words: Words, size: int) -> list[np.ndarray]:
@@ -61,25 +55,30 @@ def set_digest(grams: np.ndarray) -> np.uint64:
     return mix(np.array([mix(grams).sum(dtype=np.uint64)]) * np.uint64(3) + salt(len(grams)))[0]
 
 
-def block_keys(grams: np.ndarray, threshold: int, classes: list[tuple[int, int]]) -> np.ndarray:
-    """A key per class and block: the hash of the n-grams that fall into it."""
-    n = len(grams)
-    at = int(np.searchsorted([c[0] for c in classes], n, "right")) - 1
-    out = []
-    for level in (at, at + 1):
-        if level > at and n * 100 // threshold < classes[level][0]:
-            break
-        blocks = classes[level][1]
-        if blocks == 1:  # only equal sets meet, and those are one row already
-            continue
-        block = (mix(grams + salt(level)) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams ^ salt(7))[order], dtype=np.uint64)))
-        cut = np.searchsorted(block[order], np.arange(blocks + 1))
-        names = np.arange(blocks, dtype=np.uint64) + salt(1000 + level)
-        keys = mix(mix(names) + sums[cut[1:]] - sums[cut[:-1]])
-        out.append(keys - keys % np.uint64(LEVELS) + np.uint64(level))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+def rare_first(grams: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
+    """The first block of a set, in order."""
+    if not len(grams):
+        return grams
+    wanted = first_block(len(grams), threshold)
+    order = np.lexsort((grams, counts[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]))
+    return grams[order[:wanted]]
+
+
+def common_grams(rows: DataFrame, size: int) -> np.ndarray:
+    """Counters of the n-grams of ``text``, zero where no task saw more than others; as large as ``SLOTS``."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in slices(batches, "text"):
+            grams = np.concatenate(gram_sets(split_words(batch.column("text"), NOT_SPACE, lower=True), size))
+            held += np.bincount((grams & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        found = np.flatnonzero(held > held.mean() + STAND_OUT * max(held.std(), 1.0))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(held[found])], names=["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in (rows.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n"))).collect():
+        counts[slot] = n
+    return counts
 
 
 def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_column: str = "doc_id",
@@ -92,12 +91,12 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
     id counts only where a group has no other. An empty table gives an empty result.
     """
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    shared = rows.sparkSession.sparkContext.broadcast(common_grams(rows, size))  # SLOTS numbers
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = gram_sets(split_words(batch.column("text"), NOT_SPACE, lower=True), size)
         sizes = np.array([len(s) for s in sets], np.int64)
-        classes = size_classes(threshold, int(sizes.max(initial=0)))
-        keys = [block_keys(s, threshold, classes) if len(s) else s for s in sets]
+        keys = [rare_first(s, shared.value, threshold) for s in sets]
         nodes = np.array([set_digest(s) for s in sets], np.uint64)
         bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64)
         return pa.RecordBatch.from_arrays(
@@ -114,18 +113,13 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
     keyed, drop_keyed = stored_at(described.where(F.size("keys") > 0).groupBy("node").agg(
         F.first("keys").alias("keys")), "keyed")  # equal sets have equal keys
     drop_described()
-    postings = keyed.select(F.explode("keys").alias("key"), "node")
+    postings = keyed.select(F.posexplode("keys").alias("place", "key"), "node")
 
     def near(p: str, q: str) -> Column:
-        small, large = F.least(F.col(f"{p}n"), F.col(f"{q}n")), F.greatest(F.col(f"{p}n"), F.col(f"{q}n"))
-        return small * 100 >= large * threshold
-
-    blocks = F.array(*(F.lit(b).cast("long") for _, b in size_classes(threshold, 10 ** 12)))
-
-    def least_shared(level: Column, p: str, q: str) -> Column:
-        """All blocks of the class but one for each n-gram in which sets of these sizes may differ."""
-        apart = F.floor((F.col(f"{p}n") + F.col(f"{q}n")) * (100 - threshold) / (100 + threshold))
-        return F.get(blocks, level) - apart
+        """Whether the rest from the shared n-gram on is enough for the overlap that sets of these sizes need."""
+        p_size, q_size = F.col(f"{p}n"), F.col(f"{q}n")
+        needed = F.floor(((p_size + q_size) * threshold + 99 + threshold) / (100 + threshold))
+        return F.least(p_size - F.col(f"{p}place"), q_size - F.col(f"{q}place")) >= needed
 
     def full_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = gram_sets(split_words(batch.column("text"), NOT_SPACE, lower=True), size)
@@ -149,8 +143,7 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
 
         return verified
 
-    groups = linked_groups(postings, nodes, ["n"], near, prepare, release=drop_keyed,
-                           least_shared=least_shared, level=lambda key: F.pmod(key, F.lit(LEVELS)).cast("int"))
+    groups = linked_groups(postings, nodes, ["n"], near, prepare, release=drop_keyed, own=("place",))
     least = (nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
              .select("node", "component", "id"))
     lowest = least.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -167,5 +160,5 @@ def one_of_each_group(documents: DataFrame, **options) -> DataFrame:
     Rows that repeat an id share its fate. Documents without words and rows without an id stay.
     """
     ids = jaccard_groups(documents, **options).groupBy("id").agg(F.min("component_id").alias("component_id"))
-    gone = ids.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id"))
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = ids.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(options.get("id_column", "doc_id")))
+    return documents.join(gone, gone.columns, "left_anti")

@@ -53,25 +53,24 @@ def components(links: DataFrame) -> DataFrame:
 def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], near: Callable[[str, str], Column],
                   prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], pivot_rounds: int = 2,
                   release: Callable[[], None] = lambda: None,
-                  least_shared: Callable[[Column, str, str], Column] | None = None,
-                  level: Callable[[Column], Column] = lambda key: F.lit(0)) -> DataFrame:
+                  own: tuple[str, ...] = ()) -> DataFrame:
     """(node, component) of the nodes that have a link.
 
     ``postings`` (key, node) are distinct; ``nodes`` has node, weight and the payload columns, one row a node.
     ``near(p, q)`` is a cheap test on payload columns prefixed by p and q, the same in both orders.
     ``prepare`` gets the nodes (node) that share a key with another and returns the full test: a function of
     distinct pairs (a, b), a < b, that returns those which link. ``release`` is called once the postings have
-    been read for good. ``least_shared(level, p, q)`` says how many keys of one ``level(key)`` two nodes share at
-    least if they link; in the last turn pairs that share fewer are left out before the full test. (A key that
-    two nodes of different groups share is still there in that turn, unless one of them was its pivot, and then
-    the two have been compared.)
+    been read for good. ``own`` names columns of the postings that ``near`` may use too; then it has to hold under
+    one of the keys that two linking nodes share, and is asked under each. (A key that two nodes of different
+    groups share is still there in the last turn, unless one of them was its pivot, and then ``near`` has been asked
+    for the two under it.)
     """
-    columns = ["node", "weight", *payload]
+    columns = ["node", "weight", *payload, *own]
     several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(postings.join(several, "key").select("key", "node"), "shared-keys")
+    members = stored(postings.join(several, "key").select("key", "node", *own), "shared-keys")
     release()
     verified = prepare(members.select("node").distinct())
-    members = members.join(nodes.select(*columns), "node")
+    members = members.join(nodes.select("node", "weight", *payload), "node")
     groups = None
     for turn in range(pivot_rounds + 1):
         labelled = members.withColumn("component", F.col("node"))
@@ -79,7 +78,7 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], nea
             labelled = members.join(groups, "node", "left").withColumn(
                 "component", F.coalesce("component", "node"))
         labelled = stored(labelled, "labelled")
-        best = F.struct("weight", "node", "component", *payload)
+        best = F.struct("weight", "node", "component", *payload, *own)
         mixed = (labelled.groupBy("key").agg(F.max(best).alias("pivot"), F.min("component").alias("lo"),
                                              F.max("component").alias("hi")).where("lo <> hi"))
         if turn < pivot_rounds:
@@ -95,9 +94,6 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], nea
                 "component", *columns).alias("l"))
             right = left.withColumnRenamed("l", "r")
             found = left.join(right, "key").where((F.col("l.component") < F.col("r.component")) & near("l.", "r."))
-            if least_shared is not None:
-                found = (found.groupBy(level(F.col("key")).alias("level"), "l", "r").agg(F.count("*").alias("shared"))
-                         .where(F.col("shared") >= least_shared(F.col("level"), "l.", "r.")))
             found = found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         pairs = stored(found.distinct(), "pairs")
         if not pairs.isEmpty():

@@ -6,8 +6,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hazardlens.llm import fuzzy_lines, jaccard, linking, words
 from tests.llm import reference
@@ -41,23 +43,59 @@ def test_components_match_union_find(spark):
     assert got == {n: c for n, c in want.items() if any(n in p and p[0] != p[1] for p in links)}
 
 
-def test_sets_that_link_share_a_block():
+def test_sets_that_link_meet_in_time():
+    """Their first shared n-gram is in the first block of both, early enough for the overlap that they need."""
     rng = np.random.default_rng(3)
-    for threshold in (80, 90):
-        classes = jaccard.size_classes(threshold, 5000)
+    counts = np.where(rng.random(jaccard.SLOTS) < 0.2, 50, 0)
+    tried = 0
+    for threshold in (30, 40, 63, 80, 90, 100):
         for _ in range(300):
-            n = int(rng.integers(2, 900))
+            n = int(rng.integers(1, 400))
             a = rng.integers(0, 2 ** 63, n).astype(np.uint64)
-            drop = int(rng.integers(0, n // 8 + 2))
-            b = np.concatenate((a[drop:], rng.integers(0, 2 ** 63, int(rng.integers(0, n // 8 + 2))).astype(np.uint64)))
+            reach = n * (100 - threshold) // 100 + 2
+            drop = int(rng.integers(0, reach))
+            b = np.concatenate((a[drop:], rng.integers(0, 2 ** 63, int(rng.integers(0, reach))).astype(np.uint64)))
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
-            if len(b) and 100 * both >= threshold * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                shared = np.intersect1d(jaccard.block_keys(a, threshold, classes), jaccard.block_keys(b, threshold, classes))
-                levels, counts = np.unique(shared % np.uint64(jaccard.LEVELS), return_counts=True)
-                apart = (len(a) + len(b)) * (100 - threshold) // (100 + threshold)
-                assert len(shared)
-                assert all(n >= classes[int(k)][1] - apart for k, n in zip(levels, counts, strict=True))
+            if both and 100 * both >= threshold * (len(a) + len(b) - both):
+                tried += 1
+                x, y = (jaccard.rare_first(s, counts, threshold).tolist() for s in (a, b))
+                first = next(g for g in x if g in set(y))
+                needed = -(-(len(a) + len(b)) * threshold // (100 + threshold))
+                assert min(len(a) - x.index(first), len(b) - y.index(first)) >= needed
+    assert tried > 500
+
+
+@pytest.mark.parametrize(("size", "threshold"), [(3, 40), (5, 80), (1, 100), (2, 63)])
+def test_jaccard_at_other_thresholds(documents, texts, size, threshold):
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(documents, size, threshold).collect()}
+    assert got == reference.jaccard(texts, size, threshold)
+
+
+def test_jaccard_columns_of_other_names(documents, texts):
+    named = documents.select(F.col("doc_id").alias("k"), F.col("text").alias("body"), F.col("lang").alias("doc_id"))
+    want = reference.jaccard(texts)
+    kept = jaccard.one_of_each_group(named, id_column="k", text_column="body")
+    assert sorted(r["k"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_candidates_grow_with_the_documents(spark):
+    """Pairs that are let through grow in proportion, not with the square."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(4000).select("text").toPandas()
+    counts = np.zeros(jaccard.SLOTS, np.int64)
+    seen = []
+    for upto in (1000, 4000):
+        sets = {jaccard.set_digest(s): s for s in jaccard.gram_sets(words.split_words(pa.array(table["text"][:upto]), lower=True), 5) if len(s)}
+        counts[:] = np.bincount(np.concatenate(list(sets.values())) & np.uint64(jaccard.SLOTS - 1), minlength=jaccard.SLOTS)
+        by_key, pairs = {}, set()
+        for name, grams in sets.items():
+            for place, gram in enumerate(jaccard.rare_first(grams, counts, 80).tolist()):
+                by_key.setdefault(gram, []).append((name, len(grams), place))
+        for group in by_key.values():
+            for k, (a, n, i) in enumerate(group):
+                pairs |= {(min(a, b), max(a, b)) for b, m, j in group[:k] if min(n - i, m - j) * 180 >= (n + m) * 80}
+        seen.append(len(pairs))
+    assert seen[1] <= 8 * max(seen[0], 50)
 
 
 def test_jaccard_groups(documents, texts):
