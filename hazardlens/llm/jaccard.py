@@ -143,7 +143,8 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
 
         return verified
 
-    groups = linked_groups(postings, nodes, ["n"], near, prepare, release=drop_keyed, own=("place",))
+    groups = linked_groups(postings, nodes, ["n"], near, prepare, release=drop_keyed, own=("place",),
+                           each_turn=True)
     least = (nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
              .select("node", "component", "id"))
     lowest = least.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -53,13 +53,14 @@ def components(links: DataFrame) -> DataFrame:
 def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], near: Callable[[str, str], Column],
                   prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], pivot_rounds: int = 2,
                   release: Callable[[], None] = lambda: None,
-                  own: tuple[str, ...] = ()) -> DataFrame:
+                  own: tuple[str, ...] = (), each_turn: bool = False) -> DataFrame:
     """(node, component) of the nodes that have a link.
 
     ``postings`` (key, node) are distinct; ``nodes`` has node, weight and the payload columns, one row a node.
     ``near(p, q)`` is a cheap test on payload columns prefixed by p and q, the same in both orders.
     ``prepare`` gets the nodes (node) that share a key with another and returns the full test: a function of
-    distinct pairs (a, b), a < b, that returns those which link. ``release`` is called once the postings have
+    distinct pairs (a, b), a < b, that returns those which link. With ``each_turn`` it gets the nodes of the turn's
+    pairs instead, every turn. ``release`` is called once the postings have
     been read for good. ``own`` names columns of the postings that ``near`` may use too; then it has to hold under
     one of the keys that two linking nodes share, and is asked under each. (A key that two nodes of different
     groups share is still there in the last turn, unless one of them was its pivot, and then ``near`` has been asked
@@ -69,7 +70,7 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], nea
     several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(postings.join(several, "key").select("key", "node", *own), "shared-keys")
     release()
-    verified = prepare(members.select("node").distinct())
+    verified = None if each_turn else prepare(members.select("node").distinct())
     members = members.join(nodes.select("node", "weight", *payload), "node")
     groups = None
     for turn in range(pivot_rounds + 1):
@@ -97,7 +98,8 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], nea
             found = found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         pairs = stored(found.distinct(), "pairs")
         if not pairs.isEmpty():
-            fresh = stored(verified(pairs).select("a", "b"), "links")
+            test = verified or prepare(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+            fresh = stored(test(pairs).select("a", "b"), "links")
             known = fresh if groups is None else fresh.unionByName(
                 groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
             groups = components(known)

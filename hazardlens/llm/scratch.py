@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazardlens.session import new_folder
+from hazardlens.session import new_folder, note_table
 
 #: Shuffle files go as soon as the table that they were for is written.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -47,6 +47,7 @@ def bucketed(frame: DataFrame, label: str, key: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _freeing(spark, lambda: frame.repartition(parts, key).write.bucketBy(parts, key).sortBy(key)
              .option("path", path).format("parquet").saveAsTable(name))
+    note_table(spark, name)
     return spark.table(name)
 
 
