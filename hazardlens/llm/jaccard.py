@@ -110,7 +110,7 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
     sets = stored(described.select("id", "n_shingles", "node"), "sets")
     nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(
         F.count("*").alias("weight"), F.min("id").alias("id"), F.max("n_shingles").alias("n")), "nodes")
-    keyed, drop_keyed = stored_at(described.where(F.size("keys") > 0).groupBy("node").agg(
+    keyed, drop_keyed = stored_at(described.where(F.size("keys") > 0).groupBy("node", "n_shingles").agg(
         F.first("keys").alias("keys")), "keyed")  # equal sets have equal keys
     drop_described()
     postings = keyed.select(F.posexplode("keys").alias("place", "key"), "node")
@@ -128,23 +128,32 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
             [pa.array(signed(np.array([set_digest(s) for s in sets], np.uint64))),
              lists(signed(np.concatenate([*sets, np.empty(0, np.uint64)])), bounds)], names=["node", "grams"])
 
-    def prepare(active: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        picked = nodes.join(active, "node").select("id").distinct()
+    def both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+        return pairs
+
+    def overlap(column: str) -> Column:
+        return F.size(F.array_intersect(f"a_{column}", f"b_{column}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """First the overlap of the first blocks: what it lacks must be among the n-grams that follow them."""
+        sizes = {side: F.col(f"{side}_n_shingles") for side in "ab"}
+        rest = F.greatest(*[sizes[side] - F.size(f"{side}_keys") for side in "ab"])
+        needed = F.floor(((sizes["a"] + sizes["b"]) * threshold + 99 + threshold) / (100 + threshold))
+        likely = stored(both_sides(pairs, keyed, "n_shingles", "keys").where(overlap("keys") + rest >= needed).select("a", "b"),
+                        "likely-pairs")
+        named = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        picked = nodes.join(named, "node").select("id").distinct()
         grams = (rows.join(picked, rows["id"].eqNullSafe(picked["id"]), "left_semi").select("text")
                  .mapInArrow(on_slices(full_rows), "node bigint, grams array<bigint>"))
-        incidence = bucketed(grams.join(active, "node", "left_semi").dropDuplicates(["node"]), "incidence", "node")
-        left, right = (incidence.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
+        incidence = bucketed(grams.join(named, "node", "left_semi").dropDuplicates(["node"]), "incidence", "node")
+        both = both_sides(likely, incidence, "grams").withColumn("overlap", overlap("grams")).withColumn(
+            "union", F.size("a_grams") + F.size("b_grams") - F.col("overlap"))
+        return both.where(F.col("overlap") * 100 >= F.col("union") * threshold)
 
-        def verified(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(left, "a").join(right, "b").withColumn(
-                "overlap", F.size(F.array_intersect("a_grams", "b_grams"))).withColumn(
-                "union", F.size("a_grams") + F.size("b_grams") - F.col("overlap"))
-            return both.where(F.col("overlap") * 100 >= F.col("union") * threshold)
-
-        return verified
-
-    groups = linked_groups(postings, nodes, ["n"], near, prepare, release=drop_keyed, own=("place",),
-                           each_turn=True)
+    groups = linked_groups(postings, nodes, ["n"], near, lambda active: verified, own=("place",))
+    drop_keyed()
     least = (nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
              .select("node", "component", "id"))
     lowest = least.groupBy("component").agg(F.min("id").alias("component_id"))
