@@ -55,6 +55,17 @@ def set_digest(grams: np.ndarray) -> np.uint64:
     return mix(np.array([mix(grams).sum(dtype=np.uint64)]) * np.uint64(3) + salt(len(grams)))[0]
 
 
+#: A first block's n-grams as bits.
+MASK_WORDS = 4
+MASK = [f"mask{k}" for k in range(MASK_WORDS)]
+
+
+def first_block_mask(grams: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * MASK_WORDS, np.uint8)
+    bits[(grams >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def rare_first(grams: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
     """The first block of a set, in order."""
     if not len(grams):
@@ -97,29 +108,40 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
         sets = gram_sets(split_words(batch.column("text"), NOT_SPACE, lower=True), size)
         sizes = np.array([len(s) for s in sets], np.int64)
         keys = [rare_first(s, shared.value, threshold) for s in sets]
+        masks = np.array([first_block_mask(k) for k in keys], np.uint64).reshape(-1, MASK_WORDS)
         nodes = np.array([set_digest(s) for s in sets], np.uint64)
         bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64)
         return pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(sizes), pa.array(signed(nodes)),
-             lists(signed(np.concatenate([*keys, np.empty(0, np.uint64)])), bounds)],
-            names=["id", "n_shingles", "node", "keys"])
+             lists(signed(np.concatenate([*keys, np.empty(0, np.uint64)])), bounds),
+             *[pa.array(signed(word)) for word in masks.T]],
+            names=["id", "n_shingles", "node", "keys", *MASK])
 
     kind = rows.schema["id"].dataType.simpleString()
+    mask_fields = ", ".join(f"{word} bigint" for word in MASK)
     described, drop_described = stored_at(rows.mapInArrow(
-        on_slices(describe), f"id {kind}, n_shingles bigint, node bigint, keys array<bigint>"), "described")
+        on_slices(describe), f"id {kind}, n_shingles bigint, node bigint, keys array<bigint>, {mask_fields}"), "described")
     sets = stored(described.select("id", "n_shingles", "node"), "sets")
-    nodes = stored(sets.where("n_shingles > 0").groupBy("node").agg(
-        F.count("*").alias("weight"), F.min("id").alias("id"), F.max("n_shingles").alias("n")), "nodes")
+    nodes = stored(described.where("n_shingles > 0").groupBy("node").agg(
+        F.count("*").alias("weight"), F.min("id").alias("id"), F.max("n_shingles").alias("n"),
+        F.max(F.size("keys")).alias("shown"), *[F.first(word).alias(word) for word in MASK]), "nodes")
     keyed, drop_keyed = stored_at(described.where(F.size("keys") > 0).groupBy("node", "n_shingles").agg(
         F.first("keys").alias("keys")), "keyed")  # equal sets have equal keys
     drop_described()
     postings = keyed.select(F.posexplode("keys").alias("place", "key"), "node")
 
     def near(p: str, q: str) -> Column:
-        """Whether the rest from the shared n-gram on is enough for the overlap that sets of these sizes need."""
-        p_size, q_size = F.col(f"{p}n"), F.col(f"{q}n")
+        """Whether the overlap that sets of these sizes need can still be had.
+
+        It is at most what follows the shared n-gram in either row. It is also at most the overlap of the first blocks and
+        what follows these; every bit in which their masks differ stands for an n-gram that only one of them has.
+        """
+        p_size, q_size, p_shown, q_shown = (F.col(f"{side}{name}") for name in ("n", "shown") for side in (p, q))
         needed = F.floor(((p_size + q_size) * threshold + 99 + threshold) / (100 + threshold))
-        return F.least(p_size - F.col(f"{p}place"), q_size - F.col(f"{q}place")) >= needed
+        apart = sum((F.bit_count(F.col(f"{p}{word}").bitwiseXOR(F.col(f"{q}{word}"))) for word in MASK), F.lit(0))
+        shown = F.floor((p_shown + q_shown - apart) / 2) + F.greatest(p_size - p_shown, q_size - q_shown)
+        rest = F.least(p_size - F.col(f"{p}place"), q_size - F.col(f"{q}place"))
+        return (rest >= needed) & (shown >= needed)
 
     def full_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = gram_sets(split_words(batch.column("text"), NOT_SPACE, lower=True), size)
@@ -152,7 +174,7 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
             "union", F.size("a_grams") + F.size("b_grams") - F.col("overlap"))
         return both.where(F.col("overlap") * 100 >= F.col("union") * threshold)
 
-    groups = linked_groups(postings, nodes, ["n"], near, lambda active: verified, own=("place",))
+    groups = linked_groups(postings, nodes, ["n", "shown", *MASK], near, lambda active: verified, own=("place",))
     drop_keyed()
     least = (nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
              .select("node", "component", "id"))
