@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from hazardlens.llm.linking import linked_groups
-from hazardlens.llm.scratch import stored
+from hazardlens.llm.scratch import free_names, stored
 from hazardlens.llm.words import ALPHANUMERIC, Words, lists, mix, on_slices, salt, signed, split_words
 
 DISTANCE = 3
@@ -256,13 +256,15 @@ def without_repeated_lines(documents: DataFrame, id_column: str = "doc_id", text
                            **options) -> DataFrame:
     """``documents`` with whole texts rebuilt from the lines that stay, and ``lines_removed``.
 
-    All rows stay, also those left without a line; a null text stays null. Extra columns are kept.
+    All rows stay, also those left without a line; a null text stays null. Extra columns are kept, whatever their
+    names; only one named ``lines_removed`` is replaced.
     """
     gone = repeated_line_numbers(documents, id_column, text_column, **options)
-    per_text = gone.groupBy("id", "text_key").agg(F.collect_list("line").alias("gone_lines")).select(
-        F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone_lines")
-    joined = documents.join(per_text, F.col(id_column).eqNullSafe(F.col("gone_id"))
-                            & (F.xxhash64(text_column) == F.col("gone_key")), "left")
+    gone_id, gone_key, gone_lines = free_names(documents, "gone_id", "gone_key", "gone_lines")
+    per_text = gone.groupBy("id", "text_key").agg(F.collect_list("line").alias(gone_lines)).select(
+        F.col("id").alias(gone_id), F.col("text_key").alias(gone_key), gone_lines)
+    joined = documents.join(per_text, F.col(id_column).eqNullSafe(F.col(gone_id))
+                            & (F.xxhash64(text_column) == F.col(gone_key)), "left")
     kept = [F.col(c) for c in documents.columns if c not in (text_column, "lines_removed")]
-    return joined.select(*kept, _without_lines(F.col(text_column), F.col("gone_lines")).alias(text_column),
-                         F.coalesce(F.size("gone_lines"), F.lit(0)).alias("lines_removed"))
+    return joined.select(*kept, _without_lines(F.col(text_column), F.col(gone_lines)).alias(text_column),
+                         F.coalesce(F.size(gone_lines), F.lit(0)).alias("lines_removed"))

@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardlens.llm.scratch import stored
+from hazardlens.llm.scratch import free_names, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
@@ -56,6 +56,10 @@ def weighted_sources(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Da
         F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).alias("weight"))
 
 
+#: What ``with_copies`` adds.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
 def source_targets(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE,
                    most: int = MOST, text_column: str = "text", source_column: str = "source") -> DataFrame:
     """(source, source_size, target, rate), one row a source; null is a source of its own. Empty sources get 0."""
@@ -88,19 +92,27 @@ def with_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
                 source_column: str = "source", seed: str = SEED, **options) -> DataFrame:
     """``documents`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``, the times a row is taken.
 
-    All rows stay; a row may have 0 copies. Null ids and texts draw by what is left of them; equal rows draw alike.
+    All rows stay; a row may have 0 copies. Null ids and texts draw by what is left of them; equal rows draw alike. An
+    empty table stays empty. Extra columns are kept; those named as one of the four are replaced.
     """
+    if source_column in ADDED or text_column in ADDED or id_column in ADDED:
+        raise ValueError(f"columns named {', '.join(ADDED)} are made here")
+    documents = documents.drop(*ADDED)
+    source, key, rate = free_names(documents, "mix_source", "mix_source_key", "mix_rate")
     targets = source_targets(documents, text_column=text_column, source_column=source_column, **options).select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    copies = F.floor("mix_rate") + (draw(id_column, text_column, seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("long")
-    return (documents.withColumns({"mix_size": text_size(text_column), "mix_source_key": F.col(source_column)})
-            .join(targets, F.col("mix_source_key").eqNullSafe(F.col("mix_source")), "left")
-            .withColumn("mix_copies", copies).drop("mix_source", "mix_source_key", "mix_rate"))
+        F.col("source").alias(source), F.col("source_size").alias("mix_source_size"),
+        F.col("target").alias("mix_target"), F.col("rate").alias(rate))
+    copies = F.floor(rate) + (draw(id_column, text_column, seed) < F.col(rate) - F.floor(rate)).cast("long")
+    return (documents.withColumns({"mix_size": text_size(text_column), key: F.col(source_column)})
+            .join(targets, F.col(key).eqNullSafe(F.col(source)), "left")
+            .withColumn("mix_copies", copies).drop(source, key, rate))
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
-    """Each row of ``documents`` as often as the mix takes it, with ``copy`` counted from 1."""
-    columns = [c for c in documents.columns if c != "copy"]
+    """Each row of ``documents`` as often as the mix takes it, with ``copy`` counted from 1.
+
+    Nulls, equal rows and empty tables as in ``with_copies``; a column named ``copy`` or as one of those it adds goes.
+    """
+    columns = [c for c in documents.columns if c not in ("copy", *ADDED)]
     return with_copies(documents, **options).where("mix_copies > 0").select(
         *columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy"))

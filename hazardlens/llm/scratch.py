@@ -10,15 +10,20 @@ from hazardlens.session import new_folder, note_table
 
 #: Shuffle files go as soon as the table that they were for is written.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows go to Python in batches of so many bytes at most (a longer row is a batch of its own), however long texts are.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def _freeing(spark: SparkSession, write: Callable[[], None]) -> None:
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
+    wanted = {FREE_SHUFFLES: "true", **BATCH_BYTES}
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         write()
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def stored(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -51,5 +56,16 @@ def bucketed(frame: DataFrame, label: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be none of the frame's columns."""
+    taken = {column.lower() for column in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

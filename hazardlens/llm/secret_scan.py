@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.llm.scratch import stored
+from hazardlens.operators.keys import with_lookup
 
 #: Base kinds in their order: pattern, the group whose length counts, and its least length.
 BASE = [
@@ -109,7 +110,8 @@ def secret_scan(documents: DataFrame, example_owners: int = EXAMPLE_OWNERS, **op
             .select("id", "text_key", "base", "opaque").distinct())
     each = some.select("id", "text_key", F.explode(F.concat("base", "opaque")).alias("s")).withColumn(
         "value_hash", F.sha2("s.value", 256))
-    owned = each.join(ownership(found), "value_hash").groupBy("id", "text_key").agg(
+    owners = stored(ownership(found), "secret-owners")
+    owned = with_lookup(each, owners, "value_hash").groupBy("id", "text_key").agg(
         F.count(F.when(F.col("n_owners") == 1, 1)).alias("n_live"),
         F.count(F.when(F.col("n_owners") >= example_owners, 1)).alias("n_examples"),
         F.collect_list(F.when((F.col("s.kind") == OPAQUE[0]) & (F.col("n_owners") == 1), F.col("s"))).alias("added"))

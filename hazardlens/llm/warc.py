@@ -13,12 +13,13 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardlens.llm.files import full_path, open_store
 from hazardlens.llm.scratch import stored
 from hazardlens.session import new_folder
 
@@ -26,7 +27,10 @@ DATE = "2024-01-01T00:00:00Z"
 #: Records that lie no further apart than this are read in one go, up to ``RANGE_BYTES``.
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 4 << 20
+#: A reading task gets so many bytes of archives and so many records, or what is left.
+TASK_BYTES, TASK_RECORDS = 32 << 20, 20_000
 RECORD_ID = "urn:page:"
+NO_ID = "urn:page-without-id"
 INDEX = "page_id {kind}, url string, payload_digest string, record_type string, file string, offset bigint, length bigint"
 
 
@@ -57,15 +61,19 @@ def _header_text(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
+def record_uri(page_id) -> str:
+    return NO_ID if page_id is None else RECORD_ID + quote(str(page_id), safe="")
+
+
 def record_bytes(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     block = http + payload if kind == "response" else http
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{RECORD_ID}{page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_uri(page_id)}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header_text(url)}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <{RECORD_ID}{refers_to}>",
+        lines += [f"WARC-Refers-To: <{record_uri(refers_to)}>",
                   "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -81,19 +89,22 @@ def parse_record(data: bytes) -> dict:
 
 
 def _page(uri: str | None) -> str | None:
-    if uri is None:
+    if uri is None or uri == f"<{NO_ID}>":
         return None
-    name = uri.removeprefix(f"<{RECORD_ID}").removesuffix(">")
-    return None if name == "None" else name
+    return unquote(uri.removeprefix(f"<{RECORD_ID}").removesuffix(">"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
-    """Archives every row of (page_id, url, html) and returns the stored index, one row a record."""
-    folder = folder or new_folder(pages.sparkSession, "warc")
+    """Archives every row of (page_id, url, html) and returns the stored index, one row a record.
+
+    A null html is an empty payload, a null url leaves its header out, a null id has a record id of its own. Rows that
+    repeat an id are records of their own, other columns are not kept. An empty table makes no archive and an empty index.
+    """
+    folder = full_path(pages.sparkSession, folder or new_folder(pages.sparkSession, "warc"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = open_store(folder)
         sink, name, at = None, f"{uuid.uuid4().hex}.warc.gz", 0
         for batch in batches:
             index = []
@@ -122,15 +133,18 @@ def read_records(index: DataFrame, selected: Column | None = None) -> DataFrame:
     """The selected records, read back: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     Bytes and digest are those of the full payload, also for revisits, whose own payload is null; a response
-    whose payload does not have the digest of its header is an error.
+    whose payload does not have the digest of its header is an error. An empty index, or none selected, gives no row.
     """
     kind = index.schema["page_id"].dataType.simpleString()
     wanted = (index if selected is None else index.where(selected)).select("file", "offset", "length")
-    ranges = wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    held = wanted.agg(F.sum("length"), F.count("*")).first()
+    tasks = max(1, -(-(held[0] or 0) // TASK_BYTES), -(-held[1] // TASK_RECORDS))
+    # The number of ranges is given, as sizes of index rows say nothing about the bytes behind them.
+    ranges = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def fetch(group: list[tuple[str, int, int]]) -> Iterator[tuple]:
         path = group[0][0]
-        store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store, name = open_store(path)
         first, last = group[0][1], group[-1][1] + group[-1][2]
         with store.open_input_file(name) as source:
             data = source.read_at(last - first, first)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardlens.llm.scratch import stored
+from hazardlens.llm.scratch import free_names, stored
 from hazardlens.llm.words import ALPHANUMERIC, Words, gram_hash, mix, on_slices, salt, signed, split_words
 
 WINDOW = 10
@@ -185,9 +185,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, **options) -> Data
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
-def clean_documents(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` without a hit. Rows that repeat an id are judged by their own text."""
-    keyed = documents.withColumn("text_class", F.xxhash64("text"))
-    bad = contamination(keyed, benchmark, id_column="text_class", **options).where("contaminated").select(
-        F.col("id").alias("text_class")).distinct()
-    return keyed.join(bad, "text_class", "left_anti").select(*documents.columns)
+def clean_documents(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``documents`` without a hit, with all their columns.
+
+    Every row is judged by its own text, whatever its id. A null or empty text has no hit and stays. With an empty benchmark
+    all rows stay; an empty table stays empty.
+    """
+    (key,) = free_names(documents, "text_class")
+    keyed = documents.withColumn(key, F.xxhash64(text_column))
+    bad = contamination(keyed, benchmark, id_column=key, text_column=text_column, **options).where("contaminated").select(
+        F.col("id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*documents.columns)
