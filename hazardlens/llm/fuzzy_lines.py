@@ -41,7 +41,7 @@ BLOCK_WORDS = 3
 #: Bits that may differ in pairs that share words: of lines under ``SHORT_CHARS`` characters, and of others.
 WIDE_SHORT, WIDE_LONG, SHORT_CHARS = 28, 20, 60
 #: Words whose 64 bits are summed at a time.
-SUM_WORDS = 1 << 17
+SUM_WORDS = 1 << 15
 
 
 def line_spans(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ below only tell ASCII characters apart, so byte runs and code point runs are the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes worked on at a time; a longer single text forms a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes whose words are hashed at a time; bounds the eight-byte temporaries of a very long text.
 HASH_BYTES = 4 << 20
 
@@ -150,6 +151,14 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of some ``SLICE_BYTES`` of text, so that memory doesn't follow the text length."""
     for batch in batches:
@@ -159,6 +168,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+                give_back()
 
 
 def on_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text") -> Callable:
