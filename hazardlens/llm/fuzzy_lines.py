@@ -1,13 +1,14 @@
-"""Fuzzy line dedup: one occurrence stays of every connected group of near-equal lines.
+"""Fuzzy line dedup: one occurrence stays of every connected group of equal or near-equal lines.
 
 A line is normalised to its alphanumeric words, A-Z in lower case, between single spaces. Equal normalised
-lines are one node. Nodes get a 64-bit SimHash over their words; with ``DISTANCE`` bits of difference allowed
-and ``BLOCKS`` blocks, two near lines agree in ``BLOCKS - DISTANCE`` blocks at least, and each choice of so
-many blocks is a join key. Pairs within the distance are verified by their edit similarity on whole lines.
-
-A changed word moves more bits than that in most lines. With ``word_keys`` lines also meet on bags of their words:
-short ones on all words but one, longer ones on blocks that words are dealt into by hash, as many that one stays
-equal when a tenth of the words is replaced (``word_bags``). The bits then only sort out unrelated pairs.
+lines, however short, are one node. Nodes of ``LEAST_WORDS`` words or more get a SimHash in blocks: its projections
+are sparse, each word votes in the 64 bits of one block only, so that a changed word moves the bits of two blocks at
+most, where a vote in all bits would move some in every block. By pigeonhole the other blocks agree, and the choices of
+so many blocks are the join keys (``block_keys``). Pairs that share one and have like lengths are verified by
+their edit similarity on whole lines; there is no bound on bits beside it.
+
+Words are the features, so lines whose edits are spread over most of their words (a typo in every second word) may
+share no key; the tests measure how many pairs that are near by edit similarity alone are found.
 """
 
 from __future__ import annotations
@@ -23,29 +24,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from hazardlens.llm.linking import linked_groups
-from hazardlens.llm.scratch import free_names, stored
+from hazardlens.llm.scratch import free_names, stored, stored_at
 from hazardlens.llm.words import ALPHANUMERIC, Words, lists, mix, on_slices, salt, signed, split_words
 
-DISTANCE = 3
-BLOCKS = 5
-#: Lines of fewer words are never near copies: too little to tell boilerplate from everyday phrases.
+#: Lines of fewer words are never near copies, only equal ones: too little to tell boilerplate from everyday phrases.
 LEAST_WORDS = 4
 #: Percent of the longer line that must stay as it is.
 SIMILARITY = 90
-#: Ratio of the ends of a length class.
+#: Ratio of the ends of a length class, in words.
 LENGTH_RATIO = 1.6
-#: Lines of fewer words meet on all words but one.
+#: In lines of fewer words each word is a block, and one block may differ.
 SHORT_WORDS = 10
-#: Words that a block needs to be a key; fewer are shared by unrelated lines.
+#: Words that a key needs; fewer are shared by unrelated lines.
 BLOCK_WORDS = 3
-#: Bits that may differ in pairs that share words: of lines under ``SHORT_CHARS`` characters, and of others.
-WIDE_SHORT, WIDE_LONG, SHORT_CHARS = 28, 20, 60
-#: Words whose 64 bits are summed at a time.
-SUM_WORDS = 1 << 15
+#: Words whose votes are counted at a time, and blocks that are filled at a time.
+SUM_WORDS, SUM_BLOCKS = 1 << 15, 1 << 13
 
 
-def line_spans(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number in the text, first word, end word) of the lines with enough words."""
+def line_spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number in the text, first word, end word) of the lines with words."""
     breaks = np.flatnonzero(words.data == 0x0A)
     owner = words.owner
     # Breaks before a word number its line over all texts; those before its text are taken off.
@@ -55,8 +52,6 @@ def line_spans(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray,
     new[1:] = (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     end = np.append(first[1:], len(line))
-    keep = end - first >= least_words
-    first, end = first[keep], end[keep]
     return owner[first], line[first] - before[owner[first]], first, end
 
 
@@ -71,21 +66,24 @@ def line_keys(words: Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
                + salt(3) + sizes.astype(np.uint64))
 
 
-def simhashes(words: Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Bit b of a line is set where over half of its words have it set in their hash."""
-    sizes = end - first
-    sums = np.zeros((len(first), 64), np.int32)
-    flat = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    line = np.repeat(np.arange(len(first)), sizes)
-    for at in range(0, len(flat), SUM_WORDS):
-        part, of = flat[at:at + SUM_WORDS], line[at:at + SUM_WORDS]
-        bits = np.unpackbits(mix(words.hashes[part] ^ salt(5)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def votes(hashes: np.ndarray, place: np.ndarray, places: int) -> np.ndarray:
+    """For each place and bit, the words there that have the bit set in their hash less those that have not."""
+    sums = np.zeros((places, 64), np.int32)
+    for at in range(0, len(hashes), SUM_WORDS):
+        of = place[at:at + SUM_WORDS]
+        bits = np.unpackbits(hashes[at:at + SUM_WORDS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cut = np.flatnonzero(np.diff(of, prepend=-1))
-        sums[of[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").reshape(-1, 8).view(np.uint64).ravel()
+        counts = np.diff(np.append(cut, len(of)))
+        sums[of[cut]] += 2 * np.add.reduceat(bits, cut, axis=0, dtype=np.int32) - counts[:, None].astype(np.int32)
+    return sums
+
+
+def sign_bits(sums: np.ndarray) -> np.ndarray:
+    """The SimHash of each row of votes."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").reshape(-1, 8).view(np.uint64).ravel()
 
 
-def bag_classes(largest: int) -> list[tuple[int, int, int]]:
+def length_classes(largest: int) -> list[tuple[int, int, int]]:
     """(least words, blocks, blocks in a key) of the lines that are not short, up to the class of ``largest`` words."""
     classes, first = [(SHORT_WORDS, 5, 3)], 2 * SHORT_WORDS
     while classes[-1][0] <= largest:
@@ -94,12 +92,12 @@ def bag_classes(largest: int) -> list[tuple[int, int, int]]:
     return classes
 
 
-def word_bags(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, where those of each line begin): hashes of bags of words that near lines share.
+def block_keys(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, where those of each line begin): SimHash bits of the choices of blocks that near lines agree in.
 
-    Two lines of under ``SHORT_WORDS`` words share one if one word is replaced or added. Longer ones agree in enough
-    blocks if that holds, from 20 words on if up to a tenth of the class's least words is replaced; blocks of
-    too few words are left out.
+    Two lines of under ``SHORT_WORDS`` words share a key if one word is replaced or added. Longer ones agree in enough
+    blocks if that holds, from 20 words on if up to a tenth of the class's least words is replaced; choices of
+    too few words are left out. Lines of under ``LEAST_WORDS`` words have no key.
     """
     sizes = end - first
     owners, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
@@ -110,32 +108,42 @@ def word_bags(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndar
         at = np.repeat(first[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.repeat(np.arange(len(chosen)), n), words.hashes[at]
 
-    short = np.flatnonzero(sizes <= SHORT_WORDS)
-    if len(short):
-        line, hashes = flat(short)
+    every = np.flatnonzero((sizes >= LEAST_WORDS) & (sizes <= SHORT_WORDS))
+    for chosen in np.array_split(every, len(every) // (SUM_BLOCKS // SHORT_WORDS) + 1):
+        line, hashes = flat(chosen)
         hashes = mix(hashes ^ salt(11))
-        total = np.zeros(len(short), np.uint64)
-        np.add.at(total, line, hashes)
-        owners += [short, short[line]]
-        found += [mix(total + salt(12)), mix(total[line] - hashes + salt(12))]
-    classes = bag_classes(int(sizes.max(initial=0)))
+        sums = votes(hashes, line, len(chosen))
+        without = sums[line] - votes(hashes, np.arange(len(hashes)), len(hashes))
+        owners += [chosen, chosen[line]]
+        found += [mix(sign_bits(sums) + salt(12) + sizes[chosen].astype(np.uint64)),
+                  mix(sign_bits(without) + salt(12) + (sizes[chosen] - 1)[line].astype(np.uint64))]
+    classes = length_classes(int(sizes.max(initial=0)))
     for level, (least, blocks, together) in enumerate(classes):
         upto = classes[level + 1][0] if level + 1 < len(classes) else least
         # Lines that may gain words enough for this class take part in it too.
         into = least - (classes[level - 1][1] - classes[level - 1][2] if level else 0)
         chosen = np.flatnonzero((sizes >= into) & (sizes < upto))
-        if not len(chosen):
-            continue
         line, hashes = flat(chosen)
         place = line * blocks + (mix(hashes + salt(20 + level)) % np.uint64(blocks)).astype(np.int64)
-        sums = np.zeros(len(chosen) * blocks, np.uint64)
-        np.add.at(sums, place, mix(hashes ^ salt(13)))
-        counts = np.bincount(place, minlength=len(sums)).reshape(-1, blocks)
-        sums = sums.reshape(-1, blocks)
-        for name, parts in enumerate(combinations(range(blocks), together)):
-            filled = np.flatnonzero(counts[:, parts].sum(axis=1) >= BLOCK_WORDS)
-            owners.append(chosen[filled])
-            found.append(mix(sums[filled][:, parts].sum(axis=1, dtype=np.uint64) + salt(1000 * (level + 1) + name)))
+        order = np.argsort(place, kind="stable")
+        place, hashes = place[order], mix(hashes ^ salt(13))[order]
+        # Whole lines at a time where a key joins blocks, else any blocks: a line may have millions.
+        step = SUM_BLOCKS // blocks * blocks if together > 1 else SUM_BLOCKS
+        for low in range(0, len(chosen) * blocks, step):
+            high = min(low + step, len(chosen) * blocks)
+            begin, stop = np.searchsorted(place, [low, high])
+            inside = place[begin:stop] - low
+            sums, counts = votes(hashes[begin:stop], inside, high - low), np.bincount(inside, minlength=high - low)
+            at = np.arange(low, high)
+            choices = [(at // blocks, at % blocks, sums, counts)]
+            if together > 1:
+                of, sums, counts = np.arange(low // blocks, high // blocks), sums.reshape(-1, blocks, 64), counts.reshape(-1, blocks)
+                choices = [(of, np.full(len(of), name), sums[:, part].sum(axis=1), counts[:, part].sum(axis=1))
+                           for name, part in enumerate(combinations(range(blocks), together))]
+            for of, name, total, filling in choices:
+                full = np.flatnonzero(filling >= BLOCK_WORDS)
+                owners.append(chosen[of[full]])
+                found.append(mix(mix(sign_bits(total[full]) + salt(1000 + level)) + name[full].astype(np.uint64)))
     owner, keys = np.concatenate(owners), np.concatenate(found)
     order = np.argsort(owner, kind="stable")
     return keys[order], np.searchsorted(owner[order], np.arange(len(first) + 1))
@@ -146,21 +154,12 @@ def normalised(words: Words, first: int, end: int) -> str:
                     for i in range(first, end))
 
 
-def block_masks(distance: int, blocks: int) -> list[int]:
-    """A 64-bit mask for each choice of ``blocks - distance`` blocks, as a signed number."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    parts = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(blocks)]
-    masks = [sum(parts[k] for k in chosen) for chosen in combinations(range(blocks), blocks - distance)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
 def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                          distance: int = DISTANCE, blocks: int = BLOCKS, similarity: int = SIMILARITY,
-                          least_words: int = LEAST_WORDS, word_keys: bool = False) -> DataFrame:
+                          similarity: int = SIMILARITY) -> DataFrame:
     """(id, text_key, line, node): the lines, counted from 0, that go because an equal or near one stays elsewhere.
 
     Of each group the occurrence of the smallest (id, line) stays, a null id last. Rows that repeat id and text
-    are one document. Null texts have no lines.
+    are one document. Null and empty texts have no lines, lines without a word stay, and an empty table gives none.
     """
     rows = documents.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"),
                             F.col(text_column).alias("text"))
@@ -168,46 +167,38 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(batch.column("text"), ALPHANUMERIC, lower=True)
-        text, line, first, end = line_spans(words, least_words)
+        text, line, first, end = line_spans(words)
         at = pa.array(text)
         points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
         inside = np.concatenate(([0], np.cumsum(points[words.ends] - points[words.starts])))
         chars = inside[end] - inside[first] + (end - first - 1)
-        bags, bounds = word_bags(words, first, end) if word_keys else (np.empty(0, np.uint64), np.zeros(len(first) + 1))
+        keys, bounds = block_keys(words, first, end)
         return pa.RecordBatch.from_arrays(
             [batch.column("id").take(at), batch.column("text_key").take(at), pa.array(line.astype(np.int32)),
-             pa.array(signed(line_keys(words, first, end))), pa.array(signed(simhashes(words, first, end))),
-             pa.array(chars.astype(np.int32)), lists(signed(bags), bounds.astype(np.int64))],
-            names=["id", "text_key", "line", "node", "simhash", "chars", "bags"])
+             pa.array(signed(line_keys(words, first, end))), pa.array(chars.astype(np.int32)),
+             lists(signed(keys), bounds.astype(np.int64))],
+            names=["id", "text_key", "line", "node", "chars", "keys"])
 
-    lines = stored(rows.mapInArrow(on_slices(describe),
-                                   f"id {kind}, text_key bigint, line int, node bigint, simhash bigint, chars int, "
-                                   "bags array<bigint>"), "lines")
+    # The keys of a line are read once or twice and then emptied; what is read to the end goes without them.
+    described, drop_lines = stored_at(rows.mapInArrow(
+        on_slices(describe), f"id {kind}, text_key bigint, line int, node bigint, chars int, keys array<bigint>"), "lines")
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "line", "text_key")
-    nodes = stored(lines.groupBy("node").agg(F.count("*").alias("weight"), F.min(place).alias("place"),
-                                             F.max("simhash").alias("simhash"), F.max("chars").alias("chars"),
-                                             F.first("bags").alias("bags")), "nodes")  # equal lines have equal bags
-    # Lines that are near have like lengths, so a key also holds a length class; a line near the end of its class
-    # takes part in the next one too.
-    level = lambda chars: F.floor(F.log(chars) / F.log(F.lit(LENGTH_RATIO)))
-    levels = F.array_distinct(F.array(level(F.col("chars")), level(F.floor(F.col("chars") * 100 / similarity))))
-    masks = F.array(*(F.xxhash64(F.lit(k), "level", F.col("simhash").bitwiseAND(F.lit(m)))
-                      for k, m in enumerate(block_masks(distance, blocks))))
-    postings = (nodes.select("node", "simhash", F.explode(levels).alias("level"))
-                .select(F.explode(masks).alias("key"), "node"))
-    if word_keys:
-        postings = postings.unionByName(nodes.select(F.explode(F.array_distinct("bags")).alias("key"), "node"))
+    keyed, drop_keys = stored_at(described.groupBy("node").agg(
+        F.count("*").alias("weight"), F.min(place).alias("place"), F.max("chars").alias("chars"),
+        F.first("keys").alias("keys")), "line-keys")  # equal lines have equal keys
+    lines = stored(described.drop("chars", "keys"), "lines")
+    drop_lines()
+    nodes = stored(keyed.drop("keys"), "nodes")
+    postings = keyed.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
 
     def near(p: str, q: str) -> Column:
         a, b = F.col(f"{p}chars"), F.col(f"{q}chars")
-        apart = F.bit_count(F.col(f"{p}simhash").bitwiseXOR(F.col(f"{q}simhash")))
-        wide = F.when(F.least(a, b) < SHORT_CHARS, WIDE_SHORT).otherwise(WIDE_LONG) if word_keys else F.lit(distance)
-        return (apart <= F.greatest(wide, F.lit(distance))) & (F.least(a, b) * 100 >= F.greatest(a, b) * similarity)
+        return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
 
     def write_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(batch.column("text"), ALPHANUMERIC, lower=True)
         wanted = [set(x) for x in batch.column("wanted").to_pylist()]
-        text, _, first, end = line_spans(words, least_words)
+        text, _, first, end = line_spans(words)
         keys = signed(line_keys(words, first, end))
         picked = [i for i in range(len(text)) if int(keys[i]) in wanted[text[i]]]
         return pa.RecordBatch.from_arrays(
@@ -230,8 +221,8 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
 
         return verified
 
-    groups = linked_groups(postings, nodes, ["simhash", "chars"], near, prepare)
-    named = nodes.drop("bags").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = linked_groups(postings, nodes, ["chars"], near, prepare, release=drop_keys)
+    named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = stored(named.groupBy("component").agg(F.min("place").alias("kept"), F.sum("weight").alias("n"))
                      .where("n > 1").join(named, "component").select("node", "kept"), "repeated-nodes")
     found = lines.join(several, "node").where(~(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -126,24 +127,15 @@ def test_jaccard_without_pivots_gives_the_same(documents, texts, monkeypatch):
 
 
 def expected_lines(texts):
-    """Kept text per document, by all pairs of normalised lines."""
-    nodes, places = {}, []
-    for i, text in texts:
-        for k, line in enumerate((text or "").split("\n") if text is not None else []):
-            form = " ".join(reference.alnum(line))
-            if len(form.split(" ")) >= fuzzy_lines.LEAST_WORDS:
-                places.append((i, k, form))
-                nodes.setdefault(form, None)
-    forms = sorted(nodes)
-    split = words.split_words(pa.array(forms), words.ALPHANUMERIC)
-    _, _, first, end = fuzzy_lines.line_spans(split, 1)
-    hashes = [int(x) for x in fuzzy_lines.simhashes(split, first, end)]
-    links = []
-    for a in range(len(forms)):
-        for b in range(a):
-            longest = max(len(forms[a]), len(forms[b]))
-            if (hashes[a] ^ hashes[b]).bit_count() <= 3 and reference.distance(forms[a], forms[b]) <= longest * 10 // 100:
-                links.append((a, b))
+    """Kept text per document, by the edit distance of all pairs of normalised lines."""
+    places = [(i, k, " ".join(reference.alnum(line))) for i, text in texts for k, line in enumerate((text or "").split("\n"))]
+    places = [p for p in places if p[2]]
+    forms = sorted({form for _, _, form in places})
+    long = [k for k, form in enumerate(forms) if len(form.split(" ")) >= fuzzy_lines.LEAST_WORDS]
+    links = [(a, b) for a in long for b in long if b < a and
+             min(len(forms[a]), len(forms[b])) * 10 >= max(len(forms[a]), len(forms[b])) * 9 and
+             len(set(forms[a].split(" ")) & set(forms[b].split(" "))) * 4 >= len(set(forms[a].split(" "))) and
+             reference.distance(forms[a], forms[b]) * 10 <= max(len(forms[a]), len(forms[b]))]
     group = reference.components(range(len(forms)), links)
     at = {f: group[k] for k, f in enumerate(forms)}
     kept, gone = set(), set()
@@ -179,6 +171,26 @@ def test_lines_one_word_apart_meet(spark):
         near[at] = near[at][:3] + "zz" + near[at][5:]
         rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(near))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    gone = {r["id"] for r in fuzzy_lines.repeated_line_numbers(docs, word_keys=True).collect()}
+    gone = {r["id"] for r in fuzzy_lines.repeated_line_numbers(docs).collect()}
     assert gone == {2 * k + 1 for k in range(len(pairs))}
-    assert len({r["id"] for r in fuzzy_lines.repeated_line_numbers(docs).collect()}) < len(pairs)
+
+
+def test_equal_lines_of_any_length_go(spark):
+    docs = spark.createDataFrame([(1, "Thanks!\n\n--\nNot thanks"), (2, "thanks\n--\nsee you"), (3, "See you.\nthank")],
+                                 "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in fuzzy_lines.without_repeated_lines(docs).collect()}
+    assert got == {1: "Thanks!\n\n--\nNot thanks", 2: "--\nsee you", 3: "thank"}
+
+
+def test_lines_that_are_near_by_edit_similarity_alone_are_found(spark):
+    """A run over a whole table against all pairs of its lines: at most one occurrence of two near lines stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    places = [(r["doc_id"], k, " ".join(reference.alnum(x))) for r in docs.collect() for k, x in enumerate((r["text"] or "").split("\n"))]
+    gone = {(r["id"], r["line"]) for r in fuzzy_lines.repeated_line_numbers(docs).collect()}
+    stay = Counter(form for i, k, form in places if (i, k) not in gone)
+    forms = spark.createDataFrame([(f, len(f)) for f in {p[2] for p in places} if len(f.split(" ")) >= 4], "form string, n int")
+    other = forms.select(F.col("form").alias("near"), F.col("n").alias("m"))
+    near = forms.join(other, (F.col("form") < F.col("near")) & (F.least("n", "m") * 10 >= F.greatest("n", "m") * 9) & F.expr(
+        "levenshtein(form, near, cast(floor(greatest(n, m) / 10) as int)) >= 0")).collect()
+    found = sum(stay[r["form"]] + stay[r["near"]] <= 1 for r in near)
+    assert len(near) > 30 and found >= 0.9 * len(near), (found, len(near))
