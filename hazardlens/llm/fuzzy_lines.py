@@ -66,6 +66,24 @@ def line_keys(words: Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
                + salt(3) + sizes.astype(np.uint64))
 
 
+def features(words: Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each word of the lines: of the word and of how often it stood in its line before.
+
+    A word that is repeated so has a vote for each time, in a block of its own, and cannot outvote others.
+    """
+    sizes = end - first
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    hashes = words.hashes[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    high = max(len(sizes) - 1, 1).bit_length()
+    joined = hashes >> np.uint64(high) | line.astype(np.uint64) << np.uint64(64 - high)
+    order = np.argsort(joined)
+    new = np.diff(joined[order], prepend=~joined[order[:1]]) != 0
+    begin = np.flatnonzero(new)
+    earlier = np.empty(len(order), np.uint64)
+    earlier[order] = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return mix(hashes + mix(earlier))
+
+
 def votes(hashes: np.ndarray, place: np.ndarray, places: int) -> np.ndarray:
     """For each place and bit, the words there that have the bit set in their hash less those that have not."""
     sums = np.zeros((places, 64), np.int32)
@@ -100,13 +118,14 @@ def block_keys(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.nda
     too few words are left out. Lines of under ``LEAST_WORDS`` words have no key.
     """
     sizes = end - first
+    begins, hashed = np.cumsum(sizes) - sizes, features(words, first, end)
     owners, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
 
     def flat(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The line, counted within the chosen ones, and the hash of each of their words."""
         n = sizes[chosen]
-        at = np.repeat(first[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(np.arange(len(chosen)), n), words.hashes[at]
+        at = np.repeat(begins[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(chosen)), n), hashed[at]
 
     every = np.flatnonzero((sizes >= LEAST_WORDS) & (sizes <= SHORT_WORDS))
     for chosen in np.array_split(every, len(every) // (SUM_BLOCKS // SHORT_WORDS) + 1):
