@@ -14,7 +14,7 @@ share no key; the tests measure how many pairs that are near by edit similarity
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,8 @@ SHORT_WORDS = 10
 BLOCK_WORDS = 3
 #: Words whose votes are counted at a time, and blocks that are filled at a time.
 SUM_WORDS, SUM_BLOCKS = 1 << 15, 1 << 13
+#: Characters of the runs that bound an edit distance, and the width that is tried before the whole one.
+GRAM, NARROW = 3, 16
 
 
 def line_spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,6 +175,51 @@ def normalised(words: Words, first: int, end: int) -> str:
                     for i in range(first, end))
 
 
+def differing_part(a: str, b: str, room: int) -> tuple[str, str] | None:
+    """Both lines without the beginning and end that they share, or nothing if over ``room`` edits are between them.
+
+    The shared ends do not change the edit distance. An edit changes ``GRAM`` runs of as many characters at most, so lines
+    that lack more of each other's runs are further apart; runs are counted by hash, which can only hide a lack.
+    """
+    x, y = (np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) for line in (a, b))
+    size = min(len(x), len(y))
+    other = np.flatnonzero(x[:size] != y[:size])
+    head = int(other[0]) if len(other) else size
+    size -= head
+    other = np.flatnonzero(x[len(x) - size:][::-1] != y[len(y) - size:][::-1])
+    tail = int(other[0]) if len(other) else size
+    x, y = x[head:len(x) - tail], y[head:len(y) - tail]
+    longer = max(len(x), len(y))
+    if longer - min(len(x), len(y)) > room:
+        return None
+    if longer > room:
+        counts = []
+        for part in (x, y):
+            runs = part[:max(len(part) - GRAM + 1, 0)].copy()
+            for k in range(1, GRAM):
+                runs = runs * np.uint32(0x9E3779B1) + part[k:len(runs) + k]
+            counts.append(np.bincount(runs >> np.uint32(20), minlength=1 << 12))
+        if np.minimum(*counts).sum() < longer - GRAM + 1 - GRAM * room:
+            return None
+    return a[head:len(a) - tail], b[head:len(b) - tail]
+
+
+def differing_parts(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """(a, b, a_part, b_part, room) of the pairs of lines that may be within ``percent`` of the longer one, the room."""
+    picked, parts, rooms = [], [], []
+    for i, lines in enumerate(zip(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), strict=True)):
+        room = max(map(len, lines)) * percent // 100
+        found = differing_part(*lines, room)
+        if found is not None:
+            picked.append(i)
+            parts.append(found)
+            rooms.append(room)
+    at = pa.array(picked, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [batch.column("a").take(at), batch.column("b").take(at), *(pa.array([p[k] for p in parts], pa.string()) for k in (0, 1)),
+         pa.array(rooms, pa.int32())], names=["a", "b", "a_part", "b_part", "room"])
+
+
 def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                           similarity: int = SIMILARITY) -> DataFrame:
     """(id, text_key, line, node): the lines, counted from 0, that go because an equal or near one stays elsewhere.
@@ -234,9 +281,12 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
                      .select("text", "wanted").mapInArrow(on_slices(write_out), "node bigint, line string"))
             texts = stored(texts.dropDuplicates(["node"]), "line-texts")
             left, right = (texts.select(F.col("node").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
-            return pairs.join(left, "a").join(right, "b").where(
-                "levenshtein(a_line, b_line, cast(floor(greatest(length(a_line), length(b_line)) "
-                f"* {100 - similarity} / 100) as int)) >= 0")
+            apart = pairs.join(left, "a").join(right, "b").select("a", "b", "a_line", "b_line").mapInArrow(
+                lambda batches: map(differing_parts, batches, repeat(100 - similarity)),
+                "a bigint, b bigint, a_part string, b_part string, room int")
+            # Most near lines differ in little, and a narrow band shows that.
+            return apart.where(f"levenshtein(a_part, b_part, least(room, {NARROW})) >= 0 "
+                               f"or (room > {NARROW} and levenshtein(a_part, b_part, room) >= 0)")
 
         return verified
 

@@ -151,6 +151,17 @@ def test_lines(documents, texts):
     assert sum(a != b for (_, a), b in zip(texts, want.values(), strict=True)) > 20
 
 
+@given(st.text(alphabet="ab é😀", max_size=40), st.text(alphabet="ab é😀", max_size=40), st.integers(0, 40),
+       st.integers(0, 40), st.integers(0, 12))
+@settings(max_examples=300, deadline=None)
+def test_differing_part_keeps_the_edit_distance(a, inserted, at, upto, room):
+    for b in (a[:at] + inserted[:3] + a[upto:], inserted):
+        found = fuzzy_lines.differing_part(a, b, room)
+        want = reference.distance(a, b)
+        assert found is not None or want > room
+        assert found is None or reference.distance(*found) == want
+
+
 def test_lines_odd_rows(odd_rows, nothing):
     assert fuzzy_lines.without_repeated_lines(nothing).count() == 0
     done = fuzzy_lines.without_repeated_lines(odd_rows)
