@@ -31,15 +31,16 @@ def stored(frame: DataFrame, label: str, partition_by: list[str] | None = None)
     return stored_at(frame, label, partition_by)[0]
 
 
-def stored_at(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> tuple[DataFrame, Callable[[], None]]:
-    """As ``stored``, with a function that empties the table once nothing reads it any more."""
+def stored_at(frame: DataFrame, label: str, partition_by: list[str] | None = None) -> tuple[DataFrame, Callable[..., None]]:
+    """As ``stored``, with a function that empties the table, or one folder of it, once nothing reads that any more."""
     spark = frame.sparkSession
     path = new_folder(spark, label)
     # The setting counts for data frames made under it.
     _freeing(spark, lambda: frame.select("*").write.partitionBy(*(partition_by or [])).parquet(path))
 
-    def release() -> None:
-        spark.createDataFrame([], frame.schema).write.mode("overwrite").parquet(path)
+    def release(part: str = "") -> None:
+        left = frame.drop(*(partition_by or [])).schema if part else frame.schema
+        spark.createDataFrame([], left).write.mode("overwrite").parquet(f"{path}/{part}" if part else path)
 
     return spark.read.schema(frame.schema).parquet(path), release
 

@@ -81,38 +81,41 @@ def contamination(text, items, window=10):
     return len(w), len(hit), found
 
 
-def katz(rows, discounts, held):
-    """doc_id -> (score, base score)."""
+def katz(rows, discounts, held, order):
+    """doc_id -> (score, base score), and the sums over all words and an unknown one after every context."""
     tokens = {i: [*words(lower(t)), None] for i, t in rows}
+    padded = {i: [("start",)] * (order - 1) + t for i, t in tokens.items()}
     train = [i for i in tokens if not held(i)]
     one = Counter(w for i in train for w in tokens[i])
-    two = Counter(p for i in train for p in zip([("start",), *tokens[i]], tokens[i], strict=False))
     n, v = sum(one.values()), len(one)
-    low = lambda c: [sum(x == k for x in c.values()) for k in range(1, 7)]
-    d1, d2 = discounts(low(one)), discounts(low(two))
-    total = n + (not any(c <= 5 for c in one.values()))
-    share = {w: (d1[c] if c <= 5 else 1) * c / total for w, c in one.items()}
-    unknown = 1 - sum(share.values())
-    followers = defaultdict(dict)
-    for (h, w), c in two.items():
-        followers[h][w] = c
-    weight = {}
-    for h, f in followers.items():
-        divisor = sum(f.values()) + (not any(c <= 5 for c in f.values()))
-        taken = sum((d2[c] if c <= 5 else 1) * c for c in f.values()) / divisor
-        weight[h] = divisor, (1 - taken) / (1 - sum(share[w] for w in f))
+    followers, factors = {}, {}
+    for k in range(1, order + 1):
+        table = followers[k] = defaultdict(Counter)
+        for i in train:
+            for at in range(order - 1, len(padded[i])):
+                table[tuple(padded[i][at - k + 1:at])][padded[i][at]] += 1
+        every = [c for f in table.values() for c in f.values()]
+        factors[k] = discounts([every.count(c) for c in range(1, 7)])
+    weights = {}
+
+    def share(h, c):
+        f = followers[len(h) + 1][h]
+        return (factors[len(h) + 1][c] if c <= 5 else 1) * c / (sum(f.values()) + (not any(x <= 5 for x in f.values())))
 
     def probability(h, w):
-        c = followers[h].get(w, 0) if h in followers else 0
-        if c:
-            return (d2[c] if c <= 5 else 1) * c / weight[h][0]
-        return (weight[h][1] if h in weight else 1) * share.get(w, unknown)
+        f = followers[len(h) + 1].get(h)
+        if f and f[w]:
+            return share(h, f[w])
+        if f and h not in weights:
+            weights[h] = (1 - sum(share(h, c) for c in f.values())) / (1 - sum(probability(h[1:], x) for x in f if h))
+        return (weights[h] if f else 1) * (probability(h[1:], w) if h else 1)
 
     out = {}
-    for i, t in tokens.items():
-        score = sum(math.log10(probability(h, w)) for h, w in zip([("start",), *t], t, strict=False))
-        out[i] = score, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-    sums = {h: sum(probability(h, w) for w in one) + probability(h, ("never",)) for h in list(followers)}
+    for i, t in padded.items():
+        score = sum(math.log10(probability(tuple(t[at - order + 1:at]), t[at])) for at in range(order - 1, len(t)))
+        out[i] = score, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in tokens[i])
+    contexts = [h for table in followers.values() for h in list(table)[:40]]
+    sums = {h: sum(probability(h, w) for w in one) + probability(h, ("never",)) for h in contexts}
     return out, sums
 
 

@@ -56,8 +56,9 @@ def test_quality_held_out_accuracy(spark):
     rules = decision_list.fit_rules(docs, labels.where("doc_id % 2 = 0"))
     rows = (decision_list.judged(docs, ["doc_id"], rules).withColumnRenamed("c0", "doc_id")
             .join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").collect())
-    good = [r["kept"] for r in rows if r["quality"] == 1]
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
     assert sum(good) / len(good) > 0.95
+    assert rules and len(bad) > 5 and sum(bad) / len(bad) < 0.5
 
 
 def test_quality_odd_rows(odd_rows, nothing, spark):
@@ -103,14 +104,14 @@ def test_contamination_odd_rows(odd_rows, nothing, spark):
     assert kept.columns == odd_rows.columns and kept.count() == 6
 
 
-@pytest.mark.parametrize("share", [1, 3])
-def test_katz(documents, texts, monkeypatch, share):
+@pytest.mark.parametrize(("order", "share"), [(2, 3), (3, 1), (3, 3), (4, 2)])
+def test_katz(documents, texts, monkeypatch, order, share):
     monkeypatch.setattr(katz, "HOT_SHARE", 10 ** share)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 3000)
     monkeypatch.setattr(katz, "PART_GRAMS", 3000)
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    want, sums = reference.katz(texts, katz.discounts, reference.held_out)
-    rows = katz.katz_scores(documents, held).collect()
+    want, sums = reference.katz(texts, katz.discounts, reference.held_out, order)
+    rows = katz.katz_scores(documents, held, order=order).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert r["held_out"] == reference.held_out(r["id"])
@@ -120,6 +121,18 @@ def test_katz(documents, texts, monkeypatch, share):
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
 
 
+def test_katz_model_scores_other_documents(spark, documents, texts, monkeypatch, tmp_path):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(katz, "PART_GRAMS", 3000)
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    katz.fit(documents.where(~held)).write(f"{tmp_path}/model")
+    rows = katz.score(katz.read_model(spark, f"{tmp_path}/model"), documents.where(held)).collect()
+    want, _ = reference.katz(texts, katz.discounts, reference.held_out, 3)
+    assert len(rows) > 5 and {r["id"] for r in rows} == {i for i, _ in texts if reference.held_out(i)}
+    assert all(r["score"] == pytest.approx(want[r["id"]][0], abs=1e-6) for r in rows)
+    assert all(r["base_score"] == pytest.approx(want[r["id"]][1], abs=1e-6) for r in rows)
+
+
 def test_katz_odd_rows(odd_rows, nothing):
     assert katz.katz_scores(nothing, F.lit(False)).count() == 0
     rows = katz.katz_scores(odd_rows, F.lit(False)).collect()
