@@ -39,8 +39,8 @@ SHORT_WORDS = 10
 BLOCK_WORDS = 3
 #: Words whose votes are counted at a time, and blocks that are filled at a time.
 SUM_WORDS, SUM_BLOCKS = 1 << 15, 1 << 13
-#: Characters of the runs that bound an edit distance, and the width that is tried before the whole one.
-GRAM, NARROW = 3, 16
+#: Characters of the runs that bound an edit distance, and the widths that are tried before the whole one.
+GRAM, BANDS = 3, (8, 32, 128, 512, 2048)
 
 
 def line_spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -284,9 +284,11 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
             apart = pairs.join(left, "a").join(right, "b").select("a", "b", "a_line", "b_line").mapInArrow(
                 lambda batches: map(differing_parts, batches, repeat(100 - similarity)),
                 "a bigint, b bigint, a_part string, b_part string, room int")
-            # Most near lines differ in little, and a narrow band shows that.
-            return apart.where(f"levenshtein(a_part, b_part, least(room, {NARROW})) >= 0 "
-                               f"or (room > {NARROW} and levenshtein(a_part, b_part, room) >= 0)")
+            # Bands of growing width: a pair costs what its distance asks, and the whole room only if all else is too narrow.
+            bands = [f"levenshtein(a_part, b_part, least(room, {BANDS[0]})) >= 0"] + [
+                f"(room > {last} and levenshtein(a_part, b_part, least(room, {width})) >= 0)"
+                for last, width in zip(BANDS, (*BANDS[1:], "room"), strict=True)]
+            return apart.where(" or ".join(bands))
 
         return verified
 
