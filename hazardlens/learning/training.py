@@ -8,7 +8,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hazardlens import fixed_values as fixed
 from hazardlens.learning.features import (Preparation, class_weights, coded, feature_table, learn_preparation, split,
                                           with_fold)
+from hazardlens.learning.forest import RandomForest, RandomForestModel
 from hazardlens.learning.metrics import best_threshold
 from hazardlens.sources.tables import written
 
@@ -26,12 +27,12 @@ def _logistic_regression(rows: int) -> LogisticRegression:
     return LogisticRegression(maxIter=1000, regParam=1.0 / max(rows, 1), standardization=False)
 
 
-#: Trees of the forest grow as deep as Spark lets them.
+#: Trees of the forest grow as deep as those of Spark's own forest may.
 FOREST_DEPTH = 30
 
 
-def _random_forest(rows: int, depth: int = FOREST_DEPTH) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=100, maxDepth=depth, seed=fixed.SEED)
+def _random_forest(rows: int, depth: int = FOREST_DEPTH) -> RandomForest:
+    return RandomForest(numTrees=100, maxDepth=depth, seed=fixed.SEED)
 
 
 def _boosted_trees(rows: int) -> GBTClassifier:
@@ -125,9 +126,12 @@ def tune_best(table: DataFrame, names: list[str] | None = None) -> tuple[Trained
 def importance(model: Classifier) -> list[tuple[str, float]]:
     """(feature, weight) of the fitted estimator; one entry per feature."""
     estimator = model.pipeline.stages[-1]
-    weights = estimator.coefficients if hasattr(estimator, "coefficients") else estimator.featureImportances
+    if isinstance(estimator, RandomForestModel):
+        weights = estimator.importances
+    else:
+        weights = (estimator.coefficients if hasattr(estimator, "coefficients") else estimator.featureImportances).toArray()
     names = fixed.NUMERIC_FEATURES + [fixed.CATEGORY_FEATURE] + fixed.BOOLEAN_FEATURES
-    return [(name, float(weight)) for name, weight in zip(names, weights.toArray())]
+    return [(name, float(weight)) for name, weight in zip(names, weights)]
 
 
 def importance_table(table: DataFrame, model: Classifier, size: int = 20) -> DataFrame:

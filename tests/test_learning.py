@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardlens import fixed_values as fixed
-from hazardlens.learning import features, metrics, scoring, training
+from hazardlens.learning import features, forest, metrics, scoring, training
 from hazardlens.session import new_folder
 
 
@@ -204,3 +204,57 @@ def test_tree_models_fit(table, name, monkeypatch):
     test = training.score(fitted, table.where("part = 'test'"))
     assert 0 <= metrics.roc_auc(test).first()["auc"] <= 1
     assert training.importance_table(table, fitted).count() == 11
+
+
+def _forest(table, trees=7, **settings):
+    estimator = forest.RandomForest(numTrees=trees, **settings)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setitem(training.CANDIDATES, "Random Forest", lambda rows: estimator)
+        return training.fit("Random Forest", table.where("part = 'train'"), features.learn_preparation(table))
+
+
+def _scores(model, table):
+    return {row["package_name"]: row["score"] for row in training.score(model, table).collect()}
+
+
+@pytest.mark.parametrize("depth", [4, 30])
+def test_forest_in_parts_is_the_forest_in_one(table, monkeypatch, depth):
+    whole = _forest(table, maxDepth=depth)
+    assert whole.pipeline.stages[-1].parts.count() == 7
+    monkeypatch.setattr(forest, "PART_ROWS", 30)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 50)
+    parted = _forest(table.repartition(3), maxDepth=depth)
+    # Neither the driver nor a task holds a whole tree.
+    assert parted.pipeline.stages[-1].parts.count() > 30
+    assert _scores(parted, table) == pytest.approx(_scores(whole, table), abs=1e-12)
+    assert dict(training.importance(parted)) == pytest.approx(dict(training.importance(whole)))
+    assert sum(weight for _, weight in training.importance(whole)) == pytest.approx(1)
+
+
+def test_forest_ranks_and_is_saved(spark, table, risk):
+    model = _forest(table, trees=40)
+    assert metrics.roc_auc(training.score(model, table.where("part = 'train'"))).first()["auc"] > 0.99
+    assert metrics.roc_auc(training.score(model, table.where("part = 'test'"))).first()["auc"] > 0.55
+    folder = new_folder(spark, "model")
+    scoring.save_model(model, folder)
+    again = scoring.load_model(spark, folder)
+    scoring.save_model(again, folder)
+    again = scoring.load_model(spark, folder)
+    assert _scores(again, table) == _scores(model, table)
+    assert len(scoring.predict(again, risk.limit(0)).collect()) == 0
+
+
+def test_a_tree_learns_any_rule_of_its_bins():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 6, (3000, 5)).astype(np.uint8)
+    label = ((codes[:, 0] + codes[:, 1] * codes[:, 2]) % 3 == 0).astype(np.int32)
+    found = forest.grow(codes, label, np.full(3000, 0.5), 0, 1, 30, 1)
+    leaf = forest.descend(codes, np.zeros(3000, np.int64), found["feature"], found["bin"], found["left"])
+    # Nodes whose features gain nothing stay mixed; nearly all do not.
+    assert np.abs(found["share"][leaf] - label).mean() < 0.02
+    first = forest.grow(codes, label, np.full(3000, 0.5), 0, 1, 1, 1)
+    column = codes[:, first["feature"][0]]
+
+    def impurity(at):
+        return sum(2 * len(part) * part.mean() * (1 - part.mean()) for part in (label[column <= at], label[column > at]))
+    assert len(first["feature"]) == 3 and first["bin"][0] == min(range(5), key=impurity)
