@@ -1,9 +1,9 @@
 """Katz backoff: an n-gram language model with Good-Turing discounts and exactly normalised backoff weights.
 
-Work goes by blocks of documents and parts of the key space, both of bounded size. A block (some three million tokens)
+Work goes by blocks of documents and parts of the key space, both of bounded size. A block (some 1.5 million tokens)
 is tokenised once into the shared folder. Order by order it sends its distinct n-grams, packed, to the parts that the
 hash of their context names, each with its count and its probability under the order below. A part merges the counts
-of all blocks, keeps its piece of the model table and answers each block with the counts of the n-grams that the block
+of all blocks, keeps its piece of the model table if that is asked for, and answers each block with the counts of the n-grams that the block
 has and the sums of their contexts. From the answers a block has the probability of its n-grams: the discounted share
 where one was seen, else the context's backoff weight times the probability that the order below gave to its end. The
 n-grams of one context lie in one part, so that its weight is exact; contexts with a thousandth of all tokens (a thousand
@@ -37,8 +37,8 @@ from hazardlens.llm.words import mix, salt, slices, split_words
 from hazardlens.session import new_folder
 
 #: Tokens of a block and n-grams of a part; memory of a task follows these, not the corpus.
-BLOCK_TOKENS = 3_000_000
-PART_GRAMS = 2_000_000
+BLOCK_TOKENS = 1_500_000
+PART_GRAMS = 1_000_000
 #: The n-grams of an order are exchanged in turns, each over its share of the parts: twice as many for each order
 #: above the first, so that less lies on disk at once.
 MORE_TURNS = 2
@@ -120,6 +120,23 @@ class Grams:
     end: np.ndarray
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct whole numbers from 0, the first place of each, and which one each value is."""
+    bits = len(values).bit_length()
+    if int(values.max(initial=0)).bit_length() + bits < 64:
+        # Value and place in one number: much faster to sort than an order of places.
+        values = np.sort(values << bits | np.arange(len(values)))
+        order = values & ((1 << bits) - 1)
+        values >>= bits
+    else:
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+    new = np.diff(values, prepend=-1) != 0
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return values[new], order[new], which
+
+
 def extended(context: np.ndarray | np.uint64, word: np.ndarray | np.uint64) -> np.ndarray:
     return mix(np.atleast_1d(context) * _STEP + np.atleast_1d(word))
 
@@ -157,7 +174,7 @@ class Block:
             context = np.empty(len(self.codes), np.int64)
             context[1:] = found.place[:-1]
             context[self.bounds[:-1]] = len(found.keys)
-            pair, first, place = np.unique(context * width + self.codes, return_index=True, return_inverse=True)
+            pair, first, place = distinct(context * width + self.codes)
             context_keys = np.append(found.keys, start_context(level))
             found = Grams(pair // width, context_keys, extended(context_keys[pair // width], self.words[pair % width]), place,
                           np.bincount(place[trained], minlength=len(pair)), found.place[first])
@@ -318,8 +335,8 @@ def sent(states: DataFrame, order: int, hot: np.ndarray, parts: int, turn: int,
     return states.repartition("block").mapInArrow(send, SENT)
 
 
-def merge(hot: np.ndarray) -> Callable[[pa.Table], pa.Table]:
-    """A part's table, its answers to blocks, its counts of counts, its sums of spread contexts, and its frequent n-grams."""
+def merge(hot: np.ndarray, keep: bool) -> Callable[[pa.Table], pa.Table]:
+    """A part's table (if kept), its answers to blocks, its counts of counts, its sums of spread contexts, and its frequent n-grams."""
 
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
@@ -334,7 +351,8 @@ def merge(hot: np.ndarray) -> Callable[[pa.Table], pa.Table]:
             counts.append(seen[seen > 0])
         table = Table.merged(*map(np.concatenate, (contexts, keys, below, counts)))
         out = [{"kind": "answer", "part": part, "block": row["block"], **table.answer(row["names"], row["keys"])} for row in rows]
-        out.append({"kind": "table", "part": part, **table.row()})
+        if keep:
+            out.append({"kind": "table", "part": part, **table.row()})
         tokens = int(table.counts.sum())
         out.append({"kind": "stats", "part": part, "stats": [tokens, len(table.keys), *low_counts(table.counts)]})
         out += [{"kind": "spread", "part": part, "share": float(table.sums[i]),
@@ -437,8 +455,9 @@ def new_level(merged: DataFrame, hot: np.ndarray) -> tuple[Level, int, int, np.n
     return level, tokens, distinct, np.array([row["key"] % (1 << 64) for row in frequent], np.uint64)
 
 
-def _evaluate(blocks: DataFrame, size: int, order: int, model: Model | None, kind: str) -> tuple[Model, DataFrame]:
-    """Order by order, with the tables of ``model`` or with those that the blocks' training documents give."""
+def _evaluate(blocks: DataFrame, size: int, order: int, model: Model | None, kind: str, keep: bool = True) -> tuple[Model, DataFrame]:
+    """Order by order, with the tables of ``model`` or with those that the blocks' training documents give; these are
+    empty in the model that is returned unless ``keep`` is true."""
     parts = model.parts if model else -(-size // PART_GRAMS) or 1
     fitted = Model(parts, 0, 0, [], [])
     states = blocks.select("block", F.lit(None).cast("binary").alias("p"), F.lit(None).cast("binary").alias("counts"))
@@ -452,7 +471,7 @@ def _evaluate(blocks: DataFrame, size: int, order: int, model: Model | None, kin
             if model:
                 found = asked.groupBy("part").cogroup(model.tables[level - 1].groupBy("part")).applyInArrow(reply, MERGED)
             else:
-                found = asked.groupBy("part").applyInArrow(merge(hot), MERGED)
+                found = asked.groupBy("part").applyInArrow(merge(hot, keep), MERGED)
             frame, drop = stored_at(found, f"order-{level}", ["kind"])
             answers.append(frame)
             drops.append(drop)
@@ -547,5 +566,6 @@ def score(model: Model, documents: DataFrame, id_column: str = "doc_id", text_co
 
 def katz_scores(documents: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text",
                 order: int = ORDER) -> DataFrame:
-    """The scores of ``fit_and_score``."""
-    return fit_and_score(documents, held_out, order, id_column, text_column)[1]
+    """The scores of ``fit_and_score``; the tables of the model are not stored for them."""
+    blocks, size, kind = _blocks(documents, held_out, id_column, text_column)
+    return _evaluate(blocks, size, order, None, kind, keep=False)[1]

@@ -133,6 +133,19 @@ def test_katz_model_scores_other_documents(spark, documents, texts, monkeypatch,
     assert all(r["base_score"] == pytest.approx(want[r["id"]][1], abs=1e-6) for r in rows)
 
 
+def test_katz_query_takes_trigrams(spark, documents, texts, tmp_path):
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    want, _ = reference.katz(texts, katz.discounts, reference.held_out, 3)
+    rows = queries.op4_katz_backoff(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and all(r["score"] == pytest.approx(want[r["doc_id"]][0], abs=1e-6) for r in rows)
+
+
+def test_distinct_numbers():
+    for values in (np.array([5, 3, 5, 0, 3, 5]), np.array([1 << 62, 7, 1 << 62, 1]), np.empty(0, np.int64)):
+        for got, want in zip(katz.distinct(values.copy()), np.unique(values, return_index=True, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_katz_odd_rows(odd_rows, nothing):
     assert katz.katz_scores(nothing, F.lit(False)).count() == 0
     rows = katz.katz_scores(odd_rows, F.lit(False)).collect()
