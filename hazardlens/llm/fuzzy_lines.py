@@ -3,9 +3,11 @@
 A line is normalised to its alphanumeric words, A-Z in lower case, between single spaces. Equal normalised
 lines, however short, are one node. Nodes of ``LEAST_WORDS`` words or more get a SimHash in blocks: its projections
 are sparse, each word votes in the 64 bits of one block only, so that a changed word moves the bits of two blocks at
-most, where a vote in all bits would move some in every block. By pigeonhole the other blocks agree, and the choices of
-so many blocks are the join keys (``block_keys``). Pairs that share one and have like lengths are verified by
-their edit similarity on whole lines; there is no bound on bits beside it.
+most, where a vote in all bits would move some in every block. From some ``PAIRED_WORDS`` words on a word votes together
+with the next one, as a block of frequent words alone is shared by unrelated lines; a changed word then moves three
+blocks at most. By pigeonhole the other blocks agree, and the choices of so many blocks are the join keys
+(``block_keys``). Pairs that share one and have like lengths are verified by their edit similarity on whole lines;
+there is no bound on bits beside it.
 
 Words are the features, so lines whose edits are spread over most of their words (a typo in every second word) may
 share no key; the tests measure how many pairs that are near by edit similarity alone are found.
@@ -35,12 +37,18 @@ SIMILARITY = 90
 LENGTH_RATIO = 1.6
 #: In lines of fewer words each word is a block, and one block may differ.
 SHORT_WORDS = 10
+#: In length classes from so many words on, a word votes together with the next one.
+PAIRED_WORDS = 32
 #: Words that a key needs; fewer are shared by unrelated lines.
 BLOCK_WORDS = 3
 #: Words whose votes are counted at a time, and blocks that are filled at a time.
 SUM_WORDS, SUM_BLOCKS = 1 << 15, 1 << 13
 #: Characters of the runs that bound an edit distance, and the width that is tried before the whole one.
 GRAM, NARROW = 3, 16
+#: Words of both lines together that are skipped at most to find where two lines meet again.
+AHEAD = 12
+#: Words that either line skips there, few and like numbers first.
+SKIPS = [(k, both - k) for both in range(1, AHEAD) for k in sorted(range(both + 1), key=lambda k: abs(both - 2 * k))]
 
 
 def line_spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,10 +99,19 @@ def votes(hashes: np.ndarray, place: np.ndarray, places: int) -> np.ndarray:
     sums = np.zeros((places, 64), np.int32)
     for at in range(0, len(hashes), SUM_WORDS):
         of = place[at:at + SUM_WORDS]
-        bits = np.unpackbits(hashes[at:at + SUM_WORDS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cut = np.flatnonzero(np.diff(of, prepend=-1))
         counts = np.diff(np.append(cut, len(of)))
-        sums[of[cut]] += 2 * np.add.reduceat(bits, cut, axis=0, dtype=np.int32) - counts[:, None].astype(np.int32)
+        several = counts.max() > 255  # eight bits are counted at a time, in the bytes of a long
+        if several:
+            cut = np.union1d(cut, np.arange(0, len(of), 255))
+            counts = np.diff(np.append(cut, len(of)))
+        bits = hashes[at:at + SUM_WORDS, None] >> np.arange(8, dtype=np.uint64) & np.uint64(0x0101010101010101)
+        ones = np.add.reduceat(bits, cut, axis=0).view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
+        more = 2 * ones.astype(np.int32) - counts[:, None].astype(np.int32)
+        if several:
+            np.add.at(sums, of[cut], more)
+        else:
+            sums[of[cut]] += more
     return sums
 
 
@@ -107,7 +124,7 @@ def length_classes(largest: int) -> list[tuple[int, int, int]]:
     """(least words, blocks, blocks in a key) of the lines that are not short, up to the class of ``largest`` words."""
     classes, first = [(SHORT_WORDS, 5, 3)], 2 * SHORT_WORDS
     while classes[-1][0] <= largest:
-        classes.append((first, 2 * (first // 10) + 1, 1))
+        classes.append((first, (3 if first >= PAIRED_WORDS else 2) * (first // 10) + 1, 1))
         first = int(np.ceil(first * LENGTH_RATIO))
     return classes
 
@@ -121,17 +138,18 @@ def block_keys(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.nda
     """
     sizes = end - first
     begins, hashed = np.cumsum(sizes) - sizes, features(words, first, end)
+    plain = words.hashes[np.repeat(first - begins, sizes) + np.arange(sizes.sum())]
     owners, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
 
-    def flat(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def flat(chosen: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The line, counted within the chosen ones, and the hash of each of their words."""
         n = sizes[chosen]
         at = np.repeat(begins[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(np.arange(len(chosen)), n), hashed[at]
+        return np.repeat(np.arange(len(chosen)), n), hashes[at]
 
     every = np.flatnonzero((sizes >= LEAST_WORDS) & (sizes <= SHORT_WORDS))
     for chosen in np.array_split(every, len(every) // (SUM_BLOCKS // SHORT_WORDS) + 1):
-        line, hashes = flat(chosen)
+        line, hashes = flat(chosen, hashed)
         hashes = mix(hashes ^ salt(11))
         sums = votes(hashes, line, len(chosen))
         without = sums[line] - votes(hashes, np.arange(len(hashes)), len(hashes))
@@ -142,12 +160,23 @@ def block_keys(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.nda
     for level, (least, blocks, together) in enumerate(classes):
         upto = classes[level + 1][0] if level + 1 < len(classes) else least
         # Lines that may gain words enough for this class take part in it too.
-        into = least - (classes[level - 1][1] - classes[level - 1][2] if level else 0)
+        into = least - (2 * (classes[level - 1][0] // 10) if level else 0)
         chosen = np.flatnonzero((sizes >= into) & (sizes < upto))
-        line, hashes = flat(chosen)
+        paired = least >= PAIRED_WORDS
+        line, hashes = flat(chosen, plain if paired else hashed)
         place = line * blocks + (mix(hashes + salt(20 + level)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        place, hashes = place[order], mix(hashes ^ salt(13))[order]
+        place = place[order]
+        if paired and len(line):
+            following = np.append(mix(hashes[1:]), np.uint64(0))
+            following[np.append(np.diff(line) != 0, True)] = 0
+            # A vote names its place among those of the block too, so that repeated words cannot outvote others; what
+            # that moves lies in blocks that have changed anyhow.
+            begin = np.flatnonzero(np.diff(place, prepend=-1))
+            within = np.arange(len(place)) - np.repeat(begin, np.diff(np.append(begin, len(place))))
+            hashes = mix(mix(mix(hashes + following)[order] ^ salt(13)) + mix(within.astype(np.uint64)))
+        else:
+            hashes = mix(hashes ^ salt(13))[order]
         # Whole lines at a time where a key joins blocks, else any blocks: a line may have millions.
         step = SUM_BLOCKS // blocks * blocks if together > 1 else SUM_BLOCKS
         for low in range(0, len(chosen) * blocks, step):
@@ -162,7 +191,8 @@ def block_keys(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.nda
                 choices = [(of, np.full(len(of), name), sums[:, part].sum(axis=1), counts[:, part].sum(axis=1))
                            for name, part in enumerate(combinations(range(blocks), together))]
             for of, name, total, filling in choices:
-                full = np.flatnonzero(filling >= BLOCK_WORDS)
+                # Two votes of a word and the next one are three words or more.
+                full = np.flatnonzero(filling >= BLOCK_WORDS - paired)
                 owners.append(chosen[of[full]])
                 found.append(mix(mix(sign_bits(total[full]) + salt(1000 + level)) + name[full].astype(np.uint64)))
     owner, keys = np.concatenate(owners), np.concatenate(found)
@@ -204,12 +234,35 @@ def differing_part(a: str, b: str, room: int) -> tuple[str, str] | None:
     return a[head:len(a) - tail], b[head:len(b) - tail]
 
 
+def edits_by_words(a: str, b: str, room: int) -> int:
+    """Some number of edits that turn one line into the other, or over ``room``: never fewer than the fewest.
+
+    Both lines are walked along at once. Where they part, the nearest two words that follow in both are looked for, within
+    ``AHEAD`` words; what lies before these is written anew.
+    """
+    x, y = a.split(" "), b.split(" ")
+    i = j = edits = 0
+    while edits <= room and (i < len(x) or j < len(y)):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        k, m = next(((k, m) for k, m in SKIPS if x[i + k:i + k + 2] == y[j + m:j + m + 2] and i + k <= len(x) and j + m <= len(y)),
+                    (len(x) - i, len(y) - j))
+        # Words that have no counterpart take their spaces with them.
+        edits += max(sum(map(len, x[i:i + k])) + k, sum(map(len, y[j:j + m])) + m) - (1 if k and m else 0)
+        i, j = i + k, j + m
+    return edits
+
+
 def differing_parts(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    """(a, b, a_part, b_part, room) of the pairs of lines that may be within ``percent`` of the longer one, the room."""
+    """(a, b, a_part, b_part, room) of the pairs of lines that may be within ``percent`` of the longer one, the room.
+
+    The parts are empty where the edits are known to be within the room, so that their distance need not be taken.
+    """
     picked, parts, rooms = [], [], []
     for i, lines in enumerate(zip(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), strict=True)):
         room = max(map(len, lines)) * percent // 100
-        found = differing_part(*lines, room)
+        found = ("", "") if edits_by_words(*lines, room) <= room else differing_part(*lines, room)
         if found is not None:
             picked.append(i)
             parts.append(found)
@@ -272,14 +325,14 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
              pa.array([normalised(words, first[i], end[i]) for i in picked], pa.string())], names=["node", "line"])
 
     def prepare(active: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        places = (nodes.join(active, "node")
+                  .groupBy(F.col("place.id").alias("id"), F.col("place.text_key").alias("text_key"))
+                  .agg(F.collect_list("node").alias("wanted")))  # the lines of one document
+        texts = (rows.join(places, rows["id"].eqNullSafe(places["id"]) & (rows["text_key"] == places["text_key"]))
+                 .select("text", "wanted").mapInArrow(on_slices(write_out), "node bigint, line string"))
+        texts = stored(texts.dropDuplicates(["node"]), "line-texts")
+
         def verified(pairs: DataFrame) -> DataFrame:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            places = (nodes.join(wanted, "node")
-                      .groupBy(F.col("place.id").alias("id"), F.col("place.text_key").alias("text_key"))
-                      .agg(F.collect_list("node").alias("wanted")))  # the lines of one document
-            texts = (rows.join(places, rows["id"].eqNullSafe(places["id"]) & (rows["text_key"] == places["text_key"]))
-                     .select("text", "wanted").mapInArrow(on_slices(write_out), "node bigint, line string"))
-            texts = stored(texts.dropDuplicates(["node"]), "line-texts")
             left, right = (texts.select(F.col("node").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
             apart = pairs.join(left, "a").join(right, "b").select("a", "b", "a_line", "b_line").mapInArrow(
                 lambda batches: map(differing_parts, batches, repeat(100 - similarity)),

@@ -162,6 +162,43 @@ def test_differing_part_keeps_the_edit_distance(a, inserted, at, upto, room):
         assert found is None or reference.distance(*found) == want
 
 
+@given(st.lists(st.sampled_from(["a", "bb", "ccc", "é", "😀d"]), min_size=1, max_size=14), st.integers(0, 14), st.integers(0, 14),
+       st.lists(st.sampled_from(["a", "bb", "zz"]), max_size=3))
+@settings(max_examples=300, deadline=None)
+def test_edits_by_words_are_never_fewer_than_the_fewest(line, at, upto, inserted):
+    other = line[:at] + inserted + line[upto:] or ["x"]
+    for a, b in ((line, other), (other, line)):
+        edits = fuzzy_lines.edits_by_words(" ".join(a), " ".join(b), 1000)
+        assert edits >= reference.distance(" ".join(a), " ".join(b)) and (a != b or edits == 0)
+
+
+def test_near_lines_are_told_by_their_words():
+    line = [f"word{k}" for k in range(90)]
+    near = line[:20] + ["another"] + line[21:60] + line[61:]
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "a_line": [" ".join(line)], "b_line": [" ".join(near)]})
+    assert fuzzy_lines.differing_parts(batch, 10).to_pylist() == [{"a": 1, "b": 2, "a_part": "", "b_part": "", "room": 61}]
+
+
+def test_votes_of_many_words():
+    rng = np.random.default_rng(4)
+    hashes, place = rng.integers(0, 2 ** 64, 5000, dtype=np.uint64), np.sort(rng.integers(0, 6, 5000))
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int)
+    want = [(2 * bits[place == k] - 1).sum(axis=0).tolist() for k in range(6)]
+    assert fuzzy_lines.votes(hashes, place, 6).tolist() == want
+
+
+def test_unrelated_long_lines_share_few_keys():
+    """Blocks of frequent words alone made their candidates grow with the square of the lines."""
+    rng = random.Random(3)
+    frequent = [f"f{k}" for k in range(12)]
+    text = "\n".join(" ".join(rng.choice(frequent) if rng.random() < 0.5 else f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(80, 120)))
+                     for _ in range(1500))
+    found = words.split_words(pa.array([text]), words.ALPHANUMERIC, lower=True)
+    keys, _ = fuzzy_lines.block_keys(found, *fuzzy_lines.line_spans(found)[2:])
+    times = np.unique(keys, return_counts=True)[1]
+    assert (times * (times - 1) // 2).sum() <= 150, (times * (times - 1) // 2).sum()
+
+
 def test_lines_odd_rows(odd_rows, nothing):
     assert fuzzy_lines.without_repeated_lines(nothing).count() == 0
     done = fuzzy_lines.without_repeated_lines(odd_rows)
