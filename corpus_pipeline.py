@@ -1,7 +1,7 @@
 """From raw documents to a training mix: five stages, each a Spark job over all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. ``run`` writes each result to the shared folder and reads it again for the next stage.
+``documents``. ``run`` writes each result to the shared folder, reads it again for the next stage, and then empties it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from hazardlens.llm.decision_list import fit_rules, good_documents
 from hazardlens.llm.fuzzy_lines import without_repeated_lines
 from hazardlens.llm.jaccard import one_of_each_group
 from hazardlens.llm.mixing import mixed
-from hazardlens.llm.scratch import stored, table
+from hazardlens.llm.scratch import stored_at, table
 from hazardlens.llm.winnowing import clean_documents
 
 
@@ -58,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, drop = table(spark, sf_dir, "documents"), lambda: None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        done, drop_done = stored_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop()
+        docs, drop = done, drop_done
     return docs

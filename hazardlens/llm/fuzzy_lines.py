@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from hazardlens.llm.linking import linked_groups
-from hazardlens.llm.scratch import free_names, stored, stored_at
+from hazardlens.llm.linking import by_portions, linked_groups
+from hazardlens.llm.scratch import free_names, stored, stored_alone, stored_at
 from hazardlens.llm.words import ALPHANUMERIC, Words, lists, mix, on_slices, salt, signed, split_words
 
 #: Lines of fewer words are never near copies, only equal ones: too little to tell boilerplate from everyday phrases.
@@ -47,6 +47,8 @@ SUM_WORDS, SUM_BLOCKS = 1 << 15, 1 << 13
 GRAM, NARROW = 3, 16
 #: Words of both lines together that are skipped at most to find where two lines meet again.
 AHEAD = 12
+#: Pairs of lines that are verified together: so many, or that part of the number of lines.
+LINE_PAIRS, LINE_SHARE = 1 << 20, 2
 #: Words that either line skips there, few and like numbers first.
 SKIPS = [(k, both - k) for both in range(1, AHEAD) for k in sorted(range(both + 1), key=lambda k: abs(both - 2 * k))]
 
@@ -280,6 +282,11 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
     Of each group the occurrence of the smallest (id, line) stays, a null id last. Rows that repeat id and text
     are one document. Null and empty texts have no lines, lines without a word stay, and an empty table gives none.
     """
+    return stored_alone(documents.sparkSession, "repeated-lines",
+                        lambda: _repeated_line_numbers(documents, id_column, text_column, similarity))
+
+
+def _repeated_line_numbers(documents: DataFrame, id_column: str, text_column: str, similarity: int) -> DataFrame:
     rows = documents.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"),
                             F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -332,16 +339,17 @@ def repeated_line_numbers(documents: DataFrame, id_column: str = "doc_id", text_
                  .select("text", "wanted").mapInArrow(on_slices(write_out), "node bigint, line string"))
         texts = stored(texts.dropDuplicates(["node"]), "line-texts")
 
-        def verified(pairs: DataFrame) -> DataFrame:
+        def near_lines(pairs: DataFrame) -> DataFrame:
             left, right = (texts.select(F.col("node").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
             apart = pairs.join(left, "a").join(right, "b").select("a", "b", "a_line", "b_line").mapInArrow(
                 lambda batches: map(differing_parts, batches, repeat(100 - similarity)),
                 "a bigint, b bigint, a_part string, b_part string, room int")
             # Most near lines differ in little, and a narrow band shows that.
             return apart.where(f"levenshtein(a_part, b_part, least(room, {NARROW})) >= 0 "
-                               f"or (room > {NARROW} and levenshtein(a_part, b_part, room) >= 0)")
+                               f"or (room > {NARROW} and levenshtein(a_part, b_part, room) >= 0)").select("a", "b")
 
-        return verified
+        most = max(LINE_PAIRS, nodes.count() // LINE_SHARE)
+        return lambda pairs: by_portions(pairs, most, near_lines, "near-lines")
 
     groups = linked_groups(postings, nodes, ["chars"], near, prepare, release=drop_keys)
     named = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

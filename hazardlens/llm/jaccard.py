@@ -3,8 +3,9 @@
 The document by n-gram incidence is multiplied in two blocks of columns. Every row is put into one order of the n-grams,
 rare ones first. A row's first block has so many of its n-grams that two rows which link must share one there; its
 product is a join on the n-gram, and the place of the shared n-gram in both rows with their sizes bounds what
-the rest of the overlap can be, which discards most pairs. For the pairs left the overlap is summed over the whole
-rows. Equal sets are one row of the matrix.
+the rest of the overlap can be, which discards most pairs. Sketches of whole rows, some bits per n-gram, discard
+nearly all of the rest that do not link, and for the pairs left the overlap is summed over the whole rows. Equal sets
+are one row of the matrix.
 
 Rare means rare in counters of a fixed number that n-grams fall into by hash. They decide only the order, so links are
 exact whatever they hold; what many documents share comes last and is hardly ever multiplied.
@@ -19,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardlens.llm.linking import linked_groups
-from hazardlens.llm.scratch import bucketed, stored, stored_at
+from hazardlens.llm.linking import by_portions, linked_groups
+from hazardlens.llm.scratch import bucketed, stored, stored_alone, stored_at
 from hazardlens.llm.words import NOT_SPACE, Words, gram_hash, lists, mix, on_slices, salt, signed, slices, split_words
 
+#: Pairs that are looked at together: so many, or that part of the number of sets. First by sketches, then by whole rows.
+SKETCH_PAIRS, SKETCH_SHARE = 1 << 16, 2
+WHOLE_PAIRS, WHOLE_SHARE = 1 << 12, 32
 #: Counters of n-grams, a power of two; a task reports those that stand out from its mean by so many deviations.
 SLOTS, STAND_OUT = 1 << 20, 4.0
 
@@ -66,6 +70,19 @@ def first_block_mask(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Whether an odd number of a set's n-grams falls on a bit; the bits are a power of two, as many as n-grams or more."""
+    bits = max(64, 1 << max(len(grams) - 1, 0).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """How many n-grams only one of two sets has, by their sketches: never too many, as each n-gram moves one bit."""
+    short, long = sorted((np.frombuffer(x, np.uint8) for x in (a, b)), key=len)
+    folded = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
+    return int(np.bitwise_count(short ^ folded).sum())
+
+
 def rare_first(grams: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
     """The first block of a set, in order."""
     if not len(grams):
@@ -101,6 +118,11 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
     or blank text has no n-gram and links with nothing. Rows that repeat an id are rows of their own; a null
     id counts only where a group has no other. An empty table gives an empty result.
     """
+    return stored_alone(documents.sparkSession, "jaccard-groups",
+                        lambda: _jaccard_groups(documents, size, threshold, id_column, text_column))
+
+
+def _jaccard_groups(documents: DataFrame, size: int, threshold: int, id_column: str, text_column: str) -> DataFrame:
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     shared = rows.sparkSession.sparkContext.broadcast(common_grams(rows, size))  # SLOTS numbers
 
@@ -114,19 +136,19 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
         return pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(sizes), pa.array(signed(nodes)),
              lists(signed(np.concatenate([*keys, np.empty(0, np.uint64)])), bounds),
-             *[pa.array(signed(word)) for word in masks.T]],
-            names=["id", "n_shingles", "node", "keys", *MASK])
+             pa.array([sketch(s) for s in sets], pa.binary()), *[pa.array(signed(word)) for word in masks.T]],
+            names=["id", "n_shingles", "node", "keys", "sketch", *MASK])
 
     kind = rows.schema["id"].dataType.simpleString()
     mask_fields = ", ".join(f"{word} bigint" for word in MASK)
     described, drop_described = stored_at(rows.mapInArrow(
-        on_slices(describe), f"id {kind}, n_shingles bigint, node bigint, keys array<bigint>, {mask_fields}"), "described")
+        on_slices(describe), f"id {kind}, n_shingles bigint, node bigint, keys array<bigint>, sketch binary, {mask_fields}"), "described")
     sets = stored(described.select("id", "n_shingles", "node"), "sets")
     nodes = stored(described.where("n_shingles > 0").groupBy("node").agg(
         F.count("*").alias("weight"), F.min("id").alias("id"), F.max("n_shingles").alias("n"),
         F.max(F.size("keys")).alias("shown"), *[F.first(word).alias(word) for word in MASK]), "nodes")
     keyed, drop_keyed = stored_at(described.where(F.size("keys") > 0).groupBy("node", "n_shingles").agg(
-        F.first("keys").alias("keys")), "keyed")  # equal sets have equal keys
+        F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "keyed")  # equal sets have equal ones
     drop_described()
     postings = keyed.select(F.posexplode("keys").alias("place", "key"), "node")
 
@@ -155,27 +177,41 @@ def jaccard_groups(documents: DataFrame, size: int = 3, threshold: int = 90, id_
             pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
         return pairs
 
-    def overlap(column: str) -> Column:
-        return F.size(F.array_intersect(f"a_{column}", f"b_{column}"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """First the overlap of the first blocks: what it lacks must be among the n-grams that follow them."""
-        sizes = {side: F.col(f"{side}_n_shingles") for side in "ab"}
-        rest = F.greatest(*[sizes[side] - F.size(f"{side}_keys") for side in "ab"])
-        needed = F.floor(((sizes["a"] + sizes["b"]) * threshold + 99 + threshold) / (100 + threshold))
-        likely = stored(both_sides(pairs, keyed, "n_shingles", "keys").where(overlap("keys") + rest >= needed).select("a", "b"),
-                        "likely-pairs")
-        named = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        picked = nodes.join(named, "node").select("id").distinct()
-        grams = (rows.join(picked, rows["id"].eqNullSafe(picked["id"]), "left_semi").select("text")
-                 .mapInArrow(on_slices(full_rows), "node bigint, grams array<bigint>"))
-        incidence = bucketed(grams.join(named, "node", "left_semi").dropDuplicates(["node"]), "incidence", "node")
-        both = both_sides(likely, incidence, "grams").withColumn("overlap", overlap("grams")).withColumn(
-            "union", F.size("a_grams") + F.size("b_grams") - F.col("overlap"))
-        return both.where(F.col("overlap") * 100 >= F.col("union") * threshold)
-
-    groups = linked_groups(postings, nodes, ["n", "shown", *MASK], near, lambda active: verified, own=("place",))
-    drop_keyed()
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs whose sketches leave room for the overlap that they need."""
+        for batch in batches:
+            sizes = sum(batch.column(f"{side}_n_shingles").to_numpy() for side in "ab")
+            needed = -(-sizes * threshold // (100 + threshold))
+            differ = [apart(*both) for both in zip(*(batch.column(f"{side}_sketch").to_pylist() for side in "ab"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(sizes - np.array(differ, np.int64) >= 2 * needed))
+
+    def prepare(active: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        sketches = bucketed(keyed.join(active, "node", "left_semi").select("node", "n_shingles", "sketch"), "sketches", "node")
+        drop_keyed()
+        several = nodes.count()
+
+        def near_sketches(pairs: DataFrame) -> DataFrame:
+            return both_sides(pairs, sketches, "n_shingles", "sketch").mapInArrow(alike, "a bigint, b bigint")
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            likely = by_portions(pairs, max(SKETCH_PAIRS, several // SKETCH_SHARE), near_sketches, "likely-pairs")
+            named = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            picked = nodes.join(named, "node").select("id").distinct()
+            grams = (rows.join(picked, rows["id"].eqNullSafe(picked["id"]), "left_semi").select("text")
+                     .mapInArrow(on_slices(full_rows), "node bigint, grams array<bigint>"))
+            incidence = bucketed(grams.join(named, "node", "left_semi").dropDuplicates(["node"]), "incidence", "node")
+
+            def linked(pairs: DataFrame) -> DataFrame:
+                both = both_sides(pairs, incidence, "grams").withColumn(
+                    "overlap", F.size(F.array_intersect("a_grams", "b_grams"))).withColumn(
+                    "union", F.size("a_grams") + F.size("b_grams") - F.col("overlap"))
+                return both.where(F.col("overlap") * 100 >= F.col("union") * threshold).select("a", "b")
+
+            return by_portions(likely, max(WHOLE_PAIRS, several // WHOLE_SHARE), linked, "linked-pairs")
+
+        return verified
+
+    groups = linked_groups(postings, nodes, ["n", "shown", *MASK], near, prepare, own=("place",))
     least = (nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
              .select("node", "component", "id"))
     lowest = least.groupBy("component").agg(F.min("id").alias("component_id"))

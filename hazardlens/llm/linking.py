@@ -5,16 +5,20 @@ of most weight. What links is merged, and a key whose nodes are one group is don
 pivot leaves its key (all its pairs are settled) and the next one is tried; after ``pivot_rounds`` all pairs
 of a key that are still in different groups are compared. So no pair that could join two groups is left
 out, and a family of n near copies costs about n comparisons.
+
+Pairs of unrelated things that share a key grow faster than the things do, so what a test joins to them is
+joined to some of them at a time (``by_portions``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardlens.llm.scratch import stored
+from hazardlens.llm.scratch import stored, stored_at
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -50,6 +54,17 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def by_portions(pairs: DataFrame, most: int, test: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """What ``test`` returns of the stored pairs (a, b), stored; it gets some ``most`` of them at a time, by hash.
+
+    The shuffles of a portion are freed before the next one, so that their room does not follow the number of pairs.
+    """
+    portions = max(1, -(-pairs.count() // most))
+    portion = F.pmod(F.xxhash64("a", "b"), F.lit(portions))
+    return reduce(DataFrame.unionByName, [
+        stored(test(pairs.where(portion == k) if portions > 1 else pairs), label) for k in range(portions)])
+
+
 def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], near: Callable[[str, str], Column],
                   prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], pivot_rounds: int = 2,
                   release: Callable[[], None] = lambda: None,
@@ -67,7 +82,7 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], nea
     """
     columns = ["node", "weight", *payload, *own]
     several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(postings.join(several, "key").select("key", "node", *own), "shared-keys")
+    members, drop_members = stored_at(postings.join(several, "key").select("key", "node", *own), "shared-keys")
     release()
     verified = prepare(members.select("node").distinct())
     members = members.join(nodes.select("node", "weight", *payload), "node")
@@ -77,12 +92,13 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], nea
         if groups is not None:
             labelled = members.join(groups, "node", "left").withColumn(
                 "component", F.coalesce("component", "node"))
-        labelled = stored(labelled, "labelled")
+        labelled, drop_labelled = stored_at(labelled, "labelled")
+        drop_members()
         best = F.struct("weight", "node", "component", *payload, *own)
         mixed = (labelled.groupBy("key").agg(F.max(best).alias("pivot"), F.min("component").alias("lo"),
                                              F.max("component").alias("hi")).where("lo <> hi"))
         if turn < pivot_rounds:
-            members = stored(
+            members, drop_members = stored_at(
                 labelled.join(mixed.select("key", "pivot"), "key").where(F.col("node") != F.col("pivot.node"))
                 .withColumn("candidate", (F.col("component") != F.col("pivot.component")) & near("", "pivot.")),
                 "members")
@@ -96,12 +112,13 @@ def linked_groups(postings: DataFrame, nodes: DataFrame, payload: list[str], nea
             found = left.join(right, "key").where((F.col("l.component") < F.col("r.component")) & near("l.", "r."))
             found = found.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         pairs = stored(found.distinct(), "pairs")
+        drop_labelled()
         if not pairs.isEmpty():
             fresh = stored(verified(pairs).select("a", "b"), "links")
             known = fresh if groups is None else fresh.unionByName(
                 groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
             groups = components(known)
-        elif members.isEmpty():
+        elif turn < pivot_rounds and members.isEmpty():
             break
     if groups is None:
         return nodes.select("node", F.col("node").alias("component")).limit(0)

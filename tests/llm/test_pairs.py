@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hazardlens.llm import fuzzy_lines, jaccard, linking, words
+from hazardlens.llm import fuzzy_lines, jaccard, linking, scratch, words
+from hazardlens.session import scratch_scope, shared_root
 from tests.llm import reference
 
 
@@ -126,6 +128,60 @@ def test_jaccard_without_pivots_gives_the_same(documents, texts, monkeypatch):
     assert got == {i: c for i, (_, c) in reference.jaccard(texts).items()}
 
 
+@given(st.lists(st.integers(0, 2 ** 63), min_size=1, max_size=60), st.integers(1, 40), st.lists(st.integers(0, 2 ** 63), max_size=200))
+@settings(max_examples=200, deadline=None)
+def test_sketches_never_count_too_many(grams, keep, more):
+    a, b = (np.unique(np.array(x, np.uint64)) for x in (grams, grams[:keep] + more))
+    differ = len(np.setxor1d(a, b))
+    assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= differ
+    assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(a)) == 0
+
+
+def test_unrelated_pairs_never_meet_whole_rows(spark, monkeypatch):
+    """Long texts that share a passage passed the bounds under their keys, and their first blocks were joined to each pair."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(40):
+        text = [f"w{rng.randrange(10 ** 9)}" for _ in range(900)]
+        passage = [f"p{k // 4}x{i}" for i in range(30)]
+        texts.append((k, " ".join(text[:400] + passage + text[400:])))
+    texts += [(40, texts[0][1] + " other"), (41, texts[1][1] + " words")]
+    seen = {}
+
+    def noted(pairs, most, test, label, plain=linking.by_portions):
+        seen.setdefault(label, []).append(pairs.count())
+        return plain(pairs, most, test, label)
+
+    monkeypatch.setattr(jaccard, "by_portions", noted)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r["id"]: r["component_id"] for r in jaccard.jaccard_groups(docs, size=5, threshold=80).collect()}
+    assert got == {i: {40: 0, 41: 1}.get(i, i) for i, _ in texts}
+    assert sum(seen["likely-pairs"]) > 40 and sum(seen["linked-pairs"]) <= 4, seen
+
+
+def test_pairs_in_portions_give_the_same(documents, texts, monkeypatch):
+    portions = []
+    monkeypatch.setattr(linking, "stored", lambda frame, label: portions.append(label) or scratch.stored(frame, label))
+    for name in ("SKETCH_PAIRS", "WHOLE_PAIRS"):
+        monkeypatch.setattr(jaccard, name, 5)
+    for name in ("SKETCH_SHARE", "WHOLE_SHARE"):
+        monkeypatch.setattr(jaccard, name, 20)
+    got = {r["id"]: r["component_id"] for r in jaccard.jaccard_groups(documents).collect()}
+    assert got == {i: c for i, (_, c) in reference.jaccard(texts).items()}
+    assert portions.count("likely-pairs") >= 3 and portions.count("linked-pairs") >= 3, portions
+
+
+def test_nothing_but_the_results_stays(spark, documents):
+    """The tables of line dedup stayed for the whole pipeline, and added to the disk of the stages after it."""
+    with scratch_scope(spark):
+        root = Path(shared_root(spark).removeprefix("file:"))
+        before = {p.name for p in root.glob("*")}
+        done = [fuzzy_lines.without_repeated_lines(documents), jaccard.one_of_each_group(documents, size=5, threshold=80)]
+        left = {p.name.rpartition("-")[0] for p in root.glob("*") if p.name not in before}
+        assert left == {"repeated-lines", "jaccard-groups"}, left
+        assert done[0].count() == documents.count() and 0 < done[1].count() < documents.count()
+
+
 def expected_lines(texts):
     """Kept text per document, by the edit distance of all pairs of normalised lines."""
     places = [(i, k, " ".join(reference.alnum(line))) for i, text in texts for k, line in enumerate((text or "").split("\n"))]
