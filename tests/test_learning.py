@@ -1,4 +1,5 @@
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -258,3 +259,19 @@ def test_a_tree_learns_any_rule_of_its_bins():
     def impurity(at):
         return sum(2 * len(part) * part.mean() * (1 - part.mean()) for part in (label[column <= at], label[column > at]))
     assert len(first["feature"]) == 3 and first["bin"][0] == min(range(5), key=impurity)
+
+
+def test_the_whole_part_is_fitted_beside_the_folds(spark, monkeypatch):
+    """It waited for all folds, and the slowest fit, of boosted trees, came twice after one another."""
+    together = threading.Barrier(fixed.FOLDS + 1)
+
+    def fit(name, train, preparation, threshold=0.5):
+        together.wait(60)
+        return training.Classifier(None, None, threshold)
+
+    monkeypatch.setattr(training, "fit", fit)
+    monkeypatch.setattr(training, "score", lambda model, rows: rows.withColumn("score", F.lit(0.25) + F.col("label") / 2))
+    table = spark.createDataFrame([(f"p{i}", "train", i % fixed.FOLDS, i // 7 % 2) for i in range(70)],
+                                  "package_name string, part string, fold int, label int")
+    tuned = training.tune("any", table, None)
+    assert 0.25 < tuned.threshold <= 0.75 and tuned.model.threshold == tuned.threshold and tuned.fold_f1 == 1
